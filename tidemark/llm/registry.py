@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op8_packing": packing.op8_packing,
+        "op9_secret_scan": secrets.op9_secret_scan,
     }
 
 
