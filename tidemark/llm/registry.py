@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, secrets
+from tidemark.llm import bpe, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op8_packing": packing.op8_packing,
         "op9_secret_scan": secrets.op9_secret_scan,
