@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, packing, secrets, toxicity
+from tidemark.llm import bpe, languages, packing, pages, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_byte_bpe": bpe.op3_byte_bpe,
+        "op4_quality": quality.op4_quality,
+        "op6_language_id": languages.op6_language_id,
+        "op7_html_extraction": pages.op7_html_extraction,
         "op8_packing": packing.op8_packing,
         "op9_secret_scan": secrets.op9_secret_scan,
     }
