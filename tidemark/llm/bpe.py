@@ -25,9 +25,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.wordcache import Recent
+
 LEAF_CHARS = 1 << 14
 LEAF_BYTES = 24
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 #: White space as Unicode lists it, spelt out as libraries differ on the control characters.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NEVER = 1 << 60
@@ -73,8 +75,8 @@ class ByteBpe:
         self.split, self.leaf_chars, self.leaf_bytes = compile_split(pattern), leaf_chars, leaf_bytes
         self.near, self.far = compile_near(pattern), re.compile(f"[^\\x00-{chr(NEAR - 1)}]")
         self.by_text = {str(i): b for b, i in ranks.items()}
-        self.cache: dict[str, str] = {}
-        self.back: dict[str, bytes] = {}
+        self.cache = Recent(self.piece, CACHE_PIECES)
+        self.back = Recent(self.bytes_of_code, CACHE_PIECES, 256)
         self.stable: dict[tuple[int, int], bool] = {}
 
     # -- inside one match -------------------------------------------------
@@ -153,15 +155,9 @@ class ByteBpe:
 
     def piece(self, text: str) -> str:
         """One match's ids in decimal, joined by commas."""
-        if (code := self.cache.get(text)) is None:
-            data = text.encode()
-            whole = self.ranks.get(data)
-            code = str(whole) if whole is not None else ",".join(map(str, self.tree(data)))
-            if len(text) <= 64:
-                if len(self.cache) >= CACHE_PIECES:
-                    self.cache.clear()
-                self.cache[text] = code
-        return code
+        data = text.encode()
+        whole = self.ranks.get(data)
+        return str(whole) if whole is not None else ",".join(map(str, self.tree(data)))
 
     # -- over a whole text ------------------------------------------------
     def matches(self, text: str) -> list[str]:
@@ -170,10 +166,7 @@ class ByteBpe:
         return self.split.findall(text)
 
     def codes(self, pieces: list[str]) -> list[str]:
-        found = list(map(self.cache.get, pieces))
-        if None in found:
-            found = [self.piece(p) if c is None else c for p, c in zip(pieces, found, strict=True)]
-        return found
+        return self.cache.all(pieces)
 
     def encode(self, text: str) -> tuple[list[str], list[str]]:
         """The matches of a text and their ids, from its halves."""
@@ -214,21 +207,12 @@ class ByteBpe:
 
     def bytes_of_code(self, code: str) -> bytes:
         """The bytes of the ids of one match."""
-        if (data := self.back.get(code)) is None:
-            data = b"".join(map(self.by_text.__getitem__, code.split(",")))
-            if len(code) <= 256:
-                if len(self.back) >= CACHE_PIECES:
-                    self.back.clear()
-                self.back[code] = data
-        return data
+        return b"".join(map(self.by_text.__getitem__, code.split(",")))
 
     def decode(self, codes: list[str]) -> bytes:
         """The bytes of runs of ids in decimal, joined up the tree."""
         if len(codes) <= self.leaf_chars:
-            found = list(map(self.back.get, codes))
-            if None in found:
-                found = [self.bytes_of_code(c) if d is None else d for c, d in zip(codes, found, strict=True)]
-            return b"".join(found)
+            return b"".join(self.back.all(codes))
         half = len(codes) // 2
         return self.decode(codes[:half]) + self.decode(codes[half:])
 

@@ -22,24 +22,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.lineage import kept
+from tidemark.llm.wordcache import Recent
 
 CAPACITY = 4096
 #: Windows of one group: enough pieces for near-equal windows, few enough for one task.
 GROUP_WINDOWS = 256
 #: Largest piece of a rest: windows of a few pieces at least come out near equal.
 PIECE = 512
-CACHE_WORDS = 600_000
-BATCH_WORDS = 1000
-#: Words without characters whose form or length the tokenizer's normalizer changes.
+CACHE_WORDS = 400_000
+BATCH = 1000
+WORD_END = "</w>"
+#: Words without characters whose form or length the tokenizer's normalizer changes, and their runs.
 PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\xff]+")
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _STATE: dict[str, object] = {}
 
 
 class WordIds:
     """Ids of a text by words: this tokenizer drops white space, so words are encoded alone.
 
-    Only blanks and line feeds, white space by every definition, are cut at; anything else
-    goes to the tokenizer with the word that holds it.
+    Only blanks and line feeds, white space by every definition, are cut at. A plain word
+    is cut on as the tokenizer itself does, into runs of letters, digits and other marks;
+    runs that are new are encoded together, as a call costs more than a run.
     """
 
     def __init__(self, raw: bytes):
@@ -47,36 +51,46 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(raw.decode())
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.words = Recent(self.word, CACHE_WORDS)
+        self.runs = Recent(self.encode_one, CACHE_WORDS)
+        self.words.put("", b"")
+
+    def encode_one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        if not word or not PLAIN.fullmatch(word):
+            return self.encode_one(word) if word else b""
+        return b"".join(self.runs.all(RUNS.findall(word.lower())))
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
-        found = list(map(self.cache.get, words))
+        found = list(map(self.words.young.get, words))
         if None in found:
-            made = self.encode_words(list({w for w, x in zip(words, found, strict=True) if x is None}))
-            if len(self.cache) > CACHE_WORDS:
-                self.cache = {"": b""}
-            self.cache |= {w: x for w, x in made.items() if len(w) <= 64}
-            found = [made[w] if x is None else x for w, x in zip(words, found, strict=True)]
+            old, known, older = self.words.old, self.runs.young, self.runs.old
+            new = " ".join({w for w, x in zip(words, found, strict=True) if x is None and w not in old and PLAIN.fullmatch(w)})
+            if new:
+                self.encode_runs([r for r in {*RUNS.findall(new.lower())} if r not in known and r not in older])
+            one = self.words.one
+            found = [one(w) if x is None else x for w, x in zip(words, found, strict=True)]
         return b"".join(found)
 
-
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of distinct words; plain ones share calls, as a call costs more than a word."""
-        plain = [w for w in words if PLAIN.fullmatch(w)]
-        made = {w: np.asarray(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in set(words).difference(plain)}
-        for i in range(0, len(plain), BATCH_WORDS):
-            some = plain[i : i + BATCH_WORDS]
-            code = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.asarray(code.ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(w) + 1 for w in some), np.int64, len(some)))
-            at = np.searchsorted(np.fromiter((s for s, _ in code.offsets), np.int64, len(ids)), ends).tolist()
+    def encode_runs(self, runs: list[str]) -> None:
+        for i in range(0, len(runs), BATCH):
+            some = runs[i : i + BATCH]
+            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            # The last token of a run is one that ends a word, and no other token is.
+            at = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(at) != len(some):
+                continue
             data, start = ids.tobytes(), 0
-            for w, stop in zip(some, at, strict=True):
-                made[w] = data[4 * start : 4 * stop]
+            for run, stop in zip(some, at, strict=True):
+                self.runs.put(run, data[start:stop])
                 start = stop
-        return made
 
 
 def word_ids(name: str, raw: bytes) -> WordIds:

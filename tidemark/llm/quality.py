@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.training import fold, sample_labelled
+from tidemark.llm.wordcache import Recent
 
 #: Most labelled documents that are fitted on.
 SAMPLE = 3_000
@@ -31,7 +32,7 @@ SAME, SEEN = BUCKETS, BUCKETS + 1
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.5, 1e-5
 #: Steps of a vector against those of the layer: a bucket's share of a document is small.
 SCALE = 40.0
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def buckets_of(word: str) -> list[int]:
@@ -88,28 +89,22 @@ class Embeddings:
                 e -= (rate * SCALE * step).astype(np.float32)
         line = w[:, 1] - w[:, 0]
         self.gain, self.bias = (e @ line).astype(np.float64), float(b[1] - b[0])
-        self.cache: dict[str, float] = {}
+        self.cache = Recent(self.word, CACHE_WORDS)
 
     def __getstate__(self):
         return self.gain, self.bias
 
     def __setstate__(self, state):
-        self.gain, self.bias, self.cache = *state, {}
+        self.gain, self.bias = state
+        self.cache = Recent(self.word, CACHE_WORDS)
 
     def word(self, word: str) -> float:
-        value = float(self.gain[buckets_of(word)].mean())
-        if len(word) <= 64:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = value
-        return value
+        return float(self.gain[buckets_of(word)].mean())
 
     def score(self, text: str) -> float:
         words = text.split()
         n = max(1, len(words))
-        found = list(map(self.cache.get, words))
-        if None in found:
-            found = [self.word(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        found = self.cache.all(words)
         same, seen = repeats(words)
         z = self.bias + (sum(found) + same * self.gain[SAME] + seen * self.gain[SEEN]) / n
         return float(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))))

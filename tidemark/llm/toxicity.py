@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.training import fold, sample_labelled
+from tidemark.llm.wordcache import Recent
 
 #: Most labelled documents that are fitted on, and most learned lexicon entries.
 SAMPLE, ENTRIES = 12_000, 4_000
@@ -56,24 +57,20 @@ class Lexicon:
     """Weights of words and stems, with the weight of each word seen so far."""
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.seen = weights, {}
+        self.weights = weights
+        self.seen = Recent(self.weight, CACHE_WORDS)
 
     def weight(self, word: str) -> float:
         w = self.weights.get(word, 0.0)
         for k in STEMS:
             if len(word) > k:
                 w = max(w, self.weights.get(word[:k] + "~", 0.0))
-        if len(self.seen) >= CACHE_WORDS:
-            self.seen.clear()
-        self.seen[word] = w
         return w
 
     def features(self, text: str) -> list[float]:
         words = WORD.findall(text.lower())
         n = max(1, len(words))
-        found = list(map(self.seen.get, words))
-        if None in found:
-            found = [self.weight(w) if x is None else x for w, x in zip(words, found, strict=True)]
+        found = self.seen.all(words)
         learned = [(i, x) for i, x in enumerate(found) if x] if any(found) else []
         insults = [i for i, w in enumerate(words) if w in INSULTS]
         you = [i for i, w in enumerate(words) if w in YOU]
