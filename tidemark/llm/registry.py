@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, languages, packing, pages, quality, secrets, toxicity
+from tidemark.llm import bpe, jaccard, languages, packing, pages, quality, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_quality": quality.op4_quality,
+        "op5_jaccard_join": jaccard.op5_jaccard_join,
         "op6_language_id": languages.op6_language_id,
         "op7_html_extraction": pages.op7_html_extraction,
         "op8_packing": packing.op8_packing,
