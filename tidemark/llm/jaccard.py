@@ -88,10 +88,10 @@ def _frequencies(profiles: DataFrame) -> np.ndarray:
     return table
 
 
-def _semi(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def _semi(rows: DataFrame, ids: DataFrame, how: str, key: str = "id") -> DataFrame:
     """Rows whose id is (left_semi) or is not (left_anti) among ids, broadcast if they are few."""
     ids = kept(ids.distinct())
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, "id", how)
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, how)
 
 
 def _prefixes(texts: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
@@ -210,5 +210,12 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     return rows.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of the least id of each component, with all their columns; rows without an id stay."""
+    groups = jaccard_components(docs, width, percent, text_col, id_col)
+    out = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    return _semi(docs, out, "left_anti", id_col)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

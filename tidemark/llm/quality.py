@@ -156,5 +156,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     return made.select(F.col("id").alias(id_col), (fold(F.col("id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_poor(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows whose score is at least 0.5, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held, SAMPLE, text_col, id_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t or "") >= 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

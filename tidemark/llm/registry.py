@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, languages, packing, pages, quality, secrets, toxicity
+from tidemark.llm import bpe, jaccard, languages, neardup_vectors, packing, pages, quality, secrets, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_embedding_neardup": neardup_vectors.op2_embedding_neardup,
         "op3_byte_bpe": bpe.op3_byte_bpe,
         "op4_quality": quality.op4_quality,
         "op5_jaccard_join": jaccard.op5_jaccard_join,
@@ -19,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_html_extraction": pages.op7_html_extraction,
         "op8_packing": packing.op8_packing,
         "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_exact_topk": topk.op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_topk": topk.OP10_SQL}

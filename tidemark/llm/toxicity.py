@@ -271,5 +271,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     return made.select(F.col("id").alias(id_col), (fold(F.col("id"), folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows whose score is below 0.5, with all their columns."""
+    weights, model = fit(docs, labels, folds, held, SAMPLE, text_col, id_col)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, model))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, model = shared.value
+        lexicon = Lexicon(weights)
+        for batch in batches:
+            x = np.array([lexicon.features(t or "") for t in batch.column(at).to_pylist()], np.float64).reshape(-1, N_FEATURES)
+            yield batch.filter(pa.array(model.score(x) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
