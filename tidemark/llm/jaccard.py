@@ -4,8 +4,9 @@
    shingles by hash bucket over all texts, which orders shingles from rare to frequent.
 2. A second pass takes each node's prefix: its rarest shingles, as many as any partner
    must share one of. Nodes meet on prefix shingles that more than one node has.
-3. Lengths, positions and histograms of the sets (a bound on what suffixes can share) drop
-   pairs that cannot link. What is left is verified once on the whole sets.
+3. Lengths and positions drop pairs that cannot link, then a suffix filter: each set is dealt
+   by hash into parts, and the parts whose sizes are even in one set and odd in the other
+   bound from below how many shingles differ. What is left is verified once on the whole sets.
 
 All pairs of a group of near copies are never made. First each prefix shingle's nodes are
 compared with one centre, the node whose prefix is shared most, which is the text that the
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.lineage import kept
+from tidemark.llm.lineage import kept, written
 
 WORDS, PERCENT = 4, 85
-#: Buckets of shingle counts, and parts of a set's histogram.
-BUCKETS, PARTS = 1 << 16, 64
+#: Buckets of shingle counts, and 64-bit words of a set's parities.
+BUCKETS, PARITIES = 1 << 16, 16
 #: Rows of ids that may be broadcast: 16 MB. Beyond, the same join shuffles.
 FEW = 2_000_000
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -56,28 +57,34 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """A bit for each part of a set: whether the part's size is odd."""
+    counts = np.bincount((s >> np.uint64(54)).astype(np.int64) & (64 * PARITIES - 1), minlength=64 * PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist()
+
+
 def _profiles(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, print, histogram) of each text, and the task's bucket counts in a row without id."""
+    """(id, n, print, parities) of each text, and the task's bucket counts in a row without id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["id", "n", "print", "histogram", "buckets", "counts"]
+        names = ["id", "n", "print", "parities", "buckets", "counts"]
         ints = pa.list_(pa.int32()), pa.list_(pa.int64())
         for batch in batches:
-            ns, prints, histograms = [], [], []
+            ns, prints, odd = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
                 counts += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 ns.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                histograms.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PARTS), 65535).astype("<u2").tobytes())
+                odd.append(parities(s))
             nothing = pa.nulls(len(ns), ints[0]), pa.nulls(len(ns), ints[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(histograms, pa.binary()), *nothing], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(odd, ints[1]), *nothing], names)
         at = np.flatnonzero(counts)
         if len(at):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array([at.astype(np.int32)], ints[0]), pa.array([counts[at]], ints[1])], names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), ints[1])), pa.array([at.astype(np.int32)], ints[0]), pa.array([counts[at]], ints[1])], names)
 
-    return texts.mapInArrow(run, "id long, n long, print binary, histogram binary, buckets array<int>, counts array<long>")
+    return texts.mapInArrow(run, "id long, n long, print binary, parities array<long>, buckets array<int>, counts array<long>")
 
 
 def _frequencies(profiles: DataFrame) -> np.ndarray:
@@ -126,23 +133,18 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * most >= percent * (na + nb))
 
 
+def _differ_little(a: str, b: str, percent: int) -> Column:
+    """Suffix filter: the parts that differ in parity are no more than a linked pair's differing shingles."""
+    differ = sum((F.bit_count(F.col(f"{a}.parities")[i].bitwiseXOR(F.col(f"{b}.parities")[i])) for i in range(PARITIES)), F.lit(0)).cast("long")
+    return (100 + percent) * differ <= (100 - percent) * (F.col(f"{a}.n").cast("long") + F.col(f"{b}.n").cast("long"))
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, each verified once; nodes has (id, n, histogram)."""
+    """The pairs (a, b) that link, each verified once; nodes has (id, n, parities)."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("histogram").alias(f"histogram_{side}")), side)
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PARTS).astype(np.int64) for c in ("histogram_a", "histogram_b"))
-                n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-                # A part that is full may hold more than its count says.
-                full = ((x == 65535) | (y == 65535)).any(1)
-                stays = full | ((100 + percent) * np.minimum(x, y).sum(1) >= percent * n)
-                yield batch.select(["a", "b"]).filter(pa.array(stays))
-
-    pairs = kept(pairs.select("a", "b", "n_a", "n_b", "histogram_a", "histogram_b").mapInArrow(bound, "a long, b long"))
+        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.struct("n", "parities").alias(f"of_{side}")), side)
+    pairs = kept(pairs.where(_differ_little("of_a", "of_b", percent)).select("a", "b"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +177,14 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     profiles = kept(_profiles(texts, width))
     table = _frequencies(profiles)
-    rows = profiles.where("id is not null").select("id", "n", "print", "histogram")
-    nodes = kept(rows.where("n > 0").groupBy("print").agg(F.min_by(F.struct("id", "n", "histogram"), "id").alias("x"), F.min("id").alias("node")))
+    rows = profiles.where("id is not null").select("id", "n", "print", "parities")
+    nodes = kept(rows.where("n > 0").groupBy("print").agg(F.min_by(F.struct("id", "n", "parities"), "id").alias("x"), F.min("id").alias("node")))
     copies = kept(rows.where("n > 0").join(nodes.select("print", "node"), "print").where("id <> node").select("id", "node").distinct())
     nodes = nodes.select("x.*")
     # Texts of copies are left out, but an id that also names a text of its own stays.
     ones = texts.transform(lambda t: _semi(t, copies.select("id").join(nodes.select("id"), "id", "left_anti"), "left_anti"))
 
-    tokens = _prefixes(ones, table, width, percent)
+    tokens = written(_prefixes(ones, table, width, percent))
     several = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
     shared = kept(tokens.join(several, "token"))
     # The share of a node's prefix that others have too: highest for what others were copied from.
@@ -196,11 +198,11 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     placed = shared.join(known, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("component"))
     middle = centres.select("token", F.col("id").alias("centre")).join(known.withColumnRenamed("id", "centre"), "centre", "left").select("token", F.coalesce("component", "centre").alias("middle"))
     placed = kept(placed.join(middle, "token"))
-    apart = placed.where("component <> middle")
-    lists = apart.select("token").distinct()
-    every = placed.join(lists, "token", "left_semi")
+    lists = placed.where("component <> middle").select("token").distinct()
+    every = written(placed.join(lists, "token", "left_semi").join(nodes.select("id", "parities"), "id"))
+    apart = every.where("component <> middle")
     second = apart.alias("a").join(every.alias("b"), "token").where(
-        (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.middle")) | (F.col("a.id") < F.col("b.id"))) & _may_link("a", "b", percent)
+        (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.middle")) | (F.col("a.id") < F.col("b.id"))) & _may_link("a", "b", percent) & _differ_little("a", "b", percent)
     ).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     # What was verified against a centre need not be again.
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -14,8 +14,10 @@ def fold(id_col: Column, modulus: int) -> Column:
 
 
 def signature(text: Column) -> Column:
-    """The least hash of a text's words: alike for most near copies, so copies do not add up."""
-    return F.array_min(F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+"), lambda w: F.xxhash64(w)))
+    """The least hash of a text's three-word runs: alike for most near copies, so copies do not add up."""
+    words = F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+")
+    after = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    return F.array_min(F.zip_with(after, F.slice(words, 3, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, limit: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
