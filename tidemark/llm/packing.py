@@ -29,21 +29,22 @@ CAPACITY = 4096
 GROUP_WINDOWS = 256
 #: Largest piece of a rest: windows of a few pieces at least come out near equal.
 PIECE = 512
-CACHE_WORDS = 400_000
+CACHE_RUNS = 500_000
 BATCH = 1000
 WORD_END = "</w>"
-#: Words without characters whose form or length the tokenizer's normalizer changes, and their runs.
-PLAIN = re.compile(r"[!-~\xa1-\xac\xae-\xff]+")
-RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+#: Texts without characters whose form or length the tokenizer's normalizer changes, and their runs.
+PLAIN = re.compile(r"[\n !-~\xa1-\xac\xae-\xff]*")
+RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\n a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
 _STATE: dict[str, object] = {}
 
 
 class WordIds:
-    """Ids of a text by words: this tokenizer drops white space, so words are encoded alone.
+    """Ids of a text by runs: this tokenizer drops white space and encodes runs alone.
 
-    Only blanks and line feeds, white space by every definition, are cut at. A plain word
-    is cut on as the tokenizer itself does, into runs of letters, digits and other marks;
-    runs that are new are encoded together, as a call costs more than a run.
+    A plain text is cut as the tokenizer itself does, into runs of letters, digits and
+    other marks; runs that are new are encoded together, as a call costs more than a run.
+    In any other text only blanks and line feeds, white space by every definition, are cut
+    at, and plain words between them go the same way.
     """
 
     def __init__(self, raw: bytes):
@@ -54,29 +55,26 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        self.words = Recent(self.word, CACHE_WORDS)
-        self.runs = Recent(self.encode_one, CACHE_WORDS)
-        self.words.put("", b"")
+        self.runs = Recent(self.encode_one, CACHE_RUNS)
 
     def encode_one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        if not word or not PLAIN.fullmatch(word):
-            return self.encode_one(word) if word else b""
-        return b"".join(self.runs.all(RUNS.findall(word.lower())))
-
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
+        if PLAIN.fullmatch(text):
+            return self.plain(text)
         words = text.replace("\n", " ").split(" ")
-        found = list(map(self.words.young.get, words))
+        return b"".join(self.plain(w) if PLAIN.fullmatch(w) else self.encode_one(w) for w in words if w)
+
+    def plain(self, text: str) -> bytes:
+        runs = RUNS.findall(text.lower())
+        found = list(map(self.runs.young.get, runs))
         if None in found:
-            old, known, older = self.words.old, self.runs.young, self.runs.old
-            new = " ".join({w for w, x in zip(words, found, strict=True) if x is None and w not in old and PLAIN.fullmatch(w)})
-            if new:
-                self.encode_runs([r for r in {*RUNS.findall(new.lower())} if r not in known and r not in older])
-            one = self.words.one
-            found = [one(w) if x is None else x for w, x in zip(words, found, strict=True)]
+            old = self.runs.old
+            self.encode_runs([r for r in {r for r, x in zip(runs, found, strict=True) if x is None} if r not in old])
+            one = self.runs.one
+            found = [one(r) if x is None else x for r, x in zip(runs, found, strict=True)]
         return b"".join(found)
 
     def encode_runs(self, runs: list[str]) -> None:
