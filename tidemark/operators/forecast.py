@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,30 +13,43 @@ from tidemark.operators.books import summaries, sweep
 WINDOW_US, HOUR_US = 7 * 86_400_000_000, 3_600_000_000
 
 
-def features(trades: DataFrame, books: DataFrame) -> DataFrame:
+def _measures(trades: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+    """Measures of the trades in [us - 7 days, us] for every snapshot of one chunk."""
+    trades = trades.sort_values(["us", "id"])
+    us, price, quantity = (trades[c].to_numpy() for c in ("us", "price", "quantity"))
+    ok = quantity > 0
+    value, traded, volume = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(ok, price * quantity, 0.0), np.where(ok, quantity, 0.0), np.nan_to_num(quantity)))
+    low, high = np.searchsorted(us, seen["us"].to_numpy() - WINDOW_US, "left"), np.searchsorted(us, seen["us"].to_numpy(), "right")
+    rows = []
+    for a, b in zip(low, high, strict=True):
+        if a == b:
+            rows.append((0, *[None] * 9))
+            continue
+        p = np.percentile(price[a:b], [10, 25, 50, 90])
+        q = traded[b] - traded[a]
+        rows.append((b - a, volume[b] - volume[a], price[a], price[b - 1], (value[b] - value[a]) / q if q > 0 else None, *p, price[max(a, b - 5) : b].mean()))
+    out = pd.DataFrame(rows, columns=["trades", "volume", "open", "close", "vwap", "p10", "p25", "median", "p90", "last5"])
+    return pd.concat([seen[["item_code", "us"]].reset_index(drop=True), out], axis=1)
+
+
+def features(trades: DataFrame, books: DataFrame, chunk_days: int = 2) -> DataFrame:
     """Measures of the trades in [t - 7 days, t] for every snapshot of ``summaries``.
 
-    Trades and snapshots go through one window each as a union, so no trade is joined with
-    a snapshot. A snapshot sees trades of its own microsecond.
+    Both are dealt by item and chunk of days; a trade goes to each chunk that can see it, so
+    a hot item is spread over its chunks and a task holds little more than a week of it.
+    Sliding frames would walk the whole week again for every row.
     """
-    priced = trades.where("unit_price is not null").select("item_code", F.unix_micros("created_at").alias("us"), F.lit(0).alias("kind"), "id", F.col("unit_price").alias("price"), "quantity", F.lit(None).cast("struct<best_bid:double,best_ask:double,spread_pct:double,imbalance_pct:double>").alias("book"))
-    seen = books.select("item_code", F.unix_micros("observed_at").alias("us"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("quantity"), F.struct("best_bid", "best_ask", "spread_pct", "imbalance_pct").alias("book"))
-    # The five latest prices travel on each trade, so a snapshot reads them from the last trade it sees.
-    recent = Window.partitionBy("item_code").orderBy("us", "id").rowsBetween(-4, 0)
-    priced = priced.withColumn("five", F.collect_list(F.struct("us", "price")).over(recent))
-    both = priced.unionByName(seen.withColumn("five", F.lit(None).cast("array<struct<us:bigint,price:double>>")))
-    frame = Window.partitionBy("item_code").orderBy("us").rangeBetween(-WINDOW_US, 0)
-    positive = F.when(F.col("quantity") > 0, F.col("quantity"))
-    when_priced = F.when(F.col("price").isNotNull(), F.struct("us", "id"))
-    ranks = F.percentile("price", F.array(F.lit(0.1), F.lit(0.25), F.lit(0.5), F.lit(0.9))).over(frame)
-    out = both.select(
-        "item_code", "us", "kind", "book", F.count("price").over(frame).alias("trades"), F.sum("quantity").over(frame).alias("volume"),
-        F.min_by("price", when_priced).over(frame).alias("open"), F.max_by("price", when_priced).over(frame).alias("close"),
-        (F.sum(F.col("price") * positive).over(frame) / F.sum(positive).over(frame)).alias("vwap"), ranks.alias("p"), F.max_by("five", when_priced).over(frame).alias("five"),
-    ).where("kind = 1")
-    inside = F.filter("five", lambda x: x["us"] >= F.col("us") - WINDOW_US)
-    last5 = F.when(F.size(inside) > 0, F.aggregate(inside, F.lit(0.0), lambda a, x: a + x["price"]) / F.size(inside))
-    out = out.select("item_code", F.timestamp_micros("us").alias("observed_at"), "us", "book.*", "trades", "volume", "open", "close", "vwap", F.col("p")[0].alias("p10"), F.col("p")[1].alias("p25"), F.col("p")[2].alias("median"), F.col("p")[3].alias("p90"), last5.alias("last5"))
+    chunk = chunk_days * 24 * HOUR_US
+    us = F.unix_micros("created_at")
+    spread = trades.where("unit_price is not null").select(
+        "item_code", us.alias("us"), "id", F.col("unit_price").alias("price"), F.col("quantity").cast("double").alias("quantity"),
+        F.explode(F.sequence(F.floor(us / chunk), F.floor((us + WINDOW_US) / chunk))).alias("chunk"),
+    )
+    seen = books.select("item_code", F.unix_micros("observed_at").alias("us"), "observed_at", "best_bid", "best_ask", "spread_pct", "imbalance_pct")
+    marks = seen.select("item_code", "us", F.floor(F.col("us") / chunk).alias("chunk"))
+    schema = "item_code string, us long, trades long, volume double, open double, close double, vwap double, p10 double, p25 double, median double, p90 double, last5 double"
+    made = spread.groupBy("item_code", "chunk").cogroup(marks.groupBy("item_code", "chunk")).applyInPandas(_measures, schema)
+    out = seen.join(made, ["item_code", "us"])
     out = out.withColumns({"momentum_pct": F.when(F.col("trades") >= 2, X.change_pct("close", "open")), "fair": X.stable_fair("vwap", "median", "last5")})
     return out.withColumn("fair_gap_pct", X.change_pct("best_bid", "fair"))
 
@@ -51,10 +66,10 @@ def targets(books: DataFrame, horizon_hours: float = 24, lag_hours: float = 6) -
     return books.withColumn("t", first).select(*books.columns, "t.*")
 
 
-def evaluations(trades: DataFrame, levels: DataFrame, quantity: float = 1.0, tick: float = 0.001, horizon_hours: float = 24, lag_hours: float = 6) -> DataFrame:
+def evaluations(trades: DataFrame, levels: DataFrame, quantity: float = 1.0, tick: float = 0.001, horizon_hours: float = 24, lag_hours: float = 6, seen: DataFrame | None = None) -> DataFrame:
     """Predictions and what came of them: snapshots with features, a bid, and a target with a bid."""
     books = summaries(levels)
-    seen = features(trades, books)
+    seen = features(trades, books) if seen is None else seen
     ahead = targets(books, horizon_hours, lag_hours).select("item_code", "observed_at", "target_at", "target_bid")
     rows = seen.where("best_bid > 0 and trades > 0").join(ahead, ["item_code", "observed_at"]).where("target_bid > 0")
     score = X.direction_score("momentum_pct", "fair_gap_pct")

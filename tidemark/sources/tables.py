@@ -39,7 +39,7 @@ def book_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(
         F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("observed_at"), F.col("event_type").alias("item_code"),
         F.when(even, "bid").otherwise("ask").alias("side"),
-        F.round(F.when(even, 49.9 - F.col("value") % 10).otherwise(50.0 + F.col("value") % 10), 1).alias("price"),
+        (F.floor(F.when(even, 49.9 - F.col("value") % 10).otherwise(50.0 + F.col("value") % 10) * 10 + 0.5) / 10).alias("price"),
         (1 + F.col("user_id") % 50).cast("double").alias("quantity"), F.col("event_id").alias("order_id"),
     )
 
@@ -77,7 +77,7 @@ LONG_TAPE_SQL = """long_tape AS (SELECT *, CASE WHEN quantity > 0 THEN money / q
 BOOK_SQL = """book_levels AS (
   SELECT date_trunc('hour', ts) AS observed_at, event_type AS item_code,
          CASE WHEN event_id % 2 = 0 THEN 'bid' ELSE 'ask' END AS side,
-         round(CASE WHEN event_id % 2 = 0 THEN 49.9 - (value % 10) ELSE 50.0 + (value % 10) END, 1) AS price,
+         floor(CASE WHEN event_id % 2 = 0 THEN 49.9 - (value % 10) ELSE 50.0 + (value % 10) END * 10 + 0.5) / 10 AS price,
          CAST(1 + user_id % 50 AS DOUBLE) AS quantity, event_id AS order_id FROM events)"""
 QUOTES_SQL = """quotes AS (SELECT item_code, id, observed_at, current_price FROM (
   SELECT event_type AS item_code, event_id AS id, ts AS observed_at, value AS current_price,
