@@ -101,17 +101,45 @@ def annualized_pct(change: Column | str, days: float) -> Column:
 
 def pressure_label(pct: Column | str, band: float = 5.0) -> Column:
     p = col(pct)
-    return F.when(p.isNull(), "Unavailable").when(p > band, "Buy pressure").when(p < -band, "Sell pressure").otherwise("Balanced")
+    return F.when(p.isNull(), "—").when(p > band, "Buy-heavy").when(p < -band, "Sell-heavy").otherwise("Balanced")
 
 
 def position_label(pct: Column | str) -> Column:
     p = col(pct)
-    return F.when(p.isNull(), "Unavailable").when(p < 33, "Low").when(p > 66, "High").otherwise("Middle")
+    return F.when(p.isNull(), "N/A").when(p <= 33, "Near floor").when(p <= 66, "Middle").otherwise("Near ceiling")
 
 
 def change_arrow(pct: Column | str, band: float = TREND_BAND) -> Column:
     p = col(pct)
-    return F.when(p.isNull(), "-").when(p > band, "up").when(p < -band, "down").otherwise("flat")
+    return F.when(p.isNull(), "N/A").when(p > band, "▲").when(p < -band, "▼").otherwise("●")
+
+
+def category_text(code: Column | str, stats: Column | str) -> Column:
+    """A category in words: its code and its sorted stats, unknown if there are none on record."""
+    entries = F.array_sort(F.map_entries(col(stats)))
+    known = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ", ")
+    text = F.when(col(stats).isNull(), "unknown").when(F.size(col(stats)) == 0, "none").otherwise(known)
+    return F.concat(col(code), F.lit("; stats: "), text)
+
+
+def equipment_category(code: Column | str, item: Column | str, stats: Column | str, state: Column | str, max_state: Column | str) -> Column:
+    """What equipment is alike: kind, code, sorted stats and condition; maps cannot be grouped."""
+    return F.struct(F.lit("equipment-v1").alias("kind"), F.coalesce(col(code), col(item)).alias("code"), F.array_sort(F.map_entries(col(stats))).alias("stats"), col(state).alias("state"), col(max_state).alias("max_state"))
+
+
+def settlement(money: Column | str, verified: Column | str, role: Column | str, fee: Column | str, side: str) -> Column:
+    """Struct (gross, net) by verified evidence only; an amount below zero is unknown."""
+    m, f, sign = number(money), number(fee), 1 if side == "buy" else -1
+    known = lambda x: F.when(x >= 0, x)
+    gross = F.when(col(role) == "gross", m).when(col(role) == "settled", known(m - sign * f))
+    net = F.when(col(role) == "settled", m).when(col(role) == "gross", known(m + sign * f))
+    return F.struct(F.when(col(verified), gross).alias("gross"), F.when(col(verified), net).alias("net"))
+
+
+def production_points(code: Column | str, table: dict[str, float]) -> Column:
+    """Points of an item by its code in lower-case letters and digits."""
+    key = F.regexp_replace(F.lower(col(code)), "[^a-z0-9]", "")
+    return F.element_at(F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(float(v))))), key)
 
 
 def passive_limit(bid: Column | str, ask: Column | str, tick: Column | float) -> Column:
