@@ -41,6 +41,6 @@ def identity_conflicts(records: DataFrame, fields: list[str]) -> DataFrame:
 
 def valid_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records that can be facts, and those set aside with a reason."""
-    reason = F.when(F.col("id").isNull(), "missing_id").when(F.col("created_at").isNull(), "missing_time").when(~(F.col("money") >= 0), "invalid_money").when(~(F.col("quantity") >= 0), "invalid_quantity")
+    reason = F.when(F.col("id").isNull(), "missing_id").when(F.col("created_at").isNull(), "missing_time").when(~F.coalesce(F.col("money") >= 0, F.lit(False)), "invalid_money").when(~F.coalesce(F.col("quantity") >= 0, F.lit(False)), "invalid_quantity")
     marked = raw.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
