@@ -4,9 +4,10 @@
    shingles by hash bucket over all texts, which orders shingles from rare to frequent.
 2. A second pass takes each node's prefix: its rarest shingles, as many as any partner
    must share one of. Nodes meet on prefix shingles that more than one node has.
-3. Lengths and positions drop pairs that cannot link, then a suffix filter: each set is dealt
-   by hash into parts, and the parts whose sizes are even in one set and odd in the other
-   bound from below how many shingles differ. What is left is verified once on the whole sets.
+3. Lengths, positions and the number of shared prefix shingles drop pairs that cannot link,
+   then a suffix filter: each set is dealt by hash into parts, and the parts whose sizes are
+   even in one set and odd in the other bound from below how many shingles differ. What is
+   left is verified once on the whole sets.
 
 All pairs of a group of near copies are never made. First each prefix shingle's nodes are
 compared with one centre, the node whose prefix is shared most, which is the text that the
@@ -17,6 +18,7 @@ is connected already, so no component is lost.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,8 @@ from tidemark.llm.components import components
 from tidemark.llm.lineage import kept, written
 
 WORDS, PERCENT = 4, 85
-#: Buckets of shingle counts, and 64-bit words of a set's parities.
-BUCKETS, PARITIES = 1 << 16, 16
+#: Buckets of shingle counts, the slices they are summed in, and 64-bit words of a set's short parities.
+BUCKETS, SLICES, PARITIES = 1 << 20, 64, 16
 #: Rows of ids that may be broadcast: 16 MB. Beyond, the same join shuffles.
 FEW = 2_000_000
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -57,42 +59,61 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def parities(s: np.ndarray) -> list[int]:
-    """A bit for each part of a set: whether the part's size is odd."""
-    counts = np.bincount((s >> np.uint64(54)).astype(np.int64) & (64 * PARITIES - 1), minlength=64 * PARITIES)
-    return np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist()
+def parities(s: np.ndarray, parts: int) -> np.ndarray:
+    """A bit for each part of a set, whether its size is odd; halves of it XOR to the bits of half the parts."""
+    counts = np.bincount((s >> np.uint64(32)).astype(np.int64) & (parts - 1), minlength=parts)
+    return np.packbits((counts & 1).astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = bits[:half] ^ bits[half:]
+    return bits
 
 
 def _profiles(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, print, parities) of each text, and the task's bucket counts in a row without id."""
+    """(id, n, print, parities, wide) of each text, and the task's bucket counts in rows without id.
+
+    The wide parities have a bit for each shingle at least, the short ones are for joins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        names = ["id", "n", "print", "parities", "buckets", "counts"]
-        ints = pa.list_(pa.int32()), pa.list_(pa.int64())
+        counts = np.zeros(BUCKETS, np.int32)
+        names = ["id", "n", "print", "parities", "wide", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary()]
         for batch in batches:
-            ns, prints, odd = [], [], []
+            made: list[list] = [[], [], [], []]
             for text in batch.column(1).to_pylist():
                 s = shingles(text, width)
-                counts += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                ns.append(len(s))
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                odd.append(parities(s))
-            nothing = pa.nulls(len(ns), ints[0]), pa.nulls(len(ns), ints[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(prints, pa.binary()), pa.array(odd, ints[1]), *nothing], names)
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), ints[1])), pa.array([at.astype(np.int32)], ints[0]), pa.array([counts[at]], ints[1])], names)
+                np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                bits = parities(s, max(64 * PARITIES, 1 << max(0, len(s) - 1).bit_length()))
+                for column, value in zip(made, (len(s), xxhash.xxh3_128_digest(s.tobytes()), folded(bits, 8 * PARITIES).view("<i8").tolist(), bits.tobytes()), strict=True):
+                    column.append(value)
+            rows = len(made[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(made, kinds[1:5], strict=True)), pa.nulls(rows, kinds[5]), pa.nulls(rows, kinds[6])], names)
+        if counts.any():
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, SLICES)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SLICES, k) for k in kinds[:5]), pa.array(range(SLICES), kinds[5]), pa.array(parts, kinds[6])], names)
 
-    return texts.mapInArrow(run, "id long, n long, print binary, parities array<long>, buckets array<int>, counts array<long>")
+    return texts.mapInArrow(run, "id long, n long, print binary, parities array<long>, wide binary, slice int, counts binary")
 
 
 def _frequencies(profiles: DataFrame) -> np.ndarray:
-    """Shingles in each bucket over all texts; the table's size is fixed."""
-    rows = profiles.where("buckets is not null").select(F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("x.buckets").agg(F.sum("x.counts").alias("n")).toArrow()
-    table = np.zeros(BUCKETS, np.int64)
-    table[rows["buckets"].to_numpy()] = rows["n"].to_numpy()
-    return table
+    """Shingles in each bucket over all texts: every task's counts, added in two rounds; the table's size is fixed."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS // SLICES, np.int64)
+        for part in table["counts"].to_pylist():
+            part = zlib.decompress(part)
+            total += np.frombuffer(part, np.int32 if len(part) == 4 * len(total) else np.int64)
+        return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    rows = profiles.where("slice is not null").select("slice", "counts").withColumn("part", F.pmod(F.xxhash64("counts"), F.lit(64)))
+    sums = rows.groupBy("slice", "part").applyInArrow(add, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    parts = {r.slice: np.frombuffer(zlib.decompress(r.counts), np.int64) for r in sums.collect()}
+    none = np.zeros(BUCKETS // SLICES, np.int64)
+    return np.concatenate([parts.get(i, none) for i in range(SLICES)])
 
 
 def _semi(rows: DataFrame, ids: DataFrame, how: str, key: str = "id") -> DataFrame:
@@ -140,11 +161,22 @@ def _differ_little(a: str, b: str, percent: int) -> Column:
 
 
 def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, each verified once; nodes has (id, n, parities)."""
+    """The pairs (a, b) that link, each verified once; nodes has (id, n, wide)."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.struct("n", "parities").alias(f"of_{side}")), side)
-    pairs = kept(pairs.where(_differ_little("of_a", "of_b", percent)).select("a", "b"))
+        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "wide_a", "wide_b")), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                stays.append((100 + percent) * differ <= (100 - percent) * (na + nb))
+            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+
+    pairs = kept(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(bound, "a long, b long"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +209,8 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     profiles = kept(_profiles(texts, width))
     table = _frequencies(profiles)
-    rows = profiles.where("id is not null").select("id", "n", "print", "parities")
-    nodes = kept(rows.where("n > 0").groupBy("print").agg(F.min_by(F.struct("id", "n", "parities"), "id").alias("x"), F.min("id").alias("node")))
+    rows = profiles.where("id is not null").select("id", "n", "print", "parities", "wide")
+    nodes = kept(rows.where("n > 0").groupBy("print").agg(F.min_by(F.struct("id", "n", "parities", "wide"), "id").alias("x"), F.min("id").alias("node")))
     copies = kept(rows.where("n > 0").join(nodes.select("print", "node"), "print").where("id <> node").select("id", "node").distinct())
     nodes = nodes.select("x.*")
     # Texts of copies are left out, but an id that also names a text of its own stays.
@@ -203,10 +235,19 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     apart = every.where("component <> middle")
     second = apart.alias("a").join(every.alias("b"), "token").where(
         (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.middle")) | (F.col("a.id") < F.col("b.id"))) & _may_link("a", "b", percent) & _differ_little("a", "b", percent)
-    ).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    )
+    ordered = F.col("a.id") < F.col("b.id")
+    second = second.select(
+        F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), F.when(ordered, F.col("a.n")).otherwise(F.col("b.n")).cast("long").alias("n_a"), F.when(ordered, F.col("b.n")).otherwise(F.col("a.n")).cast("long").alias("n_b")
+    )
+    # A pair comes once for each prefix shingle it shares, so their number bounds what it can share:
+    # beyond them, a common shingle lies outside the prefix that ends first.
+    shares = second.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    second = shares.where((100 + percent) * (F.col("shared") + F.greatest(rest("n_a"), rest("n_b"))) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     # What was verified against a centre need not be again.
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = second.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    second = second.join(tried, ["a", "b"], "left_anti")
     links = links.union(_verify(second, nodes, ones, width, percent)).union(copies.select(F.col("id").alias("a"), F.col("node").alias("b")))
     found = components(links)
     return rows.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
