@@ -155,3 +155,20 @@ def active_history(trades: DataFrame, window: DataFrame) -> DataFrame:
     active = refs(window).select("kind", "ref").distinct()
     ids = refs(trades).join(active, ["kind", "ref"], "left_semi").select("id").distinct()
     return trades.join(ids, "id", "left_semi")
+
+
+def money_basis(accounts: DataFrame) -> DataFrame:
+    """One row: gross if every account has gross amounts on both sides, else source."""
+    whole = F.coalesce(F.min(F.col("gross_buy").isNotNull() & F.col("gross_sell").isNotNull()), F.lit(False))
+    return accounts.agg(F.when(whole, "gross").otherwise("source").alias("basis"))
+
+
+def matching_status(parts: DataFrame, matches: DataFrame | None) -> DataFrame:
+    """Sold quantity of each account, how much of it found a cost, and what that amounts to."""
+    sold = parts.where("side = 'sell'").groupBy("kind", "account").agg(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("sold"))
+    if matches is None:
+        return sold.withColumns({"matched": F.lit(None).cast("double"), "coverage": F.lit(None).cast("double"), "status": F.lit("not_calculated")})
+    found = matches.groupBy("kind", "account").agg(F.sum("matched").alias("matched"))
+    out = sold.join(found, ["kind", "account"], "left").withColumn("matched", F.coalesce("matched", F.lit(0.0)))
+    out = out.withColumn("coverage", F.when(F.col("sold") > 0, F.col("matched") / F.col("sold")))
+    return out.withColumn("status", F.when(F.col("coverage").isNull() | (F.col("matched") == 0), "unavailable").when(F.col("coverage") >= 1 - 1e-9, "matched_sales").otherwise("partial"))
