@@ -161,7 +161,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, block: int = BLOCK
     equal = clean.distinct()
     nodes = kept(equal.groupBy("v").agg(F.min("id").alias("node"), F.count_distinct("id").alias("weight")))
     copies = kept(equal.join(nodes.select("v", "node", "weight"), "v").select("id", "node", "weight").distinct())
-    dims = [r[0] for r in nodes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(1000).collect()]
+    dims = [r[0] for r in nodes.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     parts = [_links(nodes.where(F.size("v") == d), d, least, block, chunk) for d in dims]
     if not parts:
         return vectors.select(F.col(id_col).cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept")).where(F.col(id_col).isNotNull())
@@ -181,7 +181,6 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, block: int = BLOCK
 
 def _links(nodes: DataFrame, dim: int, least: float, width: int, chunk: int) -> DataFrame:
     """(id, links, least): partial counts and least linked ids by task; only rows with links."""
-    spark = nodes.sparkSession
     size = 1 << max(0, (dim - 1).bit_length())
     cuts = blocks_of(size, width)
     total = 2 * (1 - least) * (1 + SLACK) + SLACK

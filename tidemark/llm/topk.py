@@ -80,7 +80,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     once. Only id and vector are read.
     """
     rows = kept(whole(vectors, scale, id_col, vector_col))
-    dims = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").limit(1000).collect()]
+    dims = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     parts = [_search(rows.where(F.size("v") == d), d, k, every, pivots, rings, cell) for d in dims]
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
