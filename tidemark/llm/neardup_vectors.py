@@ -24,7 +24,8 @@ from tidemark.llm.lineage import kept
 LEAST, BLOCK = 0.95, 16
 #: Rows of a strip that one task holds for each of its two sides, and rows of a tile.
 CHUNK, TILE = 32_768, 1_024
-SLACK = 1e-9
+#: Room for rounding in double and in single precision, and pairs of a tile that are looked at one by one.
+SLACK, COARSE, SPARSE = 1e-9, 1e-4, 50_000
 
 
 def rotated(units: np.ndarray) -> np.ndarray:
@@ -86,10 +87,15 @@ def admitted(x: np.ndarray, y: np.ndarray, s: int, e: int, share: float) -> np.n
     out = d <= share
     i, j = np.nonzero(np.abs(d - share) < SLACK)
     if len(i):
-        out[i, j] = ((a[i] - b[j]) ** 2).sum(1) <= share
+        out[i, j] = squared(x[i], y[j], s, e) <= share
     return out
 
 
+def squared(x: np.ndarray, y: np.ndarray, s: int, e: int) -> np.ndarray:
+    """A block's squared distance of each two rows that stand together."""
+    return ((x[:, s:e] - y[:, s:e]) ** 2).sum(1)
+
+
 def compare(ids: np.ndarray, weight: np.ndarray, units: np.ndarray, side: np.ndarray, guest: np.ndarray, block: int, least: float, width: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row (copies counted) and the least row of its group, within one task.
 
@@ -108,13 +114,17 @@ def compare(ids: np.ndarray, weight: np.ndarray, units: np.ndarray, side: np.nda
     starts = [range(0, n, TILE)] * 2 if same else [range(0, int((side == 0).sum()), TILE), range(int((side == 0).sum()), n, TILE)]
     first = int((side == 0).sum())
     low_high = {}
+    part = rot[:, s:e].astype(np.float32)
+    size = np.einsum("ij,ij->i", part, part)[:, None]
+    # One product of these gives squared distances in single precision, to find what to look at.
+    left, right = np.hstack([-2 * part, size, np.ones_like(size)]), np.hstack([part, np.ones_like(size), size]).T.copy()
 
     def tile(a: int) -> slice:
         return slice(a, min(a + TILE, n if same or a >= first else first))
 
     for a in {*starts[0], *starts[1]}:
-        part = rot[tile(a), s:e]
-        low_high[a] = part.min(0), part.max(0)
+        rows = rot[tile(a), s:e]
+        low_high[a] = rows.min(0), rows.max(0)
     for a in starts[0]:
         for b in starts[1]:
             if same and b < a:
@@ -123,6 +133,23 @@ def compare(ids: np.ndarray, weight: np.ndarray, units: np.ndarray, side: np.nda
             if gap @ gap > shares[block]:
                 continue
             x, y = tile(a), tile(b)
+            near = left[x] @ right[:, y] <= shares[block] + COARSE
+            if not near.any():
+                continue
+            i, j = np.nonzero(near)
+            if len(i) <= SPARSE:
+                i, j = i + a, j + b
+                stays = ~(guest[i] & guest[j]) & ((i < j) if same and a == b else True)
+                i, j = i[stays], j[stays]
+                ok = (squared(rot[i], rot[j], s, e) <= shares[block]) & (np.einsum("ij,ij->i", units[i], units[j]) >= least)
+                for k in range(block):
+                    ok &= ~(squared(rot[i], rot[j], *cuts[k]) <= shares[k])
+                i, j = i[ok], j[ok]
+                if len(i):
+                    np.add.at(links, i, weight[j])
+                    np.add.at(links, j, weight[i])
+                    forest.join(i, j)
+                continue
             hit = admitted(rot[x], rot[y], s, e, shares[block])
             hit &= ~(guest[x][:, None] & guest[y][None])
             if same and a == b:
