@@ -93,11 +93,9 @@ def meaning(data: bytes | None) -> int | None:
         return None
     if nested_lengths(data):
         return 3
-    try:
-        inner = data.decode("ascii")
-    except UnicodeDecodeError:
-        return None
-    return 5 if inner.isprintable() and (base_spans(inner) or any(signed_header(m[1]) for m in SIGNED.finditer(inner))) else None
+    # The patterns are ASCII, so lines, other letters and bytes that are no text around them do not matter.
+    inner = data.decode("utf-8", "replace")
+    return 5 if base_spans(inner) or any(signed_header(m[1]) for m in SIGNED.finditer(inner)) else None
 
 
 def confirmed_spans(text: str) -> list[Span]:
