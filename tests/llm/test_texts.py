@@ -82,6 +82,16 @@ def test_encoded_lines(inner):
     assert secrets.scan("x " + base64.b64encode("one line\nand a second line, à côté\n".encode()).decode())[1] == []
 
 
+def test_least_encoded_runs():
+    least = bytes.fromhex("300e040c") + bytes(range(12))
+    for data, kind in [(b"token=abcdefgh", "nested"), (b"password=hunter2abc", "nested"), (b"AKIA" + b"A1B2" * 3, "nested"), (b"AKIA" + b"A1B2" * 4, "nested"), (least, "key")]:
+        for text in [data.hex(), data.hex().upper(), base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode().rstrip("=")]:
+            assert f"{kind}:2:{2 + len(text)}" in secrets.written(secrets.scan(f"x {text} y")[1]).split(",")
+    signed = base64.b64encode(b'{"alg":""}').decode().rstrip("=") + ".e3."
+    assert len(signed) == secrets.LEAST_RUN and secrets.written(secrets.scan(f"x {signed} y")[1]) == "signed:2:20"
+    assert secrets.scan("x " + b"token=abcdefg".hex() + " internationalisation/of/counterrevolutionaries y")[1] == []
+
+
 def test_secret_rows_and_masks(spark):
     texts = [*ODD, 'x token = "abcdefgh12" y', "clean"]
     got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, texts)).collect()}

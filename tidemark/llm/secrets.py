@@ -24,10 +24,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "key", "signed", "nested")
 LEAST_VALUE, LEAST_ACCESS = 8, 16
-#: Runs that may hold an encoded key, token or text; shorter ones cannot parse as any.
-LEAST_RUN = 24
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
-ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
+#: The least bytes that parse: "token=" with a value (access keys and nested lengths take 16, signed
+#: headers 18), their base64 characters before padding, and the least signed token, {"alg":""} with a body.
+LEAST_BYTES = len("token=") + LEAST_VALUE
+LEAST_BASE64 = -(-LEAST_BYTES * 8 // 6)
+LEAST_SIGNED = 14 + len(".") + 2 + len(".")
+#: The least run without white space that may hold any of them.
+LEAST_RUN = min(2 * LEAST_BYTES, LEAST_BASE64, LEAST_SIGNED)
+BASE64_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}={{0,2}}")
+ANY_HEX = re.compile(rf"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{{2}}){{{LEAST_BYTES},}}(?![0-9A-Fa-f])")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 SIGNED = re.compile(r"(?<![\w-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.ASCII)
 Span = tuple[int, int, int]
