@@ -160,6 +160,26 @@ def test_page_text(start, stop):
     assert pages.main_text(PAGE.format(start, stop)) == TEXT
 
 
+LONG = "A long paragraph of text which tells a story about many things in this world, and it goes on. " * 4
+LINKS = "<div><a href=x>Home</a> <a href=x>About us</a></div>"
+NESTED = [
+    f"<div class=post><h1>Title</h1><p>A lead.</p><div class=entry><p>{LONG}</p><p>{LONG}</p></div><ul><li>One item</li></ul></div>",
+    f"<div class=post><h1>Title</h1><div><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div></div>",
+    f"<h1>Title</h1><p>A lead.</p><div><p>{LONG}</p><p>{LONG}</p></div>",
+    f"<div><p>{LONG * 2}</p></div><div><p>{LONG}</p></div>",
+    f"<section><h2>One</h2><p>{LONG * 2}</p></section><section><h2>Two</h2><p>{LONG}</p></section>",
+    f"<div><p>Before it.</p><blockquote><p>{LONG}</p><p>{LONG}</p></blockquote><p>After it.</p></div>",
+    f"<div><p>Before it.</p><table><tr><td><p>{LONG}</p><p>{LONG}</p></td><td>small</td></tr></table><p>After it.</p></div>",
+]
+
+
+@pytest.mark.parametrize("body", NESTED)
+def test_page_text_around_the_heaviest_container(body):
+    want = [" ".join(x.split()) for x in re.split(r"<[^>]+>", body) if x.strip()]
+    assert pages.main_text(f"<html><body><nav><a href=x>x</a></nav>{LINKS}{body}{LINKS}<footer>c</footer></body></html>").split("\n") == want
+    assert pages.main_text(f"<html><body><div id=page>{LINKS}{body}{LINKS}</div></body></html>").split("\n") == want
+
+
 def test_page_rows(spark):
     odd = [None, "", "plain &lt; text", "<p>one", "<article></article>", "<div>" * 2000 + "deep", "<nav>only menu</nav>"]
     df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(odd)], "page_id long, url string, html string, text string")

@@ -3,8 +3,9 @@
 The standard library's parser streams events; block tags cut the stream into lines. Each
 line has a ratio of text to tags. The ratios are smoothed by a Gaussian over neighbouring
 lines, and a threshold between two clusters of them parts content from clutter. The
-container with most content is the region taken; inside it every line counts, however
-short, but for elements whose tag, role or class names say what they are.
+article with most content, or else the smallest container with all content, is the region
+taken; inside it every line counts, however short, but for elements whose tag, role or class
+names say what they are. Text around a region that is no article stays unless it is links.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main body div section td html table center blockquote".split())
+#: Blocks whose text belongs to the page's text wherever it is not flagged.
+TEXTS = HEADINGS | frozenset("p li dt dd pre blockquote figcaption caption td th summary".split())
 #: Name parts of class and id, and roles, that say what an element is.
 NAMES = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside related recommended recommendations widget share sharing social comment comments commentlist disqus respond replies reply reviews discussion footer header masthead toolbar pagination pager tags skip search login form".split()
@@ -157,6 +160,25 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def unnamed_region(lines: list[tuple], content: list[bool], names: list[str]) -> list[tuple]:
+    """The lines of a page that names no article.
+
+    The core is the smallest container with all content, and every line of it counts but for
+    containers of nothing but links at its ends. Around it only lines that are mostly links go,
+    and loose text without a mark at the page's ends.
+    """
+    text = [i for i, x in enumerate(lines) if 2 * x[2] <= len(x[0])]
+    if not text:
+        return list(lines)
+    paths = [lines[i][3] for i in [i for i in text if content[i]] or text]
+    shared = [c for c, *others in zip(*paths) if all(o == c for o in others) and names[c] not in {"body", "html"}]
+    inside = {i for i, x in enumerate(lines) if shared and shared[-1] in x[3] and (text[0] <= i <= text[-1] or x[3][-1] == shared[-1])}
+    around = inside.union(text)
+    firm = [i for i in around if i in inside or content[i] or lines[i][5] in TEXTS or shared and shared[0] in lines[i][3]]
+    first, last = (min(firm), max(firm)) if firm else (0, len(lines))
+    return [lines[i] for i in sorted(around) if first <= i <= last]
+
+
 def main_text(html: str) -> str:
     """The region's lines, white space inside each made one blank, joined by line feeds."""
     parser = Lines()
@@ -181,19 +203,7 @@ def main_text(html: str) -> str:
         region = max(named, key=lambda c: (named[c], -c))
         taken = [x for x in lines if region in x[3]]
     else:
-        total, region = sum(weight[c] for c in weight if parser.names[c] in {"body", "html"}) or max(weight.values(), default=0), None
-        for c in sorted(weight):
-            if weight[c] >= 0.6 * min(total, max(weight.values())) and weight[c]:
-                region = c
-        at = [i for i, x in enumerate(lines) if region is None or region in x[3]]
-        if region is None or parser.names[region] in {"body", "html"}:
-            # No container of its own: from the first content line, with the headings above it, to the last.
-            marked = [i for i in at if content[i]] or at
-            first, last = marked[0], marked[-1]
-            while first > at[0] and lines[first - 1][5] in HEADINGS:
-                first -= 1
-            at = [i for i in at if first <= i <= last]
-        taken = [lines[i] for i in at]
+        taken = unnamed_region(lines, content, parser.names)
     return "\n".join(x[0] for x in taken)
 
 
