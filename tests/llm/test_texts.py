@@ -180,6 +180,37 @@ def test_page_text_around_the_heaviest_container(body):
     assert pages.main_text(f"<html><body><div id=page>{LINKS}{body}{LINKS}</div></body></html>").split("\n") == want
 
 
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+AROUND = f'<div class="sidebar"><ul><li><a href=x>link</a></ul><p>Some words.</p></div>{{}}<section id="comments"><p>{LONG}</p></section>'
+
+
+@pytest.mark.parametrize("name", ["class='layout has-sidebar'", "class='site header-fixed'", "id=comments-and-page"])
+@pytest.mark.parametrize("region", ["article", "main", "div"])
+def test_page_names_around_the_page(name, region):
+    html = f"<html><body><div {name}>{AROUND.format(f'<{region}>{BODY}</{region}>')}</div><footer>c</footer></body></html>"
+    assert pages.main_text(html).split("\n") == ["Title", LONG.strip(), LONG.strip()]
+
+
+@pytest.mark.parametrize(("part", "want"), [
+    (f"<section id=discussion><h2>Discussion</h2><p>{LONG}</p></section>", ["Discussion", LONG.strip()]),
+    ("<section id=discussion><h2>Discussion</h2><p>Short.</p></section>", ["Discussion", "Short."]),
+    ("<h2 id=side-effects>Side effects</h2>", ["Side effects"]),
+    ("<h2 class=search-form>Search forms</h2>", ["Search forms"]),
+    (f"<div class=notice><p>{LONG}</p></div>", [LONG.strip()]),
+    ("<section class=related><ul><li><a href=x>One</a><li><a href=x>Two</a></ul></section><div class=share>Share it</div>", []),
+    ("<div class=entry-header><h2>Part</h2><p>by someone</p></div>", ["Part"]),
+])
+def test_page_names_inside_an_article(part, want):
+    html = f"<html><body><article>{BODY}{part}<p>{LONG}</p></article>{AROUND.format('')}</body></html>"
+    assert pages.main_text(html).split("\n") == ["Title", LONG.strip(), LONG.strip(), *want, LONG.strip()]
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><title>T<body>", "<head><title>T</title></head><body>", "<head><noscript><p>no</p></noscript><body>"])
+def test_page_head_without_its_end(head):
+    assert pages.main_text(f"<html>{head}<p>One.</p>and more</body></html>") == "One.\nand more"
+    assert pages.main_text("<head><title>T</title>plain text") == "plain text"
+
+
 def test_page_rows(spark):
     odd = [None, "", "plain &lt; text", "<p>one", "<article></article>", "<div>" * 2000 + "deep", "<nav>only menu</nav>"]
     df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(odd)], "page_id long, url string, html string, text string")

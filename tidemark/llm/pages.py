@@ -4,8 +4,8 @@ The standard library's parser streams events; block tags cut the stream into lin
 line has a ratio of text to tags. The ratios are smoothed by a Gaussian over neighbouring
 lines, and a threshold between two clusters of them parts content from clutter. The
 article with most content, or else the smallest container with all content, is the region
-taken; inside it every line counts, however short, but for elements whose tag, role or class
-names say what they are. Text around a region that is no article stays unless it is links.
+taken; inside it every line counts, however short, but for elements whose tag or role, or
+whose class names and density, say what they are. Text around a region that is no article stays unless it is links.
 """
 
 from __future__ import annotations
@@ -37,18 +37,26 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: The only tags that a head holds; any other ends it.
+HEADS = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 
 
 class Lines(HTMLParser):
-    """Blocks of text with their number of tags, link characters, containers and clutter flag."""
+    """Blocks of text with their number of tags, link characters, containers, clutter flag and
+    the elements around them that have a name of clutter."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, int]] = []
+        self.stack: list[tuple[str, bool, bool, int, int]] = []
         self.silent = self.clutter = self.links = 0
         self.path: tuple[int, ...] = ()
         self.names = ["page"]
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, str]] = []
+        #: Elements with a name of clutter: tag, whether inside an article, a main or either, whether only a header.
+        self.flags: tuple[int, ...] = ()
+        self.flagged: list[tuple[str, bool, bool, bool]] = []
+        #: Of each container, the flags around it and whether it has such a name itself.
+        self.around: list[tuple[tuple[int, ...], bool]] = [((), False)]
+        self.lines: list[tuple[str, int, int, tuple[int, ...], bool, str, tuple[int, ...], bool]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
         self.block = ""
@@ -58,13 +66,13 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             heading = self.block in HEADINGS and self.articles
-            self.lines.append((text, max(1, self.tags), self.linked, self.path, self.clutter > 0 and not (heading and self.clutter == self.in_header), self.block))
+            self.lines.append((text, max(1, self.tags), self.linked, self.path, self.clutter > 0 and not (heading and self.clutter == self.in_header), self.block, self.flags, bool(heading)))
         self.text, self.tags, self.linked, self.block = [], 0, 0, ""
 
     @property
     def in_header(self) -> int:
         """Header elements among the clutter that is open."""
-        return sum(1 for tag, clutter, _, _ in self.stack if clutter and tag == "header")
+        return sum(1 for tag, clutter, *_ in self.stack if clutter and tag == "header")
 
     @staticmethod
     def is_clutter(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -73,16 +81,28 @@ class Lines(HTMLParser):
         if tag in {"html", "body", "article", "main"}:
             return False
         for key, value in attrs:
-            if key in {"class", "id"} and value and any(p.lower() in NAMES for p in PARTS.findall(value)):
-                return True
             if key == "role" and value and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
                 return True
             if key == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
 
+    @staticmethod
+    def names_in(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
+        """The words of class and id that name clutter; a heading's id is made of its own text."""
+        keys = {"class"} if tag in HEADINGS else {"class", "id"}
+        return {p.lower() for key, value in attrs if key in keys and value for p in PARTS.findall(value)} & NAMES
+
+    def end_head(self) -> None:
+        for k, entry in enumerate(self.stack):
+            if entry[0] == "head":
+                self.leave(k)
+                break
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if tag not in HEADS and self.stack and (tag == "body" or self.stack[-1][0] == "head" or self.stack[-1][0] == "title" and tag in BLOCKS):
+            self.end_head()
         if tag in BLOCKS:
             self.cut()
             # A new block ends an open paragraph, and a new item the one before it.
@@ -98,17 +118,22 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        clutter, silent, size = self.is_clutter(tag, attrs), tag in SILENT, len(self.path)
+        clutter, silent, size, flags = self.is_clutter(tag, attrs), tag in SILENT, len(self.path), len(self.flags)
+        found = self.names_in(tag, attrs)
+        if found and not clutter and tag not in {"html", "body", "article", "main"} and not (tag in HEADINGS and self.articles):
+            self.flags += (len(self.flagged),)
+            self.flagged.append((tag, any(e[0] == "article" for e in self.stack), self.articles > 0, found == {"header"}))
         if tag in CONTAINERS:
+            self.around.append((self.flags, bool(found)))
             self.path += (len(self.names),)
             self.names.append("article" if tag == "article" or tag == "main" or ("role", "main") in attrs or ("itemprop", "articleBody") in attrs else tag)
-        self.stack.append((tag, clutter, silent, size))
+        self.stack.append((tag, clutter, silent, size, flags))
         self.silent, self.clutter, self.links, self.articles = self.silent + silent, self.clutter + clutter, self.links + (tag == "a"), self.articles + (tag in {"article", "main"})
 
     def leave(self, k: int) -> None:
-        for tag, clutter, silent, size in reversed(self.stack[k:]):
+        for tag, clutter, silent, size, flags in reversed(self.stack[k:]):
             self.silent, self.clutter, self.links, self.articles = self.silent - silent, self.clutter - clutter, self.links - (tag == "a"), self.articles - (tag in {"article", "main"})
-            self.path = self.path[:size]
+            self.path, self.flags = self.path[:size], self.flags[:flags]
         del self.stack[k:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -132,6 +157,8 @@ class Lines(HTMLParser):
         self.cut()
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.end_head()
         if not self.silent:
             self.text.append(data)
             if self.links:
@@ -160,6 +187,44 @@ def threshold(values: np.ndarray) -> float:
     return border
 
 
+def named_clutter(parser: Lines, dense: np.ndarray, marks: np.ndarray) -> set[int]:
+    """The elements with a name of clutter that are clutter by density too.
+
+    None that holds most content or the page's article; of sections inside an article or a
+    main only those of links, of other elements inside an article only those without most of
+    their text dense. Elsewhere the name decides between short and long, as of comments.
+    """
+    total, free, holds, size, thick, links = 0, 0, {}, {}, {}, {}
+    articles: dict[int, tuple[int, int]] = {}
+    for (text, _, linked, path, clutter, _, flags, _), is_dense, is_content in zip(parser.lines, dense, marks, strict=True):
+        if clutter:
+            continue
+        weight = max(0, len(text) - linked) if is_content else 0
+        total, free = total + weight, free + (0 if flags else weight)
+        for f in flags:
+            holds[f], size[f] = holds.get(f, 0) + weight, size.get(f, 0) + len(text)
+            thick[f], links[f] = thick.get(f, 0) + (max(0, len(text) - linked) if is_dense else 0), links.get(f, 0) + linked
+        for c in path:
+            if parser.names[c] == "article":
+                w, n = articles.get(c, (0, 0))
+                articles[c] = (w + weight, n + len(text))
+    # An article that is named as a comment or a teaser itself stands for the page only if it outweighs what has no flag.
+    pages = {c: w for c, w in articles.items() if not parser.around[c][1] or w[0] >= free}
+    kept = set(parser.around[max(pages, key=lambda c: (*pages[c], -c))][0]) if pages else set()
+    out = set()
+    for f in size:
+        tag, in_article, in_region, _ = parser.flagged[f]
+        if f in kept or 2 * holds[f] > total:
+            continue
+        if tag == "section" and in_region:
+            clutter = 2 * links[f] > size[f]
+        else:
+            clutter = not in_article or 2 * thick[f] <= size[f]
+        if clutter:
+            out.add(f)
+    return out
+
+
 def unnamed_region(lines: list[tuple], content: list[bool], names: list[str]) -> list[tuple]:
     """The lines of a page that names no article.
 
@@ -189,10 +254,16 @@ def main_text(html: str) -> str:
     ratios = np.array([math.log1p(max(0, len(text) - linked) / tags) for text, tags, linked, *_ in parser.lines])
     smooth = smoothed(ratios)
     # A line is content by its neighbourhood, or by itself where that is thin.
-    marks = (smooth >= threshold(smooth)) | (ratios >= threshold(ratios))
-    lines, content = zip(*((x, bool(m)) for x, m in zip(parser.lines, marks, strict=True) if not x[4]), strict=True)
+    dense = ratios >= threshold(ratios)
+    marks = (smooth >= threshold(smooth)) | dense
+    out = named_clutter(parser, dense, marks)
+    # An article's headline counts in its header, whether that is a tag or a name.
+    left = [(x, bool(m)) for x, m in zip(parser.lines, marks, strict=True) if not x[4] and not any(f in out and not (x[7] and parser.flagged[f][3]) for f in x[6])]
+    if not left:
+        return ""
+    lines, content = zip(*left, strict=True)
     weight: dict[int, int] = {}
-    for (text, _, linked, path, _, _), is_content in zip(lines, content, strict=True):
+    for (text, _, linked, path, *_), is_content in zip(lines, content, strict=True):
         for c in path:
             weight[c] = weight.get(c, 0) + (max(0, len(text) - linked) if is_content else 0)
     named = {c: w for c, w in weight.items() if parser.names[c] == "article"}
