@@ -70,3 +70,18 @@ def test_languages(spark):
     assert (got["d", 900], got["d", 901], got["p", 900], got["p", 901]) == ("bb", "aa", "bb", "aa")
     assert languages.identify_languages(docs.limit(0), pages).where("lang is null").count() == 33
     assert languages.identify_languages(docs, pages.limit(0)).count() == 84
+
+
+def test_many_and_rare_languages(spark):
+    rng = random.Random(5)
+    names = [a + b for a in "abcdefghijkl" for b in "pqrstu"][:70]
+    words = {name: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(4)] for name in names}
+    langs = names[:1] * 200 + [name for name in names[1:] for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang, None) for i, lang in enumerate(langs)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    found, table = languages.learn(docs, "lang", 5, 0, 3, "text", "doc_id")
+    assert sorted(found) == sorted(names) and (table.max(0) > table.min(0)).all()
+    few = docs.where(docs.lang.isin(names[:3]))
+    got = {r.doc_id: r.lang for r in languages.identify_languages(few, pages, sample=3).collect()}
+    assert got == {i: lang for i, lang in enumerate(langs) if lang in names[:3]}

@@ -1,7 +1,7 @@
 """Language of pages and documents by fusing evidence.
 
 A text's likelihoods come from hashed character n-grams of its words, learned from a bounded
-sample of documents with a known language. They are fused with the language that a page
+sample of documents of each known language. They are fused with the language that a page
 declares, with the suffix of its address and with a prior of its host. How far a declared
 language or a suffix can be believed, and the priors, are counts of expected languages by
 grouped aggregation over all rows. A host's prior is smoothed towards its domain's, that
@@ -16,20 +16,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.lineage import kept
 from tidemark.llm.pages import main_text
 from tidemark.llm.training import fold
 
-#: Most documents learned from, most languages told apart, n-gram sizes and hash buckets.
-SAMPLE, LANGUAGES, GRAMS, BUCKETS = 4_000, 64, (1, 2, 3), 1 << 14
+#: Most documents learned from in each language, n-gram sizes and hash buckets.
+SAMPLE, GRAMS, BUCKETS = 1_000, (1, 2, 3), 1 << 14
+#: Rows of sampled ids that may be broadcast. Beyond, the same join shuffles.
+FEW = 2_000_000
 #: n-grams overlap, so a text counts for a part of their sum, and for no more than so many of them.
 TEMPER, MOST = 0.2, 2_000.0
 #: Pseudo-counts of the smoothed tables, host towards domain, domain towards all.
 DECLARED_PRIOR, SUFFIX_PRIOR, HOST_PRIOR, DOMAIN_PRIOR = 1.0, 5.0, 4.0, 8.0
-CACHE_WORDS = 200_000
+#: Words kept by a task, and numbers of theirs: fewer words where there are more languages.
+CACHE_WORDS, CACHE_NUMBERS = 200_000, 12_800_000
 WORD = re.compile(r"[^\W\d_]+")
 DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
 META = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
@@ -66,7 +69,7 @@ class Likelihoods:
         words = WORD.findall(text.lower())
         if not words:
             return np.zeros(self.table.shape[1])
-        if self.n > CACHE_WORDS:
+        if self.n > min(CACHE_WORDS, CACHE_NUMBERS // len(self.table[0])):
             self.reset()
         found = list(map(self.at.get, words))
         if None in found:
@@ -77,11 +80,17 @@ class Likelihoods:
 
 
 def learn(docs: DataFrame, lang_col: str, folds: int, held: int, sample: int, text_col: str, id_col: str) -> tuple[list[str], np.ndarray]:
-    """The languages and each bucket's log-probability in them, from a bounded sample."""
-    known = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col), folds) != held))
-    names = [r[0] for r in known.groupBy(F.lower(F.substring(lang_col, 1, 3)).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ids = known.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = known.select(F.col(id_col).alias("id"), F.lower(F.substring(lang_col, 1, 3)).alias("lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id")
+    """Every language that occurs and each bucket's log-probability in it.
+
+    Learned from ``sample`` texts of each language in order of a hash of the id, so a rare
+    language has as many as there are.
+    """
+    known = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(F.col(id_col).alias("id"), F.lower(F.substring(lang_col, 1, 3)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    # A ranked limit below the shuffle, as long as the sample is within Spark's bound for it.
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    ids = known.select("id", "lang").where(F.col("id").isNotNull()).distinct().withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+    rows = known.join(F.broadcast(ids) if len(names) * sample <= FEW else ids, ["id", "lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -93,12 +102,11 @@ def learn(docs: DataFrame, lang_col: str, folds: int, held: int, sample: int, te
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
-    # At most LANGUAGES times BUCKETS rows, whatever the sample.
+    # At most BUCKETS rows a language, whatever the sample.
     found = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts, place = np.full((BUCKETS, len(names)), 0.5), {name: i for i, name in enumerate(names)}
     for lang, bucket, n in zip(*(found[c].to_pylist() for c in ("lang", "bucket", "n")), strict=True):
-        if lang in place:
-            counts[bucket, place[lang]] += n
+        counts[bucket, place[lang]] += n
     return names, np.log(counts / counts.sum(0, keepdims=True))
 
 
