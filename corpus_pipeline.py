@@ -26,8 +26,12 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.drop_poor(docs, _labels(spark, sf_dir))
 
 
+#: The stage's own shingles and similarity; those of op5's contract bind only its query.
+WORDS, PERCENT = 5, 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, WORDS, PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tidemark.llm import components, jaccard, neardup_vectors, topk
 
 
@@ -61,6 +62,20 @@ def test_jaccard(spark, seed):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in want if want[i] == i) and kept.columns == df.columns
 
 
+def test_near_copies_of_the_pipeline(spark):
+    rng = random.Random(7)
+    texts = copies(rng)
+    for n in (40, 100, 160):
+        words = [f"w{rng.randint(0, 9999)}" for _ in range(n)]
+        texts += [" ".join(words + [f"m{rng.randint(0, 9999)}" for _ in range(n * more // 100)]) for more in (0, 22, 35)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [text_set(t, 5) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = union(pairs, range(len(sets)))
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
+    assert got == {i for i in want if want[i] == i} and len(texts) - 8 not in got
+
+
 def test_jaccard_of_repeated_and_empty_tables(spark):
     kind = "doc_id long, text string"
     assert jaccard.jaccard_components(spark.createDataFrame([], kind)).count() == 0
