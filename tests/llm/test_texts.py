@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -205,6 +206,66 @@ def test_page_names_inside_an_article(part, want):
     assert pages.main_text(html).split("\n") == ["Title", LONG.strip(), LONG.strip(), *want, LONG.strip()]
 
 
+@pytest.mark.parametrize(("part", "want"), [
+    ('<span class="share">Share this</span>', []),
+    ('<span class="advert">Buy now</span>', []),
+    ("<button>Subscribe</button>", []),
+    ("<label>Email</label>", []),
+    ("<form><p>Your name</p><input></form>", []),
+    ('<p class="tags-note">A note on tags.</p>', ["A note on tags."]),
+    ('<div class="side-by-side">Two things.</div>', ["Two things."]),
+    ('<p>Hello <span class="share-buttons">Share</span>world <button>Go</button><b class=tag>t</b> end.</p>', ["Hello world t end."]),
+    ('<p>One <span class="header">part</span></p>', ["One"]),
+])
+def test_page_clutter_inside_lines(part, want):
+    html = f"<html><body><article>{BODY}{part}<p>{LONG}</p></article>{AROUND.format('')}</body></html>"
+    assert pages.main_text(html).split("\n") == ["Title", LONG.strip(), LONG.strip(), *want, LONG.strip()]
+
+
+def test_page_of_several_articles():
+    one = lambda title: f"<article><h2>{title}</h2><p>{LONG}</p></article>"
+    html = f"<html><body>{LINKS}{one('A')}{one('B')}<article class=teaser><a href=x>More of it</a></article><article class=comment><p>{LONG}</p></article></body></html>"
+    assert pages.main_text(html).split("\n") == ["A", LONG.strip(), "B", LONG.strip()]
+    assert pages.main_text(f"<main>{one('A')}<p>Between.</p>{one('B')}</main>").split("\n") == ["A", LONG.strip(), "Between.", "B", LONG.strip()]
+
+
+def test_page_inside_one_form():
+    assert pages.main_text(f"<html><body><form action=x><div>{BODY}</div><button>Go</button></form></body></html>").split("\n") == ["Title", LONG.strip(), LONG.strip()]
+
+
+@pytest.mark.parametrize("html", ["<div>" * 20_000 + "x", "<div><p>" * 20_000 + "x", "<b>" * 20_000 + "x" + "</i>" * 20_000, "<i><div>" + "<b>x" * 20_000 + "</i>" * 20_000, f"<article><p>{LONG}</p></article>" * 2_000, "<form>" * 5_000 + LONG + "</form>" * 5_000])
+def test_page_cost_is_linear(html):
+    began = time.process_time()
+    assert pages.main_text(html)
+    assert time.process_time() - began < 4
+
+
+def test_page_drawn_at_random():
+    """Pages drawn from parts that are known to be text or not, in every kind of region."""
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    clutter = [lambda: f"<div class=ad>{words(6)}</div>", lambda: f"<nav><ul><li><a href=x>{words(1)}</a><li><a href=x>{words(2)}</a></ul></nav>", lambda: f"<div id=cookie-notice>{words(12)} <button>OK</button></div>", lambda: f"<aside><p>{words(20)}</p></aside>", lambda: f"<script>{words(9)}</script>", lambda: f"<div class='social-share'><a href=x>{words(1)}</a></div>"]
+    for _ in range(60):
+        region, want = rng.choice(["article", "main", "div id=content", "section"]), []
+        parts = [f"<h1>{words(4)}</h1>"]
+        want.append(parts[0][4:-5])
+        for _ in range(rng.randint(3, 7)):
+            text = words(rng.randint(45, 90))
+            want.append(text)
+            parts.append(f"<p>{text}</p>")
+            if rng.random() < 0.4:
+                parts.append(rng.choice(clutter)())
+            if rng.random() < 0.3:
+                items = [words(3), words(2)]
+                want += items
+                parts.append("<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>")
+        text = words(60)
+        body = f"<{region}>{''.join(parts)}<p>{text}</p></{region.split()[0]}>"
+        around = "".join(rng.choice(clutter)() for _ in range(3))
+        html = f"<html><head><title>{words(3)}</title></head><body><header><p>{words(3)}</p></header>{around}{body}<section id=comments><p>{words(30)}</p></section><footer>{words(8)}</footer></body></html>"
+        assert pages.main_text(html).split("\n") == [*want, text]
+
+
 @pytest.mark.parametrize("head", ["<head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title>", "<head><title>T<body>", "<head><title>T</title></head><body>", "<head><noscript><p>no</p></noscript><body>"])
 def test_page_head_without_its_end(head):
     assert pages.main_text(f"<html>{head}<p>One.</p>and more</body></html>") == "One.\nand more"
@@ -214,6 +275,8 @@ def test_page_head_without_its_end(head):
 def test_page_rows(spark):
     odd = [None, "", "plain &lt; text", "<p>one", "<article></article>", "<div>" * 2000 + "deep", "<nav>only menu</nav>"]
     df = spark.createDataFrame([(i, None, h, "x") for i, h in enumerate(odd)], "page_id long, url string, html string, text string")
+    twice = spark.createDataFrame([(7, "u", "<p>a b</p>", "x", 1, "y")] * 2, "page_id long, url string, html string, text string, n_chars int, id string")
+    assert [tuple(r) for r in pages.extract_main_text(twice).collect()] == [(7, "u", "a b", 3)] * 2
     got = {r.page_id: (r.text, r.n_chars) for r in pages.extract_main_text(df).collect()}
     assert got == {0: ("", 0), 1: ("", 0), 2: ("plain < text", 12), 3: ("one", 3), 4: ("", 0), 5: ("deep", 4), 6: ("", 0)}
     assert pages.extract_main_text(df.limit(0)).count() == 0
