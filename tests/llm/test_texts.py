@@ -93,6 +93,16 @@ def test_least_encoded_runs():
     assert secrets.scan("x " + b"token=abcdefg".hex() + " internationalisation/of/counterrevolutionaries y")[1] == []
 
 
+def test_deep_and_blank_structures():
+    deep = b"\x02\x01\x05" * 6
+    for _ in range(60):
+        deep = b"\x30" + (bytes([len(deep)]) if len(deep) < 128 else b"\x82" + len(deep).to_bytes(2, "big")) + deep
+    signed = base64.urlsafe_b64encode(b' {"alg":"none"}').decode().rstrip("=") + ".e30.c2ln"
+    for text, kind in [(base64.b64encode(deep).decode(), "key"), (deep.hex(), "key"), (signed, "signed"), ("eyJhbGciOiJ4In0.e30.", "signed"), (b"password=hunter2hunter".hex().upper(), "nested")]:
+        assert f"{kind}:2:{2 + len(text)}" in secrets.written(secrets.scan(f"x {text} y")[1]).split(",")
+    assert not secrets.nested_lengths(deep + b"\x05\x00") and not secrets.nested_lengths(deep[:-1])
+
+
 def test_secret_rows_and_masks(spark):
     texts = [*ODD, 'x token = "abcdefgh12" y', "clean"]
     got = {r.doc_id: r for r in secrets.scan_secrets(docs(spark, texts)).collect()}

@@ -27,8 +27,8 @@ from tidemark.llm.training import fold
 SAMPLE, GRAMS, BUCKETS = 1_000, (1, 2, 3), 1 << 14
 #: Rows of sampled ids that may be broadcast. Beyond, the same join shuffles.
 FEW = 2_000_000
-#: n-grams overlap, so a text counts for a part of their sum, and for no more than so many of them.
-TEMPER, MOST = 0.2, 2_000.0
+#: n-grams overlap, so a text counts for a part of their sum.
+TEMPER = 0.2
 #: Pseudo-counts of the smoothed tables, host towards domain, domain towards all.
 DECLARED_PRIOR, SUFFIX_PRIOR, HOST_PRIOR, DOMAIN_PRIOR = 1.0, 5.0, 4.0, 8.0
 #: Words kept by a task, and numbers of theirs: fewer words where there are more languages.
@@ -75,8 +75,7 @@ class Likelihoods:
         if None in found:
             found = [self.at.get(w, -1) for w in words]
             found = [i if i >= 0 else self.at[w] if w in self.at else self.row(w) for i, w in zip(found, words, strict=True)]
-        total = self.rows[np.asarray(found)].sum(0)
-        return TEMPER * total * min(1.0, MOST / len(words))
+        return TEMPER * self.rows[np.asarray(found)].sum(0)
 
 
 def learn(docs: DataFrame, lang_col: str, folds: int, held: int, sample: int, text_col: str, id_col: str) -> tuple[list[str], np.ndarray]:

@@ -50,28 +50,39 @@ def base_spans(text: str, long_run: bool = True) -> list[Span]:
     return sorted(found)
 
 
-def nested_lengths(data: bytes, depth: int = 0) -> bool:
-    """Whether the bytes are one SEQUENCE whose parts fill it, down to its leaves."""
-    at, parts, stop = 0, 0, len(data)
-    if depth > 16:
+#: Tags of the parts that key encodings are made of; those with 0x20 hold other parts.
+TAGS = frozenset({0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x30, 0x31, 0xA0, 0xA1})
+#: The least bytes of a key encoding.
+LEAST_KEY = 16
+
+
+def nested_lengths(data: bytes) -> bool:
+    """Whether the bytes are one SEQUENCE whose parts fill it, down to its leaves, however deep."""
+    at, ends = 0, [len(data)]
+    if len(data) < LEAST_KEY or data[0] != 0x30:
         return False
-    while at < stop:
+    while at < len(data):
+        stop = ends[-1]
         if at + 2 > stop:
             return False
         tag, size, at = data[at], data[at + 1], at + 2
-        if depth == 0 and (tag != 0x30 or parts):
-            return False
         if size & 0x80:
             n = size & 0x7F
             if not 1 <= n <= 4 or at + n > stop:
                 return False
             size, at = int.from_bytes(data[at : at + n], "big"), at + n
-        if tag not in {0x01, 0x02, 0x03, 0x04, 0x05, 0x06, 0x0C, 0x13, 0x30, 0x31, 0xA0, 0xA1} or at + size > stop or tag == 0x02 and not size:
+        if tag not in TAGS or at + size > stop or size == 0 and (tag == 0x02 or tag & 0x20):
             return False
-        if tag & 0x20 and not nested_lengths(data[at : at + size], depth + 1):
+        if tag & 0x20:
+            ends.append(at + size)
+        else:
+            at += size
+        while len(ends) > 1 and at == ends[-1]:
+            ends.pop()
+        # The outermost part is the only one of its level.
+        if len(ends) == 1 and at < len(data):
             return False
-        at, parts = at + size, parts + 1
-    return parts >= 1 and (depth > 0 or len(data) >= 16)
+    return len(ends) == 1
 
 
 def from_base64(run: str) -> bytes | None:
@@ -107,7 +118,7 @@ def confirmed_spans(text: str) -> list[Span]:
     """(start, kind, end) of candidates whose structure has been decoded."""
     found = []
     for m in SIGNED.finditer(text):
-        if m[1].startswith("e") and signed_header(m[1]):
+        if signed_header(m[1]):
             found.append((m.start(), 4, m.end()))
     for m in ANY_HEX.finditer(text):
         if (kind := meaning(bytes.fromhex(m[0]))) is not None:
@@ -177,20 +188,29 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns, every reported span replaced; clean texts stay as they are."""
-
-    @F.pandas_udf("string")
-    def mask_text(texts):
-        return texts.map(lambda t: masked(t, spans, mask) if t and (spans := scan(t)[1]) else t)
-
-    new = next(name for i in range(len(docs.columns) + 1) if (name := f"masked_{i}") not in docs.columns)
-    out = docs.withColumn(new, mask_text(F.col(text_col).cast("string")))
-    columns = {text_col: F.col(new)}
-    if length_col in docs.columns:
-        # A text that was not changed keeps the length it came with.
-        length = F.char_length(new).cast(docs.schema[length_col].dataType)
-        columns[length_col] = F.when(F.col(new).eqNullSafe(F.col(text_col)), F.col(length_col)).otherwise(length)
-    return out.withColumns(columns).select(*docs.columns)
+    """The same rows and columns, every reported span replaced; clean texts stay as they are.
+
+    Null and empty texts have no spans, repeated rows stay repeated and other columns pass
+    untouched, whatever their names. A masked text gets its new length in ``length_col`` if
+    there is such a column; a text that was not changed keeps the length it came with.
+    """
+    at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            changed = {i: masked(t, spans, mask) for i, t in enumerate(texts) if t and (spans := scan(t)[1])}
+            if changed:
+                columns = list(batch.columns)
+                columns[at] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], batch.schema.field(at).type)
+                if length_at is not None:
+                    lengths = batch.column(length_at).to_pylist()
+                    columns[length_at] = pa.array([len(changed[i]) if i in changed else n for i, n in enumerate(lengths)], batch.schema.field(length_at).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
