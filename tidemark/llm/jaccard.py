@@ -35,6 +35,8 @@ WORDS, PERCENT = 4, 85
 BUCKETS, SLICES, PARITIES = 1 << 20, 64, 16
 #: Rows of ids that may be broadcast: 16 MB. Beyond, the same join shuffles.
 FEW = 2_000_000
+#: Texts of one shingle and band of lengths that one task joins with others.
+CHUNK = 2_000
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -181,21 +183,33 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "set"])
+            sets = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
+            starts = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["id", "set"])
 
-    sets = _semi(texts, ids, "left_semi").mapInArrow(encode, "id long, set binary")
+    sets = _semi(texts, ids, "left_semi").mapInArrow(encode, "id long, set array<long>")
     whole = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+    # Sets meet inside the engine: only ids leave the join.
+    links = (100 + percent) * F.size(F.array_intersect("set_a", "set_b")).cast("long") >= percent * (F.size("set_a").cast("long") + F.size("set_b").cast("long"))
+    return kept(whole.where(links).select("a", "b").distinct())
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    return kept(whole.select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long").distinct())
+def _meeting(apart: DataFrame, every: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """Each two rows (columns of ``apart`` as struct a, of ``every`` as struct b) of one token whose lengths may link.
+
+    Lengths fall in bands as wide as linked lengths can differ, so partners lie in the same or
+    the next band. The rows of a token and band are dealt in chunks by a hash of the id, and
+    each row of ``apart`` goes to all chunks: no shingle, however common, is left to one task.
+    """
+    width = float(np.log(100 / percent)) * (1 + 1e-9) if percent < 100 else 1.0
+    placed = every.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    large = kept(placed.groupBy("token", "band").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")).where("chunks > 1"))
+    large = F.broadcast(large) if large.count() <= FEW else large
+    right = placed.join(large, ["token", "band"], "left").select("token", "band", F.coalesce(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), F.lit(0)).alias("part"), F.struct(*every.columns).alias("b"))
+    band = F.floor(F.log("n") / width).cast("int")
+    left = apart.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).join(large, ["token", "band"], "left")
+    left = left.select("token", "band", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("part"), F.struct(*apart.columns).alias("a"))
+    return left.join(right, ["token", "band", "part"])
 
 
 def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -233,7 +247,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     lists = placed.where("component <> middle").select("token").distinct()
     every = written(placed.join(lists, "token", "left_semi").join(nodes.select("id", "parities"), "id"))
     apart = every.where("component <> middle")
-    second = apart.alias("a").join(every.alias("b"), "token").where(
+    second = _meeting(apart, every, percent).where(
         (F.col("a.component") != F.col("b.component")) & ((F.col("b.component") == F.col("b.middle")) | (F.col("a.id") < F.col("b.id"))) & _may_link("a", "b", percent) & _differ_little("a", "b", percent)
     )
     ordered = F.col("a.id") < F.col("b.id")

@@ -100,7 +100,9 @@ def word_ids(name: str, raw: bytes) -> WordIds:
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): full windows of each text, then its rest in pieces.
 
-    A null or empty text is its end id alone.
+    A null or empty text is its end id alone; a very long one is cut in as many windows as it
+    fills. Repeated rows give repeated pieces and an empty table none. Only id and text are
+    read, so other columns may have any name.
     """
     with open(path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -187,9 +189,10 @@ def split_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, id_col: str = "doc_id") -> DataFrame:
     """Add sequence_id and offset to the rows of ``cut_pieces``.
 
-    A full piece is a window of its own and keeps a number made from its row alone. The
-    rests are dealt by a hash of the whole row, so a document that occurs twice or a hot
-    key spreads over all groups; the number of groups follows the tokens to be packed.
+    A full piece is a window of its own. The pieces are written first, so each has a number
+    that stays the same if a task is run again. The rests are dealt by a hash of the row and
+    that number, so repeated rows of one document and a hot key spread over all groups; the
+    number of groups follows the tokens to be packed. An empty table gives no rows.
     """
     pieces = kept(pieces)
     rests = pieces.where(F.col("length") < capacity)
@@ -206,8 +209,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP
     kind = pieces.schema["id"].dataType.simpleString()
     columns = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     dealt = rests.withColumn("copy", F.monotonically_increasing_id())
-    # The copy number only parts equal rows; the group must not depend on how rows were read.
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("id", "start", "length", "ids_crc32"), F.lit(groups)))
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("id", "start", "length", "ids_crc32", "copy"), F.lit(groups)))
     packed = dealt.groupBy("group").applyInPandas(deal, f"{columns}, copy long, group long, window long, offset long")
     full = pieces.where(F.col("length") >= capacity).withColumns({"window": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rows = full.withColumn("sequence_id", F.col("window") * 2 + 1).unionByName(
