@@ -8,7 +8,7 @@ import pytest
 
 from tidemark.operators import ledger as L
 
-PARTS = "id long, created_at timestamp, item_code string, money double, quantity double, side string, kind string, account string"
+PARTS = "id long, created_at timestamp, item_code string, money double, quantity double, side string, kind string, account string, transaction_type string, category string, actor string, gross double, net double, fee_known boolean"
 
 
 def queue(rows):
@@ -46,14 +46,51 @@ def test_fifo_equals_a_queue(spark):
             quantity = rng.choice([1.0, 2.0, 3.0, 5.0, 5.0, 0.0, None]) if rng.random() < 0.4 else float(rng.randint(1, 6))
             own.append((rid, start + timedelta(hours=rng.randint(0, 9)), float(rng.randint(1, 50)), quantity, rng.choice(["buy", "sell"])))
         want |= queue(own)
-        rows += [(r[0], r[1], "x", r[2], r[3], r[4], "user", f"u{a}") for r in own]
-    got = L.fifo(spark.createDataFrame(rows, PARTS)).groupBy("sale_id").sum("matched", "profit").collect()
+        rows += [(r[0], r[1], "x", r[2], r[3], r[4], "user", f"u{a}", "trading", "x", None, r[2], None if r[0] % 7 == 0 else r[2] - 0.5, True) for r in own]
+    matches = L.fifo(spark.createDataFrame(rows, PARTS))
+    assert matches.where("not (net_profit <=> null) and (sale_id % 7 = 0 or lot_id % 7 = 0)").count() == 0 and matches.where("abs(gross_profit - profit) > 1e-9").count() == 0
+    got = matches.groupBy("sale_id").sum("matched", "profit").collect()
     assert {r.sale_id for r in got} == set(want)
     for r in got:
         assert r["sum(matched)"] == pytest.approx(want[r.sale_id][0])
         assert r["sum(profit)"] == pytest.approx(want[r.sale_id][1], abs=1e-6)
 
 
+def test_fifo_of_one_large_account(spark):
+    """A single account's long history: matches stay as many as trades, where all overlaps would be millions."""
+    rng, start = random.Random(9), datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=i), "x", 2.0, float(rng.randint(1, 9)), rng.choice(["buy", "sell"]), "user", "one", "trading", "x", None, 2.0, 2.0, True) for i in range(20_000)]
+    want = queue([(r[0], r[1], r[3], r[4], r[5]) for r in rows])
+    got = {r.sale_id: r.matched for r in L.fifo(spark.createDataFrame(rows, PARTS)).groupBy("sale_id").agg({"matched": "sum"}).withColumnRenamed("sum(matched)", "matched").collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k][0]) < 1e-6 for k in got)
+
+
+def test_realized_and_boards(spark):
+    t = [datetime(2024, 1, 1, k) for k in range(6)]
+
+    def row(i, at, side, account, money, quantity, net=True, kind="user"):
+        return (i, t[at], "x", money, quantity, side, kind, account, "trading", "x", account, money, money if net else None, net)
+
+    rows = [row(1, 0, "buy", "a", 10.0, 2.0), row(2, 1, "sell", "a", 16.0, 2.0), row(3, 0, "buy", "b", 10.0, 1.0), row(4, 1, "sell", "b", 8.0, 2.0), row(5, 0, "buy", "c", 5.0, 1.0, False), row(6, 1, "sell", "c", 9.0, 1.0, False), row(7, 3, "sell", "p", 9.0, 1.0, kind="party"), row(8, 4, "buy", "z", 0.0, 1.0)]
+    parts = spark.createDataFrame(rows, PARTS)
+    accounts = L.on_basis(L.account_ledger(parts))
+    out = L.realized(parts, L.fifo(parts), accounts)
+    assert {r.account: (r.net_profit, r.costing_status, r.uncosted_quantity, r.unknown_fee_quantity) for r in out.collect() if r.account in "abc"} == {"a": (6.0, "matched_sales", 0.0, 0.0), "b": (-6.0, "partial", 1.0, 1.0), "c": (None, "unavailable", 0.0, 1.0)}
+    assert {(r.board, r.kind, r.rank, r.account) for r in L.boards(out).collect()} == {("losses", "user", 1, "b"), ("profits", "user", 1, "a"), ("volume", "user", 1, "a"), ("volume", "user", 2, "b"), ("volume", "user", 3, "c")}
+    assert {r.board for r in L.boards(L.without_costing(accounts)).collect()} == {"volume"}
+    cats = L.category_ledger(parts, L.money_basis(L.account_ledger(parts)))
+    details = L.detail_prefix(cats)
+    assert {r.account: (r.status, r.selected) for r in L.detail_status(accounts, details).collect()} == {"a": ("complete", 1), "b": ("complete", 1), "c": ("complete", 1), "p": ("complete", 1), "z": ("zero-total", 0)}
+
+
+def test_top_categories_and_the_rest(spark):
+    rows = [(i, datetime(2024, 1, 1), f"i{i}", float(v), 1.0, "buy", "user", "a", "trading", f"i{i}", "a", None, None, False) for i, v in enumerate([50, 20, 20, 6, 4])]
+    parts = spark.createDataFrame(rows, PARTS)
+    ranked = L.side_categories(L.category_ledger(parts), L.on_basis(L.account_ledger(parts)))
+    got = {(r.place, r.category): (r.money, r.trades, round(r.share, 6)) for r in L.top_categories(ranked).collect()}
+    assert got == {(1, "i0"): (50.0, 1, 0.5), (2, "i1"): (20.0, 1, 0.2), (3, "i2"): (20.0, 1, 0.2), (4, "other"): (10.0, 2, 0.1)}
+
+
 def test_accounts(spark):
     cols = [f"{s}_{k}_id" for s in ("buy", "sell") for k in L.KINDS]
     cases = [("u1", None, None, None), ("u1", "m1", None, None), ("u1", "m1", "c1", None), (None, None, None, None), (" u1", None, None, None), ("u1", None, None, "p1")]
@@ -75,6 +112,6 @@ def test_equipment_needs_a_verified_purchase_before(spark):
 
 def test_unknown_money_keeps_all_details(spark):
     rows = [("user", "a", f"i{k}", float(v) if v else None, 0.0) for k, v in enumerate([80, 15, 5])] + [("user", "b", "i0", None, 0.0), ("user", "b", "i1", 1.0, 0.0)]
-    df = spark.createDataFrame(rows, "kind string, account string, item_code string, buy_value double, sell_value double")
-    got = sorted((r.account, r.item_code, r.status) for r in L.detail_prefix(df).collect())
+    df = spark.createDataFrame(rows, "kind string, account string, category string, buy_value double, sell_value double").selectExpr("*", "0 as buy_missing_money", "0 as sell_missing_money")
+    got = sorted((r.account, r.category, r.status) for r in L.detail_prefix(df).collect())
     assert got == [("a", "i0", "complete"), ("b", "i0", "partial"), ("b", "i1", "partial")]

@@ -52,13 +52,9 @@ def test_streams_are_covered_only_together(spark):
     assert {(r.stream, r.retained, r.normalized) for r in N.sync_status(progress, trades).collect()} == {("a", 2, 1), ("b", 0, 0)}
 
 
-def test_basis_and_status(spark):
+def test_basis(spark):
     some = spark.createDataFrame([(1.0, 1.0), (1.0, None)], "gross_buy double, gross_sell double")
     assert L.money_basis(some).first().basis == "source" and L.money_basis(some.na.drop()).first().basis == "gross" and L.money_basis(some.limit(0)).first().basis == "source"
-    parts = spark.createDataFrame([("u", "a", "sell", 2.0), ("u", "b", "sell", 2.0), ("u", "c", "sell", 1.0)], "kind string, account string, side string, quantity double")
-    matches = spark.createDataFrame([("u", "a", 2.0), ("u", "b", 1.0)], "kind string, account string, matched double")
-    assert {r.account: r.status for r in L.matching_status(parts, matches).collect()} == {"a": "matched_sales", "b": "partial", "c": "unavailable"}
-    assert {r.status for r in L.matching_status(parts, None).collect()} == {"not_calculated"}
 
 
 def test_external_candles(spark):

@@ -22,12 +22,14 @@ class ReportContext:
     end: datetime | None
     mode: str
 
+    def bounds(self, days: float) -> tuple[Column, Column]:
+        """The start and the exclusive end of a window; null if there is nothing to report on."""
+        start = None if self.analysis is None else self.analysis - timedelta(days=days)
+        return F.lit(start).cast("timestamp"), F.lit(self.end).cast("timestamp")
+
     def window(self, ts: Column | str, days: float) -> Column:
         """Rows in [analysis - days, end)."""
-        if self.analysis is None:
-            return F.lit(False)
-        start = self.analysis - timedelta(days=days)
-        return in_window(ts, F.lit(start).cast("timestamp"), F.lit(self.end).cast("timestamp"))
+        return F.lit(False) if self.analysis is None else in_window(ts, *self.bounds(days))
 
 
 def data_clock(*facts: tuple[DataFrame, str]) -> DataFrame:

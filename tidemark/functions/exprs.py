@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Tolerance of comparisons, index coverage and the neutral bands.
@@ -129,13 +129,19 @@ def equipment_category(code: Column | str, item: Column | str, stats: Column | s
 
 def settlement(money: Column | str, verified: Column | str, role: Column | str, fee: Column | str, side: str) -> Column:
     """Struct (gross, net) by verified evidence only; an amount below zero is unknown."""
-    m, f, sign = number(money), number(fee), 1 if side == "buy" else -1
     known = lambda x: F.when(x >= 0, x)
+    m, f, sign = known(number(money)), known(number(fee)), 1 if side == "buy" else -1
     gross = F.when(col(role) == "gross", m).when(col(role) == "settled", known(m - sign * f))
     net = F.when(col(role) == "settled", m).when(col(role) == "gross", known(m + sign * f))
     return F.struct(F.when(col(verified), gross).alias("gross"), F.when(col(verified), net).alias("net"))
 
 
+def fee_known(verified: Column | str, role: Column | str, fee: Column | str) -> Column:
+    """Whether fees are known: in a settled amount they are included, beside a gross one they must be given."""
+    f = number(fee)
+    return F.coalesce(col(verified) & ((col(role) == "settled") | ((col(role) == "gross") & (f >= 0))), F.lit(False))
+
+
 def production_points(code: Column | str, table: dict[str, float]) -> Column:
     """Points of an item by its code in lower-case letters and digits."""
     key = F.regexp_replace(F.lower(col(code)), "[^a-z0-9]", "")
@@ -230,8 +236,39 @@ def spreadsheet_safe(c: Column | str) -> Column:
     return F.when(col(c).rlike(r"^[\t\r\n]|^\s*[=+\-@]"), F.concat(F.lit("'"), col(c))).otherwise(col(c))
 
 
-def display_name(code: Column | str) -> Column:
-    return F.initcap(F.regexp_replace(col(code), "(?<!^)(?=[A-Z])", " "))
+def display_name(code: Column | str, known: list[str] | None = None) -> Column:
+    """A code in camel case, dashes or underlines as title words; of ``known`` codes only, if given."""
+    words = F.initcap(F.translate(F.regexp_replace(col(code), "(?<!^)(?=[A-Z])", " "), "_-", "  "))
+    return words if known is None else F.when(col(code).isin(known), words).otherwise(col(code))
+
+
+def commodity(transaction_type: Column | str = "transaction_type") -> Column:
+    return col(transaction_type) == "trading"
+
+
+def quote_gap_pct(last: Column | str, quote: Column | str) -> Column:
+    return F.when(col(last) != 0, (col(quote) - col(last)) / col(last) * 100)
+
+
+def complete_midnight(ts: Column | str) -> Column:
+    """The last UTC midnight that is not after a time."""
+    return F.date_trunc("DAY", col(ts))
+
+
+#: Rules that SQL texts may use too, by name: parameters and body.
+SQL_FUNCTIONS = {
+    "positive_finite": ("x DOUBLE", "DOUBLE", "CASE WHEN x > 0 AND x < double('infinity') AND NOT isnan(x) THEN x END"),
+    "close_to": ("a DOUBLE, b DOUBLE", "BOOLEAN", f"abs(a - b) <= greatest({TOLERANCE} * greatest(abs(a), abs(b)), {TOLERANCE})"),
+    "price_gap_pct": ("price DOUBLE, fair DOUBLE", "DOUBLE", "CASE WHEN price > 0 AND fair > 0 THEN (price / fair - 1) * 100 END"),
+    "inflation_class": ("change DOUBLE", "STRING", f"CASE WHEN change IS NULL OR isnan(change) THEN 'Insufficient data' WHEN change > {NEUTRAL_BAND} THEN 'Inflation' WHEN change < -{NEUTRAL_BAND} THEN 'Deflation' ELSE 'Stable' END"),
+}
+
+
+def register(spark: SparkSession, prefix: str = "market_") -> list[str]:
+    """Make the rules callable from SQL texts of this session; they are inlined, so nothing leaves the engine."""
+    for name, (parameters, returns, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {prefix}{name}({parameters}) RETURNS {returns} RETURN {body}")
+    return [prefix + name for name in SQL_FUNCTIONS]
 
 
 def latest_by(columns: list[str], order: list[str]) -> Column:

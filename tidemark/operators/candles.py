@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.stats import usable
+from tidemark.operators.stats import commodities, usable
 
 GATE_CANDLES, GATE_DAYS, SMA_LEAST = 12, 3, 6
 
@@ -13,7 +13,7 @@ GATE_CANDLES, GATE_DAYS, SMA_LEAST = 12, 3, 6
 def candles(trades: DataFrame, interval: str = "4 hours") -> DataFrame:
     """OHLCV of populated, epoch-aligned buckets; open and close by (time, id)."""
     order = F.struct("created_at", "id")
-    return trades.where(usable()).groupBy("item_code", F.window("created_at", interval).alias("w")).agg(
+    return commodities(trades).where(usable()).groupBy("item_code", F.window("created_at", interval).alias("w")).agg(
         F.min_by("unit_price", order).alias("open"), F.max("unit_price").alias("high"), F.min("unit_price").alias("low"),
         F.max_by("unit_price", order).alias("close"), F.sum("quantity").alias("volume"),
     ).select("item_code", F.col("w.start").alias("candle_at"), "open", "high", "low", "close", "volume")
@@ -23,7 +23,7 @@ def chart_candles(trades: DataFrame, interval: str = "1 day", price: str = "unit
     """Candles for charts: any readable price counts, missing volume is 1 and negative volume 0."""
     volume = F.greatest(F.coalesce(F.col("quantity"), F.lit(1.0)), F.lit(0.0))
     order = F.struct("created_at", "id")
-    return trades.where(F.col(price).isNotNull()).groupBy("item_code", F.window("created_at", interval).alias("w")).agg(
+    return commodities(trades).where(F.col(price).isNotNull()).groupBy("item_code", F.window("created_at", interval).alias("w")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"),
     ).select("item_code", F.col("w.start").alias("candle_at"), "open", "high", "low", "close", "volume")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators.books import summaries, sweep
+from tidemark.operators.stats import commodities
 
 WINDOW_US, HOUR_US = 7 * 86_400_000_000, 3_600_000_000
 
@@ -41,7 +42,7 @@ def features(trades: DataFrame, books: DataFrame, chunk_days: int = 2) -> DataFr
     """
     chunk = chunk_days * 24 * HOUR_US
     us = F.unix_micros("created_at")
-    spread = trades.where("unit_price is not null").select(
+    spread = commodities(trades).where("unit_price is not null").select(
         "item_code", us.alias("us"), "id", F.col("unit_price").alias("price"), F.col("quantity").cast("double").alias("quantity"),
         F.explode(F.sequence(F.floor(us / chunk), F.floor((us + WINDOW_US) / chunk))).alias("chunk"),
     )

@@ -118,6 +118,7 @@ def short_term(rows: DataFrame, a: Assumptions = Assumptions()) -> DataFrame:
     entry, leave = fresh & F.col("executable_ask").isNotNull(), fresh & F.col("executable_bid").isNotNull()
     return rows.withColumns({
         "quote_fresh": fresh, "entry_executable": entry, "exit_executable": leave, "short_term_rank": F.when(entry, 0).when(leave, 1).otherwise(2),
+        "short_term_entry_action": F.lit("Wait to buy"), "short_term_setup_status": F.lit("Short-term setup unconfirmed"),
         "short_term_holder_action": F.when(leave & (F.col("holder_action") == "SELL"), "Sell now").otherwise("Hold / reassess"),
         "reference_return_pct": F.when(entry, F.col("net_to_fair_pct")),
     })
@@ -169,18 +170,24 @@ def report_order(rows: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(order))
 
 
-def item_signals(stats: DataFrame, quotes: DataFrame, books: DataFrame, fills: DataFrame, forecast: DataFrame) -> DataFrame:
-    """The wide row of each item: seven-day measures, latest quote and book, fills and forecast.
+def by_attractiveness(rows: DataFrame) -> DataFrame:
+    """One row an item, numbered by attractiveness; those without one come last."""
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("attractiveness"), "item_code")))
 
-    Every input has one row an item, so the joins stay as small as the number of items.
+
+def item_signals(stats: DataFrame, books: DataFrame, fills: DataFrame, forecast: DataFrame, points: DataFrame | None = None) -> DataFrame:
+    """The wide row of every item: seven-day measures, last trade and quote, book, fills and forecast.
+
+    Every item of ``stats`` has a row, whether it traded lately or not. Every input has one
+    row an item, so the joins stay as small as the number of items.
     """
     week = stats.where("horizon = '7D'").select(
-        "item_code", F.col("trade_count").alias("trades_7d"), F.col("min").alias("low_7d"), F.col("max").alias("high_7d"), F.col("open").alias("open_7d"), F.col("close").alias("close_7d"), F.col("vwap").alias("vwap_7d"), F.col("median").alias("median_7d"),
-        F.col("average").alias("average_7d"), F.col("price_p10").alias("price_p10_7d"), F.col("price_p25").alias("price_p25_7d"), F.col("price_p90").alias("price_p90_7d"), F.col("stable_fair_price").alias("stable_fair_price_7d"), F.array_join("tendency_labels", ",").alias("tendency_7d"),
+        "item_code", "last_trade_price", "quote_price", "quote_gap_pct", "latest_spread", "latest_spread_pct", "depth_imbalance_pct", "liquidity", F.col("trade_count").alias("trades_7d"), F.col("min").alias("low_7d"), F.col("max").alias("high_7d"),
+        F.col("open").alias("open_7d"), F.col("close").alias("close_7d"), F.col("vwap").alias("vwap_7d"), F.col("median").alias("median_7d"), F.col("average").alias("average_7d"), F.col("percent_change").alias("change_7d_pct"),
+        F.col("price_p10").alias("price_p10_7d"), F.col("price_p25").alias("price_p25_7d"), F.col("price_p90").alias("price_p90_7d"), F.col("stable_fair_price").alias("stable_fair_price_7d"), F.array_join("tendency_labels", ",").alias("tendency_7d"),
     )
-    day = stats.where("horizon = '1D'").select("item_code", F.col("trade_count").alias("trades_24h"))
-    month = stats.where("horizon = '30D'").select("item_code", F.col("close").alias("last_trade_price"))
-    out = month.join(week, "item_code", "left").join(day, "item_code", "left")
-    for part in (quotes, books, fills, forecast):
-        out = out.join(part, "item_code", "left")
+    day = stats.where("horizon = '1D'").select("item_code", F.col("trade_count").alias("trades_24h"), F.col("percent_change").alias("change_1d_pct"))
+    out = week.join(day, "item_code", "left")
+    for part in (books, fills, forecast, points):
+        out = out if part is None else out.join(part, "item_code", "left")
     return out.withColumns({"item_name": X.display_name("item_code"), "bid": F.col("best_bid"), "ask": F.col("best_ask")})

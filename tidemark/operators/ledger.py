@@ -1,13 +1,23 @@
-"""Participant ledgers: accounts, window totals, boards and first-in-first-out matching."""
+"""Participant ledgers: accounts, window totals, boards and first-in-first-out matching.
+
+Amounts are exact only as far as evidence goes. A source amount is what a trade records; a
+gross or net amount needs a verified settlement. Sums of source amounts count what is known
+beside a count of what is missing; a gross sum is null as soon as one amount is unknown.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import exprs as X
+
 KINDS = ("user", "mu", "country", "party")
-#: Share of a participant's turnover that its listed categories must reach.
-DETAIL_SHARE = 0.8
+#: Kinds of accounts that have boards.
+RANKED = ("user", "mu", "country")
+#: Share of a participant's turnover that its listed categories must reach, categories on top, and rows of a board.
+DETAIL_SHARE, TOP, BOARD = 0.8, 3, 10
+WINDOW_DAYS = 7
 
 
 def account(side: str) -> Column:
@@ -22,116 +32,255 @@ def account(side: str) -> Column:
     return F.struct(F.when(reason.isNull(), kind).alias("kind"), F.when(reason.isNull(), ident).alias("id"), reason.alias("reason"), refs["user"].alias("actor"))
 
 
+def category(columns: list[str]) -> Column:
+    """What a trade is about, as text: a commodity's code, or what equipment is alike by."""
+    if "equipment" not in columns:
+        return F.col("item_code")
+    e = F.col("equipment")
+    stats = F.when(e["stats"].isNull(), "?").otherwise(F.array_join(F.transform(F.array_sort(F.map_entries(e["stats"])), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ","))
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    gear = F.concat_ws("|", F.lit("equipment-v1"), F.coalesce(e["equipment_code"], F.col("item_code")), stats, blank(e["state"]), blank(e["max_state"]))
+    return F.when(F.col("transaction_type") == "itemMarket", gear).otherwise(F.col("item_code"))
+
+
+def known(c: Column | str) -> Column:
+    """A finite amount that is not below zero, or null."""
+    x = X.number(c)
+    return F.when(x >= 0, x)
+
+
 def attributed(trades: DataFrame) -> DataFrame:
-    """Trades with both accounts and whether they are the same one."""
-    rows = trades.withColumns({"buyer": account("buy"), "seller": account("sell")})
+    """Trades with both accounts, what they are about, and whether both accounts are the same one."""
+    rows = trades.withColumns({"buyer": account("buy"), "seller": account("sell"), **({"category": category(trades.columns)} if "item_code" in trades.columns else {})})
     same = F.col("buyer.id").isNotNull() & (F.col("buyer.kind") == F.col("seller.kind")) & (F.col("buyer.id") == F.col("seller.id"))
     return rows.withColumn("self_trade", F.coalesce(same, F.lit(False)))
 
 
+def of_entity(trades: DataFrame, kind: str, entity_id: str) -> DataFrame:
+    """The trades that name an entity on either side; a filter that reaches the scan."""
+    return trades.where((F.col(f"buy_{kind}_id") == entity_id) | (F.col(f"sell_{kind}_id") == entity_id))
+
+
 def sides(rows: DataFrame) -> DataFrame:
-    """Two rows a trade, one for each side with an account; self trades are left out."""
-    side = lambda name, who: F.struct(F.lit(name).alias("side"), F.col(f"{who}.kind").alias("kind"), F.col(f"{who}.id").alias("account"), F.col(f"{who}.actor").alias("actor"))
+    """Two rows a trade, one for each side with an account; self trades are left out.
+
+    Gross and net amounts come from the columns settlement_verified, settlement_role and
+    settlement_fee, if there are any.
+    """
+    verified = "settlement_verified" in rows.columns
+    money = known("money")
+
+    def side(name: str, who: str) -> Column:
+        paid = X.settlement(money, "settlement_verified", "settlement_role", "settlement_fee", name) if verified else F.lit(None).cast("struct<gross:double,net:double>")
+        fee = X.fee_known("settlement_verified", "settlement_role", "settlement_fee") if verified else F.lit(False)
+        return F.struct(F.lit(name).alias("side"), F.col(f"{who}.kind").alias("kind"), F.col(f"{who}.id").alias("account"), F.col(f"{who}.actor").alias("actor"), paid["gross"].alias("gross"), paid["net"].alias("net"), fee.alias("fee_known"))
+
     both = rows.where("not self_trade").withColumn("s", F.explode(F.array(side("buy", "buyer"), side("sell", "seller"))))
-    return both.select("id", "created_at", "item_code", "money", "quantity", "s.*").where("account is not null")
+    return both.select("id", "created_at", "transaction_type", "item_code", "category", money.alias("money"), known("quantity").alias("quantity"), "s.*").where("account is not null")
 
 
 def attribution_totals(rows: DataFrame) -> DataFrame:
-    """Market totals, self trades and sides without an account by reason."""
-    market = rows.agg(F.lit("market").alias("what"), F.count("*").alias("n"), F.sum("money").alias("value"))
-    own = rows.where("self_trade").agg(F.lit("self_trade").alias("what"), F.count("*").alias("n"), F.sum("money").alias("value"))
-    lost = rows.select("money", F.explode(F.array("buyer", "seller")).alias("s")).where("s.reason is not null").groupBy(F.col("s.reason").alias("what")).agg(F.count("*").alias("n"), F.sum("money").alias("value"))
-    return market.unionByName(own).unionByName(lost)
+    """Market totals, self trades and sides without an account by reason, from one pass."""
+    some = F.array(
+        F.struct(F.lit("market").alias("what"), F.lit(True).alias("counts")), F.struct(F.lit("self_trade").alias("what"), F.col("self_trade").alias("counts")),
+        *(F.struct(F.col(f"{who}.reason").alias("what"), (F.col(f"{who}.reason").isNotNull() & ~F.col("self_trade")).alias("counts")) for who in ("buyer", "seller")),
+    )
+    marks = rows.select(known("money").alias("money"), F.explode(some).alias("x")).where("x.counts")
+    return marks.groupBy("x.what").agg(F.count("*").alias("n"), F.coalesce(F.sum("money"), F.lit(0.0)).alias("value"), F.count_if(F.col("money").isNull()).alias("missing_money"))
+
+
+def _of(side: str) -> Column:
+    return F.col("side") == side
 
 
-def _sum_known(c: Column, value: str) -> Column:
+def _total(side: str, value: str) -> Column:
+    """The sum of what is known."""
+    return F.coalesce(F.sum(F.when(_of(side), F.col(value))), F.lit(0.0))
+
+
+def _whole(side: str, value: str) -> Column:
     """A sum that is null as soon as one amount is unknown."""
-    return F.when(F.count_if(c & F.col(value).isNull()) == 0, F.coalesce(F.sum(F.when(c, F.col(value))), F.lit(0.0)))
+    return F.when(F.count_if(_of(side) & F.col(value).isNull()) == 0, _total(side, value))
 
 
-def category_ledger(parts: DataFrame) -> DataFrame:
-    """Buys and sells of each account and item, with average prices and what they compare to.
+def account_ledger(parts: DataFrame) -> DataFrame:
+    """Totals of each account: source and gross values, counts, actors and turnover."""
+    out = parts.groupBy("kind", "account").agg(
+        *(_total(s, "money").alias(f"source_{s}") for s in ("buy", "sell")), *(_whole(s, "gross").alias(f"gross_{s}") for s in ("buy", "sell")),
+        F.count_if(_of("buy")).alias("buys"), F.count_if(_of("sell")).alias("sells"), F.count_if(F.col("money").isNull()).alias("missing_money"),
+        F.count_if(~F.coalesce(F.col("quantity") > 0, F.lit(False))).alias("invalid_quantity"), F.count_distinct("actor").alias("actors"),
+    )
+    return out.withColumns({"source_turnover": F.col("source_buy") + F.col("source_sell"), "gross_turnover": F.col("gross_buy") + F.col("gross_sell")})
+
+
+def money_basis(accounts: DataFrame) -> DataFrame:
+    """One row: gross if every account has gross amounts on both sides, else source."""
+    whole = F.coalesce(F.min(F.col("gross_buy").isNotNull() & F.col("gross_sell").isNotNull()), F.lit(False))
+    return accounts.agg(F.when(whole, "gross").otherwise("source").alias("basis"))
+
+
+def on_basis(accounts: DataFrame) -> DataFrame:
+    """Accounts with their values and turnover on the one basis that the whole report has; it is a single row."""
+    rows = accounts.join(F.broadcast(money_basis(accounts)))
+    pick = lambda name: F.when(F.col("basis") == "gross", F.col(f"gross_{name}")).otherwise(F.col(f"source_{name}"))
+    return rows.withColumns({"buy_value": pick("buy"), "sell_value": pick("sell"), "turnover": pick("turnover")})
+
+
+def category_ledger(parts: DataFrame, basis: DataFrame | None = None) -> DataFrame:
+    """Buys and sells of each account and category, with average prices and what they compare to.
 
     The comparison values the quantity both bought and sold at the difference of average
-    prices; it is not a realized profit.
+    prices; it is not a realized profit. ``basis`` is the one row of ``money_basis``; without
+    it amounts are the source's.
     """
-    buy, sell = F.col("side") == "buy", F.col("side") == "sell"
-    out = parts.groupBy("kind", "account", "item_code").agg(
-        _sum_known(buy, "money").alias("buy_value"), _sum_known(sell, "money").alias("sell_value"), _sum_known(buy, "quantity").alias("buy_quantity"), _sum_known(sell, "quantity").alias("sell_quantity"),
-        F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
+    out = parts.groupBy("kind", "account", "category").agg(
+        F.min("item_code").alias("item_code"), F.min("transaction_type").alias("market_type"),
+        *(_total(s, "quantity").alias(f"{s}_quantity") for s in ("buy", "sell")), *(_total(s, "money").alias(f"{s}_source") for s in ("buy", "sell")), *(_whole(s, "gross").alias(f"{s}_gross") for s in ("buy", "sell")),
+        F.count_if(_of("buy")).alias("buys"), F.count_if(_of("sell")).alias("sells"),
+        *(F.count_if(_of(s) & F.col(v).isNull()).alias(f"{s}_missing_{v}") for s in ("buy", "sell") for v in ("money", "quantity")),
     )
-    average = lambda s: F.when(F.col(f"{s}_quantity") > 0, F.col(f"{s}_value") / F.col(f"{s}_quantity"))
-    out = out.withColumns({"average_buy": average("buy"), "average_sell": average("sell"), "matched_quantity": F.least("buy_quantity", "sell_quantity")})
+    if basis is None:
+        out = out.withColumns({f"{s}_value": F.col(f"{s}_source") for s in ("buy", "sell")})
+    else:
+        out = out.join(F.broadcast(basis)).withColumns({f"{s}_value": F.when(F.col("basis") == "gross", F.col(f"{s}_gross")).otherwise(F.col(f"{s}_source")) for s in ("buy", "sell")}).drop("basis")
+    average = lambda s: F.when((F.col(f"{s}_quantity") > 0) & (F.col(f"{s}_missing_money") == 0) & (F.col(f"{s}_missing_quantity") == 0), F.col(f"{s}_value") / F.col(f"{s}_quantity"))
+    measured = (F.col("buy_missing_quantity") == 0) & (F.col("sell_missing_quantity") == 0)
+    out = out.withColumns({"average_buy": average("buy"), "average_sell": average("sell"), "matched_quantity": F.when(measured, F.least("buy_quantity", "sell_quantity"))})
     return out.withColumns({
         "comparison": F.when(F.col("matched_quantity") > 0, F.col("matched_quantity") * (F.col("average_sell") - F.col("average_buy"))),
         "unmatched_buy": F.col("buy_quantity") - F.col("matched_quantity"), "unmatched_sell": F.col("sell_quantity") - F.col("matched_quantity"),
+        "net_quantity": F.when(measured, F.col("buy_quantity") - F.col("sell_quantity")),
     })
 
 
-def account_ledger(parts: DataFrame) -> DataFrame:
-    """Totals of each account: values, counts, actors and turnover."""
-    buy, sell = F.col("side") == "buy", F.col("side") == "sell"
-    return parts.groupBy("kind", "account").agg(
-        _sum_known(buy, "money").alias("buy_value"), _sum_known(sell, "money").alias("sell_value"), F.count_if(buy).alias("buys"), F.count_if(sell).alias("sells"),
-        F.count_if(F.col("money").isNull()).alias("missing_money"), F.count_if(~(F.col("quantity") > 0)).alias("invalid_quantity"), F.count_distinct("actor").alias("actors"),
-    ).withColumn("turnover", F.col("buy_value") + F.col("sell_value"))
-
-
-def boards(accounts: DataFrame, categories: DataFrame, top: int = 10) -> DataFrame:
-    """The first accounts of each kind by loss, profit and turnover; ties by turnover, then id."""
-    result = categories.groupBy("kind", "account").agg(F.sum("comparison").alias("result"))
-    rows = accounts.join(result, ["kind", "account"], "left")
-    tie = [F.desc("turnover"), F.asc("account")]
-    lists = {"losses": (F.col("result") < 0, [F.asc("result"), *tie]), "profits": (F.col("result") > 0, [F.desc("result"), *tie]), "volume": (F.lit(True), tie)}
-    out = None
-    for name, (some, order) in lists.items():
-        ranked = rows.where(some).withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("rank") <= top)
-        ranked = ranked.select(F.lit(name).alias("board"), "kind", "rank", "account", "result", "turnover")
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+def side_categories(categories: DataFrame, accounts: DataFrame) -> DataFrame:
+    """One row for each account, side and category that has trades, ranked by value, with its share of the side.
+
+    ``accounts`` are those of ``on_basis``. A share is unknown while an amount of the account is missing.
+    """
+    one = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_value").alias("money"), F.col(f"{s}_quantity").alias("quantity"), F.col(f"{s}s").alias("trades"), F.col(f"average_{s}").alias("average_price"))
+    rows = categories.select("kind", "account", "category", "item_code", "market_type", F.explode(F.array(one("buy"), one("sell"))).alias("s")).select("kind", "account", "category", "item_code", "market_type", "s.*").where("trades > 0")
+    total = accounts.select("kind", "account", "buy_value", "sell_value", "missing_money")
+    rows = rows.join(total, ["kind", "account"]).withColumn("total", F.when(F.col("side") == "buy", F.col("buy_value")).otherwise(F.col("sell_value")))
+    order = Window.partitionBy("kind", "account", "side").orderBy(F.desc("money"), "category")
+    return rows.withColumns({"rank": F.row_number().over(order), "share": F.when((F.col("total") > 0) & (F.col("missing_money") == 0), F.col("money") / F.col("total"))}).drop("buy_value", "sell_value", "missing_money", "total")
+
+
+def top_categories(ranked: DataFrame, top: int = TOP) -> DataFrame:
+    """The first categories of each account and side, and one row "other" for what is left."""
+    name = F.when(F.col("rank") <= top, F.col("category")).otherwise("other")
+    rows = ranked.withColumns({"name": name, "place": F.least("rank", F.lit(top + 1))})
+    return rows.groupBy("kind", "account", "side", "place", F.col("name").alias("category")).agg(F.sum("money").alias("money"), F.sum("trades").alias("trades"), F.sum("share").alias("share"))
+
+
+def boards(accounts: DataFrame, top: int = BOARD) -> DataFrame:
+    """The first accounts of each kind by realized loss, realized profit and turnover; ties by turnover, then id.
+
+    ``accounts`` have turnover and ``net_profit`` of matched sales, null where no sale has a
+    known cost. Parties have no boards, nor has an account without turnover one by volume.
+    """
+    net, none = F.col("net_profit"), F.lit(None).cast("double")
+    place = lambda name, holds, key: F.when(holds, F.struct(F.lit(name).alias("board"), key.alias("key")))
+    lists = F.array(place("losses", net < 0, net), place("profits", net > 0, -net), place("volume", F.col("turnover") > 0, none))
+    rows = accounts.where(F.col("kind").isin(*RANKED)).select("kind", "account", "net_profit", "turnover", F.explode(F.filter(lists, lambda x: x.isNotNull())).alias("b"))
+    order = Window.partitionBy("b.board", "kind").orderBy("b.key", F.desc("turnover"), "account")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("b.board", "kind", "rank", "account", "net_profit", "turnover")
 
 
 def detail_prefix(categories: DataFrame, share: float = DETAIL_SHARE) -> DataFrame:
-    """The fewest items, by turnover, that reach the share; all of them where money is unknown."""
-    rows = categories.withColumns({"turnover": F.coalesce("buy_value", F.lit(0.0)) + F.coalesce("sell_value", F.lit(0.0)), "unknown": F.col("buy_value").isNull() | F.col("sell_value").isNull()})
-    every, order = Window.partitionBy("kind", "account"), Window.partitionBy("kind", "account").orderBy(F.desc("turnover"), "item_code")
-    rows = rows.withColumns({"total": F.sum("turnover").over(every), "partial": F.max("unknown").over(every), "cum": F.sum("turnover").over(order), "position": F.row_number().over(order)})
+    """The fewest categories, by turnover, that reach the share; all of them where money is unknown."""
+    rows = categories.withColumn("turnover", F.coalesce("buy_value", F.lit(0.0)) + F.coalesce("sell_value", F.lit(0.0)))
+    rows = rows.withColumn("unknown", F.col("buy_value").isNull() | F.col("sell_value").isNull() | (F.col("buy_missing_money") + F.col("sell_missing_money") > 0))
+    every, order = Window.partitionBy("kind", "account"), Window.partitionBy("kind", "account").orderBy(F.desc("turnover"), "category")
+    rows = rows.withColumns({"total": F.sum("turnover").over(every), "partial": F.max("unknown").over(every), "cum": F.sum("turnover").over(order.rowsBetween(Window.unboundedPreceding, 0)), "position": F.row_number().over(order)})
     status = F.when(F.col("partial"), "partial").when(F.col("total") == 0, "zero-total").otherwise("complete")
     return rows.withColumn("status", status).where(F.col("partial") | ((F.col("total") > 0) & (F.col("cum") - F.col("turnover") < share * F.col("total"))))
 
 
+def detail_status(accounts: DataFrame, details: DataFrame) -> DataFrame:
+    """How each account's details cover it: partial, empty, zero-total or complete."""
+    chosen = details.groupBy("kind", "account").agg(F.count("*").alias("selected"), F.sum("turnover").alias("selected_turnover"), F.max("partial").alias("partial"))
+    out = accounts.join(chosen, ["kind", "account"], "left")
+    partial = F.coalesce("partial", F.lit(False)) | (F.col("missing_money") > 0) | F.col("turnover").isNull()
+    status = F.when(partial, "partial").when(F.col("buys") + F.col("sells") == 0, "empty").when(F.col("turnover") == 0, "zero-total").otherwise("complete")
+    return out.select("kind", "account", status.alias("status"), F.coalesce("selected", F.lit(0)).alias("selected"), F.when((status == "complete"), F.col("selected_turnover") / F.col("turnover")).alias("selected_share"))
+
+
 def fifo(parts: DataFrame) -> DataFrame:
-    """Sales matched with the oldest purchases of strictly earlier time, as overlaps of intervals.
+    """Sales of commodities matched with the oldest purchases of strictly earlier time.
 
     Sold and bought quantities are laid end to end; a sale owns the interval between what
-    was matched before and after it, a lot the interval of its quantity, and their overlap
-    is the matched quantity. A sale of unknown quantity clears what was held, a purchase of
-    unknown quantity bars later lots until then. Windows go by account and item; the join
-    is on account, item and segment.
+    was matched before and after it, a lot the interval of its quantity. The ends of both
+    are put in one order, where each piece between two ends has at most one sale and one
+    lot, those whose end comes next: so matches are as many as ends, whatever overlaps. A
+    sale of unknown quantity clears what was held, a purchase of unknown quantity bars later
+    lots until then. Everything goes by account, item and segment.
     """
     keys = ["kind", "account", "item_code"]
-    rows = parts.withColumns({"us": F.unix_micros("created_at"), "unit": F.try_divide("money", "quantity"), "unknown": ~F.coalesce(F.col("quantity") > 0, F.lit(False))})
+    rows = parts.where("transaction_type = 'trading'").withColumns({"us": F.unix_micros("created_at"), "unknown": ~F.coalesce(F.col("quantity") > 0, F.lit(False))})
     before = Window.partitionBy(*keys).orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("segment", F.coalesce(F.sum(((F.col("side") == "sell") & F.col("unknown")).cast("int")).over(before), F.lit(0)))
+    equal = F.count("*").over(Window.partitionBy(*keys, "us")) > 1
+    rows = rows.withColumns({"segment": F.coalesce(F.sum(((F.col("side") == "sell") & F.col("unknown")).cast("int")).over(before), F.lit(0)), "equal_time": equal})
     seg = [*keys, "segment"]
     order = Window.partitionBy(*seg).orderBy("us", "id")
-    barred = F.coalesce(F.sum(((F.col("side") == "buy") & F.col("unknown")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) > 0
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    barred = F.coalesce(F.sum(((F.col("side") == "buy") & F.col("unknown")).cast("int")).over(upto), F.lit(0)) > 0
     bought = F.when((F.col("side") == "buy") & ~F.col("unknown") & ~F.col("barred"), F.col("quantity")).otherwise(0.0)
     sold = F.when((F.col("side") == "sell") & ~F.col("unknown"), F.col("quantity")).otherwise(0.0)
     rows = rows.withColumn("barred", barred).withColumns({"bought": bought, "sold": sold})
     earlier = Window.partitionBy(*seg).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({"s": F.sum("sold").over(upto), "b": F.coalesce(F.sum("bought").over(earlier), F.lit(0.0)), "lot_high": F.sum("bought").over(upto)})
     short = F.when(F.col("sold") > 0, F.col("s") - F.col("b"))
-    rows = rows.withColumn("u", F.greatest(F.lit(0.0), F.coalesce(F.max(short).over(upto), F.lit(0.0))))
-    rows = rows.withColumn("m", F.col("s") - F.col("u"))
-    sales = rows.where("side = 'sell'")
-    sales = sales.withColumn("m_before", F.coalesce(F.lag("m").over(order), F.lit(0.0)))
-    sales = sales.select(*seg, F.col("id").alias("sale_id"), F.col("us").alias("sale_us"), F.col("quantity").alias("sale_quantity"), F.col("unit").alias("sale_unit"), F.col("m_before").alias("low"), F.col("m").alias("high"))
-    lots = rows.where("bought > 0").select(*seg, F.col("id").alias("lot_id"), F.col("unit").alias("lot_unit"), (F.col("lot_high") - F.col("bought")).alias("lot_low"), "lot_high")
-    met = sales.where("high > low").join(lots, seg).where("lot_low < high and low < lot_high")
-    taken = F.least("high", "lot_high") - F.greatest("low", "lot_low")
-    return met.withColumn("matched", taken).withColumn("profit", taken * (F.col("sale_unit") - F.col("lot_unit"))).where("matched > 1e-9").select(*keys, "sale_id", "lot_id", "matched", "profit")
+    rows = rows.withColumn("m", F.col("s") - F.greatest(F.lit(0.0), F.coalesce(F.max(short).over(upto), F.lit(0.0))))
+    # Nothing is matched twice, so what is matched after a sale grows or stays: a sale that leaves it owns no interval.
+    rows = rows.withColumn("m_before", F.coalesce(F.max(F.when(F.col("sold") > 0, F.col("m"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    sells, buys = (F.col("sold") > 0) & (F.col("m") > F.col("m_before") + 1e-9), F.col("bought") > 0
+    facts = F.struct("id", "us", "quantity", "money", "gross", "net", "fee_known", "equal_time")
+    nothing = F.lit(None).cast(rows.select(facts.alias("x")).schema["x"].dataType)
+    ends = rows.where(sells | buys).select(*seg, "us", "id", F.when(buys, F.col("lot_high")).otherwise(F.col("m")).alias("point"), F.when(sells, facts).otherwise(nothing).alias("sale"), F.when(buys, facts).otherwise(nothing).alias("lot"))
+    forward = Window.partitionBy(*seg).orderBy("point", "us", "id")
+    back = Window.partitionBy(*seg).orderBy(F.desc("point"), F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("low", F.coalesce(F.lag("point").over(forward), F.lit(0.0)))
+    ends = ends.withColumns({"sale": F.last("sale", ignorenulls=True).over(back), "lot": F.last("lot", ignorenulls=True).over(back)})
+    taken = F.col("point") - F.col("low")
+    part = lambda v: taken * (F.col(f"sale.{v}") / F.col("sale.quantity") - F.col(f"lot.{v}") / F.col("lot.quantity"))
+    met = ends.where(F.col("sale").isNotNull() & F.col("lot").isNotNull() & (taken > 1e-9))
+    return met.select(
+        *keys, F.col("sale.id").alias("sale_id"), F.timestamp_micros("sale.us").alias("sold_at"), F.col("lot.id").alias("lot_id"), taken.alias("matched"), part("money").alias("profit"), part("gross").alias("gross_profit"), part("net").alias("net_profit"),
+        F.col("sale.quantity").alias("sale_quantity"), F.col("sale.money").alias("sale_money"), F.col("sale.gross").alias("sale_gross"), (F.col("lot.gross").isNotNull() | F.col("lot.net").isNotNull()).alias("costed"),
+        (F.col("sale.fee_known") & F.col("lot.fee_known")).alias("fees_known"), F.col("lot.equal_time").alias("lot_equal_time"),
+    )
+
+
+def realized(parts: DataFrame, matches: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Each account of the window with what its sales realized and how far that is evidence.
+
+    ``parts`` and ``accounts`` are those of the window, ``matches`` those of ``fifo`` whose
+    sale lies in it. Profits are null where no sale has a known cost.
+    """
+    sales = parts.where("side = 'sell'")
+    sold = sales.groupBy("kind", "account").agg(F.sum(F.when(F.col("quantity") > 0, F.col("quantity"))).alias("sold"))
+    share = F.col("matched") / F.col("sale_quantity")
+    costed, net = F.col("costed"), F.col("net_profit").isNotNull()
+    found = matches.groupBy("kind", "account").agg(
+        F.sum("net_profit").alias("net_profit"), F.sum("gross_profit").alias("gross_profit"), F.sum(F.when(costed, F.col("matched"))).alias("matched_quantity"), F.sum(F.when(net, F.col("matched"))).alias("net_matched_quantity"),
+        F.sum(F.when(costed, F.coalesce("sale_money", F.lit(0.0)) * share)).alias("matched_source_value"), F.sum(F.when(F.col("fees_known"), F.col("matched"))).alias("fee_known_quantity"), F.max("lot_equal_time").alias("lot_equal_time"),
+    )
+    flags = equal_time(parts)
+    out = accounts.join(sold, ["kind", "account"], "left").join(found, ["kind", "account"], "left").join(flags, ["kind", "account"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    out = out.withColumns({c: zero(c) for c in ("sold", "matched_quantity", "net_matched_quantity", "matched_source_value", "fee_known_quantity")})
+    out = out.withColumns({
+        "uncosted_quantity": F.col("sold") - F.col("matched_quantity"), "unknown_fee_quantity": F.col("sold") - F.col("fee_known_quantity"), "equal_time": F.coalesce("equal_time", F.lit(False)) | F.coalesce("lot_equal_time", F.lit(False)),
+        "matched_source_coverage": F.when((F.col("source_sell") > 0) & (F.col("missing_money") == 0), F.col("matched_source_value") / F.col("source_sell")),
+    })
+    loose = (F.col("uncosted_quantity") > 1e-9) | (F.col("unknown_fee_quantity") > 1e-9) | (F.col("invalid_quantity") > 0) | (F.col("missing_money") > 0) | F.col("equal_time")
+    return out.withColumn("costing_status", F.when(F.col("net_profit").isNull(), "unavailable").when(loose, "partial").otherwise("matched_sales")).drop("lot_equal_time", "fee_known_quantity")
+
+
+def without_costing(accounts: DataFrame) -> DataFrame:
+    """Accounts of a window report, where sales are not matched at all."""
+    return accounts.withColumns({"net_profit": F.lit(None).cast("double"), "matched_quantity": F.lit(None).cast("double"), "costing_status": F.lit("not_calculated")})
 
 
 def equipment_lineage(parts: DataFrame) -> DataFrame:
@@ -145,8 +294,13 @@ def equipment_lineage(parts: DataFrame) -> DataFrame:
 
 def equal_time(parts: DataFrame) -> DataFrame:
     """Accounts whose order within an item rests on ids, as times are equal."""
-    w = Window.partitionBy("kind", "account", "item_code", "created_at")
-    return parts.withColumn("n", F.count("*").over(w)).groupBy("kind", "account").agg(F.max(F.col("n") > 1).alias("equal_time"))
+    same = parts.groupBy("kind", "account", "transaction_type", "item_code", "created_at").agg(F.count("*").alias("n"))
+    return same.groupBy("kind", "account").agg(F.max(F.col("n") > 1).alias("equal_time"))
+
+
+def out_of_order(trades: DataFrame) -> DataFrame:
+    """Trades whose id or whose place in time and id is not their own: no order of them would be total."""
+    return trades.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("created_at").alias("times")).where("n > 1")
 
 
 def active_history(trades: DataFrame, window: DataFrame) -> DataFrame:
@@ -157,18 +311,10 @@ def active_history(trades: DataFrame, window: DataFrame) -> DataFrame:
     return trades.join(ids, "id", "left_semi")
 
 
-def money_basis(accounts: DataFrame) -> DataFrame:
-    """One row: gross if every account has gross amounts on both sides, else source."""
-    whole = F.coalesce(F.min(F.col("gross_buy").isNotNull() & F.col("gross_sell").isNotNull()), F.lit(False))
-    return accounts.agg(F.when(whole, "gross").otherwise("source").alias("basis"))
-
-
-def matching_status(parts: DataFrame, matches: DataFrame | None) -> DataFrame:
-    """Sold quantity of each account, how much of it found a cost, and what that amounts to."""
-    sold = parts.where("side = 'sell'").groupBy("kind", "account").agg(F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("sold"))
-    if matches is None:
-        return sold.withColumns({"matched": F.lit(None).cast("double"), "coverage": F.lit(None).cast("double"), "status": F.lit("not_calculated")})
-    found = matches.groupBy("kind", "account").agg(F.sum("matched").alias("matched"))
-    out = sold.join(found, ["kind", "account"], "left").withColumn("matched", F.coalesce("matched", F.lit(0.0)))
-    out = out.withColumn("coverage", F.when(F.col("sold") > 0, F.col("matched") / F.col("sold")))
-    return out.withColumn("status", F.when(F.col("coverage").isNull() | (F.col("matched") == 0), "unavailable").when(F.col("coverage") >= 1 - 1e-9, "matched_sales").otherwise("partial"))
+def equipment_sales(trades: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Sales of equipment in a window, each with its own condition; nothing about costs or fees is claimed."""
+    rows = trades.where((F.col("transaction_type") == "itemMarket") & X.in_window("created_at", start, end))
+    return rows.withColumns({
+        "equipment_stats_status": F.when(F.col("equipment.stats").isNull(), "unknown").otherwise("observed"), "net_realized_pnl": F.lit(None).cast("double"),
+        "basis_status": F.lit("unverified_equipment_lineage"), "fee_status": F.lit("unverified"), "money_basis": F.lit("source-money"),
+    })

@@ -10,7 +10,7 @@ from tidemark.operators import books as B
 from tidemark.operators import forecast as P
 from tidemark.operators import guidance as G
 from tidemark.operators import stats as S
-from tidemark.plans.market import STATS, SUMMARY, r6, rounded
+from tidemark.plans.market import STATS_TAIL, SUMMARY, r6, rounded
 from tidemark.sources import tables as T
 
 QUERIES, SQL = {}, {}
@@ -28,15 +28,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-SIGNALS = SUMMARY + ", " + STATS.split("clock AS", 1)[1].join(["clock AS", ""]) + """,
-wk AS (SELECT item_code, trade_count AS trades_7d, min AS low_7d, max AS high_7d, open AS open_7d, close AS close_7d, vwap AS vwap_7d, median AS median_7d, average AS average_7d, price_p10 AS price_p10_7d, price_p25 AS price_p25_7d, price_p90 AS price_p90_7d, stable_fair_price AS stable_fair_price_7d, tendency AS tendency_7d FROM labelled WHERE horizon = '7D'),
-mo AS (SELECT item_code, close AS last_trade_price FROM labelled WHERE horizon = '30D'),
+SIGNALS = SUMMARY + ", " + STATS_TAIL + """,
+wk AS (SELECT item_code, last_trade_price, quote_price, quote_gap_pct, liquidity, trade_count AS trades_7d, min AS low_7d, max AS high_7d, open AS open_7d, close AS close_7d, vwap AS vwap_7d, median AS median_7d, average AS average_7d, price_p10 AS price_p10_7d, price_p25 AS price_p25_7d, price_p90 AS price_p90_7d, stable_fair_price AS stable_fair_price_7d, tendency_labels AS tendency_7d FROM labelled WHERE horizon = '7D'),
 lb AS (SELECT item_code, max(observed_at) AS observed_at FROM sums GROUP BY item_code),
 en AS (SELECT item_code, vwap AS entry_vwap, gross AS entry_gross, filled >= 1 * (1 - 1e-12) AS entry_full FROM sw JOIN lb USING (item_code, observed_at) WHERE side = 'ask'),
 ex AS (SELECT item_code, vwap AS exit_vwap, filled >= 1 * (1 - 1e-12) AS exit_full FROM sw JOIN lb USING (item_code, observed_at) WHERE side = 'bid'),
 sig AS (SELECT *, f[1] AS flip_p10, f[2] AS flip_median, f[3] AS flip_p90, CASE WHEN evaluable_samples < 30 THEN 'Insufficient' WHEN accuracy_pct <= baseline_pct THEN 'Weak' WHEN accuracy_pct - baseline_pct < 5 THEN 'Limited' ELSE 'Supported' END AS evidence,
   greatest(0, epoch_us((SELECT c FROM clock)) - epoch_us(observed_at)) / 60000000.0 AS quote_age_minutes
-  FROM mo LEFT JOIN wk USING (item_code) LEFT JOIN (SELECT s.* FROM sums s JOIN lb USING (item_code, observed_at)) USING (item_code) LEFT JOIN en USING (item_code) LEFT JOIN ex USING (item_code) LEFT JOIN fsum USING (item_code))"""
+  FROM wk LEFT JOIN (SELECT s.* FROM sums s JOIN lb USING (item_code, observed_at)) USING (item_code) LEFT JOIN en USING (item_code) LEFT JOIN ex USING (item_code) LEFT JOIN fsum USING (item_code))"""
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +50,8 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry, leave = pick("ask", {"vwap": "entry_vwap", "gross": "entry_gross", "fully_filled": "entry_full"}), pick("bid", {"vwap": "exit_vwap", "fully_filled": "exit_full"})
     seen = P.features(t, sums)
     forecast = P.forecast_summary(P.evaluations(t, levels, ASSUMED.quantity, seen=seen), P.current_signals(seen))
-    quotes = S.latest(T.quotes(spark, sf_dir), ["item_code"], ["observed_at", "id"]).select("item_code", F.col("current_price").alias("quote_price"))
-    return G.item_signals(S.window_stats(t, context), quotes, last.withColumn("quote_age_minutes", age), entry.join(leave, "item_code", "full"), forecast)
+    stats = S.window_stats(t, context, quotes=T.quotes(spark, sf_dir), books=sums)
+    return G.item_signals(stats, last.withColumn("quote_age_minutes", age), entry.join(leave, "item_code", "full"), forecast, T.points(spark, sf_dir))
 
 
 METRICS = ("mid_price", "spread", "spread_pct", "crossing_loss_pct", "range_pct", "momentum_7d_pct", "attractiveness", "fair_reference_7d", "fair_gap_7d_pct")
@@ -119,3 +118,18 @@ def flip_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = G.short_term(G.fair_value_guidance(_signals(spark, sf_dir), ASSUMED), ASSUMED)
     return r6(G.report_order(out).select("position", "item_code", "item_name"))
+
+
+SIGNAL_COLS = ("last_trade_price", "quote_price", "quote_gap_pct", "liquidity", "low_7d", "high_7d", "vwap_7d", "stable_fair_price_7d", "best_bid", "best_ask", "quote_age_minutes", "entry_vwap", "exit_vwap", "accuracy_pct", "baseline_pct")
+
+
+@query("item_signals", f"""WITH {SIGNALS}, {T.POINTS_SQL} SELECT item_code, upper(item_code[1]) || item_code[2:] AS item_name, trades_7d, {rounded(*SIGNAL_COLS)}, tendency_7d, current_signal, CASE WHEN current_signal IS NOT NULL THEN evidence END AS evidence, points FROM sig LEFT JOIN points USING (item_code)""")
+def item_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship table: every item's wide row."""
+    return r6(_signals(spark, sf_dir).select("item_code", "item_name", "trades_7d", *SIGNAL_COLS, "tendency_7d", "current_signal", "evidence", "points"))
+
+
+@query("market_scores", f"""WITH {SIGNALS}, m AS (SELECT item_code, best_bid, best_ask, mid_price, trades_7d, high_7d, low_7d, best_ask - best_bid AS raw FROM sig), n AS (SELECT item_code, CASE WHEN raw <= 0.001 THEN 0 ELSE raw - 0.001 END / mid_price * 100 AS sp, (high_7d - low_7d) / ((high_7d + low_7d) / 2) * 100 AS rp, trades_7d FROM m),
+o AS (SELECT item_code, CASE WHEN sp > 0 AND rp > 0 AND trades_7d > 0 THEN sp * trades_7d / rp END AS a FROM n) SELECT CAST(row_number() OVER (ORDER BY a DESC NULLS LAST, item_code) AS BIGINT) AS position, item_code, round(a, 6) + 0.0 AS attractiveness FROM o""")
+def market_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(G.by_attractiveness(G.market_metrics(_signals(spark, sf_dir))).select("position", "item_code", "attractiveness"))

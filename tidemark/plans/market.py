@@ -26,7 +26,7 @@ SUMS = LEVELS + """, sums AS (SELECT *, (best_bid + best_ask) / 2 AS mid_price,
     coalesce(sum(CASE WHEN side = 'bid' THEN quantity END), 0) AS bid_depth, coalesce(sum(CASE WHEN side = 'ask' THEN quantity END), 0) AS ask_depth,
     coalesce(sum(CASE WHEN side = 'bid' THEN price * quantity END), 0) AS bid_value, coalesce(sum(CASE WHEN side = 'ask' THEN price * quantity END), 0) AS ask_value
     FROM levels GROUP BY ALL))"""
-CLOCK = "clock AS (SELECT max(created_at) AS c FROM tape)"
+CLOCK = "clock AS (SELECT max(created_at) AS c FROM all_trades)"
 CANDLES = TAPE + """, bars AS (SELECT item_code, time_bucket(INTERVAL '4 hours', created_at, TIMESTAMP '1970-01-01') AS candle_at,
   arg_min(unit_price, (created_at, id)) AS open, max(unit_price) AS high, min(unit_price) AS low, arg_max(unit_price, (created_at, id)) AS close, sum(quantity) AS volume
   FROM tape WHERE unit_price > 0 AND unit_price < 1e308 AND quantity > 0 AND quantity < 1e308 GROUP BY ALL)"""
@@ -79,36 +79,59 @@ def daily_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(S.daily_facts(T.tape(spark, sf_dir)))
 
 
-STATS = f"""{TAPE}, {CLOCK}, h AS (SELECT * FROM (VALUES ('1D', 1), ('7D', 7), ('30D', 30)) v(horizon, days)),
+#: What follows the tape and the book summaries; every item has a row for every horizon.
+STATS_TAIL = f"""{CLOCK}, {QUOTES}, h AS (SELECT * FROM (VALUES ('1D', 1), ('7D', 7), ('30D', 30)) v(horizon, days)),
+item_list AS (SELECT item_code FROM tape UNION SELECT item_code FROM quotes UNION SELECT item_code FROM sums),
 rows_ AS (SELECT h.horizon, t.* FROM tape t, clock, h WHERE created_at >= c - to_days(CAST(days AS INTEGER)) AND created_at <= c),
 last5 AS (SELECT item_code, horizon, avg(unit_price) AS rolling_average FROM (SELECT *, row_number() OVER (PARTITION BY item_code, horizon ORDER BY created_at DESC, id DESC) AS rn FROM rows_ WHERE unit_price IS NOT NULL) WHERE rn <= 5 GROUP BY ALL),
-base AS (SELECT item_code, horizon, count(*) AS trade_count, count(unit_price) AS priced_trade_count,
-  count(DISTINCT CASE WHEN unit_price IS NOT NULL THEN date_trunc('second', created_at) END) AS distinct_trade_timestamp_count,
-  sum(quantity) AS volume, sum(money) AS traded_value, min(unit_price) AS min, max(unit_price) AS max, avg(unit_price) AS average,
+traded AS (SELECT item_code, horizon, count(*) AS n_all, count(unit_price) AS n_priced, count(DISTINCT CASE WHEN unit_price IS NOT NULL THEN date_trunc('second', created_at) END) AS n_times,
+  sum(quantity) AS q_all, sum(money) AS m_all, min(unit_price) AS min, max(unit_price) AS max, avg(unit_price) AS average,
   sum(CASE WHEN quantity > 0 THEN unit_price * quantity END) / sum(CASE WHEN quantity > 0 AND unit_price IS NOT NULL THEN quantity END) AS vwap,
   arg_min(unit_price, (created_at, id)) FILTER (WHERE unit_price IS NOT NULL) AS open, arg_max(unit_price, (created_at, id)) FILTER (WHERE unit_price IS NOT NULL) AS close,
-  quantile_cont(unit_price, 0.1) AS price_p10, quantile_cont(unit_price, 0.25) AS price_p25, quantile_cont(unit_price, 0.5) AS median, quantile_cont(unit_price, 0.9) AS price_p90
-  FROM rows_ GROUP BY item_code, horizon),
-stats AS (SELECT *, (close - open) AS change_abs, CASE WHEN priced_trade_count >= 2 AND distinct_trade_timestamp_count >= 2 AND open > 0 THEN (close - open) / open * 100 END AS percent_change,
+  quantile_cont(unit_price, 0.1) AS price_p10, quantile_cont(unit_price, 0.25) AS price_p25, quantile_cont(unit_price, 0.5) AS median, quantile_cont(unit_price, 0.9) AS price_p90 FROM rows_ GROUP BY item_code, horizon),
+lastp AS (SELECT item_code, arg_max(unit_price, (created_at, id)) AS last_trade_price FROM tape, clock WHERE unit_price IS NOT NULL AND created_at >= c - INTERVAL 90 DAYS GROUP BY item_code),
+lastq AS (SELECT item_code, arg_max(current_price, (observed_at, id)) AS quote_price FROM quotes GROUP BY item_code),
+lastb AS (SELECT * FROM sums QUALIFY row_number() OVER (PARTITION BY item_code ORDER BY observed_at DESC) = 1),
+spreads AS (SELECT item_code, horizon, avg(spread_abs) AS average_spread, avg(spread_pct) AS average_spread_pct FROM sums, clock, h WHERE observed_at >= c - to_days(CAST(days AS INTEGER)) AND observed_at <= c GROUP BY ALL),
+base AS (SELECT i.item_code, h.horizon, coalesce(n_all, 0) AS trade_count, coalesce(n_priced, 0) AS priced_trade_count, coalesce(n_times, 0) AS distinct_trade_timestamp_count, coalesce(q_all, 0) AS volume, coalesce(m_all, 0) AS traded_value,
+  min, max, average, vwap, open, close, price_p10, price_p25, median, price_p90, rolling_average, last_trade_price, quote_price, average_spread, average_spread_pct, best_bid AS latest_bid, best_ask AS latest_ask, bid_depth AS latest_bid_depth, ask_depth AS latest_ask_depth, b.spread_abs AS latest_spread, b.spread_pct AS latest_spread_pct,
+  (best_bid + best_ask) / 2 AS mid_price, CASE WHEN last_trade_price <> 0 THEN (quote_price - last_trade_price) / last_trade_price * 100 END AS quote_gap_pct, CASE WHEN coalesce(bid_depth, 0) + coalesce(ask_depth, 0) > 0 THEN (coalesce(bid_depth, 0) - coalesce(ask_depth, 0)) / (coalesce(bid_depth, 0) + coalesce(ask_depth, 0)) * 100 END AS depth_imbalance_pct,
+  CASE WHEN coalesce(bid_depth, 0) + coalesce(ask_depth, 0) > 0 THEN (coalesce(bid_depth, 0) + coalesce(ask_depth, 0)) / (1 + greatest(coalesce(b.spread_pct, 0), 0.5) / 100) ELSE 0 END AS liquidity
+  FROM item_list i CROSS JOIN h LEFT JOIN traded t ON t.item_code = i.item_code AND t.horizon = h.horizon LEFT JOIN last5 l ON l.item_code = i.item_code AND l.horizon = h.horizon LEFT JOIN spreads s ON s.item_code = i.item_code AND s.horizon = h.horizon
+  LEFT JOIN lastp p ON p.item_code = i.item_code LEFT JOIN lastq q ON q.item_code = i.item_code LEFT JOIN lastb b ON b.item_code = i.item_code),
+stats AS (SELECT *, volume AS traded_quantity, last_trade_price AS latest_price, last_trade_price AS current_price, (close - open) AS change_abs, CASE WHEN priced_trade_count >= 2 AND distinct_trade_timestamp_count >= 2 AND open > 0 THEN (close - open) / open * 100 END AS percent_change,
   close - rolling_average AS distance_from_rolling_average, CASE WHEN rolling_average > 0 THEN (close - rolling_average) / rolling_average * 100 END AS distance_from_rolling_average_pct,
   (coalesce(0.5 * vwap, 0) + coalesce(0.3 * median, 0) + coalesce(0.2 * rolling_average, 0)) / nullif(CASE WHEN vwap IS NULL THEN 0 ELSE 0.5 END + CASE WHEN median IS NULL THEN 0 ELSE 0.3 END + CASE WHEN rolling_average IS NULL THEN 0 ELSE 0.2 END, 0) AS stable_fair_price,
-  CASE WHEN median > 0 THEN (price_p90 - price_p10) / median * 100 END AS stable_range_pct FROM base LEFT JOIN last5 USING (item_code, horizon)),
-labelled AS (SELECT *, CASE WHEN len(found) > 0 THEN array_to_string(found, ',') ELSE 'Stable' END AS tendency FROM (SELECT *, list_filter([
+  CASE WHEN median > 0 THEN (price_p90 - price_p10) / median * 100 END AS stable_range_pct FROM base),
+labelled AS (SELECT *, CASE WHEN len(found) > 0 THEN array_to_string(found, ',') ELSE 'Stable' END AS tendency_labels, CASE WHEN len(found) > 0 THEN found[1] ELSE 'Stable' END AS tendency FROM (SELECT *, list_filter([
   CASE WHEN trade_count < 3 OR volume <= 0 THEN 'Thin' END, CASE WHEN (close - open) / open * 100 >= 2 AND close >= rolling_average THEN 'Rising' END,
   CASE WHEN (close - open) / open * 100 <= -2 AND close <= rolling_average THEN 'Falling' END, CASE WHEN stable_range_pct >= 12 THEN 'Volatile' END,
-  CASE WHEN stable_range_pct <= 3 THEN 'Range-bound' END, CASE WHEN stable_range_pct <= 3 AND trade_count >= 3 AND volume > 0 THEN 'Stable' END], lambda x: x IS NOT NULL) AS found FROM stats))"""
-MEASURES = ("volume", "traded_value", "min", "max", "average", "vwap", "open", "close", "price_p10", "price_p25", "median", "price_p90", "rolling_average", "change_abs", "percent_change", "distance_from_rolling_average", "distance_from_rolling_average_pct", "stable_fair_price", "stable_range_pct")
+  CASE WHEN stable_range_pct <= 3 THEN 'Range-bound' END, CASE WHEN stable_range_pct <= 3 AND trade_count >= 3 AND volume > 0 AND coalesce(latest_spread_pct <= 3, true) THEN 'Stable' END], lambda x: x IS NOT NULL) AS found FROM stats))"""
+STATS = f"{TAPE}, {SUMS}, {STATS_TAIL}"
+COUNTS = ("trade_count", "priced_trade_count", "distinct_trade_timestamp_count")
+MEASURES = (
+    "volume", "traded_quantity", "traded_value", "min", "max", "average", "vwap", "open", "close", "price_p10", "price_p25", "median", "price_p90", "rolling_average", "change_abs", "percent_change", "distance_from_rolling_average", "distance_from_rolling_average_pct", "stable_fair_price", "stable_range_pct",
+    "last_trade_price", "latest_price", "current_price", "quote_price", "mid_price", "quote_gap_pct", "latest_bid", "latest_ask", "latest_bid_depth", "latest_ask_depth", "latest_spread", "latest_spread_pct", "depth_imbalance_pct", "average_spread", "average_spread_pct", "liquidity",
+)
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.tape(spark, sf_dir)
-    return S.window_stats(t, C.resolve(None, (t, "created_at")))
+    return S.window_stats(t, C.resolve(None, (t, "created_at")), quotes=T.quotes(spark, sf_dir), books=B.summaries(B.merged_levels(T.book_levels(spark, sf_dir))))
 
 
-@query("window_stats", f"WITH {STATS} SELECT item_code, horizon, trade_count, priced_trade_count, distinct_trade_timestamp_count, {rounded(*MEASURES)}, tendency FROM labelled")
+@query("window_stats", f"WITH {STATS} SELECT item_code, horizon, {', '.join(COUNTS)}, {rounded(*MEASURES)}, tendency, tendency_labels FROM labelled")
 def window_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _stats(spark, sf_dir).withColumn("tendency", F.array_join("tendency_labels", ","))
-    return r6(out.select("item_code", "horizon", "trade_count", "priced_trade_count", "distinct_trade_timestamp_count", *MEASURES, "tendency"))
+    out = _stats(spark, sf_dir).withColumn("tendency_labels", F.array_join("tendency_labels", ","))
+    return r6(out.select("item_code", "horizon", *COUNTS, *MEASURES, "tendency", "tendency_labels"))
+
+
+@query("window_stats_long", f"""WITH {TAPE}, {CLOCK}, h AS (SELECT * FROM (VALUES ('3D', 3), ('90D', 90), ('1Y', 365)) v(horizon, days)), i AS (SELECT DISTINCT item_code FROM tape),
+r AS (SELECT item_code, horizon, count(*) AS n, sum(money) AS v FROM tape, clock, h WHERE created_at >= c - to_days(CAST(days AS INTEGER)) GROUP BY ALL)
+SELECT item_code, horizon, coalesce(n, 0) AS trade_count, round(coalesce(v, 0), 6) AS traded_value FROM i CROSS JOIN h LEFT JOIN r USING (item_code, horizon)""")
+def window_stats_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.tape(spark, sf_dir)
+    return r6(S.window_stats(t, C.resolve(None, (t, "created_at")), S.horizons(3, "90d", "1Y")).select("item_code", "horizon", "trade_count", "traded_value"))
 
 
 FLAT = ("vwap", "median", "percent_change", "trade_count")
