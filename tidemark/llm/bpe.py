@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.wordcache import Recent
+from tidemark.llm.wordcache import Recent, held, tidy
 
 LEAF_CHARS = 1 << 14
 LEAF_BYTES = 24
@@ -33,7 +33,6 @@ CACHE_PIECES = 300_000
 #: White space as Unicode lists it, spelt out as libraries differ on the control characters.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NEVER = 1 << 60
-_STATE: dict[str, ByteBpe] = {}
 #: Texts below this character are split by the standard library, which is twice as fast.
 NEAR = 0x250
 
@@ -234,9 +233,7 @@ def load_vocabulary(path: str) -> bytes:
 
 def encoder(name: str, raw: bytes, pattern: str) -> ByteBpe:
     """One encoder for each vocabulary and Python worker, so that its cache lives on."""
-    if name not in _STATE:
-        _STATE[name] = ByteBpe(read_ranks(raw), pattern)
-    return _STATE[name]
+    return held(name, lambda: ByteBpe(read_ranks(raw), pattern))
 
 
 def encode_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -251,7 +248,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.binary())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(tidy(run, path), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -274,7 +271,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        tidy(run, path), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
     return made.withColumnRenamed("id", id_col)
 

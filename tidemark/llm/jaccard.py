@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.lineage import kept, written
+from tidemark.llm.wordcache import tidy
 
 WORDS, PERCENT = 4, 85
 #: Buckets of shingle counts, the slices they are summed in, and 64-bit words of a set's short parities.
@@ -80,6 +81,7 @@ def _profiles(texts: DataFrame, width: int) -> DataFrame:
     The wide parities have a bit for each shingle at least, the short ones are for joins.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int32)
         names = ["id", "n", "print", "parities", "wide", "slice", "counts"]
@@ -128,6 +130,7 @@ def _prefixes(texts: DataFrame, table: np.ndarray, width: int, percent: int) ->
     """(token, id, n, at) for the rarest shingles of each text."""
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
@@ -168,6 +171,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"wide_{side}")), side)
 
+    @tidy
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stays = []
@@ -181,6 +185,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, pe
     pairs = kept(pairs.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(bound, "a long, b long"))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id")))
 
+    @tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]

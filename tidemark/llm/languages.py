@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.lineage import kept
 from tidemark.llm.pages import main_text
 from tidemark.llm.training import fold
+from tidemark.llm.wordcache import tidy
 
 #: Most documents learned from in each language, n-gram sizes and hash buckets.
 SAMPLE, GRAMS, BUCKETS = 1_000, (1, 2, 3), 1 << 14
@@ -91,6 +92,7 @@ def learn(docs: DataFrame, lang_col: str, folds: int, held: int, sample: int, te
     ids = known.select("id", "lang").where(F.col("id").isNotNull()).distinct().withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
     rows = known.join(F.broadcast(ids) if len(names) * sample <= FEW else ids, ["id", "lang"])
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -113,6 +115,7 @@ def evidence(rows: DataFrame, table: np.ndarray) -> DataFrame:
     """(kind, id, host, domain, suffix, declared, likelihoods) of rows (kind, id, url, content, host)."""
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Likelihoods(shared.value)
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.lineage import kept
-from tidemark.llm.wordcache import Recent
+from tidemark.llm.wordcache import Recent, held, tidy
 
 CAPACITY = 4096
 #: Windows of one group: enough pieces for near-equal windows, few enough for one task.
@@ -35,7 +35,6 @@ WORD_END = "</w>"
 #: Texts without characters whose form or length the tokenizer's normalizer changes, and their runs.
 PLAIN = re.compile(r"[\n !-~\xa1-\xac\xae-\xff]*")
 RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\n a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
-_STATE: dict[str, object] = {}
 
 
 class WordIds:
@@ -91,12 +90,6 @@ class WordIds:
                 start = stop
 
 
-def word_ids(name: str, raw: bytes) -> WordIds:
-    if name not in _STATE:
-        _STATE[name] = WordIds(raw)
-    return _STATE[name]
-
-
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int = PIECE, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): full windows of each text, then its rest in pieces.
 
@@ -109,7 +102,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path, raw.value)
+        words = held(path, lambda: WordIds(raw.value))
         for batch in batches:
             row, start, length, crc, total = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -128,7 +121,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+        tidy(run, path), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     )
 
 

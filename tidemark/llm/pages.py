@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.wordcache import tidy
+
 SIGMA = 1.5
 #: Least part of the usual ratio that text with a name of clutter must have to count as an article's text.
 NEAR = 0.85
@@ -416,6 +418,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "p
     give repeated rows; other columns are not read.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h or "") for h in batch.column(2).to_pylist()]

@@ -12,9 +12,10 @@ by word, so scoring a document means summing numbers.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.training import fold, sample_labelled
-from tidemark.llm.wordcache import Recent
+from tidemark.llm.wordcache import Recent, tidy
 
 #: Most labelled documents that are fitted on.
 SAMPLE = 3_000
@@ -89,25 +90,21 @@ class Embeddings:
                 e -= (rate * SCALE * step).astype(np.float32)
         line = w[:, 1] - w[:, 0]
         self.gain, self.bias = (e @ line).astype(np.float64), float(b[1] - b[0])
-        self.cache = Recent(self.word, CACHE_WORDS)
-
-    def __getstate__(self):
-        return self.gain, self.bias
-
-    def __setstate__(self, state):
-        self.gain, self.bias = state
-        self.cache = Recent(self.word, CACHE_WORDS)
 
     def word(self, word: str) -> float:
         return float(self.gain[buckets_of(word)].mean())
 
-    def score(self, text: str) -> float:
-        words = text.split()
-        n = max(1, len(words))
-        found = self.cache.all(words)
-        same, seen = repeats(words)
-        z = self.bias + (sum(found) + same * self.gain[SAME] + seen * self.gain[SEEN]) / n
-        return float(1 / (1 + np.exp(-min(50.0, max(-50.0, z)))))
+    def scorer(self) -> Callable[[str], float]:
+        """A task's own function for texts, with the numbers of the words it has seen lately."""
+        cache, same_gain, seen_gain = Recent(self.word, CACHE_WORDS), float(self.gain[SAME]), float(self.gain[SEEN])
+
+        def score(text: str) -> float:
+            words = text.split()
+            same, seen = repeats(words)
+            z = self.bias + (sum(cache.all(words)) + same * same_gain + seen * seen_gain) / max(1, len(words))
+            return 1 / (1 + math.exp(-min(50.0, max(-50.0, z))))
+
+        return score
 
 
 class Share:
@@ -116,13 +113,14 @@ class Share:
     def __init__(self, y: np.ndarray):
         self.share = float((y.sum() + 1) / (len(y) + 1))
 
-    def score(self, text: str) -> float:
-        return self.share
+    def scorer(self) -> Callable[[str], float]:
+        return lambda text: self.share
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id"):
     rows = sample_labelled(docs, labels, "quality", fold(F.col("id"), folds) != held, sample, text_col, id_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [sparse(t or "") for t in batch.column(1).to_pylist()]
@@ -146,10 +144,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held, sample, text_col, id_col))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        score = shared.value.scorer()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     made = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
@@ -161,10 +160,11 @@ def drop_poor(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1,
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held, SAMPLE, text_col, id_col))
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        score = shared.value.scorer()
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t or "") >= 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([score(t or "") >= 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.training import fold, sample_labelled
-from tidemark.llm.wordcache import Recent
+from tidemark.llm.wordcache import Recent, tidy
 
 #: Most labelled documents that are fitted on, and most learned lexicon entries.
 SAMPLE, ENTRIES = 12_000, 4_000
@@ -44,7 +44,7 @@ CLASSES[[ord(c) for c in "\"#$%&'()*+,-./:;<=>@[\\]^_`{|}~"]] = 3
 CLASSES[[ord("!"), ord("?")]] = 4
 CLASSES[[32, 9, 10, 11, 12, 13]] = 5
 N_FEATURES = 17
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def entries_of(text: str) -> set[str]:
@@ -210,6 +210,7 @@ class Prior:
 def learn_lexicon(sample: DataFrame, limit: int = ENTRIES) -> dict[str, float]:
     """Words and stems of toxic texts by log-odds."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
@@ -241,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sampl
 def with_features(rows: DataFrame, weights: dict[str, float], carry: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value)
         for batch in batches:
@@ -261,6 +263,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
     weights, model = fit(docs, labels, folds, held, sample, text_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast((weights, model))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, model = shared.value
         lexicon = Lexicon(weights)
@@ -279,6 +282,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0
     shared = docs.sparkSession.sparkContext.broadcast((weights, model))
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, model = shared.value
         lexicon = Lexicon(weights)

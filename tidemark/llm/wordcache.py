@@ -1,8 +1,48 @@
-"""Values of words seen lately, kept by a Python worker while it goes through texts."""
+"""What a Python worker keeps while it goes through texts, and how it gives it back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+
+
+#: What the worker holds from task to task, by owner.
+_HELD: dict[str, object] = {}
+
+
+def held(owner: str, make: Callable[[], object]) -> object:
+    """What a worker makes once and uses in all tasks of one operator, such as a loaded vocabulary."""
+    if owner not in _HELD:
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function over batches that hands memory back.
+
+    A worker lives on for the tasks of later stages. What another operator held goes when
+    the task begins, and what this task's own caches and batches took when it ends.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in [name for name in _HELD if name != owner]:
+            del _HELD[name]
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            # Only some C libraries can return freed memory to the system.
+            with contextlib.suppress(AttributeError, OSError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 class Recent:
