@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators.stats import weighted_median
 
 MIN_COVERAGE = 80.0
+LEAST_TRADES, LEAST_QUANTITY = 1, 1e-12
 
 
 def trailing_prices(trades: DataFrame, days: DataFrame, width: int = 7) -> DataFrame:
@@ -26,12 +30,6 @@ def normalized_weights(rows: DataFrame, keys: list[str], value: Column) -> DataF
     return good.withColumn("weight", F.col("raw") / F.sum("raw").over(Window.partitionBy(*keys))).drop("raw")
 
 
-def eligible(base: DataFrame, least_trades: int = 1, least_quantity: float = 1e-12) -> DataFrame:
-    """Components with the reason why one is left out of its index."""
-    reason = F.when(F.col("trades") < least_trades, "too_few_trades").when(~(F.col("quantity") >= least_quantity), "too_little_quantity").when(F.col("production_points").isNull(), "missing_production_points")
-    return base.withColumn("excluded_because", reason)
-
-
 def levels(weights: DataFrame, base: DataFrame, prices: DataFrame, least: float = MIN_COVERAGE) -> DataFrame:
     """Fixed-weight level of each index and day, null below the coverage of weights.
 
@@ -75,54 +73,158 @@ def conflicting_prices(prices: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     return prices.groupBy("item_code").agg((F.max("price") - F.min("price")).alias("difference")).where(F.col("difference") > tolerance)
 
 
-def chained(daily: DataFrame, width: int = 28) -> DataFrame:
-    """Level of an index whose holdings are reset at inception and every Monday.
+@dataclass(frozen=True)
+class Chain:
+    """What a chained index is made of: members from the start, one that may join late, and its dates.
 
-    ``daily`` has (item_code, day, quantity, turnover). A day's price is the average of the
-    day before. At a reset an item's weight is its share of the turnover of the ``width``
-    days before. A level is 100 times the product of the factors of all whole segments and
-    of the current one, so nothing is computed day after day. A day without all prices is a
-    gap; a reset without them ends the index for good.
+    The inception is given and never moves with the data; both dates are UTC midnights.
+    """
+
+    members: tuple[str, ...]
+    inception: date
+    as_of: date
+    late: str | None = None
+    width: int = 28
+    display: int = 30
+
+
+def _covered(daily: DataFrame, chain: Chain) -> DataFrame:
+    """Days of members with trades; an item's first one counts as no coverage, as it may be cut."""
+    codes = [*chain.members, *([chain.late] if chain.late else [])]
+    rows = daily.where(F.col("item_code").isin(codes) & (F.col("day") < F.lit(chain.as_of)) & (F.col("quantity") > 0) & (F.col("turnover") > 0))
+    return rows.withColumn("first", F.min("day").over(Window.partitionBy("item_code"))).where("day > first").drop("first")
+
+
+def _calendar(daily: DataFrame, chain: Chain) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every day from inception on with what is known of it, the active weights of its resets, and prices.
+
+    A calendar has a row a day, whatever the number of trades, so it may be broadcast.
     """
-    observed = daily.where("quantity > 0 and turnover > 0")
-    prices = observed.select("item_code", F.date_add("day", 1).alias("day"), (F.col("turnover") / F.col("quantity")).alias("price"))
-    members = observed.select("item_code").distinct()
-    size = members.agg(F.count("*").alias("members"))
-    span = observed.agg(F.date_add(F.min("day"), 1).alias("first"), F.date_add(F.max("day"), 1).alias("last"))
-    days = span.select(F.explode(F.sequence("first", "last")).alias("day"))
-    # The first observed day of an item counts as no coverage: it may be cut.
-    first = Window.partitionBy("item_code").orderBy("day")
-    covered = observed.withColumn("rn", F.row_number().over(first)).where("rn > 1")
-    windows = covered.withColumn("day", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", width)))).groupBy("day", "item_code").agg(F.count("*").alias("days"), F.sum("turnover").alias("turnover"))
-    full = windows.where(F.col("days") == width).groupBy("day").agg(F.count("*").alias("full")).join(F.broadcast(size), F.col("full") == F.col("members")).select("day")
-    inception = full.agg(F.min("day").alias("inception"))
-    resets = days.join(F.broadcast(inception), (F.col("day") == F.col("inception")) | ((F.col("day") > F.col("inception")) & (F.dayofweek("day") == 2))).select(F.col("day").alias("reset"))
-    weights = windows.where(F.col("days") == width).withColumn("weight", F.col("turnover") / F.sum("turnover").over(Window.partitionBy("day"))).select(F.col("day").alias("reset"), "item_code", "weight")
-    held = resets.join(weights, "reset").join(prices.select(F.col("day").alias("reset"), "item_code", F.col("price").alias("reset_price")), ["reset", "item_code"])
-    # Days and resets are a calendar: at most one row a day.
-    last = days.join(F.broadcast(resets), F.col("reset") < F.col("day")).groupBy("day").agg(F.max("reset").alias("reset"))
-    factor = last.join(held, "reset").join(prices, ["day", "item_code"], "left").groupBy("day", "reset").agg(F.count("*").alias("held"), F.count("price").alias("priced"), F.sum(F.col("weight") * F.col("price") / F.col("reset_price")).alias("factor"))
-    factor = factor.join(F.broadcast(size)).withColumn("factor", F.when((F.col("priced") == F.col("members")) & (F.col("held") == F.col("members")), F.col("factor")))
-    marked = factor.join(F.broadcast(resets.select(F.col("reset").alias("day"), F.lit(True).alias("is_reset"))), "day", "left").withColumn("is_reset", F.coalesce("is_reset", F.lit(False)))
-    # One row a day in all: a calendar's length, whatever the number of trades.
+    covered = _covered(daily, chain)
+    prices = covered.select("item_code", F.date_add("day", 1).alias("day"), (F.col("turnover") / F.col("quantity")).alias("price"))
+    days = daily.sparkSession.range(1).select(F.explode(F.sequence(F.lit(chain.inception), F.lit(chain.as_of))).alias("day"))
+    days = days.withColumn("is_reset", (F.col("day") == F.lit(chain.inception)) | (F.dayofweek("day") == 2))
+    resets = days.where("is_reset").select("day")
+    spread = covered.withColumn("day", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", chain.width)))).join(F.broadcast(resets), "day", "left_semi")
+    full = spread.groupBy("day", "item_code").agg(F.count("*").alias("days"), F.sum("turnover").alias("turnover")).where(F.col("days") == chain.width)
+    # The late member joins at the first reset with a full window, and stays.
+    joined = full.where(F.col("item_code") == F.lit(chain.late)).agg(F.min("day").alias("admitted"))
+    days = days.join(F.broadcast(joined)).withColumn("members", F.lit(len(chain.members)) + F.coalesce((F.col("day") >= F.col("admitted")).cast("int"), F.lit(0)))
+    active = F.col("item_code").isin(list(chain.members)) | F.coalesce(F.col("day") >= F.col("admitted"), F.lit(False))
+    known = F.broadcast(days.select("day", "members", "admitted"))
+    priced = prices.join(known, "day").where(active).groupBy("day").agg(F.count("*").alias("priced"))
+    windowed = full.join(known, "day").where(active).withColumns({"total": F.sum("turnover").over(Window.partitionBy("day")), "windows": F.count("*").over(Window.partitionBy("day"))})
+    weights = windowed.where((F.col("windows") == F.col("members")) & (F.col("total") > 0)).select("day", "item_code", (F.col("turnover") / F.col("total")).alias("weight"))
+    days = days.join(F.broadcast(priced), "day", "left").join(F.broadcast(weights.select("day", F.lit(True).alias("weighted")).distinct()), "day", "left")
+    days = days.withColumns({"priced": F.coalesce("priced", F.lit(0)), "weighted": F.coalesce("weighted", F.lit(False))}).withColumn("complete", F.col("priced") == F.col("members"))
     order = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.coalesce(F.sum(F.when(F.col("is_reset"), F.log("factor"))).over(order), F.lit(0.0))
-    broken = F.coalesce(F.max(F.col("is_reset") & F.col("factor").isNull()).over(order), F.lit(False)) | (F.col("is_reset") & F.col("factor").isNull())
-    out = marked.withColumn("level", F.when(~broken, 100 * F.exp(whole) * F.col("factor"))).select("day", "reset", "is_reset", "level")
-    start = inception.where("inception is not null").select(F.col("inception").alias("day"), F.col("inception").alias("reset"), F.lit(True).alias("is_reset"), F.lit(100.0).alias("level"))
-    out = start.unionByName(out)
-    earlier = lambda n: out.select(F.date_add("day", n).alias("day"), F.col("level").alias(f"level_{n}"))
-    return out.join(earlier(1), "day", "left").join(earlier(7), "day", "left").select("day", "reset", "is_reset", "level", X.change_pct("level", "level_1").alias("change_1d_pct"), X.change_pct("level", "level_7").alias("change_7d_pct"))
-
-
-def chain_weights(daily: DataFrame, width: int = 28) -> DataFrame:
-    """Weights of every day with a full window, their rank and the share of the top three."""
-    observed = daily.where("quantity > 0 and turnover > 0")
-    covered = observed.withColumn("rn", F.row_number().over(Window.partitionBy("item_code").orderBy("day"))).where("rn > 1")
-    windows = covered.withColumn("day", F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", width)))).groupBy("day", "item_code").agg(F.count("*").alias("days"), F.sum("turnover").alias("turnover")).where(F.col("days") == width)
-    day, order = Window.partitionBy("day"), Window.partitionBy("day").orderBy(F.desc("turnover"), "item_code")
-    out = windows.withColumn("weight", F.col("turnover") / F.sum("turnover").over(day)).withColumn("rank", F.row_number().over(order))
-    return out.withColumn("top3", F.sum(F.when(F.col("rank") <= 3, F.col("weight"))).over(day)).select("day", "item_code", "weight", "rank", "top3")
+    fails = F.col("is_reset") & ~(F.col("complete") & F.col("weighted"))
+    days = days.withColumns({"reset": F.last(F.when(F.col("is_reset"), F.col("day")), ignorenulls=True).over(order), "fails": fails, "broken": F.coalesce(F.max(fails).over(order), F.lit(False))})
+    return days, weights, prices
+
+
+def chained(daily: DataFrame, chain: Chain) -> DataFrame:
+    """Every day's level of an index whose holdings are reset at inception and every Monday.
+
+    ``daily`` has (item_code, day, quantity, turnover). A day's price is the average of the
+    day before. At a reset a member's weight is its share of the turnover of the ``width``
+    days before, all of which must be covered. A level is 100 times the product of the
+    factors of all whole segments and of the current one, so nothing is computed day after
+    day. A day without all prices is a gap; a reset without all prices or windows ends the
+    index for good, be it the first. Every day has a row, with the reason if it has no level.
+    """
+    days, weights, prices = _calendar(daily, chain)
+    held = weights.join(prices.withColumnRenamed("price", "reset_price"), ["day", "item_code"]).withColumnRenamed("day", "reset")
+    moved = days.select("day", "reset").join(held, "reset").join(prices, ["day", "item_code"]).groupBy("day").agg(F.sum(F.col("weight") * F.col("price") / F.col("reset_price")).alias("factor"))
+    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    out = days.join(F.broadcast(moved), "day", "left").withColumn("factor", F.when(F.col("complete"), F.col("factor")))
+    whole = F.coalesce(F.sum(F.when(F.col("is_reset"), F.log("factor"))).over(before), F.lit(0.0))
+    level = F.when(F.col("fails") | F.col("broken"), F.lit(None)).when(F.col("day") == F.lit(chain.inception), F.lit(100.0)).otherwise(100 * F.exp(whole) * F.col("factor"))
+    reason = F.when(F.col("broken"), "continuity_broken").when(~F.col("complete"), "incomplete_prices").when(F.col("fails"), "incomplete_window")
+    out = out.select("day", "is_reset", level.alias("level"), F.col("priced").cast("long").alias("priced"), F.col("members").cast("long").alias("members"), (F.col("priced") / F.col("members") * 100).alias("coverage_pct"), reason.alias("reason"), "admitted")
+    earlier = lambda n: F.broadcast(out.select(F.date_add("day", n).alias("day"), F.col("level").alias(f"level_{n}")))
+    both = out.join(earlier(1), "day", "left").join(earlier(7), "day", "left")
+    return both.select(*out.columns, X.change_pct("level", "level_1").alias("change_1d_pct"), X.change_pct("level", "level_7").alias("change_7d_pct"))
+
+
+def chain_weights(daily: DataFrame, chain: Chain) -> DataFrame:
+    """Weights of every reset that took effect, their rank and the share of the top three."""
+    days, weights, _ = _calendar(daily, chain)
+    day, order = Window.partitionBy("day"), Window.partitionBy("day").orderBy(F.desc("weight"), "item_code")
+    out = weights.join(F.broadcast(days.where("is_reset and not fails and not broken").select("day")), "day", "left_semi").withColumn("rank", F.row_number().over(order))
+    return out.withColumn("top3", F.sum(F.when(F.col("rank") <= 3, F.col("weight"))).over(day)).select("day", F.date_sub("day", chain.width).alias("window_start"), "item_code", "weight", "rank", "top3")
+
+
+def chain_status(levels: DataFrame, weights: DataFrame, chain: Chain) -> DataFrame:
+    """One row: how many of the days on display have a level, the latest one, and how concentrated the index is."""
+    shown = F.col("day") > F.date_sub(F.lit(chain.as_of), chain.display)
+    seen = F.when(shown & F.col("level").isNotNull(), F.col("day"))
+    out = levels.agg(
+        F.count(seen).alias("valid_days"), F.min(seen).alias("first_valid"), F.max(seen).alias("last_valid"), F.max_by("level", "day").alias("latest_level"), F.max_by("reason", "day").alias("reason"), F.max("admitted").alias("admitted"),
+        F.max_by("change_1d_pct", "day").alias("change_1d_pct"), F.max_by("change_7d_pct", "day").alias("change_7d_pct"),
+    )
+    newest = weights.agg(F.max_by(F.struct("weight", "top3"), F.struct("day", "weight")).alias("w")).select((F.col("w.weight") * 100).alias("top_weight_pct"), (F.col("w.top3") * 100).alias("top_three_weight_pct"))
+    status = F.when(F.col("valid_days") == chain.display, "complete").when(F.col("valid_days") > 0, "partial").otherwise("unavailable")
+    return out.join(F.broadcast(newest)).withColumn("coverage_status", status)
+
+
+@dataclass(frozen=True)
+class IndexDefinition:
+    """A fixed-weight index: how it is weighted, what may be in it, and whether it is published."""
+
+    key: str
+    name: str
+    #: "value": base quantity times base price; "effort": base quantity times production points.
+    method: str = "value"
+    #: Members; none stands for every traded item.
+    members: tuple[str, ...] | None = None
+    enabled: bool = True
+
+
+#: The indexes that are published, with their members.
+DEFINITIONS = (
+    IndexDefinition("broad_market", "Broad Market Price Index"),
+    IndexDefinition("industrial_expansion", "Industrial Expansion Index", members=("steel", "concrete")),
+    IndexDefinition("standard_combat", "Standard Combat Index", members=("steak", "lightAmmo")),
+    IndexDefinition("premium_combat", "Premium Combat Index", members=("cookedFish", "ammo", "heavyAmmo")),
+    IndexDefinition("governance", "Governance and Battle Administration Index", members=("paper",)),
+    IndexDefinition("infrastructure_operation", "Infrastructure Operation Index", members=("oil",)),
+    IndexDefinition("equipment_inputs", "Crafted Equipment Input Index", members=("steel", "scraps")),
+    IndexDefinition("base_pp", "Total Upstream PP Inflation Index", method="effort"),
+    IndexDefinition("market_equipment", "Market Equipment Index", enabled=False),
+)
+
+
+def definition_tables(spark: SparkSession, definitions: list[IndexDefinition]) -> tuple[DataFrame, DataFrame]:
+    """Definitions as parameter tables: (index_key, name, method, whole, enabled) and (index_key, item_code)."""
+    heads = [(d.key, d.name, d.method, d.members is None, d.enabled) for d in definitions]
+    parts = [(d.key, m) for d in definitions for m in d.members or ()]
+    return spark.createDataFrame(heads, "index_key string, name string, method string, whole boolean, enabled boolean"), spark.createDataFrame(parts, "index_key string, item_code string")
+
+
+def candidates(heads: DataFrame, parts: DataFrame, base: DataFrame, least_trades: int = LEAST_TRADES, least_quantity: float = LEAST_QUANTITY) -> DataFrame:
+    """Each enabled index with its members' base evidence and why a member is left out.
+
+    ``base`` has (item_code, quantity, trades, base_price, production_points); definitions are
+    parameters, so both tables are small. Only an index of effort needs production points.
+    """
+    on = heads.where("enabled")
+    rows = base.join(F.broadcast(on.where("whole").select("index_key", "method"))).unionByName(base.join(F.broadcast(on.where("not whole").select("index_key", "method").join(parts, "index_key")), "item_code"))
+    effort = F.col("method") == "effort"
+    reason = F.when(F.col("trades") < least_trades, "too_few_trades").when(~(F.col("quantity") >= least_quantity), "too_little_quantity").when(effort & F.col("production_points").isNull(), "missing_production_points").when(~effort & F.col("base_price").isNull(), "missing_price")
+    value = F.col("quantity") * F.when(effort, F.col("production_points")).otherwise(F.col("base_price"))
+    return rows.withColumns({"excluded_because": reason, "value": value})
+
+
+def weights_of(rows: DataFrame) -> DataFrame:
+    """Weights of the members that are not left out of ``candidates``."""
+    return normalized_weights(rows.where("excluded_because is null"), ["index_key"], F.col("value")).select("index_key", "item_code", "weight")
+
+
+def guarded(levels: DataFrame, unexpected: DataFrame) -> DataFrame:
+    """Levels, all of them blank as soon as one item trades that is no known constituent."""
+    count = unexpected.agg(F.count("*").alias("unexpected"))
+    return levels.join(F.broadcast(count)).withColumn("level", F.when(F.col("unexpected") == 0, F.col("level")))
 
 
 def unexpected_members(traded: DataFrame, members: DataFrame) -> DataFrame:

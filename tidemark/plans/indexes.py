@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import context as C
-from tidemark.functions import exprs as X
 from tidemark.operators import coverage as V
 from tidemark.operators import indexes as I
 from tidemark.operators import resolve as R
+from tidemark.operators import selection as N
+from tidemark.operators import sinks as K
 from tidemark.operators import stats as S
 from tidemark.plans.market import BOOK, CLOCK, QUOTES, TAPE, day, r6, rounded, stamp
 from tidemark.sources import tables as T
@@ -39,8 +42,14 @@ def AS (SELECT 'broad' AS index_key, item_code, quantity * base_price AS raw FRO
 weights AS (SELECT index_key, item_code, raw / sum(raw) OVER (PARTITION BY index_key) AS weight FROM def WHERE raw > 0)"""
 
 
-def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(weights, base prices, trailing prices, base evidence) of the last 90 days of the long tape."""
+#: Parameters over the driver's brands: everything, everything by effort, a basket for each first digit, one switched off.
+DEFINITIONS = [I.IndexDefinition("broad", "Broad market"), I.IndexDefinition("effort", "Embodied effort", "effort"), I.IndexDefinition("off", "Not published", enabled=False)] + [
+    I.IndexDefinition(f"basket_{k}", f"Basket {k}", members=tuple(f"Brand#{n}" for n in range(1, 26) if str(n).startswith(str(k)))) for k in range(1, 10)
+]
+
+
+def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base evidence, base prices, trailing prices) of the last 90 days of the long tape."""
     tape = T.long_tape(spark, sf_dir).where(S.usable())
     last = tape.agg(F.date_add(F.max("day"), 1).alias("last")).first()[0]
     days = spark.range(91).select(F.date_sub(F.lit(last), F.col("id").cast("int")).alias("as_of"))
@@ -50,12 +59,12 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     base = recent.where(F.col("day") < F.date_sub(F.lit(last), 90)).groupBy("item_code").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("trades"))
     first = prices.where(F.col("as_of") == F.date_sub(F.lit(last), 90)).select("item_code", F.col("price").alias("base_price"))
     points = T.read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("item_code")).agg(F.min(1 + F.col("p_size") % 20).alias("production_points"))
-    both = base.join(first, "item_code")
-    value = F.col("quantity") * F.col("base_price")
-    rows = both.select(F.lit("broad").alias("index_key"), "item_code", value.alias("value")).unionByName(
-        base.join(points, "item_code").select(F.lit("effort").alias("index_key"), "item_code", (F.col("quantity") * F.col("production_points")).alias("value"))
-    ).unionByName(both.select(F.concat(F.lit("basket_"), F.substring("item_code", 7, 1)).alias("index_key"), "item_code", value.alias("value")))
-    return I.normalized_weights(rows, ["index_key"], F.col("value")).drop("value"), first, prices, base.join(points, "item_code", "left")
+    return base.join(first, "item_code", "left").join(points, "item_code", "left"), first, prices
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    base, first, prices = _base(spark, sf_dir)
+    return I.weights_of(I.candidates(*I.definition_tables(spark, DEFINITIONS), base)), first, prices
 
 
 @query("index_weights", f"WITH {TRAIL} SELECT index_key, item_code, {rounded('weight')} FROM weights")
@@ -63,15 +72,18 @@ def index_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_index(spark, sf_dir)[0])
 
 
-@query("index_eligibility", f"WITH {TRAIL} SELECT item_code, trades, {rounded('quantity')}, CASE WHEN trades < 3 THEN 'too_few_trades' WHEN NOT quantity >= 60 THEN 'too_little_quantity' WHEN production_points IS NULL THEN 'missing_production_points' END AS excluded_because FROM base LEFT JOIN pts USING (item_code)")
+@query("index_eligibility", f"""WITH {TRAIL}, keys AS (SELECT item_code, unnest(['broad', 'effort', 'basket_' || substr(item_code, 7, 1)]) AS index_key FROM base)
+SELECT index_key, item_code, trades, {rounded('quantity')}, CASE WHEN trades < 3 THEN 'too_few_trades' WHEN NOT quantity >= 60 THEN 'too_little_quantity' WHEN index_key = 'effort' AND production_points IS NULL THEN 'missing_production_points' WHEN index_key <> 'effort' AND base_price IS NULL THEN 'missing_price' END AS excluded_because
+  FROM keys JOIN base USING (item_code) LEFT JOIN pts USING (item_code) LEFT JOIN bp USING (item_code)""")
 def index_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(I.eligible(_index(spark, sf_dir)[3], 3, 60.0).select("item_code", "trades", "quantity", "excluded_because"))
+    rows = I.candidates(*I.definition_tables(spark, DEFINITIONS), _base(spark, sf_dir)[0], 3, 60.0)
+    return r6(rows.select("index_key", "item_code", "trades", "quantity", "excluded_because"))
 
 
 @query("index_levels", f"""WITH {TRAIL}, l AS (SELECT index_key, as_of, sum(weight) * 100 AS coverage_pct, count(*) AS components, sum(weight * price / base_price) AS x, sum(weight) AS w FROM weights JOIN bp USING (item_code) JOIN prices USING (item_code) GROUP BY ALL)
 SELECT index_key, {day('as_of')} AS as_of, components, {rounded('coverage_pct')}, round(CASE WHEN coverage_pct + 1e-12 >= 80 THEN 100 * x / w END, 6) + 0.0 AS level FROM l""")
 def index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, b, p, _ = _index(spark, sf_dir)
+    w, b, p = _index(spark, sf_dir)
     return r6(I.levels(w, b, p).select("index_key", "as_of", "components", "coverage_pct", "level"))
 
 
@@ -83,52 +95,130 @@ cc AS (SELECT *, CASE WHEN matched_pct + 1e-12 >= 80 AND before > 0 THEN (now /
 @query("index_changes_30d", f"""WITH {CHANGE} SELECT index_key, {day('as_of')} AS as_of, {rounded('matched_pct', 'change_pct')}, CASE WHEN change_pct IS NULL THEN 'Insufficient data' WHEN change_pct > 0.1 THEN 'Inflation' WHEN change_pct < -0.1 THEN 'Deflation' ELSE 'Stable' END AS class,
   round((1 / (1 + change_pct / 100) - 1) * 100, 6) + 0.0 AS purchasing_power_pct, round((pow(1 + change_pct / 100, 365.0 / 30) - 1) * 100, 2) + 0.0 AS annualized_pct FROM cc""")
 def index_changes_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, b, p, _ = _index(spark, sf_dir)
+    w, b, p = _index(spark, sf_dir)
     return r6(I.matched_changes(w, b, p, 30).withColumn("annualized_pct", F.round("annualized_pct", 2)))
 
 
 @query("index_contributions", f"""WITH {CHANGE} SELECT index_key, {day('b2.as_of')} AS as_of, item_code, round(weight * (price - price_before) / base_price / sum(weight * price_before / base_price) OVER (PARTITION BY index_key, b2.as_of) * 100, 6) + 0.0 AS contribution_pct
   FROM weights JOIN bp USING (item_code) JOIN b2 USING (item_code)""")
 def index_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, b, p, _ = _index(spark, sf_dir)
+    w, b, p = _index(spark, sf_dir)
     return r6(I.contributions(w, b, p, 30).select("index_key", "as_of", "item_code", "contribution_pct"))
 
 
-@query("basket_costs", f"""WITH {TRAIL}, basket AS (SELECT 'size_' || (p_size % 5) AS action, p_brand AS item_code, CAST(count(*) AS DOUBLE) AS amount FROM part GROUP BY ALL UNION ALL SELECT 'unpriced', 'Brand#none', 1.0),
-  nowp AS (SELECT item_code, price FROM prices, lim WHERE as_of = CAST(last AS DATE))
+BASKET = """basket AS (SELECT 'size_' || (p_size % 5) AS action, p_brand AS item_code, CAST(count(*) AS DOUBLE) AS amount FROM part GROUP BY ALL UNION ALL SELECT 'unpriced', 'Brand#none', 1.0),
+  nowp AS (SELECT item_code, price FROM prices, lim WHERE as_of = CAST(last AS DATE))"""
+
+
+@query("basket_costs", f"""WITH {TRAIL}, {BASKET}
 SELECT action, count(*) AS components, count(price) AS priced, round(count(price) / count(*) * 100, 6) AS coverage_pct, round(CASE WHEN count(price) = count(*) THEN sum(amount * price) END, 6) AS cost,
   coalesce(string_agg(CASE WHEN price IS NULL THEN item_code END, ',' ORDER BY item_code), '') AS missing FROM basket LEFT JOIN nowp USING (item_code) GROUP BY action""")
 def basket_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part, prices = T.read(spark, sf_dir, "part"), _index(spark, sf_dir)[2]
+    return r6(I.basket_costs(*_basket(spark, sf_dir)))
+
+
+def _basket(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What each action needs, and the prices of the last day."""
+    part, prices = T.read(spark, sf_dir, "part"), _base(spark, sf_dir)[2]
     basket = part.groupBy(F.concat(F.lit("size_"), (F.col("p_size") % 5).cast("string")).alias("action"), F.col("p_brand").alias("item_code")).agg(F.count("*").cast("double").alias("amount"))
     none = part.limit(1).select(F.lit("unpriced").alias("action"), F.lit("Brand#none").alias("item_code"), F.lit(1.0).alias("amount"))
     now = prices.join(F.broadcast(prices.agg(F.max("as_of").alias("as_of"))), "as_of").select("item_code", "price")
-    return r6(I.basket_costs(basket.unionByName(none), now))
+    return basket.unionByName(none), now
+
+
+@query("market_action_costs", f"""WITH {TRAIL}, {BASKET}, c AS (SELECT action, count(price) / count(*) * 100 AS coverage_pct, CASE WHEN count(price) = count(*) THEN sum(amount * price) END AS cost FROM basket LEFT JOIN nowp USING (item_code) GROUP BY action)
+SELECT action, item_code, {rounded('amount', 'price', 'coverage_pct', 'cost')}, round(amount * price, 6) + 0.0 AS component_cost, CASE WHEN price IS NULL THEN 'missing' ELSE 'available' END AS component_status, CASE WHEN cost IS NULL THEN 'unavailable' ELSE 'available' END AS availability_status FROM basket LEFT JOIN nowp USING (item_code) JOIN c USING (action)""")
+def market_action_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    basket, now = _basket(spark, sf_dir)
+    out = K.action_costs(basket, I.basket_costs(basket, now), now)
+    return r6(out.select("action", "item_code", "amount", "price", "coverage_pct", "cost", "component_cost", "component_status", "availability_status"))
+
+
+@query("conflicting_prices", f"WITH {TRAIL} SELECT item_code, round(max(price) - min(price), 6) + 0.0 AS difference FROM prices GROUP BY item_code HAVING max(price) - min(price) > 200")
+def conflicting_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check over prices of several days, which differ by more than is allowed."""
+    return r6(I.conflicting_prices(_base(spark, sf_dir)[2], 200.0))
+
+
+#: Changes over several periods beside every level.
+INFLATION = TRAIL + """, l AS (SELECT index_key, as_of, sum(weight) * 100 AS coverage_pct, sum(weight * price / base_price) AS x, sum(weight) AS w FROM weights JOIN bp USING (item_code) JOIN prices USING (item_code) GROUP BY ALL),
+pair AS (SELECT n.days, p.item_code, p.as_of, p.price, q.price AS price_before FROM prices p, (VALUES (7), (30), (90)) n(days), prices q WHERE p.item_code = q.item_code AND p.as_of = q.as_of + CAST(n.days AS INTEGER)),
+chg AS (SELECT index_key, as_of, days, sum(weight) * 100 AS matched_pct, (sum(weight * price / base_price) / sum(weight * price_before / base_price) - 1) * 100 AS c FROM weights JOIN bp USING (item_code) JOIN pair USING (item_code) GROUP BY ALL),
+chg2 AS (SELECT *, CASE WHEN matched_pct + 1e-12 >= 80 THEN c END AS change_pct FROM chg),
+infl AS (SELECT l.index_key, l.as_of, CASE WHEN l.coverage_pct + 1e-12 >= 80 THEN 100 * x / w END AS level, days || 'D' AS period_label, change_pct FROM l LEFT JOIN chg2 USING (index_key, as_of))"""
+
+
+@query("market_inflation", f"""WITH {INFLATION} SELECT index_key, {day('as_of')} AS as_of, period_label, {rounded('level', 'change_pct')}, CASE WHEN change_pct IS NULL THEN 'Insufficient data' WHEN change_pct > 0.1 THEN 'Inflation' WHEN change_pct < -0.1 THEN 'Deflation' ELSE 'Stable' END AS classification,
+  CASE WHEN level IS NULL THEN 'level_unavailable' WHEN change_pct IS NULL THEN 'comparison_unavailable' ELSE 'available' END AS availability_status FROM infl""")
+def market_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, b, p = _index(spark, sf_dir)
+    changes = None
+    for days in (7, 30, 90):
+        part = I.matched_changes(w, b, p, days).withColumn("period_label", F.lit(f"{days}D"))
+        changes = part if changes is None else changes.unionByName(part)
+    heads = I.definition_tables(spark, DEFINITIONS)[0].where("enabled").select("index_key")
+    out = K.inflation(heads, I.levels(w, b, p), changes, ["7D", "30D", "90D"])
+    return r6(out.select("index_key", "as_of", "period_label", "level", "change_pct", "classification", "availability_status"))
+
+
+#: A dense tape and one with a hole; a third item joins late. The inception is a Monday.
+CHAIN = I.Chain(("even", "odd"), date(1995, 2, 6), date(2001, 11, 4), "late")
+DAILY = T.LINE_TAPE_SQL + """, daily AS (SELECT item_code, day, sum(quantity) AS quantity, sum(money) AS turnover FROM line_tape WHERE money / quantity > 0 AND quantity > 0 AND {hole} GROUP BY ALL)"""
+WALK = """, cov AS (SELECT * FROM daily QUALIFY day > min(day) OVER (PARTITION BY item_code)), cov2 AS (SELECT * FROM cov WHERE day < DATE '2001-11-04'),
+px AS (SELECT item_code, CAST(day + 1 AS DATE) AS day, turnover / quantity AS price FROM cov2),
+cal AS (SELECT CAST(d AS DATE) AS day, d = DATE '1995-02-06' OR isodow(d) = 1 AS is_reset FROM generate_series(TIMESTAMP '1995-02-06', TIMESTAMP '2001-11-04', INTERVAL 1 DAY) g(d)),
+win AS (SELECT c.day, v.item_code, sum(turnover) AS turnover FROM cal c JOIN cov2 v ON v.day >= c.day - 28 AND v.day < c.day WHERE is_reset GROUP BY ALL HAVING count(*) = 28),
+adm AS (SELECT min(day) AS admitted FROM win WHERE item_code = 'late'),
+act AS (SELECT day, is_reset, 'even' AS item_code FROM cal UNION ALL SELECT day, is_reset, 'odd' FROM cal UNION ALL SELECT day, is_reset, 'late' FROM cal, adm WHERE day >= admitted),
+d0 AS (SELECT a.day, any_value(is_reset) AS is_reset, count(*) AS members, count(price) AS priced, count(turnover) AS windows FROM act a LEFT JOIN px USING (day, item_code) LEFT JOIN win USING (day, item_code) GROUP BY a.day),
+wts AS (SELECT a.day, item_code, turnover / sum(turnover) OVER (PARTITION BY a.day) AS weight FROM act a JOIN win w USING (day, item_code) JOIN d0 USING (day) WHERE windows = members),
+fac AS (SELECT c.day, r.day AS reset, sum(weight * p.price / q.price) AS factor FROM cal c JOIN cal r ON r.is_reset AND r.day < c.day AND r.day >= c.day - 7 JOIN wts w ON w.day = r.day JOIN px q ON q.day = r.day AND q.item_code = w.item_code JOIN px p ON p.day = c.day AND p.item_code = w.item_code GROUP BY ALL),
+walk AS (SELECT day, CASE WHEN priced = members AND windows = members THEN CAST(100 AS DOUBLE) END AS level, CASE WHEN priced = members AND windows = members THEN CAST(100 AS DOUBLE) END AS base_level, day AS base_reset, NOT (priced = members AND windows = members) AS broken, CASE WHEN priced <> members THEN 'incomplete_prices' WHEN windows <> members THEN 'incomplete_window' END AS reason FROM d0 WHERE day = DATE '1995-02-06'
+  UNION ALL SELECT n.day, lv, CASE WHEN n.is_reset AND lv IS NOT NULL THEN lv ELSE n.base_level END, CASE WHEN n.is_reset AND lv IS NOT NULL THEN n.day ELSE n.base_reset END, n.was OR (n.is_reset AND NOT (priced = members AND windows = members)), CASE WHEN n.was THEN 'continuity_broken' WHEN priced <> members THEN 'incomplete_prices' WHEN n.is_reset AND windows <> members THEN 'incomplete_window' END
+  FROM (SELECT d.*, w.broken AS was, w.base_level, w.base_reset, CASE WHEN w.broken OR priced <> members OR (d.is_reset AND windows <> members) THEN NULL ELSE w.base_level * f.factor END AS lv FROM walk w JOIN d0 d ON d.day = w.day + 1 LEFT JOIN fac f ON f.day = d.day AND f.reset = w.base_reset) n),
+lv AS (SELECT w.*, is_reset, priced, members FROM walk w JOIN d0 USING (day))"""
+CHAIN_ROWS = f"""SELECT {day('a.day')} AS day, a.is_reset, round(a.level, 6) + 0.0 AS level, a.priced, a.members, a.reason, round(CASE WHEN b.level > 0 THEN (a.level - b.level) / b.level * 100 END, 6) + 0.0 AS change_1d_pct,
+  round(CASE WHEN c.level > 0 THEN (a.level - c.level) / c.level * 100 END, 6) + 0.0 AS change_7d_pct FROM lv a LEFT JOIN lv b ON b.day = a.day - 1 LEFT JOIN lv c ON c.day = a.day - 7"""
+CHAIN_COLS = ("day", "is_reset", "level", "priced", "members", "reason", "change_1d_pct", "change_7d_pct")
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.daily_facts(T.line_tape(spark, sf_dir))
+
+
+@query("chained_index", "WITH RECURSIVE " + DAILY.format(hole="true") + WALK + " " + CHAIN_ROWS)
+def chained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(I.chained(_chain(spark, sf_dir), CHAIN).select(*CHAIN_COLS))
 
 
-DAILY = TAPE + """, daily AS (SELECT item_code, CAST(created_at AS DATE) AS day, sum(quantity) AS quantity, sum(unit_price * quantity) AS turnover FROM tape WHERE unit_price > 0 AND quantity > 0 GROUP BY ALL),
-cov AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_code ORDER BY day) AS rn FROM daily) WHERE rn > 1),
-win AS (SELECT item_code, CAST(day + CAST(k AS INTEGER) AS DATE) AS day, count(*) AS days, sum(turnover) AS turnover FROM cov, range(1, 8) r(k) GROUP BY ALL HAVING count(*) = 7),
-wts AS (SELECT day AS reset, item_code, turnover, turnover / sum(turnover) OVER (PARTITION BY day) AS weight FROM win)"""
-CHAIN = DAILY + """, px AS (SELECT item_code, CAST(day + 1 AS DATE) AS day, turnover / quantity AS price FROM daily), mem AS (SELECT count(DISTINCT item_code) AS members FROM daily),
-inc AS (SELECT min(day) AS inception FROM (SELECT day FROM win, mem GROUP BY day, members HAVING count(*) = members)), cal AS (SELECT DISTINCT day FROM px),
-rs AS (SELECT day AS reset FROM cal, inc WHERE day = inception OR (day > inception AND dayofweek(day) = 1)),
-lst AS (SELECT day, max(reset) AS reset FROM cal JOIN rs ON reset < day GROUP BY day),
-fac AS (SELECT l.day, l.reset, CASE WHEN count(p.price) = any_value(members) AND count(*) = any_value(members) THEN sum(weight * p.price / q.price) END AS factor FROM lst l JOIN wts w ON w.reset = l.reset JOIN px q ON q.day = l.reset AND q.item_code = w.item_code LEFT JOIN px p ON p.day = l.day AND p.item_code = w.item_code, mem GROUP BY l.day, l.reset),
-mk AS (SELECT f.*, r.reset IS NOT NULL AS is_reset FROM fac f LEFT JOIN rs r ON r.reset = f.day),
-lv AS (SELECT day, reset, is_reset, CASE WHEN NOT coalesce(bool_or(is_reset AND factor IS NULL) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) THEN 100 * exp(coalesce(sum(CASE WHEN is_reset THEN ln(factor) END) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * factor END AS level FROM mk
-  UNION ALL SELECT inception, inception, true, 100.0 FROM inc WHERE inception IS NOT NULL)"""
+@query("chained_index_gapped", "WITH RECURSIVE " + DAILY.format(hole="NOT (item_code = 'even' AND day = DATE '1995-08-16')") + WALK + " " + CHAIN_ROWS)
+def chained_index_gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item does not trade on one Wednesday: the next day is a gap and the next Monday ends the chain."""
+    daily = _chain(spark, sf_dir).where("not (item_code = 'even' and day = date'1995-08-16')")
+    return r6(I.chained(daily, CHAIN).select(*CHAIN_COLS))
 
 
-@query("chained_index", f"""WITH {CHAIN} SELECT {day('a.day')} AS day, {day('a.reset')} AS reset, a.is_reset, round(a.level, 6) + 0.0 AS level, round(CASE WHEN b.level > 0 THEN (a.level - b.level) / b.level * 100 END, 6) + 0.0 AS change_1d_pct,
-  round(CASE WHEN c.level > 0 THEN (a.level - c.level) / c.level * 100 END, 6) + 0.0 AS change_7d_pct FROM lv a LEFT JOIN lv b ON b.day = a.day - 1 LEFT JOIN lv c ON c.day = a.day - 7""")
-def chained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(I.chained(S.daily_facts(T.tape(spark, sf_dir)), 7))
+@query("chained_weights", "WITH RECURSIVE " + DAILY.format(hole="true") + WALK + f""", k AS (SELECT w.*, row_number() OVER (PARTITION BY w.day ORDER BY weight DESC, item_code) AS rank FROM wts w JOIN lv ON lv.day = w.day AND lv.level IS NOT NULL)
+SELECT {day('day')} AS day, {day('CAST(day - 28 AS DATE)')} AS window_start, item_code, CAST(rank AS BIGINT) AS rank, {rounded('weight')}, round(sum(CASE WHEN rank <= 3 THEN weight END) OVER (PARTITION BY day), 6) AS top3 FROM k""")
+def chained_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(I.chain_weights(_chain(spark, sf_dir), CHAIN))
 
 
-@query("chained_weights", f"""WITH {DAILY}, k AS (SELECT *, row_number() OVER (PARTITION BY reset ORDER BY turnover DESC, item_code) AS rank FROM wts) SELECT {day('reset')} AS day, item_code, CAST(rank AS BIGINT) AS rank, {rounded('weight')}, round(sum(CASE WHEN rank <= 3 THEN weight END) OVER (PARTITION BY reset), 6) AS top3 FROM k""")
-def chained_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(I.chain_weights(S.daily_facts(T.tape(spark, sf_dir)), 7))
+@query("chained_status", "WITH RECURSIVE " + DAILY.format(hole="true") + WALK + f""", s AS (SELECT count(level) FILTER (day > DATE '2001-11-04' - 30) AS valid_days, min(day) FILTER (level IS NOT NULL AND day > DATE '2001-11-04' - 30) AS first_valid, arg_max(reason, day) FILTER (reason IS NOT NULL AND day = DATE '2001-11-04') AS reason, max(level) FILTER (day = DATE '2001-11-04') AS latest_level FROM lv),
+t AS (SELECT max(weight) * 100 AS top_weight_pct FROM wts WHERE day = (SELECT max(w.day) FROM wts w JOIN lv ON lv.day = w.day AND lv.level IS NOT NULL))
+SELECT valid_days, {day('first_valid')} AS first_valid, reason, round(latest_level, 6) + 0.0 AS latest_level, {day('admitted')} AS admitted, round(top_weight_pct, 6) + 0.0 AS top_weight_pct, CASE WHEN valid_days = 30 THEN 'complete' WHEN valid_days > 0 THEN 'partial' ELSE 'unavailable' END AS coverage_status FROM s, adm, t""")
+def chained_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = _chain(spark, sf_dir)
+    out = I.chain_status(I.chained(daily, CHAIN), I.chain_weights(daily, CHAIN), CHAIN)
+    return r6(out.select("valid_days", "first_valid", "reason", "latest_level", "admitted", "top_weight_pct", "coverage_status"))
+
+
+@query("guarded_index", "WITH RECURSIVE " + DAILY.format(hole="true") + WALK + f""" SELECT {day('day')} AS day, CAST(NULL AS DOUBLE) AS level, CAST(1 AS BIGINT) AS unexpected FROM lv""")
+def guarded_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item trades that is no constituent: every level is blank."""
+    daily = _chain(spark, sf_dir)
+    known = daily.where(F.col("item_code").isin("even", "odd"))
+    return r6(I.guarded(I.chained(daily, CHAIN), I.unexpected_members(daily, known)).select("day", "level", "unexpected"))
 
 
 @query("unexpected_members", f"WITH {TAPE} SELECT DISTINCT item_code FROM tape WHERE item_code NOT IN ('click', 'view')")
@@ -203,11 +293,33 @@ def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- scans, sets and tables ------------------------------------------------
 @query("scan_item_window", f"WITH {TAPE} SELECT id, {stamp('created_at')} AS created_at, {rounded('unit_price', 'quantity')} FROM tape WHERE item_code = 'purchase' AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-12'")
 def scan_item_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = lambda s: F.lit(s).cast("timestamp")
-    rows = T.tape(spark, sf_dir).where((F.col("item_code") == "purchase") & X.in_window("created_at", at("2024-01-05"), at("2024-01-12")))
+    rows = S.scan(T.tape(spark, sf_dir), ["purchase"], AT("2024-01-05"), AT("2024-01-12"), transaction_type="trading")
     return r6(rows.select("id", "created_at", "unit_price", "quantity"))
 
 
+def AT(text: str):
+    return F.lit(text).cast("timestamp")
+
+
+@query("scan_items_period", f"WITH {TAPE} SELECT item_code, id, {stamp('created_at')} AS created_at FROM tape WHERE item_code IN (SELECT item_code FROM tape GROUP BY item_code HAVING min(id) < 3) AND created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-08'")
+def scan_items_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several items, given as a table."""
+    t = T.tape(spark, sf_dir)
+    wanted = S.commodities(t).groupBy("item_code").agg(F.min("id").alias("least")).where("least < 3")
+    return r6(S.scan(t, wanted, AT("2024-01-05"), AT("2024-01-08"), transaction_type="trading").select("item_code", "id", "created_at"))
+
+
+@query("scan_quotes_window", f"WITH {QUOTES} SELECT item_code, id, round(current_price, 6) + 0.0 AS current_price FROM quotes WHERE item_code IN ('click', 'view') AND observed_at >= TIMESTAMP '2024-01-05' AND observed_at < TIMESTAMP '2024-01-12'")
+def scan_quotes_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(S.scan(T.quotes(spark, sf_dir), ["click", "view"], AT("2024-01-05"), AT("2024-01-12"), "observed_at").select("item_code", "id", "current_price"))
+
+
+@query("scan_books_window", f"WITH {BOOK} SELECT item_code, {stamp('observed_at')} AS observed_at, count(*) AS levels FROM book_levels WHERE item_code = 'click' AND observed_at >= TIMESTAMP '2024-01-05' AND observed_at < TIMESTAMP '2024-01-12' GROUP BY ALL")
+def scan_books_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = S.scan(T.book_levels(spark, sf_dir), ["click"], AT("2024-01-05"), AT("2024-01-12"), "observed_at")
+    return r6(rows.groupBy("item_code", "observed_at").agg(F.count("*").alias("levels")))
+
+
 @query("item_discovery", f"WITH {TAPE}, {BOOK}, {QUOTES} SELECT item_code FROM tape UNION SELECT item_code FROM book_levels UNION SELECT item_code FROM quotes")
 def item_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [f(spark, sf_dir).select("item_code") for f in (T.tape, T.book_levels, T.quotes)]
@@ -219,24 +331,31 @@ def data_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(C.data_clock((T.tape(spark, sf_dir), "created_at"), (T.quotes(spark, sf_dir), "observed_at")))
 
 
-@query("table_inventory", f"WITH {TAPE} SELECT item_code, count(*) AS n, count(unit_price) AS priced, {stamp('min(created_at)')} AS first_at, {stamp('max(created_at)')} AS last_at FROM tape GROUP BY item_code")
+@query("table_inventory", f"WITH {TAPE} SELECT transaction_type, count(*) AS n, count(unit_price) AS priced, {stamp('min(created_at)')} AS first_at, {stamp('max(created_at)')} AS last_at FROM all_trades GROUP BY transaction_type")
 def table_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(T.tape(spark, sf_dir).groupBy("item_code").agg(F.count("*").alias("n"), F.count("unit_price").alias("priced"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at")))
+    return r6(S.inventory(T.tape(spark, sf_dir)))
+
+
+@query("history_coverage", f"WITH {TAPE} SELECT item_code, count(*) AS n, {stamp('min(created_at)')} AS first_at, {stamp('max(created_at)')} AS last_at FROM tape GROUP BY item_code")
+def history_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(S.inventory(S.commodities(T.tape(spark, sf_dir)), "item_code").drop("priced"))
 
 
-@query("activity_board", f"""WITH {TAPE}, {CLOCK}, v AS (SELECT item_code, sum(money) AS value FROM tape, clock WHERE created_at >= c - INTERVAL 7 DAYS GROUP BY item_code)
-SELECT item_code, round(coalesce(value, 0), 6) AS value, round(value / max(value) OVER () * 100, 6) AS bar_pct FROM v ORDER BY value DESC, item_code LIMIT 3""")
+@query("activity_board", f"""WITH {TAPE}, {CLOCK}, {T.POINTS_SQL}, v AS (SELECT item_code, sum(money) AS value, sum(quantity) AS units FROM tape, clock WHERE created_at >= c - INTERVAL 7 DAYS GROUP BY item_code)
+SELECT item_code, {rounded('value', 'units')}, round(units * points, 6) + 0.0 AS point_volume, round(value / max(value) OVER () * 100, 6) AS bar_pct FROM v JOIN points USING (item_code) ORDER BY value DESC, item_code LIMIT 3""")
 def activity_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.tape(spark, sf_dir)
-    v = t.where(C.resolve(None, (t, "created_at")).window("created_at", 7)).groupBy("item_code").agg(F.coalesce(F.sum("money"), F.lit(0.0)).alias("value"))
-    top = v.orderBy(F.desc("value"), "item_code").limit(3)
-    return r6(top.join(F.broadcast(v.agg(F.max("value").alias("most")))).select("item_code", "value", (F.col("value") / F.col("most") * 100).alias("bar_pct")))
+    out = S.activity(t, C.resolve(None, (t, "created_at")), T.points(spark, sf_dir), top=3)
+    return r6(out.select("item_code", "value", "units", "point_volume", "bar_pct"))
 
 
-@query("names_of_entities", """WITH r AS (SELECT DISTINCT lower(n_name) AS wanted FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'nobody'), m AS (SELECT wanted, n_nationkey FROM r LEFT JOIN nation ON lower(n_name) = wanted)
-SELECT wanted, count(n_nationkey) AS candidates, CASE WHEN count(n_nationkey) = 1 THEN min(n_nationkey) END AS id FROM m GROUP BY wanted""")
+@query("names_of_entities", f"""WITH {T.ENTITIES_SQL}, asked AS (SELECT DISTINCT upper(name) AS text FROM entities UNION SELECT id FROM entities WHERE kind = 'country' UNION SELECT DISTINCT o_orderpriority FROM orders),
+hits AS (SELECT text, kind, id, 0 AS way FROM asked JOIN entities ON text = id UNION SELECT text, kind, id, 1 FROM asked JOIN entities ON lower(text) = lower(name)),
+best AS (SELECT * FROM hits QUALIFY way = min(way) OVER (PARTITION BY text))
+SELECT text, count(id) AS candidates, CASE WHEN count(id) = 1 THEN min(kind || ':' || id) END AS entity FROM asked LEFT JOIN best USING (text) GROUP BY text""")
 def names_of_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = T.read(spark, sf_dir, "nation")
-    wanted = n.where("n_nationkey % 3 = 0").select(F.lower("n_name").alias("wanted")).distinct().union(n.limit(1).select(F.lit("nobody")))
-    hits = wanted.join(n.select(F.lower("n_name").alias("wanted"), "n_nationkey"), "wanted", "left")
-    return hits.groupBy("wanted").agg(F.count("n_nationkey").alias("candidates"), F.when(F.count("n_nationkey") == 1, F.min("n_nationkey")).alias("id"))
+    """Every entity by its name in capitals, every country by its id too, and texts that name nobody."""
+    e = T.entities(spark, sf_dir)
+    asked = e.select(F.upper("name").alias("text")).union(e.where("kind = 'country'").select("id")).union(T.read(spark, sf_dir, "orders").select("o_orderpriority")).distinct()
+    found = N.resolve_names(asked, e)
+    return found.select("text", "candidates", F.concat("entity.kind", F.lit(":"), "entity.id").alias("entity"))

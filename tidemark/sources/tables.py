@@ -57,9 +57,9 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day-grain trades of three items over years: lines by number, the third item from 1993 on."""
+    """Day-grain trades of three items over years: lines by number, the third item from some day on."""
     line = read(spark, sf_dir, "lineitem")
-    item = F.when((F.col("l_linenumber") == 3) & (F.col("l_shipdate") >= F.lit("1993-03-10").cast("date")), "late").when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd")
+    item = F.when(F.col("l_linenumber").isin(3, 5) & (F.col("l_shipdate") >= F.lit("1995-06-10").cast("timestamp")), "late").when(F.col("l_linenumber") % 2 == 0, "even").otherwise("odd")
     rows = line.select(item.alias("item_code"), F.lit("trading").alias("transaction_type"), F.col("l_shipdate").cast("timestamp").alias("created_at"), F.col("l_quantity").cast("double").alias("quantity"), F.col("l_extendedprice").cast("double").alias("money"))
     return rows.withColumn("unit_price", unit_price("money", "quantity"))
 
@@ -120,7 +120,7 @@ LEDGER_SQL = TAPE_SQL + """, ledger_trades AS (SELECT id, item_code, transaction
   CASE WHEN transaction_type = 'itemMarket' THEN 'equipment-v1|gear' || (id % 4) || '|' || CASE WHEN id % 7 = 0 THEN '?' ELSE 'armor=' || (id % 2) || ',attack=' || (id % 3) END || '|' || (id % 5) || '|10' ELSE item_code END AS category
   FROM all_trades)"""
 POINTS_SQL = "points AS (SELECT DISTINCT event_type AS item_code, CAST(length(event_type) AS DOUBLE) AS points FROM events)"
-LINE_TAPE_SQL = """line_tape AS (SELECT CASE WHEN l_linenumber = 3 AND l_shipdate >= DATE '1993-03-10' THEN 'late' WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS item_code, CAST(l_shipdate AS DATE) AS day,
+LINE_TAPE_SQL = """line_tape AS (SELECT CASE WHEN l_linenumber IN (3, 5) AND l_shipdate >= DATE '1995-06-10' THEN 'late' WHEN l_linenumber % 2 = 0 THEN 'even' ELSE 'odd' END AS item_code, CAST(l_shipdate AS DATE) AS day,
   CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_extendedprice AS DOUBLE) AS money FROM lineitem)"""
 ENTITIES_SQL = """entities AS (SELECT 'user' AS kind, 'u' || c_custkey AS id, c_name AS name, 'c' || c_nationkey AS citizenship_id FROM customer
   UNION ALL SELECT 'mu', 'm' || s_suppkey, s_name, 'c' || s_nationkey FROM supplier UNION ALL SELECT 'country', 'c' || n_nationkey, n_name, NULL FROM nation)"""
