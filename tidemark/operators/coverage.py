@@ -14,9 +14,13 @@ def merged(intervals: DataFrame, keys: list[str], start: str = "start", end: str
     return intervals.withColumn("island", island).groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
-def covers(intervals: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
-    """Whether one merged interval holds [low, high); an empty window is covered."""
-    return merged(intervals, keys).groupBy(*keys).agg((F.max((F.col("start") <= low) & (F.col("end") >= high)) | F.lit(low >= high)).alias("covered"))
+def covers(intervals: DataFrame, keys: list[str], low: Column, high: Column, every: DataFrame | None = None) -> DataFrame:
+    """Whether one merged interval holds [low, high); an empty window is covered.
+
+    ``every`` lists the keys that are asked for: one without any interval is not covered.
+    """
+    out = merged(intervals, keys).groupBy(*keys).agg((F.max((F.col("start") <= low) & (F.col("end") >= high)) | F.lit(low >= high)).alias("covered"))
+    return out if every is None else every.select(*keys).distinct().join(out, keys, "left").withColumn("covered", F.coalesce("covered", F.lit(low >= high)))
 
 
 def reached(intervals: DataFrame, low: Column, keys: list[str]) -> DataFrame:
@@ -32,3 +36,9 @@ def retained(rows: DataFrame, ts: str, cutoff: Column) -> DataFrame:
 def clamped(intervals: DataFrame, cutoff: Column) -> DataFrame:
     """Intervals cut at a retention cutoff; those before it go."""
     return intervals.where(F.col("end") > cutoff).withColumn("start", F.greatest("start", cutoff))
+
+
+def progress_after(progress: DataFrame, cutoff: Column, oldest: str = "oldest_at") -> DataFrame:
+    """Scan progress after a retention: one that reached further back is partial and has no oldest trade."""
+    cut = F.coalesce(F.col(oldest) < cutoff, F.lit(False))
+    return progress.withColumns({"status": F.when(cut, "partial").otherwise(F.col("status")), oldest: F.when(~cut, F.col(oldest))})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,42 @@ def valid_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     reason = F.when(F.col("id").isNull(), "missing_id").when(F.col("created_at").isNull(), "missing_time").when(~F.coalesce(F.col("money") >= 0, F.lit(False)), "invalid_money").when(~F.coalesce(F.col("quantity") >= 0, F.lit(False)), "invalid_quantity")
     marked = raw.withColumn("reason", reason)
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
+
+
+def page_faults(trades: DataFrame, stream: str | None = None) -> DataFrame:
+    """Trades that break the order of a scan: (page, position) go newest first, across pages too.
+
+    A trade later than the one before it, or of another stream than was asked for, is set
+    aside with the reason; the scan's head has nothing before it. Pages are cut in runs, so
+    each run is ordered by itself and only its ends meet those of the next.
+    """
+    us = F.unix_micros("created_at")
+    within = Window.partitionBy("page").orderBy("position")
+    ends = trades.groupBy("page").agg(F.min_by(us, "position").alias("head"), F.max_by(us, "position").alias("tail"))
+    above = ends.select((F.col("page") + 1).alias("page"), F.col("tail").alias("before_page"))
+    rows = trades.withColumns({"us": us, "before": F.lag(us).over(within)}).join(above, "page", "left")
+    before = F.coalesce("before", "before_page")
+    reason = F.when(F.col("us") > before, "not_descending")
+    if stream is not None:
+        reason = F.when(F.col("transaction_type") != stream, "wrong_stream").otherwise(reason)
+    return rows.withColumn("reason", reason).where("reason is not null").drop("us", "before", "before_page")
+
+
+def scan_coverage(pages: DataFrame, known: DataFrame, boundary: Column, cap: int) -> DataFrame:
+    """What each scan has covered, and why it stopped there.
+
+    ``pages`` have (stream, page, newest, oldest, has_next), ``known`` merged intervals of
+    earlier scans (stream, start, end). A scan ends with its first page that is the last one,
+    reaches past the boundary, lies wholly in known coverage, or is the capped one. A scan that
+    stopped early has covered nothing at the oldest time itself, as more trades may share it.
+    """
+    overlap = pages.join(known, "stream").where((F.col("start") <= F.col("oldest")) & (F.col("newest") < F.col("end"))).select("stream", "page").distinct().withColumn("known", F.lit(True))
+    rows = pages.join(overlap, ["stream", "page"], "left")
+    reason = F.when(~F.col("has_next"), "api-exhausted").when(F.col("oldest") < boundary, "history-boundary").when(F.col("known"), "normalized-overlap").when(F.col("page") + 1 >= cap, "page-cap")
+    rows = rows.withColumn("reason", reason)
+    stop = rows.where("reason is not null").groupBy("stream").agg(F.min_by(F.struct("page", "reason", "oldest"), "page").alias("s"))
+    head = rows.groupBy("stream").agg(F.max("newest").alias("anchor"))
+    after = F.col("s.oldest") + F.expr("interval 1 microsecond")
+    start = F.when(F.col("s.reason") == "api-exhausted", F.greatest("s.oldest", boundary)).when(F.col("s.reason") == "history-boundary", boundary).otherwise(after)
+    status = F.when(F.col("s.reason") == "api-exhausted", "exhausted").when(F.col("s.reason") == "page-cap", "partial").otherwise("complete")
+    return stop.join(head, "stream").select("stream", start.alias("start"), F.col("anchor").alias("end"), F.col("s.reason").alias("completion_reason"), (F.col("s.page") + 1).alias("pages"), status.alias("status"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.context import data_clock
 from tidemark.operators.resolve import valid_records
 from tidemark.operators.stats import usable
 
@@ -70,19 +71,26 @@ def late_rows(stream: DataFrame, clock_us: int, late_us: int) -> tuple[DataFrame
 def ingest(stream: DataFrame, facts: str, rejected: str, coverage: str, checkpoint: str, strict: bool = False) -> StreamingQuery:
     """Append valid trades, set others aside and record what each batch covered.
 
-    A batch that is run again after a failure overwrites its own files, so nothing is
-    counted twice. Strict mode refuses a whole batch for one bad record.
+    An id counts once, in its first batch: a batch looks its trades up among those of earlier
+    batches within its own range of times, which prunes the files that are read. A batch that
+    is run again after a failure overwrites its own files, so nothing is counted twice. Strict
+    mode sets bad records aside and fails the whole batch, whose trades stay to be read again.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         try:
             good, bad = valid_records(batch)
-            if strict and not bad.isEmpty():
-                bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
-                return
-            good.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{facts}/batch={number}")
             bad.write.mode("overwrite").parquet(f"{rejected}/batch={number}")
+            if strict and not bad.isEmpty():
+                raise ValueError(f"Batch {number} has bad records; see {rejected}/batch={number}")
+            new = good.dropDuplicates(["id"])
+            if number > 0:
+                low, high = good.agg(F.min("created_at"), F.max("created_at")).first()
+                seen = batch.sparkSession.read.schema(f"id {good.schema['id'].dataType.simpleString()}, created_at timestamp, batch long").option("basePath", facts).parquet(facts)
+                seen = seen.where((F.col("batch") < number) & F.col("created_at").between(low, high)) if low is not None else seen.limit(0)
+                new = new.join(seen.select("id"), "id", "left_anti").select(*good.columns)
+            new.write.mode("overwrite").parquet(f"{facts}/batch={number}")
             good.groupBy("transaction_type").agg(F.min("created_at").alias("start"), F.max("created_at").alias("end"), F.count("*").alias("trades")).write.mode("overwrite").parquet(f"{coverage}/batch={number}")
         finally:
             batch.unpersist()
@@ -90,6 +98,14 @@ def ingest(stream: DataFrame, facts: str, rejected: str, coverage: str, checkpoi
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def recomputed_clock(spark: SparkSession, facts: str, *others: tuple[str, str]) -> DataFrame:
+    """The clock from what is stored, after a correction or retention may have moved it back.
+
+    ``others`` are further tables with the name of their time.
+    """
+    return data_clock((spark.read.parquet(facts), "created_at"), *((spark.read.parquet(path), ts) for path, ts in others))
+
+
 def run_to_memory(df: DataFrame, name: str, mode: str, checkpoint: str, then: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over what has landed and read its result; for tests and small looks."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
