@@ -77,7 +77,7 @@ def liquidity(depth: Column | str, spread_pct: Column | str) -> Column:
 
 def range_position_pct(last: Column | str, low: Column | str, high: Column | str) -> Column:
     last, low, high = number(last), number(low), number(high)
-    return F.when(high > low, F.least(F.lit(100.0), F.greatest(F.lit(0.0), (last - low) / (high - low) * 100)))
+    return F.when((high > low) & last.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), (last - low) / (high - low) * 100)))
 
 
 def rail_position(value: Column, lower: Column, upper: Column, scale: Column) -> Column:

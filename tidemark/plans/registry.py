@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import guidance, indexes, ledger, market
+from tidemark.plans import guidance, indexes, intake, ledger, market
 
-MODULES = (market, guidance, indexes, ledger)
+MODULES = (market, guidance, indexes, ledger, intake)
 
 
 def queries() -> dict:
