@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.lineage import small_batches
 from tidemark.llm.wordcache import Recent, held, tidy
 
 LEAF_CHARS = 1 << 14
@@ -238,6 +239,7 @@ def encoder(name: str, raw: bytes, pattern: str) -> ByteBpe:
 
 def encode_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, ids array<int>, decoded binary) of every whole text; null texts count as empty."""
+    small_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,6 +259,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "te
     Null and empty texts give 0 tokens and the digest of nothing. Repeated rows give
     repeated rows. Other columns are not read, so clashing names cannot matter.
     """
+    small_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.lineage import kept, written
+from tidemark.llm.lineage import kept, small_batches, written
 from tidemark.llm.wordcache import tidy
 
 WORDS, PERCENT = 4, 85
@@ -225,6 +225,7 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     nothing. Repeated rows give repeated rows. Rows that share an id are one document that
     links when any of its texts does. Rows without an id are left out.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     profiles = kept(_profiles(texts, width))
     table = _frequencies(profiles)

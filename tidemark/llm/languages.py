@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.lineage import kept
+from tidemark.llm.lineage import kept, small_batches
 from tidemark.llm.pages import main_text
 from tidemark.llm.training import fold
 from tidemark.llm.wordcache import tidy
@@ -205,6 +205,7 @@ def identify_languages(docs: DataFrame, pages: DataFrame, folds: int = 5, held:
     row without any by the overall shares. Repeated rows give repeated rows. If no document
     has a language, lang is null and the probability 0.
     """
+    small_batches(docs.sparkSession)
     names, table = learn(docs, "lang", folds, held, sample, "text", "doc_id")
     if not names:
         none = F.lit(None).cast("string")

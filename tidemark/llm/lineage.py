@@ -20,6 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows and bytes of a batch that goes to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of batches for Python workers to those above; smaller ones stay.
+
+    A batch is held several times over, in native memory of the executor too, which is not
+    given back. Whole texts, some of them very long, are too large for the usual rows a batch.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the shared folder from now on."""
     shared_folder(df.sparkSession)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.lineage import kept
+from tidemark.llm.lineage import kept, small_batches
 
 LEAST, BLOCK = 0.95, 16
 #: Rows of a strip that one task holds for each of its two sides, and rows of a tile.
@@ -182,6 +182,7 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, block: int = BLOCK
     weight. Rows that share id and vector are one vector; repeated rows give repeated
     rows. Only id and vector are read. Rows without an id are left out.
     """
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
     clean = rows.where("v is not null and size(v) > 0 and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x <> 0)")
     clean = clean.select("id", "v", F.xxhash64("v").alias("h"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.lineage import kept
+from tidemark.llm.lineage import kept, small_batches
 from tidemark.llm.wordcache import Recent, held, tidy
 
 CAPACITY = 4096
@@ -97,6 +97,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, piece: int
     fills. Repeated rows give repeated pieces and an empty table none. Only id and text are
     read, so other columns may have any name.
     """
+    small_batches(docs.sparkSession)
     with open(path, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
     end = int(end_id).to_bytes(4, "little")

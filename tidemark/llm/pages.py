@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.lineage import small_batches
 from tidemark.llm.wordcache import tidy
 
 SIGMA = 1.5
@@ -417,6 +418,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", id_col: str = "p
     Null or empty html, and pages without main text, give an empty text. Repeated rows
     give repeated rows; other columns are not read.
     """
+    small_batches(pages.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

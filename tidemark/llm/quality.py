@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.lineage import small_batches
 from tidemark.llm.training import fold, sample_labelled
 from tidemark.llm.wordcache import Recent, tidy
 
@@ -118,6 +119,7 @@ class Share:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id"):
+    small_batches(docs.sparkSession)
     rows = sample_labelled(docs, labels, "quality", fold(F.col("id"), folds) != held, sample, text_col, id_col)
 
     @tidy

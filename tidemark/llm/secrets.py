@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.lineage import small_batches
 from tidemark.llm.wordcache import tidy
 
 #: The base patterns and their least lengths.
@@ -171,6 +172,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     Null and empty texts have no spans. Repeated rows give repeated rows; other columns
     are not read.
     """
+    small_batches(docs.sparkSession)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,6 +199,7 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]", text_col: str = "text"
     untouched, whatever their names. A masked text gets its new length in ``length_col`` if
     there is such a column; a text that was not changed keeps the length it came with.
     """
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.lineage import kept
+from tidemark.llm.lineage import kept, small_batches
 
 K, SCALE, EVERY = 5, 256, 50
 #: Pivots (a bounded sample of the vectors), rings over the greatest length, rows of a cell.
@@ -81,6 +81,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     part. Vectors of different lengths never meet. Rows that share id and vector count
     once. Only id and vector are read.
     """
+    small_batches(vectors.sparkSession)
     rows = kept(whole(vectors, scale, id_col, vector_col))
     dims = [r[0] for r in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     parts = [_search(rows.where(F.size("v") == d), d, k, every, pivots, rings, cell) for d in dims]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.lineage import small_batches
 from tidemark.llm.training import fold, sample_labelled
 from tidemark.llm.wordcache import Recent, tidy
 
@@ -228,6 +229,7 @@ def learn_lexicon(sample: DataFrame, limit: int = ENTRIES) -> dict[str, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, sample: int = SAMPLE, text_col: str = "text", id_col: str = "doc_id"):
     """The lexicon's weights and the calibrated model, from labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     rows = sample_labelled(docs, labels, "toxic", fold(F.col("id"), folds) != held, sample, text_col, id_col)
     half = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2))
     weights = learn_lexicon(rows)
