@@ -3,10 +3,12 @@
 Unit vectors link when their squared distance is at most 2 * (1 - cosine). They are rotated
 and split into blocks of few dimensions; a linked pair is within a block's proportional
 share of that budget in one block at least. Each block is range-joined on strips of its
-first coordinate, as wide as the share's root, so partners lie in the same or the next
-strip. A task compares the rows of a strip in tiles: block distance first, then the cosine
-of the whole vectors. A pair is counted in the first block that admits it, so the union of
-all blocks' candidates is counted once, and tasks give counts and least ids, never pairs.
+first coordinate, twice as wide as the share's root, so partners lie in the same strip or on
+both sides of a border. A strip that is too large for one task is cut in strips of the
+block's next coordinate, and so on through all of them. A task compares the rows of a cell
+in tiles: block distance first, then the cosine of the whole vectors. A pair is counted in
+the first block that admits it, so the union of all blocks' candidates is counted once, and
+tasks give counts and least ids, never pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from tidemark.llm.components import components
 from tidemark.llm.lineage import kept, small_batches
 
 LEAST, BLOCK = 0.95, 16
-#: Rows of a strip that one task holds for each of its two sides, and rows of a tile.
+#: Rows of a cell that one task holds for each of its two sides, and rows of a tile.
 CHUNK, TILE = 32_768, 1_024
+#: Large cells that may be broadcast; there is at most one for each CHUNK rows. Beyond, the same join shuffles.
+FEW = 1_000_000
 #: Room for rounding in double and in single precision, and pairs of a tile that are looked at one by one.
 SLACK, COARSE, SPARSE = 1e-9, 1e-4, 50_000
 
@@ -99,8 +103,9 @@ def squared(x: np.ndarray, y: np.ndarray, s: int, e: int) -> np.ndarray:
 def compare(ids: np.ndarray, weight: np.ndarray, units: np.ndarray, side: np.ndarray, guest: np.ndarray, block: int, least: float, width: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row (copies counted) and the least row of its group, within one task.
 
-    Rows of side 0 meet rows of side 1, or all rows each other if ``same``; two guests,
-    which came from the strip below, met there.
+    Rows of side 0 meet rows of side 1, or all rows each other if ``same``. ``guest`` has a
+    bit for each coordinate along which a row came from the strip below: two rows that did
+    along the same one met there.
     """
     rot = rotated(units)
     cuts = blocks_of(rot.shape[1], width)
@@ -139,7 +144,7 @@ def compare(ids: np.ndarray, weight: np.ndarray, units: np.ndarray, side: np.nda
             i, j = np.nonzero(near)
             if len(i) <= SPARSE:
                 i, j = i + a, j + b
-                stays = ~(guest[i] & guest[j]) & ((i < j) if same and a == b else True)
+                stays = ((guest[i] & guest[j]) == 0) & ((i < j) if same and a == b else True)
                 i, j = i[stays], j[stays]
                 ok = (squared(rot[i], rot[j], s, e) <= shares[block]) & (np.einsum("ij,ij->i", units[i], units[j]) >= least)
                 for k in range(block):
@@ -151,7 +156,7 @@ def compare(ids: np.ndarray, weight: np.ndarray, units: np.ndarray, side: np.nda
                     forest.join(i, j)
                 continue
             hit = admitted(rot[x], rot[y], s, e, shares[block])
-            hit &= ~(guest[x][:, None] & guest[y][None])
+            hit &= (guest[x][:, None] & guest[y][None]) == 0
             if same and a == b:
                 hit &= np.tri(hit.shape[0], hit.shape[1], -1, dtype=bool).T
             if not hit.any():
@@ -220,29 +225,51 @@ def _links(nodes: DataFrame, dim: int, least: float, width: int, chunk: int) ->
                 continue
             x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
             rot = rotated(unit(x)[0])
-            strips = [np.floor(rot[:, s] / r).astype(np.int32) for (s, _), r in zip(cuts, reach, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(np.stack(strips, 1).tolist(), pa.list_(pa.int32()))], ["id", "weight", "v", "strips"])
-
-    placed = kept(nodes.select(F.col("node").alias("id"), "v", "weight").mapInArrow(place, "id long, weight long, v array<double>, strips array<int>"))
-    homes = placed.select("id", "weight", "v", F.posexplode("strips").alias("block", "strip"))
-    # A row is also a guest of the next strip. The table of strip sizes has a few dozen rows a block.
-    both = homes.select("*", F.explode(F.array(F.struct(F.col("strip").alias("at"), F.lit(False).alias("guest")), F.struct((F.col("strip") + 1).alias("at"), F.lit(True).alias("guest")))).alias("x")).select("id", "weight", "v", "block", "x.at", "x.guest")
-    sizes = both.groupBy("block", "at").agg(F.count("*").alias("n")).select("block", "at", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
-    dealt = both.join(F.broadcast(sizes), ["block", "at"])
-    # A strip beyond one chunk is cut in chunks, and each two chunks meet in one task.
-    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("id", "weight", "v", "block", "at", "guest", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+            r = np.repeat(reach, [e - s for s, e in cuts])
+            strip = np.floor(rot / (2 * r))
+            # The strip of each coordinate, and whether the row lies close below the next one.
+            codes = 2 * strip.astype(np.int32) + (rot - strip * 2 * r >= r * (1 - 1e-6) - SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(1), pa.array(codes.tolist(), pa.list_(pa.int32()))], ["id", "weight", "v", "codes"])
+
+    placed = kept(nodes.select(F.col("node").alias("id"), "v", "weight").mapInArrow(place, "id long, weight long, v array<double>, codes array<int>"))
+    open_ = placed.select("id", "weight", "v", "codes", F.explode(F.sequence(F.lit(0), F.lit(len(cuts) - 1))).alias("block"), F.lit("").alias("cell"), F.lit(0).alias("guest"))
+    ready: list[DataFrame] = []
+    for level in range(min(width, size)):
+        code = F.get("codes", F.col("block") * width + level)
+        strip, near = F.shiftright(code, 1), code.bitwiseAND(F.lit(1)) == 1
+        at = lambda n, bit: F.struct(n.alias("strip"), F.lit(bit).alias("bit"))
+        both = F.when(near, F.array(at(strip, 0), at(strip + 1, 1 << level))).otherwise(F.array(at(strip, 0)))
+        open_ = open_.withColumn("x", F.explode(both)).select("id", "weight", "v", "codes", "block", F.concat("cell", F.lit("/"), F.col("x.strip").cast("string")).alias("cell"), F.col("guest").bitwiseOR(F.col("x.bit")).alias("guest"))
+        large = kept(open_.groupBy("block", "cell").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("block", "cell"))
+        if not (count := large.count()):
+            ready.append(open_)
+            open_ = None
+            break
+        large = F.broadcast(large) if count <= FEW else large
+        ready.append(open_.join(large, ["block", "cell"], "left_anti"))
+        open_ = open_.join(large, ["block", "cell"], "left_semi")
+    columns = ("id", "weight", "v", "block", "cell", "guest")
+    dealt = None
+    for part in ready:
+        part = part.select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+        dealt = part if dealt is None else dealt.unionByName(part)
+    if open_ is not None:
+        # Cells of rows that are alike along every coordinate are cut in chunks, and each two chunks meet in one task.
+        sizes = open_.groupBy("block", "cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+        rest = open_.join(sizes, ["block", "cell"])
+        rest = rest.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        rest = rest.select(*columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+        dealt = dealt.unionByName(rest)
 
     def meet(table: pa.Table) -> pa.Table:
         x = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
         ids, weight = table["id"].to_numpy(), table["weight"].to_numpy()
         same = table["i"][0].as_py() == table["j"][0].as_py()
-        links, low = compare(ids, weight, unit(x)[0], table["side"].to_numpy(), np.asarray(table["guest"].to_pylist(), bool), table["block"][0].as_py(), least, width, same)
+        links, low = compare(ids, weight, unit(x)[0], table["side"].to_numpy(), table["guest"].to_numpy(), table["block"][0].as_py(), least, width, same)
         keep = links > 0
         return pa.table({"id": ids[keep], "links": links[keep], "least": low[keep]})
 
-    return dealt.groupBy("block", "at", "i", "j").applyInArrow(meet, "id long, links long, least long")
+    return dealt.groupBy("block", "cell", "i", "j").applyInArrow(meet, "id long, links long, least long")
 
 
 def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
