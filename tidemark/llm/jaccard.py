@@ -274,7 +274,11 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of the least id of each component, with all their columns; rows without an id stay."""
+    """The rows of the least id of each component, with all their columns, whatever their names.
+
+    Rows without an id stay, as do null, empty and blank texts, which link with nothing.
+    Repeated rows are rows of one id and stay or go together; an empty table stays empty.
+    """
     groups = jaccard_components(docs, width, percent, text_col, id_col)
     out = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
     return _semi(docs, out, "left_anti", id_col)

@@ -185,7 +185,9 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST, block: int = BLOCK
     Null and zero vectors, and those with null or non-finite components, link with
     nothing; nor do vectors of different lengths. Equal vectors are one node with a
     weight. Rows that share id and vector are one vector; repeated rows give repeated
-    rows. Only id and vector are read. Rows without an id are left out.
+    rows. Only id and vector are read. Rows without an id are left out. Whether a pair at the
+    very edge of ``least`` links is what double precision makes of its product, which in
+    the last bit may depend on whether it was summed alone or among others.
     """
     small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")

@@ -158,7 +158,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows whose score is at least 0.5, with all their columns."""
+    """The rows whose score is at least 0.5, with all their columns, whatever their names.
+
+    Null and empty texts score by the layer's bias alone; a very long text is scored whole.
+    Repeated rows stay or go together, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, folds, held, SAMPLE, text_col, id_col))
     at = docs.columns.index(text_col)
 

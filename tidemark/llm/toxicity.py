@@ -279,7 +279,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows whose score is below 0.5, with all their columns."""
+    """The rows whose score is below 0.5, with all their columns, whatever their names.
+
+    Null and empty texts score as empty ones; a very long text is scored whole. Repeated rows
+    stay or go together, and an empty table stays empty.
+    """
     weights, model = fit(docs, labels, folds, held, SAMPLE, text_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast((weights, model))
     at = docs.columns.index(text_col)
