@@ -2,6 +2,10 @@
 secrets are masked, and what is left is packed into windows of tokens.
 
 Every stage's rows are written as Parquet to the shared folder and read again by the next.
+All stages take rows with any further columns, and keep them but for packing, whose rows are
+pieces. Null and empty texts go through: they are neither toxic nor copies, hold no secret,
+and pack as one end id, if the quality stage keeps them. Rows that are repeated stay so, and
+empty tables give empty tables. Very long texts are read whole by every stage.
 """
 
 from __future__ import annotations
