@@ -88,3 +88,59 @@ def test_ingest_sets_bad_rows_aside_and_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "facts")).count() == 3
     assert spark.read.parquet(str(tmp_path / "rejected")).first().reason == "missing_id"
     assert spark.read.parquet(str(tmp_path / "coverage")).first().trades == 4
+
+
+def test_pages_that_do_not_parse_are_kept(spark):
+    good = json.dumps({"result": {"data": {"items": [{"_id": "1", "money": "1e1", "quantity": 2, "itemCode": "x", "createdAt": "2024-01-01T00:00:00"}]}}})
+    pages = spark.createDataFrame([(1, good), (2, "{broken"), (3, "{}"), (4, None), (5, json.dumps({"result": {"data": {"items": []}}}))], "page int, raw string")
+    assert {(r.page, r.reason) for r in D.malformed_pages(pages).collect()} == {(2, "not_json"), (3, "no_items"), (4, "not_json")}
+    rows = D.trade_facts(pages).collect()
+    assert [(r.page, r.id, float(r.money), r.money_precision, r.quantity_precision) for r in rows] == [(1, "1", 10.0, "decoded_float", "decimal")]
+
+
+def test_times_without_an_offset_are_utc(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        texts = spark.createDataFrame([("2024-01-01T00:00:00",), ("2024-01-01T02:00:00+02:00",), ("2024-01-01T00:00:00Z",), ("x",)], "t string")
+        assert [r[0] for r in texts.select(F.unix_micros(D.iso_time(F.col("t")))).collect()] == [1704067200000000] * 3 + [None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_leaves_of_any_depth(spark):
+    deep = {"x": 1.5}
+    for k in range(30):
+        deep = {f"k{k}": [deep, None]} if k % 2 else {"q": deep}
+    raw = spark.createDataFrame([(1, json.dumps({"deep": deep, "s": "a{[b", "t": True})), (2, "no json"), (3, None)], "id int, raw string")
+    got = {(r.id, r.path.count("/"), r.type, r.text) for r in D.json_leaves(raw).where("type <> 'null'").collect()}
+    assert got == {(1, 47, "number", "1.5"), (1, 1, "string", "a{[b"), (1, 1, "boolean", "true")}
+    assert D.json_leaves(raw).where("type = 'null'").count() == 15
+
+
+def test_first_alias_counts(spark):
+    df = D.with_aliases(spark.createDataFrame([("n", "i", 1.0, 2.0, 3.0)], "name string, item string, highest_bid double, bid_price double, price double"))
+    assert (df.first().item_name, df.first().bid) == ("i", 2.0) and "last_trade_price" not in df.columns
+
+
+def test_ids_count_once_across_batches(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    for rows in ([("1", t), ("2", t)], [("2", t), ("3", datetime(2024, 1, 2))], [("1", t)]):
+        spark.createDataFrame([(i, "x", "trading", at, 2.0, 1.0, 2.0) for i, at in rows], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        W.ingest(W.landed(spark, str(tmp_path / "in"), SCHEMA), *(str(tmp_path / n) for n in ("facts", "rejected", "coverage", "check"))).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "facts")).collect()) == ["1", "2", "3"]
+    assert W.recomputed_clock(spark, str(tmp_path / "facts")).first()[0] == datetime(2024, 1, 2)
+
+
+def test_strict_ingest_fails_and_loses_nothing(spark, tmp_path):
+    import pytest
+    from pyspark.errors import StreamingQueryException
+
+    stream = landed(spark, tmp_path)
+    places = [str(tmp_path / n) for n in ("facts", "rejected", "coverage", "check")]
+    with pytest.raises(StreamingQueryException):
+        W.ingest(stream, *places, strict=True).awaitTermination()
+    assert not (tmp_path / "facts").exists() and spark.read.parquet(places[1]).first().reason == "missing_id"
+    # The batch was not committed, so its good trades come again.
+    W.ingest(W.landed(spark, str(tmp_path / "in"), SCHEMA), *places).awaitTermination()
+    assert spark.read.parquet(places[0]).count() == 3

@@ -139,7 +139,8 @@ def test_chained_index_does_not_jump_at_a_reset_and_breaks_for_good(spark):
     start = date(2024, 1, 1)
     rows = [(i, start + timedelta(k), 10.0, 10.0 * (1 + 0.01 * k) * (2 if i == "b" else 1)) for k in range(25) for i in "ab" if not (i == "b" and k == 20)]
     daily = spark.createDataFrame(rows, "item_code string, day date, quantity double, turnover double")
-    got = {r.day: r for r in I.chained(daily, 3).collect()}
+    chain = I.Chain(("a", "b"), start + timedelta(4), start + timedelta(25), width=3)
+    got = {r.day: r for r in I.chained(daily, chain).collect()}
     days = sorted(got)
     assert got[days[0]].level == 100
     both = [d for d in days if got[d].level is not None]
@@ -147,3 +148,101 @@ def test_chained_index_does_not_jump_at_a_reset_and_breaks_for_good(spark):
     assert all(1 < s < 1.02 for s in steps)
     assert got[date(2024, 1, 22)].level is not None or got[date(2024, 1, 22)].is_reset
     assert any(got[d].level is None for d in days)
+
+
+# -- chained index against a plain loop ------------------------------------
+def walk(facts, chain):
+    """Levels day after day, as one would by hand."""
+    from datetime import timedelta
+
+    day = timedelta(days=1)
+    first = {}
+    for code, at in facts:
+        first[code] = min(at, first.get(code, at))
+    covered = lambda code, at: (code, at) in facts and at > first[code] and at < chain.as_of
+    price = lambda code, at: facts[code, at - day][1] / facts[code, at - day][0] if covered(code, at - day) else None
+    codes, admitted, held, broken, out, at = list(chain.members), None, {}, False, [], chain.inception
+    while at <= chain.as_of:
+        reset = at == chain.inception or at.weekday() == 0
+        if reset and admitted is None and chain.late and all(covered(chain.late, at - k * day) for k in range(1, chain.width + 1)):
+            admitted, codes = at, [*chain.members, chain.late]
+        prices = {c: price(c, at) for c in codes}
+        whole = None not in prices.values()
+        full = all(covered(c, at - k * day) for c in codes for k in range(1, chain.width + 1))
+        level, reason = None, None
+        if broken:
+            reason = "continuity_broken"
+        elif not whole or reset and not full:
+            reason, broken = "incomplete_prices" if not whole else "incomplete_window", reset
+        else:
+            level = 100.0 if at == chain.inception else sum(n * prices[c] for c, n in held.items())
+            if reset:
+                turnover = {c: sum(facts[c, at - k * day][1] for k in range(1, chain.width + 1)) for c in codes}
+                held = {c: level * turnover[c] / sum(turnover.values()) / prices[c] for c in codes}
+        out.append((at, level, reason, len(codes)))
+        at += day
+    return out
+
+
+@pytest.mark.parametrize("holes", [[], [("a", 20)], [("a", 20), ("b", 20)], [("a", 3)], [("late", 33)], [("a", 49), ("late", 12)]])
+@pytest.mark.parametrize("late", [None, "late"])
+def test_chained_index_equals_a_plain_loop(spark, holes, late):
+    import random
+    from datetime import date, timedelta
+
+    rng, start = random.Random(len(holes)), date(2024, 1, 1)
+    facts = {(c, start + timedelta(days=k)): (float(rng.randint(1, 9)), float(rng.randint(5, 90))) for c in ("a", "b", "late") for k in range(60) if (c != "late" or k >= 10) and (c, k) not in holes}
+    facts["other", start] = (1.0, 1.0)
+    chain = I.Chain(("a", "b"), date(2024, 1, 10), date(2024, 2, 25), late, width=7)
+    daily = spark.createDataFrame([(c, at, *v) for (c, at), v in facts.items()], "item_code string, day date, quantity double, turnover double")
+    got = {r.day: (r.level, r.reason, r.members) for r in I.chained(daily, chain).collect()}
+    for at, level, reason, members in walk(facts, chain):
+        assert got.pop(at) == (level if level is None else pytest.approx(level), reason, members), at
+    assert not got
+    status = I.chain_status(I.chained(daily, chain), I.chain_weights(daily, chain), chain).first()
+    valid = [level for at, level, _, _ in walk(facts, chain)[-chain.display:] if level is not None]
+    assert status.coverage_status == ("complete" if len(valid) == chain.display else "partial" if valid else "unavailable")
+
+
+def test_definitions_and_guard(spark):
+    heads, parts = I.definition_tables(spark, list(I.DEFINITIONS))
+    assert (heads.count(), parts.count()) == (9, 11)
+    base = spark.createDataFrame([("steel", 4.0, 2, 5.0, 1.0), ("concrete", 0.0, 0, None, 2.0), ("paper", 1.0, 1, 2.0, None)], "item_code string, quantity double, trades int, base_price double, production_points double")
+    rows = I.candidates(heads, parts, base)
+    why = {(r.index_key, r.item_code): r.excluded_because for r in rows.collect()}
+    assert why["industrial_expansion", "concrete"] == "too_few_trades" and why["base_pp", "paper"] == "missing_production_points" and why["broad_market", "paper"] is None
+    assert ("market_equipment", "steel") not in why
+    weights = {(r.index_key, r.item_code): r.weight for r in I.weights_of(rows).collect()}
+    assert weights["broad_market", "steel"] == pytest.approx(20 / 22) and weights["equipment_inputs", "steel"] == 1.0
+    levels = spark.createDataFrame([("x", 100.0)], "index_key string, level double")
+    none = spark.createDataFrame([], "item_code string")
+    assert I.guarded(levels, none).first().level == 100.0 and I.guarded(levels, spark.createDataFrame([("new",)], "item_code string")).first().level is None
+
+
+@pytest.mark.parametrize(("names", "want"), [(("1D", "90d", "1y"), {"1D": 1, "90D": 90, "1Y": 365}), ((3, 1.5), {"3D": 3, "1.5D": 1.5}), (("x",), None), (("-2D",), None)])
+def test_horizons(names, want):
+    if want is None:
+        with pytest.raises(ValueError):
+            S.horizons(*names)
+    else:
+        assert S.horizons(*names) == want
+
+
+def test_equipment_is_no_commodity(spark):
+    rows = [(1, "x", "trading", datetime(2024, 1, 2), 1.0, 2.0, 2.0), (2, "x", "itemMarket", datetime(2024, 1, 2), 1.0, 900.0, 900.0), (3, "quiet", "trading", datetime(2023, 1, 1), 1.0, 5.0, 5.0)]
+    t = spark.createDataFrame(rows, "id long, item_code string, transaction_type string, created_at timestamp, quantity double, money double, unit_price double")
+    stats = {(r.item_code, r.horizon): r for r in S.window_stats(t, C.resolve(None, (t, "created_at"))).collect()}
+    assert stats["x", "7D"].max == 2.0 and S.daily_last(t).where("item_code = 'x'").first().price == 2.0
+    # An item without a trade in any window still has its rows.
+    assert (stats["quiet", "30D"].trade_count, stats["quiet", "30D"].vwap, stats["quiet", "30D"].last_trade_price, stats["quiet", "30D"].tendency) == (0, None, None, "Thin")
+
+
+def test_range_position_needs_a_last_price(spark):
+    assert one(spark, X.range_position_pct("l", "a", "b"), l=d(None), a=d(1.0), b=d(2.0)) is None
+    assert one(spark, X.range_position_pct("l", "a", "b"), l=d(3.0), a=d(1.0), b=d(2.0)) == 100.0
+
+
+def test_sql_functions(spark):
+    names = X.register(spark)
+    assert "market_positive_finite" in names
+    assert spark.sql("SELECT market_positive_finite(-1), market_close_to(1, 1 + 1e-13), market_price_gap_pct(11, 10), market_inflation_class(NULL)").first()[:] == (None, True, pytest.approx(10.0), "Insufficient data")
