@@ -142,10 +142,19 @@ def fee_known(verified: Column | str, role: Column | str, fee: Column | str) ->
     return F.coalesce(col(verified) & ((col(role) == "settled") | ((col(role) == "gross") & (f >= 0))), F.lit(False))
 
 
-def production_points(code: Column | str, table: dict[str, float]) -> Column:
-    """Points of an item by its code in lower-case letters and digits."""
-    key = F.regexp_replace(F.lower(col(code)), "[^a-z0-9]", "")
-    return F.element_at(F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(float(v))))), key)
+#: Production points of an item with all that goes into it.
+UPSTREAM_POINTS = {
+    "grain": 1.0, "limestone": 1.0, "lead": 1.0, "petroleum": 1.0, "mysteriousplant": 1.0, "coca": 1.0, "iron": 1.0, "wood": 1.0,
+    "livestock": 20.0, "fish": 40.0, "steel": 20.0, "concrete": 20.0, "oil": 2.0, "paper": 2.0, "bread": 20.0, "steak": 40.0, "cookedfish": 80.0,
+    "lightammo": 2.0, "ammo": 8.0, "heavyammo": 32.0, "pill": 400.0, "cocain": 400.0, "cocaine": 400.0,
+}
+
+
+def production_points(code: Column | str, table: dict[str, float] = UPSTREAM_POINTS, name: Column | str | None = None) -> Column:
+    """Points of an item by its code in lower-case letters and digits, or else by its name."""
+    points = F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(float(v)))))
+    at = lambda c: F.try_element_at(points, F.regexp_replace(F.lower(col(c)), "[^a-z0-9]", ""))
+    return at(code) if name is None else F.coalesce(at(code), at(name))
 
 
 def passive_limit(bid: Column | str, ask: Column | str, tick: Column | float) -> Column:
@@ -231,6 +240,14 @@ def evidence_label(samples: Column | str, accuracy: Column | str, baseline: Colu
     return F.when(col(samples) < least, "Insufficient").when(edge.isNull() | (edge <= 0), "Weak").when(edge < 5, "Limited").otherwise("Supported")
 
 
+def evidence_rank(evidence: Column | str, accuracy: Column | str, baseline: Column | str, samples: Column | str) -> Column:
+    """What forecasts are ordered by: evidence, edge over the baseline, samples; higher is better."""
+    names = ["Insufficient", "Weak", "Limited", "Supported"]
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, names)), col(evidence)) - 1, F.lit(-1))
+    edge = F.coalesce(number(accuracy) - number(baseline), F.lit(float("-inf")))
+    return F.struct(rank.alias("evidence"), edge.alias("edge"), F.coalesce(number(samples), F.lit(0.0)).alias("samples"))
+
+
 def spreadsheet_safe(c: Column | str) -> Column:
     """Text that a spreadsheet would run as a formula gets a leading apostrophe."""
     return F.when(col(c).rlike(r"^[\t\r\n]|^\s*[=+\-@]"), F.concat(F.lit("'"), col(c))).otherwise(col(c))

@@ -62,3 +62,9 @@ def nested(levels: DataFrame) -> DataFrame:
     """One row per snapshot with its bids and asks as arrays, best price first."""
     side = lambda s, desc: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("price", "quantity"))), asc=not desc)
     return levels.groupBy(*KEYS).agg(side("bid", True).alias("bids"), side("ask", False).alias("asks"))
+
+
+def latest_nested(levels: DataFrame) -> DataFrame:
+    """The newest snapshot of each item with its levels; only that snapshot's levels are nested."""
+    newest = levels.groupBy("item_code").agg(F.max("observed_at").alias("observed_at"))
+    return nested(levels.join(newest, KEYS, "left_semi"))

@@ -55,16 +55,23 @@ def features(trades: DataFrame, books: DataFrame, chunk_days: int = 2) -> DataFr
     return out.withColumn("fair_gap_pct", X.change_pct("best_bid", "fair"))
 
 
-def targets(books: DataFrame, horizon_hours: float = 24, lag_hours: float = 6) -> DataFrame:
+def targets(books: DataFrame, horizon_hours: float = 24, lag_hours: float = 6, chunk_days: int = 2) -> DataFrame:
     """For every snapshot the first one at least the horizon later, if it comes within the lag.
 
     The first snapshot is taken even if it has no bid; the caller drops it then, without
-    looking further.
+    looking further. Snapshots are dealt by item and chunk of days, and what looks ahead goes
+    to each chunk that its window touches, so a hot item spreads over its chunks.
     """
+    ahead, lag, chunk = int(horizon_hours * HOUR_US), int(lag_hours * HOUR_US), chunk_days * 24 * HOUR_US
     us = F.unix_micros("observed_at")
-    frame = Window.partitionBy("item_code").orderBy(us).rangeBetween(int(horizon_hours * HOUR_US), int((horizon_hours + lag_hours) * HOUR_US))
-    first = F.first(F.struct(F.col("observed_at").alias("target_at"), F.col("best_bid").alias("target_bid"))).over(frame)
-    return books.withColumn("t", first).select(*books.columns, "t.*")
+    rows = books.select("item_code", us.alias("us"), F.struct(us.alias("us"), F.col("observed_at").alias("target_at"), F.col("best_bid").alias("target_bid")).alias("found"))
+    seen = rows.select("item_code", F.col("us").alias("at"), F.lit(None).cast("long").alias("owner"), "found", F.floor(F.col("us") / chunk).alias("chunk"))
+    start = F.col("us") + ahead
+    look = rows.select("item_code", start.alias("at"), F.col("us").alias("owner"), F.lit(None).cast(rows.schema["found"].dataType).alias("found"), F.explode(F.sequence(F.floor(start / chunk), F.floor((start + lag) / chunk))).alias("chunk"))
+    frame = Window.partitionBy("item_code", "chunk").orderBy("at").rangeBetween(0, lag)
+    first = seen.unionByName(look).withColumn("first", F.first("found", ignorenulls=True).over(frame)).where("owner is not null")
+    best = first.groupBy("item_code", F.timestamp_micros("owner").alias("observed_at")).agg(F.min("first").alias("t"))
+    return books.join(best, ["item_code", "observed_at"]).select(*books.columns, "t.target_at", "t.target_bid")
 
 
 def evaluations(trades: DataFrame, levels: DataFrame, quantity: float = 1.0, tick: float = 0.001, horizon_hours: float = 24, lag_hours: float = 6, seen: DataFrame | None = None) -> DataFrame:

@@ -175,6 +175,12 @@ def by_attractiveness(rows: DataFrame) -> DataFrame:
     return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("attractiveness"), "item_code")))
 
 
+def by_evidence(rows: DataFrame) -> DataFrame:
+    """One row an item, numbered by what its forecast has shown."""
+    rank = X.evidence_rank("evidence", "accuracy_pct", "baseline_pct", "evaluable_samples")
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc(rank), "item_code")))
+
+
 def item_signals(stats: DataFrame, books: DataFrame, fills: DataFrame, forecast: DataFrame, points: DataFrame | None = None) -> DataFrame:
     """The wide row of every item: seven-day measures, last trade and quote, book, fills and forecast.
 

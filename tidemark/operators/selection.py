@@ -39,6 +39,17 @@ def resolve_names(asked: DataFrame, entities: DataFrame) -> DataFrame:
     return asked.join(found, "text", "left").select("text", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("candidates") == 1, F.col("e")).alias("entity"))
 
 
+def summaries_of(asked: DataFrame, entities: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The ledger row of each text that names one account, and how many candidates it has.
+
+    A text without candidates is taken for an id that has no known name.
+    """
+    found = resolve_names(asked, entities)
+    account = F.when(F.col("candidates") == 0, F.col("text")).otherwise(F.col("entity.id"))
+    rows = found.select("text", "candidates", F.coalesce("entity.kind", F.lit("user")).alias("kind"), account.alias("account"))
+    return rows.join(ledger, ["kind", "account"], "left")
+
+
 def with_names(ledger: DataFrame, entities: DataFrame) -> DataFrame:
     """Ledger rows with the name of their entity and, for users, of the country they belong to."""
     own = entities.select("kind", F.col("id").alias("account"), "name", "citizenship_id")

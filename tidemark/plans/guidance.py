@@ -133,3 +133,11 @@ def item_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT item_code, CASE WHEN sp > 0 AND rp > 0 AND trades_7d > 0 THEN sp * trades_7d / rp END AS a FROM n) SELECT CAST(row_number() OVER (ORDER BY a DESC NULLS LAST, item_code) AS BIGINT) AS position, item_code, round(a, 6) + 0.0 AS attractiveness FROM o""")
 def market_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(G.by_attractiveness(G.market_metrics(_signals(spark, sf_dir))).select("position", "item_code", "attractiveness"))
+
+
+@query("forecast_order", f"""WITH {SUMMARY}, r AS (SELECT item_code, CASE WHEN evaluable_samples < 30 THEN 0 WHEN accuracy_pct <= baseline_pct THEN 1 WHEN accuracy_pct - baseline_pct < 5 THEN 2 ELSE 3 END AS e, coalesce(accuracy_pct - baseline_pct, '-infinity'::DOUBLE) AS edge, evaluable_samples AS n FROM fsum)
+SELECT CAST(row_number() OVER (ORDER BY e DESC, edge DESC, n DESC, item_code) AS BIGINT) AS position, item_code FROM r""")
+def forecast_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, levels = T.tape(spark, sf_dir), B.merged_levels(T.book_levels(spark, sf_dir))
+    seen = P.features(t, B.summaries(levels))
+    return r6(G.by_evidence(P.forecast_summary(P.evaluations(t, levels, seen=seen), P.current_signals(seen))).select("position", "item_code"))

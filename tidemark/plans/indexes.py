@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import context as C
+from tidemark.functions import exprs as X
 from tidemark.operators import coverage as V
 from tidemark.operators import indexes as I
 from tidemark.operators import resolve as R
@@ -326,9 +327,10 @@ def item_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).distinct()
 
 
-@query("data_clock", f"WITH {TAPE}, {QUOTES} SELECT {stamp('max(x)')} AS data_as_of FROM (SELECT max(created_at) AS x FROM tape UNION ALL SELECT max(observed_at) FROM quotes)")
+@query("data_clock", f"WITH {TAPE}, {QUOTES}, {BOOK} SELECT {stamp('max(x)')} AS data_as_of, {stamp("date_trunc('day', max(x))")} AS last_midnight FROM (SELECT max(created_at) AS x FROM all_trades UNION ALL SELECT max(observed_at) FROM quotes UNION ALL SELECT max(observed_at) FROM book_levels)")
 def data_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(C.data_clock((T.tape(spark, sf_dir), "created_at"), (T.quotes(spark, sf_dir), "observed_at")))
+    clock = C.data_clock((T.tape(spark, sf_dir), "created_at"), (T.quotes(spark, sf_dir), "observed_at"), (T.book_levels(spark, sf_dir), "observed_at"))
+    return r6(clock.withColumn("last_midnight", X.complete_midnight("data_as_of")))
 
 
 @query("table_inventory", f"WITH {TAPE} SELECT transaction_type, count(*) AS n, count(unit_price) AS priced, {stamp('min(created_at)')} AS first_at, {stamp('max(created_at)')} AS last_at FROM all_trades GROUP BY transaction_type")

@@ -272,3 +272,14 @@ SELECT id, kind, account, costed, round(CASE WHEN costed THEN money - hm END, 6)
 def equipment_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = L.sides(_rows(spark, sf_dir)[0]).where("transaction_type = 'itemMarket'").withColumns({"instance_id": F.concat(F.lit("i"), F.col("id") % 50), "lineage_verified": F.col("id") % 3 != 0})
     return r6(L.equipment_lineage(parts).select("id", "kind", "account", "costed", "profit"))
+
+
+@query("entity_summaries", f"""WITH {ACCS}, {T.ENTITIES_SQL}, asked AS (SELECT name AS text FROM entities UNION SELECT 'u149' UNION SELECT 'nobody'), hits AS (SELECT text, kind, id, 0 AS way FROM asked JOIN entities ON text = id UNION SELECT text, kind, id, 1 FROM asked JOIN entities ON lower(text) = lower(name)),
+one AS (SELECT text, count(id) AS candidates, CASE WHEN count(id) = 1 THEN min(kind) ELSE 'user' END AS kind, CASE WHEN count(id) = 1 THEN min(id) WHEN count(id) = 0 THEN text END AS account FROM asked LEFT JOIN (SELECT * FROM hits QUALIFY way = min(way) OVER (PARTITION BY text)) USING (text) GROUP BY text)
+SELECT text, candidates, kind, account, buys, sells, round(turnover, 6) + 0.0 AS turnover FROM one LEFT JOIN accs USING (kind, account)""")
+def entity_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every known entity asked for by name, one id without a name and a name of nobody."""
+    e = T.entities(spark, sf_dir)
+    more = e.limit(1).select(F.explode(F.array(F.lit("u149"), F.lit("nobody"))).alias("text"))
+    out = N.summaries_of(e.select(F.col("name").alias("text")).union(more).distinct(), e, _accounts(spark, sf_dir)[1])
+    return r6(out.select("text", "candidates", "kind", "account", "buys", "sells", "turnover"))

@@ -273,6 +273,13 @@ def book_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(B.nested(_levels(spark, sf_dir)).select("item_code", "observed_at", text("bids"), text("asks")))
 
 
+@query("latest_book", f"""WITH {LEVELS}, n AS (SELECT * FROM levels QUALIFY observed_at = max(observed_at) OVER (PARTITION BY item_code)) SELECT item_code, {stamp('max(observed_at)')} AS observed_at, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (side = 'ask') AS asks,
+  round(max(price) FILTER (side = 'bid'), 6) + 0.0 AS best_bid, round(min(price) FILTER (side = 'ask'), 6) + 0.0 AS best_ask FROM n GROUP BY item_code""")
+def latest_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.latest_nested(_levels(spark, sf_dir))
+    return r6(out.select("item_code", "observed_at", F.size("bids").alias("bids"), F.size("asks").alias("asks"), F.get("bids", F.lit(0))["price"].alias("best_bid"), F.get("asks", F.lit(0))["price"].alias("best_ask")))
+
+
 @query("latest_execution", f"""WITH {SWEEP}, l AS (SELECT item_code, max(observed_at) AS observed_at FROM levels GROUP BY item_code), c AS (SELECT max(ts) AS now FROM events)
 SELECT item_code, {stamp('observed_at')} AS observed_at, side, {rounded('filled', 'vwap')}, round(greatest(0, epoch_us(now) - epoch_us(observed_at)) / 60000000.0, 6) AS age_minutes FROM sw JOIN l USING (item_code, observed_at), c""")
 def latest_execution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,6 +316,13 @@ def forecast_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 AHEAD = """, ahead AS (SELECT a.item_code, a.observed_at, b.observed_at AS target_at, b.best_bid AS target_bid FROM sums a ASOF LEFT JOIN sums b ON a.item_code = b.item_code AND b.observed_at >= a.observed_at + INTERVAL 24 HOURS)"""
 
 
+@query("direction_reasons", f"""WITH {FEATURES} SELECT item_code, {stamp('observed_at')} AS observed_at, array_to_string(list_filter([CASE WHEN momentum_pct >= 6 THEN 'strong_positive_momentum' END, CASE WHEN momentum_pct >= 1 AND momentum_pct < 6 THEN 'positive_momentum' END, CASE WHEN momentum_pct <= -6 THEN 'strong_negative_momentum' END,
+  CASE WHEN momentum_pct <= -1 AND momentum_pct > -6 THEN 'negative_momentum' END, CASE WHEN fair_gap_pct <= -2 THEN 'below_fair' END, CASE WHEN fair_gap_pct >= 2 THEN 'above_fair' END], lambda x: x IS NOT NULL), ',') AS reasons FROM feats""")
+def direction_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = P.features(T.tape(spark, sf_dir), B.summaries(_levels(spark, sf_dir)))
+    return r6(seen.select("item_code", "observed_at", F.array_join(X.direction_reasons("momentum_pct", "fair_gap_pct"), ",").alias("reasons")))
+
+
 @query("forecast_targets", f"""WITH {SUMS}{AHEAD} SELECT item_code, {stamp('observed_at')} AS observed_at, CASE WHEN target_at <= observed_at + INTERVAL 30 HOURS THEN {stamp('target_at')} END AS target_at,
   round(CASE WHEN target_at <= observed_at + INTERVAL 30 HOURS THEN target_bid END, 6) + 0.0 AS target_bid FROM ahead""")
 def forecast_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
