@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +38,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def hand_back(spark: SparkSession) -> None:
+    """Let the executors collect their garbage, which also returns heap that is free.
+
+    A run of many stages otherwise takes each executor to its largest heap, beside which the
+    native memory and the Python workers of later stages have less room than alone.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    spark.range(0, slots, 1, slots).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, computed once and read from the shared folder from now on."""
     shared_folder(df.sparkSession)

@@ -34,7 +34,7 @@ SAME, SEEN = BUCKETS, BUCKETS + 1
 EPOCHS, BATCH, RATE, DECAY = 8, 32, 0.5, 1e-5
 #: Steps of a vector against those of the layer: a bucket's share of a document is small.
 SCALE = 40.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def buckets_of(word: str) -> list[int]:

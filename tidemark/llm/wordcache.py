@@ -31,20 +31,26 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ow
 
     @functools.wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name in [name for name in _HELD if name != owner]:
-            del _HELD[name]
+        if others := [name for name in _HELD if name != owner]:
+            for name in others:
+                del _HELD[name]
+            give_back()
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            # Only some C libraries can return freed memory to the system.
-            with contextlib.suppress(AttributeError, OSError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as far as the libraries can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Recent:
     """Two generations of words: when the young one is full it becomes the old one.
 
