@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import jaccard, packing, quality, secrets, toxicity
-from tidemark.llm.lineage import shared_folder
+from tidemark.llm.lineage import hand_back, shared_folder
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +23,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hand_back(spark)
     return toxicity.drop_toxic(docs, _labels(spark, sf_dir))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hand_back(spark)
     return quality.drop_poor(docs, _labels(spark, sf_dir))
 
 
@@ -35,14 +37,17 @@ WORDS, PERCENT = 5, 80
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hand_back(spark)
     return jaccard.keep_one(docs, WORDS, PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hand_back(spark)
     return secrets.mask_secrets(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hand_back(spark)
     import public_tokenizers
 
     return packing.pack(packing.cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
