@@ -39,10 +39,10 @@ CACHE_WORDS = 150_000
 
 def buckets_of(word: str) -> list[int]:
     """The buckets of a word's whole form and of its n-grams, marked at its borders."""
-    marked = f"<{word}>".encode("utf-8", "replace")
-    found = [zlib.crc32(marked) % BUCKETS]
+    marked, crc = f"<{word}>".encode("utf-8", "replace"), zlib.crc32
+    found = [crc(marked) % BUCKETS]
     for n in GRAMS:
-        found += [zlib.crc32(marked[i : i + n], n) % BUCKETS for i in range(len(marked) - n + 1)]
+        found += [crc(marked[i : i + n], n) % BUCKETS for i in range(len(marked) - n + 1)]
     return found
 
 
@@ -92,12 +92,16 @@ class Embeddings:
         line = w[:, 1] - w[:, 0]
         self.gain, self.bias = (e @ line).astype(np.float64), float(b[1] - b[0])
 
-    def word(self, word: str) -> float:
-        return float(self.gain[buckets_of(word)].mean())
-
     def scorer(self) -> Callable[[str], float]:
         """A task's own function for texts, with the numbers of the words it has seen lately."""
-        cache, same_gain, seen_gain = Recent(self.word, CACHE_WORDS), float(self.gain[SAME]), float(self.gain[SEEN])
+        gain = self.gain.tolist()
+        at, same_gain, seen_gain = gain.__getitem__, gain[SAME], gain[SEEN]
+
+        def value(word: str) -> float:
+            found = buckets_of(word)
+            return sum(map(at, found)) / len(found)
+
+        cache = Recent(value, CACHE_WORDS)
 
         def score(text: str) -> float:
             words = text.split()
