@@ -2,7 +2,7 @@
 
 Each text is tokenized once. It is cut into full windows and a rest of small pieces, and
 each piece's checksum is taken at once, so only (document, start, length) rows go on. Rests
-are dealt into groups by a hash of the piece and each group is split by Karmarkar and Karp's method:
+are laid end to end and cut in groups, and each group is split by Karmarkar and Karp's method:
 a partial partition is a vector of window sums; the two whose sums differ most are merged,
 the largest window of one with the smallest of the other, until one partition is left. If
 its largest window exceeds the capacity, the window count rises and the group is split again.
@@ -18,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.lineage import kept, small_batches
@@ -180,21 +181,38 @@ def split_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += max(1, windows // 256)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, id_col: str = "doc_id") -> DataFrame:
+def numbered(rests: DataFrame) -> DataFrame:
+    """Add part and upto to the rows: the task's number, and its tokens up to the end of the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            upto = at + np.cumsum(batch.column("length").to_numpy())
+            at = int(upto[-1]) if len(upto) else at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(upto), part, np.int32)), pa.array(upto.astype(np.int64))], [*batch.schema.names, "part", "upto"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rests.schema.fields)
+    return rests.mapInArrow(run, f"{kinds}, part int, upto long")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP_WINDOWS, piece: int = PIECE, id_col: str = "doc_id") -> DataFrame:
     """Add sequence_id and offset to the rows of ``cut_pieces``.
 
-    A full piece is a window of its own. The pieces are written first, so each has a number
-    that stays the same if a task is run again. The rests are dealt by a hash of the row and
-    that number, so repeated rows of one document and a hot key spread over all groups; the
-    number of groups follows the tokens to be packed. An empty table gives no rows.
+    A full piece is a window of its own. The pieces are written first, so their order stays
+    the same if a task is run again. The rests are laid end to end in that order and cut in
+    groups of just under ``group_windows`` windows, so every group but the last is as large
+    as the others, whatever documents repeat or are hot. An empty table gives no rows.
     """
     pieces = kept(pieces)
-    rests = pieces.where(F.col("length") < capacity)
-    total = rests.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, round(total / (capacity * group_windows)))
+    rests = numbered(pieces.where(F.col("length") < capacity))
+    # One row a task: their sums are added up before them.
+    sums = rests.groupBy("part").agg(F.max("upto").alias("tokens"))
+    starts = sums.select("part", F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_at"))
+    # A piece less than whole windows leaves differencing some room.
+    size = max(capacity, capacity * group_windows - piece)
 
     def deal(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["id", "start", "copy"], kind="stable").reset_index(drop=True)
+        batch = batch.sort_values(["id", "start", "at"], kind="stable").reset_index(drop=True)
         window = split_group(batch["length"].to_numpy(np.int64), capacity)
         batch["window"] = window
         batch["offset"] = batch.groupby("window")["length"].cumsum() - batch["length"]
@@ -202,9 +220,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int = GROUP
 
     kind = pieces.schema["id"].dataType.simpleString()
     columns = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
-    dealt = rests.withColumn("copy", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("id", "start", "length", "ids_crc32", "copy"), F.lit(groups)))
-    packed = dealt.groupBy("group").applyInPandas(deal, f"{columns}, copy long, group long, window long, offset long")
+    placed = rests.join(F.broadcast(starts), "part").withColumn("at", F.col("start_at") + F.col("upto") - F.col("length"))
+    dealt = placed.select("id", "start", "length", "ids_crc32", "doc_tokens", "at", F.floor(F.col("at") / size).alias("group"))
+    packed = dealt.groupBy("group").applyInPandas(deal, f"{columns}, at long, group long, window long, offset long")
     full = pieces.where(F.col("length") >= capacity).withColumns({"window": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rows = full.withColumn("sequence_id", F.col("window") * 2 + 1).unionByName(
         packed.withColumn("sequence_id", (F.col("group") * 2**24 + F.col("window")) * 2), allowMissingColumns=True
