@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, jaccard, languages, neardup_vectors, packing, pages, quality, secrets, topk, toxicity
+from tidemark.llm import bpe, divergence, jaccard, languages, lexical, neardup_vectors, packing, pages, quality, secrets, sharding, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_exact_topk": topk.op10_exact_topk,
+        "op11_ranked_search": lexical.op11_ranked_search,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_topk": topk.OP10_SQL}
+    return {
+        "op10_exact_topk": topk.OP10_SQL,
+        "op11_ranked_search": lexical.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
+        "op13_sharding": sharding.OP13_SQL,
+    }
