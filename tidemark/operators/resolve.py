@@ -1,4 +1,4 @@
-"""Resolving revisions of records: newer values win, absent ones never delete."""
+"""Resolving revisions of records: newer values and newer nulls win, absent ones never delete."""
 
 from __future__ import annotations
 
@@ -6,37 +6,66 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def field_log(arrivals: DataFrame) -> DataFrame:
+    """(id, arrival, revised_at, field, value) of arrivals with their fields as a map.
+
+    A field that an arrival has is a row, null or not; one that it lacks is none. An arrival
+    without fields has one row without a field.
+    """
+    return arrivals.select("id", "arrival", "revised_at", F.explode_outer("fields").alias("field", "value"))
+
+
 def latest_fields(log: DataFrame) -> DataFrame:
     """The value of each (id, field) of a log (id, field, value, revised_at, arrival).
 
-    The newest revision wins and of equal ones the first to arrive; values without a
-    revision fill only what nothing else does. Rows without a value say nothing.
+    The newest revision wins and of equal ones the first to arrive, with its null too: a
+    newer null blanks a value, and older values do not come back. Fields without any revision
+    have the first value that is not null. An aggregate, so a much revised id does not meet
+    in one task before it is combined.
     """
-    said = log.where("value is not null")
-    return said.groupBy("id", "field").agg(
-        F.coalesce(
-            F.max_by("value", F.when(F.col("revised_at").isNotNull(), F.struct("revised_at", (-F.col("arrival")).alias("first")))),
-            F.min_by("value", F.when(F.col("revised_at").isNull(), F.col("arrival"))),
-        ).alias("value"),
-        F.max("revised_at").alias("revised_at"), F.count("*").alias("revisions"),
-    )
+    revised, said = F.col("revised_at").isNotNull(), F.col("value").isNotNull()
+    newest = F.max_by(F.struct("value"), F.when(revised, F.struct("revised_at", (-F.col("arrival")).alias("first"))))
+    filled = F.min_by("value", F.when(~revised & said, F.col("arrival")))
+    found = log.where("field is not null").groupBy("id", "field").agg(newest.alias("newest"), filled.alias("filled"), F.max("revised_at").alias("revised_at"), F.count("*").alias("revisions"))
+    value = F.when(F.col("revised_at").isNull(), F.col("filled")).otherwise(F.col("newest.value"))
+    return found.select("id", "field", value.alias("value"), value.isNull().alias("is_null"), "revised_at", "revisions")
 
 
 def outcomes(log: DataFrame) -> DataFrame:
-    """What each arrival did to its record: inserted, enriched or unchanged."""
-    order = Window.partitionBy("id", "field").orderBy("arrival")
-    seen = F.max("revised_at").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    had = F.count("value").over(order.rowsBetween(Window.unboundedPreceding, -1)) > 0
-    changes = F.col("value").isNotNull() & (~had | (F.col("revised_at") > seen) | (F.col("revised_at").isNotNull() & seen.isNull()))
-    rows = log.withColumns({"changes": F.coalesce(changes, F.lit(False)), "first": F.col("arrival") == F.min("arrival").over(Window.partitionBy("id"))})
-    per = rows.groupBy("id", "arrival").agg(F.max("changes").alias("changes"), F.max("first").alias("first"))
-    return per.select("id", "arrival", F.when(F.col("first"), "inserted").when(F.col("changes"), "enriched").otherwise("unchanged").alias("outcome"))
-
-
-def identity_conflicts(records: DataFrame, fields: list[str]) -> DataFrame:
-    """Records whose identity differs from what first arrived under their id."""
-    first = records.groupBy("id").agg(F.min_by(F.struct(*fields), "arrival").alias("first"))
-    return records.join(first, "id").where(~F.struct(*fields).eqNullSafe(F.col("first"))).drop("first")
+    """What each arrival of accepted records did to its record: inserted, enriched or unchanged.
+
+    A field changes when it comes for the first time, with a newer revision, even of the
+    same value, or with a value where only nulls without a revision were.
+    """
+    before = Window.partitionBy("id", "field").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    seen, prior, had = F.count("*").over(before) > 0, F.max("revised_at").over(before), F.count("value").over(before) > 0
+    newer = F.col("revised_at").isNotNull() & (prior.isNull() | (F.col("revised_at") > prior))
+    changes = F.col("field").isNotNull() & (~seen | newer | (F.col("value").isNotNull() & ~had & prior.isNull()))
+    first = log.groupBy("id").agg(F.min("arrival").alias("first"))
+    per = log.withColumn("changes", F.coalesce(changes, F.lit(False))).groupBy("id", "arrival").agg(F.max("changes").alias("changes"))
+    outcome = F.when(F.col("arrival") == F.col("first"), "inserted").when(F.col("changes"), "enriched").otherwise("unchanged")
+    return per.join(first, "id").select("id", "arrival", outcome.alias("outcome"))
+
+
+def identity_conflicts(records: DataFrame, fields: list[str], optional: list[str] | None = None) -> DataFrame:
+    """Records whose identity differs from what first arrived under their id.
+
+    ``optional`` fields conflict only where both sides have a value; the first value counts
+    that came with the right ``fields``, even if a newer null has blanked it since.
+    """
+    same = F.struct(*fields).eqNullSafe(F.col("first"))
+    rows = records.join(records.groupBy("id").agg(F.min_by(F.struct(*fields), "arrival").alias("first")), "id")
+    wrong = ~same
+    for n, c in enumerate(optional or []):
+        rows = rows.join(rows.where(same).groupBy("id").agg(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(f"first_{n}")), "id")
+        wrong = wrong | F.coalesce(F.col(c) != F.col(f"first_{n}"), F.lit(False))
+    return rows.where(wrong).select(*records.columns)
+
+
+def by_identity(records: DataFrame, fields: list[str], optional: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, set aside): records of one identity each, and those in conflict with it."""
+    aside = identity_conflicts(records, fields, optional)
+    return records.join(aside.select("id", "arrival"), ["id", "arrival"], "left_anti"), aside
 
 
 def valid_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

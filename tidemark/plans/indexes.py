@@ -146,11 +146,13 @@ INFLATION = TRAIL + """, l AS (SELECT index_key, as_of, sum(weight) * 100 AS cov
 pair AS (SELECT n.days, p.item_code, p.as_of, p.price, q.price AS price_before FROM prices p, (VALUES (7), (30), (90)) n(days), prices q WHERE p.item_code = q.item_code AND p.as_of = q.as_of + CAST(n.days AS INTEGER)),
 chg AS (SELECT index_key, as_of, days, sum(weight) * 100 AS matched_pct, (sum(weight * price / base_price) / sum(weight * price_before / base_price) - 1) * 100 AS c FROM weights JOIN bp USING (item_code) JOIN pair USING (item_code) GROUP BY ALL),
 chg2 AS (SELECT *, CASE WHEN matched_pct + 1e-12 >= 80 THEN c END AS change_pct FROM chg),
-infl AS (SELECT l.index_key, l.as_of, CASE WHEN l.coverage_pct + 1e-12 >= 80 THEN 100 * x / w END AS level, days || 'D' AS period_label, change_pct FROM l LEFT JOIN chg2 USING (index_key, as_of))"""
+published AS (SELECT unnest(['broad', 'effort']) AS index_key UNION ALL SELECT 'basket_' || k FROM range(1, 10) r(k)),
+infl AS (SELECT l.index_key, l.as_of, CASE WHEN l.coverage_pct + 1e-12 >= 80 THEN 100 * x / w END AS level, days || 'D' AS period_label, change_pct FROM l LEFT JOIN chg2 USING (index_key, as_of)
+  UNION ALL SELECT index_key, NULL, NULL, n.days || 'D', NULL FROM published, (VALUES (7), (30), (90)) n(days) WHERE index_key NOT IN (SELECT index_key FROM l))"""
 
 
 @query("market_inflation", f"""WITH {INFLATION} SELECT index_key, {day('as_of')} AS as_of, period_label, {rounded('level', 'change_pct')}, CASE WHEN change_pct IS NULL THEN 'Insufficient data' WHEN change_pct > 0.1 THEN 'Inflation' WHEN change_pct < -0.1 THEN 'Deflation' ELSE 'Stable' END AS classification,
-  CASE WHEN level IS NULL THEN 'level_unavailable' WHEN change_pct IS NULL THEN 'comparison_unavailable' ELSE 'available' END AS availability_status FROM infl""")
+  CASE WHEN as_of IS NULL THEN 'definition_unavailable' WHEN level IS NULL THEN 'level_unavailable' WHEN change_pct IS NULL THEN 'comparison_unavailable' ELSE 'available' END AS availability_status FROM infl""")
 def market_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, b, p = _index(spark, sf_dir)
     changes = None
@@ -260,30 +262,6 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(V.clamped(_scans(spark, sf_dir), F.lit(cutoff).cast("timestamp") - F.expr("interval 10 days")))
 
 
-LOG = """log AS (SELECT event_id AS id, 'value' AS field, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS value, CASE WHEN event_id % 3 <> 0 THEN event_id % 3 END AS revised_at, 0 AS arrival FROM events
-  UNION ALL SELECT event_id, 'value', CASE WHEN event_id % 5 <> 0 THEN CAST(CAST(round(value * 100) AS BIGINT) + 100 AS VARCHAR) END, CASE WHEN event_id % 4 <> 0 THEN event_id % 4 END, 1 FROM events)"""
-
-
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, cents = T.read(spark, sf_dir, "events"), F.round(F.col("value") * 100).cast("long")
-    rev = lambda n: F.when(F.col("event_id") % n != 0, F.col("event_id") % n)
-    one = e.select(F.col("event_id").alias("id"), F.lit("value").alias("field"), cents.cast("string").alias("value"), rev(3).alias("revised_at"), F.lit(0).alias("arrival"))
-    two = e.select(F.col("event_id").alias("id"), F.lit("value").alias("field"), F.when(F.col("event_id") % 5 != 0, (cents + 100).cast("string")).alias("value"), rev(4).alias("revised_at"), F.lit(1).alias("arrival"))
-    return one.unionByName(two)
-
-
-@query("resolved_fields", f"""WITH {LOG} SELECT id, field, coalesce(arg_max(value, (revised_at, -arrival)) FILTER (value IS NOT NULL AND revised_at IS NOT NULL), arg_min(value, arrival) FILTER (value IS NOT NULL AND revised_at IS NULL)) AS value,
-  max(revised_at) FILTER (value IS NOT NULL) AS revised_at, count(value) AS revisions FROM log GROUP BY id, field HAVING count(value) > 0""")
-def resolved_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.latest_fields(_log(spark, sf_dir))
-
-
-@query("ingest_outcomes", f"""WITH {LOG}, a AS (SELECT * FROM log WHERE arrival = 0), b AS (SELECT * FROM log WHERE arrival = 1)
-SELECT outcome, count(*) AS n FROM (SELECT 'inserted' AS outcome FROM a UNION ALL SELECT CASE WHEN b.value IS NOT NULL AND (b.revised_at > a.revised_at OR (b.revised_at IS NOT NULL AND a.revised_at IS NULL)) THEN 'enriched' ELSE 'unchanged' END FROM a JOIN b USING (id)) GROUP BY outcome""")
-def ingest_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.outcomes(_log(spark, sf_dir)).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
 @query("identity_conflicts", """WITH r AS (SELECT event_id % 2000 AS id, event_type AS item_code, event_id AS arrival FROM events), f AS (SELECT id, arg_min(item_code, arrival) AS first FROM r GROUP BY id)
 SELECT item_code, count(*) AS n FROM r JOIN f USING (id) WHERE item_code <> first GROUP BY item_code""")
 def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
