@@ -24,7 +24,7 @@ SHARDS = 24
 RECORD_BYTES = 8
 #: Equal rows that are placed as one.
 RUN = 65_536
-#: Ranges of all shards together at most: their counts are broadcast.
+#: Ranges of all shards together at most: so many counts are summed up, whatever the rows.
 RANGES = 1 << 17
 #: Hex digits of a draw: 52 bits, all of them exact in a double.
 DIGITS = 13
@@ -81,7 +81,7 @@ def manifest(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, added:
     before = counts.select("shard", "range", (F.sum("rows").over(Window.partitionBy("shard").orderBy("range")) - F.col("rows")).alias("before"))
     own = Window.partitionBy("shard", "range").orderBy("order", "doc_id", "size", "text_crc32", "run")
     placed = runs.withColumn("first", F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    placed = placed.join(F.broadcast(before), ["shard", "range"])
+    placed = placed.join(before, ["shard", "range"])
     each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
     return each.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("first") + F.col("copy")).alias("slot"), "grown_shard")
 
