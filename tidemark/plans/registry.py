@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import guidance, indexes, intake, ledger, market
+from tidemark.plans import facts, guidance, indexes, intake, ledger, market
 
-MODULES = (market, guidance, indexes, ledger, intake)
+MODULES = (market, guidance, indexes, ledger, intake, facts)
 
 
 def queries() -> dict:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,14 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> S
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share, under the session's checkpoint folder; a temporary one on a single machine without that."""
+    context = spark.sparkContext
+    shared = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all machines of the cluster share.")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

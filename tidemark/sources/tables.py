@@ -14,8 +14,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intraday trades from events: five items, thirty days; every nineteenth is one of equipment."""
+    return tape_of(read(spark, sf_dir, "events"))
+
+
+def tape_of(events: DataFrame) -> DataFrame:
+    """The same from events that may be a stream."""
     quantity = F.get_json_object("props", "$.k").cast("double")
-    rows = read(spark, sf_dir, "events").select(
+    rows = events.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("item_code"), F.when(F.col("event_id") % 19 == 0, "itemMarket").otherwise("trading").alias("transaction_type"),
         F.col("ts").cast("timestamp").alias("created_at"), quantity.alias("quantity"), (F.col("value") * quantity).alias("money"),
         F.col("user_id").alias("buy_user"), ((F.col("event_id") * 13) % 150).alias("sell_user"),
@@ -76,7 +81,12 @@ def ledger_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Most settlements are verified, some amounts are missing, and trades of equipment carry it.
     """
-    t = tape(spark, sf_dir)
+    return ledger_trades_of(read(spark, sf_dir, "events"))
+
+
+def ledger_trades_of(events: DataFrame) -> DataFrame:
+    """The same from events that may be a stream."""
+    t = tape_of(events)
     buy, sell, at = F.col("buy_user"), F.col("sell_user"), F.col("id")
     mu = lambda u: F.when(u % 7 == 0, F.concat(F.lit("m"), u % 5))
     country = lambda u: F.when(u % 11 == 0, F.concat(F.lit("c"), u % 3))
