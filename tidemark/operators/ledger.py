@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
+from tidemark.session import stored
 
 KINDS = ("user", "mu", "country", "party")
 #: Kinds of accounts that have boards.
@@ -18,6 +19,8 @@ RANKED = ("user", "mu", "country")
 #: Share of a participant's turnover that its listed categories must reach, categories on top, and rows of a board.
 DETAIL_SHARE, TOP, BOARD = 0.8, 3, 10
 WINDOW_DAYS = 7
+#: Digits after the point that quantities are matched in.
+QUANTITY_DIGITS = 9
 
 
 def account(side: str) -> Column:
@@ -67,16 +70,19 @@ def sides(rows: DataFrame) -> DataFrame:
     Gross and net amounts come from the columns settlement_verified, settlement_role and
     settlement_fee, if there are any.
     """
-    verified = "settlement_verified" in rows.columns
-    money = known("money")
-
-    def side(name: str, who: str) -> Column:
-        paid = X.settlement(money, "settlement_verified", "settlement_role", "settlement_fee", name) if verified else F.lit(None).cast("struct<gross:double,net:double>")
-        fee = X.fee_known("settlement_verified", "settlement_role", "settlement_fee") if verified else F.lit(False)
-        return F.struct(F.lit(name).alias("side"), F.col(f"{who}.kind").alias("kind"), F.col(f"{who}.id").alias("account"), F.col(f"{who}.actor").alias("actor"), paid["gross"].alias("gross"), paid["net"].alias("net"), fee.alias("fee_known"))
-
-    both = rows.where("not self_trade").withColumn("s", F.explode(F.array(side("buy", "buyer"), side("sell", "seller"))))
-    return both.select("id", "created_at", "transaction_type", "item_code", "category", money.alias("money"), known("quantity").alias("quantity"), "s.*").where("account is not null")
+    # Amounts are columns before they are used, several times, in what follows: as one expression they outgrow what is compiled.
+    rows = rows.withColumns({"money": known("money"), "quantity": known("quantity")})
+    if "settlement_verified" in rows.columns:
+        rows = rows.withColumn("settlement_fee", known("settlement_fee"))
+        evidence = ("settlement_verified", "settlement_role", "settlement_fee")
+        paid = {f"{name}_paid": X.settlement("money", *evidence, name) for name in ("buy", "sell")} | {"fee_known": X.fee_known(*evidence)}
+    else:
+        paid = {f"{name}_paid": F.lit(None).cast("struct<gross:double,net:double>") for name in ("buy", "sell")} | {"fee_known": F.lit(False)}
+    rows = rows.withColumns(paid)
+    side = lambda name, who: F.struct(F.lit(name).alias("side"), F.col(f"{who}.kind").alias("kind"), F.when(~F.col("self_trade"), F.col(f"{who}.id")).alias("account"), F.col(f"{who}.actor").alias("actor"), F.col(f"{name}_paid.gross").alias("gross"), F.col(f"{name}_paid.net").alias("net"))
+    # Self trades go with the sides without an account: a filter before would carry all of the above down to the scan.
+    both = rows.withColumn("s", F.explode(F.array(side("buy", "buyer"), side("sell", "seller"))))
+    return both.select("id", "created_at", "transaction_type", "item_code", "category", "money", "quantity", "s.*", "fee_known").where("account is not null")
 
 
 def attribution_totals(rows: DataFrame) -> DataFrame:
@@ -206,48 +212,99 @@ def detail_status(accounts: DataFrame, details: DataFrame) -> DataFrame:
     return out.select("kind", "account", status.alias("status"), F.coalesce("selected", F.lit(0)).alias("selected"), F.when((status == "complete"), F.col("selected_turnover") / F.col("turnover")).alias("selected_share"))
 
 
-def fifo(parts: DataFrame) -> DataFrame:
+def fifo(parts: DataFrame, scale: int | None = None) -> DataFrame:
     """Sales of commodities matched with the oldest purchases of strictly earlier time.
 
     Sold and bought quantities are laid end to end; a sale owns the interval between what
-    was matched before and after it, a lot the interval of its quantity. The ends of both
-    are put in one order, where each piece between two ends has at most one sale and one
-    lot, those whose end comes next: so matches are as many as ends, whatever overlaps. A
-    sale of unknown quantity clears what was held, a purchase of unknown quantity bars later
-    lots until then. Everything goes by account, item and segment.
+    was matched before and after it, a lot the interval of its quantity. A sale of unknown
+    quantity clears what was held and begins a new segment, a purchase of unknown quantity
+    bars later lots until then. Quantities are whole numbers of units, of nine digits after
+    the point or of ``scale``, so what is matched is exact. With a ``scale``, quantities stay in
+    units and amounts as they are given, for ``exact``; else they are doubles beside profits.
+
+    One account's one item is never in one task: running sums and maxima are taken within
+    days and carried from day to day (a row each). The line of quantities is cut where a day's
+    purchases or its matched sales end, so a cell has lots of one day and sales of one day, and
+    only what lies across a cut is in two cells. In a cell the ends of both are put in one
+    order, where each piece between two ends has at most one sale and one lot, those whose
+    end comes next: so matches are as many as ends, whatever overlaps.
     """
-    keys = ["kind", "account", "item_code"]
-    rows = parts.where("transaction_type = 'trading'").withColumns({"us": F.unix_micros("created_at"), "unknown": ~F.coalesce(F.col("quantity") > 0, F.lit(False))})
-    before = Window.partitionBy(*keys).orderBy("us", "id").rowsBetween(Window.unboundedPreceding, -1)
-    equal = F.count("*").over(Window.partitionBy(*keys, "us")) > 1
-    rows = rows.withColumns({"segment": F.coalesce(F.sum(((F.col("side") == "sell") & F.col("unknown")).cast("int")).over(before), F.lit(0)), "equal_time": equal})
-    seg = [*keys, "segment"]
-    order = Window.partitionBy(*seg).orderBy("us", "id")
+    unit, kind = 10 ** (QUANTITY_DIGITS if scale is None else scale), "decimal(38,0)"
+    amount = F.floor(F.col("quantity").cast("decimal(38,18)") * F.lit(unit)).cast(kind)
+    number = lambda c: F.coalesce(c, F.lit(0)).cast(kind)
+    place, bought, sold = F.struct("us", "id"), F.col("bought"), F.col("sold")
+    rows = parts.where("transaction_type = 'trading'").withColumns({"key": F.struct("kind", "account", "item_code"), "us": F.unix_micros("created_at"), "quantity": amount})
+    rows = stored(rows.select("key", F.expr("us div 86400000000").alias("day"), "us", "id", "side", "quantity", "money", "gross", "net", "fee_known"), "parts")
+    rows = rows.withColumn("unknown", ~F.coalesce(F.col("quantity") > 0, F.lit(False)))
+    clears, bars = F.when((F.col("side") == "sell") & F.col("unknown"), place), F.when((F.col("side") == "buy") & F.col("unknown"), place)
+
+    # The last clearing sale before each row and the last barring purchase up to it.
+    of_day = Window.partitionBy("key", "day").orderBy("us", "id")
+    past = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("key", "day").agg(F.max(clears).alias("clear"), F.max(bars).alias("bar"))
+    days = days.select("key", "day", F.max("clear").over(past).alias("clear_before"), F.max("bar").over(past).alias("bar_before"))
+    rows = rows.withColumns({
+        "clear": F.max(clears).over(of_day.rowsBetween(Window.unboundedPreceding, -1)), "bar": F.max(bars).over(of_day.rowsBetween(Window.unboundedPreceding, 0)),
+        "equal_time": F.count("*").over(Window.partitionBy("key", "day", "us")) > 1,
+    }).join(days, ["key", "day"])
+    rows = rows.withColumns({"clear": F.coalesce("clear", "clear_before"), "bar": F.coalesce("bar", "bar_before")})
+    barred = F.col("bar").isNotNull() & F.coalesce(F.col("bar") > F.col("clear"), F.lit(True))
+    rows = rows.withColumns({"segment": F.struct("clear"), "bought": number(F.when((F.col("side") == "buy") & ~F.col("unknown") & ~barred, F.col("quantity"))), "sold": number(F.when((F.col("side") == "sell") & ~F.col("unknown"), F.col("quantity")))})
+
+    # Quantities sold and bought up to each row of a day, and by how much its sales ran short of earlier purchases.
+    at = ["key", "segment", "day"]
+    order = Window.partitionBy(*at).orderBy("us", "id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    barred = F.coalesce(F.sum(((F.col("side") == "buy") & F.col("unknown")).cast("int")).over(upto), F.lit(0)) > 0
-    bought = F.when((F.col("side") == "buy") & ~F.col("unknown") & ~F.col("barred"), F.col("quantity")).otherwise(0.0)
-    sold = F.when((F.col("side") == "sell") & ~F.col("unknown"), F.col("quantity")).otherwise(0.0)
-    rows = rows.withColumn("barred", barred).withColumns({"bought": bought, "sold": sold})
-    earlier = Window.partitionBy(*seg).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"s": F.sum("sold").over(upto), "b": F.coalesce(F.sum("bought").over(earlier), F.lit(0.0)), "lot_high": F.sum("bought").over(upto)})
-    short = F.when(F.col("sold") > 0, F.col("s") - F.col("b"))
-    rows = rows.withColumn("m", F.col("s") - F.greatest(F.lit(0.0), F.coalesce(F.max(short).over(upto), F.lit(0.0))))
-    # Nothing is matched twice, so what is matched after a sale grows or stays: a sale that leaves it owns no interval.
-    rows = rows.withColumn("m_before", F.coalesce(F.max(F.when(F.col("sold") > 0, F.col("m"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    sells, buys = (F.col("sold") > 0) & (F.col("m") > F.col("m_before") + 1e-9), F.col("bought") > 0
+    earlier = Window.partitionBy(*at).orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"own_sold": F.sum("sold").over(upto), "own_bought": F.sum("bought").over(upto), "own_earlier": number(F.sum("bought").over(earlier))})
+    rows = rows.withColumn("short", F.when(sold > 0, F.col("own_sold") - F.col("own_earlier")))
+    rows = rows.withColumns({"own_top": F.max("short").over(upto), "own_top_before": F.max("short").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = stored(rows.select(*at, "us", "id", "quantity", "money", "gross", "net", "fee_known", "equal_time", "bought", "sold", "own_sold", "own_bought", "short", "own_top", "own_top_before"), "sides")
+
+    # The same from day to day, and where each day's purchases and matched sales end.
+    past = Window.partitionBy("key", "segment").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*at).agg(F.sum("sold").alias("day_sold"), F.sum("bought").alias("day_bought"), F.max("short").alias("day_short"))
+    days = days.withColumns({"sold_before": number(F.sum("day_sold").over(past)), "bought_before": number(F.sum("day_bought").over(past))})
+    days = days.withColumn("day_top", F.col("sold_before") - F.col("bought_before") + F.col("day_short"))
+    days = days.withColumn("top_before", number(F.greatest(F.lit(0).cast(kind), F.max("day_top").over(past))))
+    days = days.withColumns({"lots_end": F.col("bought_before") + F.col("day_bought"), "sales_begin": F.col("sold_before") - F.col("top_before"), "sales_end": F.col("sold_before") + F.col("day_sold") - F.greatest("top_before", "day_top")})
+    days = stored(days, "days")
+    cuts = days.where("day_bought > 0").select("key", "segment", F.col("lots_end").alias("point"), F.col("day").alias("lot_day"), F.lit(None).cast("long").alias("sale_day"))
+    cuts = cuts.unionByName(days.where("sales_end > sales_begin").select("key", "segment", F.col("sales_end").alias("point"), F.lit(None).cast("long").alias("lot_day"), F.col("day").alias("sale_day")))
+    cuts = cuts.groupBy("key", "segment", "point").agg(F.min("lot_day").alias("lot_day"), F.min("sale_day").alias("sale_day"))
+    line = Window.partitionBy("key", "segment").orderBy("point")
+    rest = Window.partitionBy("key", "segment").orderBy(F.desc("point")).rowsBetween(Window.unboundedPreceding, 0)
+    cells = cuts.select("key", "segment", F.struct(number(F.lag("point").over(line)).alias("low"), F.col("point").alias("high")).alias("cell"), F.last("lot_day", ignorenulls=True).over(rest).alias("lot_day"), F.last("sale_day", ignorenulls=True).over(rest).alias("sale_day"))
+    cells = cells.where("lot_day is not null and sale_day is not null")
+    of_lots = cells.groupBy("key", "segment", F.col("lot_day").alias("day")).agg(F.collect_list("cell").alias("lot_cells"))
+    of_sales = cells.groupBy("key", "segment", F.col("sale_day").alias("day")).agg(F.collect_list("cell").alias("sale_cells"))
+
+    rows = rows.join(days, at).join(of_lots, at, "left").join(of_sales, at, "left")
+    ahead = F.col("sold_before") - F.col("bought_before")
+    top = lambda own: F.greatest("top_before", ahead + F.col(own))
+    upper = F.when(sold > 0, F.col("sold_before") + F.col("own_sold") - top("own_top")).otherwise(F.col("bought_before") + F.col("own_bought"))
+    lower = F.when(sold > 0, F.col("sold_before") + F.col("own_sold") - sold - top("own_top_before")).otherwise(F.col("bought_before") + F.col("own_bought") - bought)
+    rows = rows.withColumns({"upper": upper, "lower": lower}).where(((sold > 0) | (bought > 0)) & (F.col("upper") > F.col("lower")))
     facts = F.struct("id", "us", "quantity", "money", "gross", "net", "fee_known", "equal_time")
     nothing = F.lit(None).cast(rows.select(facts.alias("x")).schema["x"].dataType)
-    ends = rows.where(sells | buys).select(*seg, "us", "id", F.when(buys, F.col("lot_high")).otherwise(F.col("m")).alias("point"), F.when(sells, facts).otherwise(nothing).alias("sale"), F.when(buys, facts).otherwise(nothing).alias("lot"))
-    forward = Window.partitionBy(*seg).orderBy("point", "us", "id")
-    back = Window.partitionBy(*seg).orderBy(F.desc("point"), F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-    ends = ends.withColumn("low", F.coalesce(F.lag("point").over(forward), F.lit(0.0)))
+    across = F.filter(F.when(sold > 0, F.col("sale_cells")).otherwise(F.col("lot_cells")), lambda c: (c["low"] < F.col("upper")) & (c["high"] > F.col("lower")))
+    ends = rows.select("key", "segment", "us", "id", "upper", F.when(sold > 0, facts).otherwise(nothing).alias("sale"), F.when(sold > 0, nothing).otherwise(facts).alias("lot"), F.explode(across).alias("cell"))
+    ends = ends.withColumn("point", F.least("upper", "cell.high"))
+    forward = Window.partitionBy("key", "segment", "cell").orderBy("point", "us", "id")
+    back = Window.partitionBy("key", "segment", "cell").orderBy(F.desc("point"), F.desc("us"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("low", F.coalesce(F.lag("point").over(forward), F.col("cell.low")))
     ends = ends.withColumns({"sale": F.last("sale", ignorenulls=True).over(back), "lot": F.last("lot", ignorenulls=True).over(back)})
-    taken = F.col("point") - F.col("low")
-    part = lambda v: taken * (F.col(f"sale.{v}") / F.col("sale.quantity") - F.col(f"lot.{v}") / F.col("lot.quantity"))
-    met = ends.where(F.col("sale").isNotNull() & F.col("lot").isNotNull() & (taken > 1e-9))
+    met = ends.where("sale is not null and lot is not null and point > low").withColumn("taken", F.col("point") - F.col("low"))
+    share = lambda side: F.col("taken").cast("double") / F.col(f"{side}.quantity").cast("double")
+    if scale is None:
+        whole = lambda c: F.col(c).cast("double") / unit
+        amounts = [(share("sale") * F.col(f"sale.{v}") - share("lot") * F.col(f"lot.{v}")).alias(name) for v, name in (("money", "profit"), ("gross", "gross_profit"), ("net", "net_profit"))]
+    else:
+        whole = F.col
+        amounts = [F.col("lot.quantity").alias("lot_quantity"), *(F.col(f"lot.{v}").alias(f"lot_{v}") for v in ("money", "gross", "net")), F.col("sale.net").alias("sale_net")]
     return met.select(
-        *keys, F.col("sale.id").alias("sale_id"), F.timestamp_micros("sale.us").alias("sold_at"), F.col("lot.id").alias("lot_id"), taken.alias("matched"), part("money").alias("profit"), part("gross").alias("gross_profit"), part("net").alias("net_profit"),
-        F.col("sale.quantity").alias("sale_quantity"), F.col("sale.money").alias("sale_money"), F.col("sale.gross").alias("sale_gross"), (F.col("lot.gross").isNotNull() | F.col("lot.net").isNotNull()).alias("costed"),
+        "key.*", F.col("sale.id").alias("sale_id"), F.timestamp_micros("sale.us").alias("sold_at"), F.col("lot.id").alias("lot_id"), whole("taken").alias("matched"), *amounts,
+        whole("sale.quantity").alias("sale_quantity"), F.col("sale.money").alias("sale_money"), F.col("sale.gross").alias("sale_gross"), (F.col("lot.gross").isNotNull() | F.col("lot.net").isNotNull()).alias("costed"),
         (F.col("sale.fee_known") & F.col("lot.fee_known")).alias("fees_known"), F.col("lot.equal_time").alias("lot_equal_time"),
     )
 

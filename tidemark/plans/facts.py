@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import exact as E
 from tidemark.operators import ledger as L
 from tidemark.operators import resolve as R
 from tidemark.plans.ledger import FIFO
@@ -175,3 +176,16 @@ def live_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stream has matched when all files are read: sales up to an hour before the newest trade."""
     parts = L.sides(L.attributed(T.ledger_trades_of(_stream(spark, sf_dir, "events"))))
     return r6(_run(V.live_matches(parts, "1 hour"), "inventory").select("kind", "account", "item_code", "sale_id", "lot_id", "matched", "profit", "net_profit", "lot_equal_time"))
+
+
+#: Trades in at most twelve pieces and in cents, so that SQL can bring all shares to one denominator.
+DOZENS = FIFO.replace("FROM parts_all WHERE", "FROM (SELECT * REPLACE (1 + quantity % 12 AS quantity, round(money, 2) AS money) FROM parts_all) WHERE").replace("s.quantity AS sq", "l.quantity AS lq, l.money AS lm, s.quantity AS sq")
+
+
+@query("exact_profits", f"""WITH {DOZENS}, n AS (SELECT kind, account, sum(CAST(matched AS HUGEINT) * (CAST(round(sm * 100) AS HUGEINT) * (27720 // CAST(sq AS HUGEINT)) - CAST(round(lm * 100) AS HUGEINT) * (27720 // CAST(lq AS HUGEINT)))) AS n FROM met WHERE matched > 0 AND sm IS NOT NULL AND lm IS NOT NULL GROUP BY ALL),
+g AS (SELECT *, gcd(CAST(abs(n) AS HUGEINT), CAST(2772000 AS HUGEINT)) AS g FROM n)
+SELECT kind, account, CAST(CAST(n AS HUGEINT) // g AS VARCHAR) AS numerator, CAST(2772000 // g AS VARCHAR) AS denominator, round(CAST(n AS DOUBLE) / 2772000, 6) + 0.0 AS profit FROM g""")
+def exact_profits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = L.sides(L.attributed(T.ledger_trades(spark, sf_dir))).withColumns({"quantity": 1 + F.col("quantity") % 12, "money": F.round("money", 2)})
+    found = E.exact_profits(parts).where("measure = 'money'")
+    return r6(found.select("kind", "account", "numerator", "denominator", F.col("profit").cast("double").alias("profit")))

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
@@ -34,3 +34,15 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("Set spark.checkpoint.dir to a folder that all machines of the cluster share.")
         shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from a Parquet table in a shared folder: computed once, read by column from now on.
+
+    The table goes when the driver ends.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
