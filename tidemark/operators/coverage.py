@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import carried_max, part_of
 
-def merged(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping and touching intervals of each key as one."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.coalesce((F.col(start) > reach).cast("int"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return intervals.withColumn("island", island).groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+
+def merged(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end", span: int = 1_000) -> DataFrame:
+    """Overlapping and touching intervals of each key as one.
+
+    An interval begins an island if it begins after all before it have ended, and belongs to
+    the last island begun. Both are running maxima within days (``span`` units of numbers)
+    that are carried from one to the next, so a stream of very many intervals is spread too.
+    """
+    rows = intervals.withColumn("part", F.coalesce(part_of(start, dict(intervals.dtypes)[start], span), F.lit(-(1 << 62))))
+    rows = carried_max(rows, keys, "part", [start, end], "reach", F.col(end), upto=False)
+    begins = F.when(F.coalesce(F.col(start) > F.col("reach"), F.lit(True)), F.col(start))
+    rows = carried_max(rows, keys, "part", [start, end], "island", begins)
+    return rows.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
 
 
 def covers(intervals: DataFrame, keys: list[str], low: Column, high: Column, every: DataFrame | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import carried_max, part_of
+
 
 def field_log(arrivals: DataFrame) -> DataFrame:
     """(id, arrival, revised_at, field, value) of arrivals with their fields as a map.
@@ -102,8 +104,12 @@ def scan_coverage(pages: DataFrame, known: DataFrame, boundary: Column, cap: int
     reaches past the boundary, lies wholly in known coverage, or is the capped one. A scan that
     stopped early has covered nothing at the oldest time itself, as more trades may share it.
     """
-    overlap = pages.join(known, "stream").where((F.col("start") <= F.col("oldest")) & (F.col("newest") < F.col("end"))).select("stream", "page").distinct().withColumn("known", F.lit(True))
-    rows = pages.join(overlap, ["stream", "page"], "left")
+    # Intervals of one stream do not overlap, so only the last that begins by a page's oldest time can hold the page.
+    begun = known.select("stream", F.col("start").alias("at"), F.lit(0).alias("rank"), F.struct("start", "end").alias("interval"))
+    both = pages.withColumns({"at": F.col("oldest"), "rank": F.lit(1)}).unionByName(begun, allowMissingColumns=True)
+    both = both.withColumn("part", F.coalesce(part_of("at", dict(both.dtypes)["at"], 1_000), F.lit(0)))
+    rows = carried_max(both, ["stream"], "part", ["at", "rank"], "holder", F.col("interval")).where("rank = 1")
+    rows = rows.withColumn("known", F.coalesce(F.col("newest") < F.col("holder.end"), F.lit(False))).drop("at", "rank", "part", "interval", "holder")
     reason = F.when(~F.col("has_next"), "api-exhausted").when(F.col("oldest") < boundary, "history-boundary").when(F.col("known"), "normalized-overlap").when(F.col("page") + 1 >= cap, "page-cap")
     rows = rows.withColumn("reason", reason)
     stop = rows.where("reason is not null").groupBy("stream").agg(F.min_by(F.struct("page", "reason", "oldest"), "page").alias("s"))
