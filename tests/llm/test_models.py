@@ -85,3 +85,21 @@ def test_many_and_rare_languages(spark):
     few = docs.where(docs.lang.isin(names[:3]))
     got = {r.doc_id: r.lang for r in languages.identify_languages(few, pages, sample=3).collect()}
     assert got == {i: lang for i, lang in enumerate(langs) if lang in names[:3]}
+
+
+def test_languages_by_whole_primary_subtags(spark):
+    text = {"en": "the cat and the dog went over the hill", "zh": "这是一个测试 文本 我们 在 这里", "english": "ye olde shoppe of yore"}
+    labels = ["en", "en-US", "en_GB", "EN", "zh-Hans", "zh-Hant", "english", "", "-", None]
+    docs = spark.createDataFrame([(n, text.get((label or "").replace("_", "-").split("-")[0].lower(), "x"), "s", label) for n, label in enumerate(labels * 8)], "doc_id long, text string, source string, lang string")
+    names, _ = languages.learn(docs, "lang", 5, 0, 100, "text", "doc_id")
+    assert sorted(names) == ["en", "english", "zh"]
+
+
+def test_salted_tables_give_what_broadcast_ones_do(spark, monkeypatch):
+    rows = [(n, ["the cat and the dog", "le chat et le chien"][n % 2], ["a", "b", None][n % 3], ["en", "fr"][n % 2]) for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    pages = spark.createDataFrame([(n, f"http://h{n % 3}.fr/x", [None, "<html lang='fr'><p>le chat</p>", "<p>the dog</p>"][n % 3]) for n in range(20)], "page_id long, url string, html string")
+    found = lambda: sorted(((r.doc_id, r.page_id, r.lang, round(r.probability, 9)) for r in languages.identify_languages(docs, pages).collect()), key=str)
+    want = found()
+    monkeypatch.setattr(languages, "BROADCAST_NUMBERS", -1)
+    assert found() == want

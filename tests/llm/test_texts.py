@@ -290,3 +290,36 @@ def test_page_rows(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in pages.extract_main_text(df).collect()}
     assert got == {0: ("", 0), 1: ("", 0), 2: ("plain < text", 12), 3: ("one", 3), 4: ("", 0), 5: ("deep", 4), 6: ("", 0)}
     assert pages.extract_main_text(df.limit(0)).count() == 0
+
+
+def thread(tag: str, name: str, n: int) -> str:
+    item = "li" if tag == "ol" else "div"
+    return f"<{tag} {name}>" + "".join(f"<{item}><p>Reader {i} writes {LONG}</p></{item}>" for i in range(n)) + f"</{tag}>"
+
+
+@pytest.mark.parametrize("name", ["class=comments", "class='comment-list'", "class='user-comments'", "class=discussion", "id=comments"])
+@pytest.mark.parametrize("tag", ["section", "div", "ol"])
+@pytest.mark.parametrize("n", [1, 3, 30])
+def test_threads_inside_the_article_go(tag, name, n):
+    page = f"<html><body><article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p>{{}}<p>Last words of {LONG}</p></article></body></html>"
+    assert pages.main_text(page.format(thread(tag, name, n))) == pages.main_text(page.format(""))
+
+
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_articles_of_comments_go(n):
+    page = f"<html><body><article><h1>Title</h1><p>{LONG}</p></article><section>{{}}</section></body></html>"
+    comments = f"<article class=comment><p>I think {LONG}</p></article>" * n
+    assert pages.main_text(page.format(comments)) == pages.main_text(page.format(""))
+    assert pages.main_text(page.format(f"<div class=comments>{comments.replace(' class=comment', '')}</div>")) == pages.main_text(page.format(""))
+
+
+def test_a_page_of_comments_alone_stays():
+    assert "I think" in pages.main_text(f"<html><body><div class=comments><p>I think {LONG}</p><p>So do I, {LONG}</p></div></body></html>")
+
+
+def test_unclosed_comments_take_linear_time():
+    began = time.perf_counter()
+    assert pages.main_text(f"<p>{LONG}</p>" + "<!--" * 80_000) == LONG.strip()
+    assert pages.main_text(f"<!-- a --><p>{LONG}</p><!-- b -->" * 3 + "<!-- <p>never</p>") == "\n".join([LONG.strip()] * 3)
+    assert "after" in pages.main_text(f"<script>x = '<!--'</script><p>{LONG} after</p>")
+    assert time.perf_counter() - began < 2

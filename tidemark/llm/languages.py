@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.joins import join_counted
 from tidemark.llm.lineage import kept, small_batches
 from tidemark.llm.pages import main_text
 from tidemark.llm.training import fold
@@ -26,8 +27,8 @@ from tidemark.llm.wordcache import tidy
 
 #: Most documents learned from in each language, n-gram sizes and hash buckets.
 SAMPLE, GRAMS, BUCKETS = 1_000, (1, 2, 3), 1 << 14
-#: Rows of sampled ids that may be broadcast. Beyond, the same join shuffles.
-FEW = 2_000_000
+#: Rows of sampled ids, and numbers in the tables by key, that may be broadcast. Beyond, the same joins shuffle.
+FEW, BROADCAST_NUMBERS = 2_000_000, 1_000_000
 #: n-grams overlap, so a text counts for a part of their sum.
 TEMPER = 0.2
 #: Pseudo-counts of the smoothed tables, host towards domain, domain towards all.
@@ -35,8 +36,8 @@ DECLARED_PRIOR, SUFFIX_PRIOR, HOST_PRIOR, DOMAIN_PRIOR = 1.0, 5.0, 4.0, 8.0
 #: Words kept by a task, and numbers of theirs: fewer words where there are more languages.
 CACHE_WORDS, CACHE_NUMBERS = 200_000, 12_800_000
 WORD = re.compile(r"[^\W\d_]+")
-DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
-META = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]{2,3})", re.IGNORECASE)
+DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", re.IGNORECASE)
+META = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?([A-Za-z]+)", re.IGNORECASE)
 HOST = re.compile(r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -79,13 +80,19 @@ class Likelihoods:
         return TEMPER * self.rows[np.asarray(found)].sum(0)
 
 
+def language(label: Column) -> Column:
+    """A label's language, lowered: all before the first - or _, so of "en-US" and "en_GB" "en"; null if that is nothing."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(label.cast("string"))), "^[^-_]*", 0), F.lit(""))
+
+
 def learn(docs: DataFrame, lang_col: str, folds: int, held: int, sample: int, text_col: str, id_col: str) -> tuple[list[str], np.ndarray]:
     """Every language that occurs and each bucket's log-probability in it.
 
     Learned from ``sample`` texts of each language in order of a hash of the id, so a rare
     language has as many as there are.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(F.col(id_col).alias("id"), F.lower(F.substring(lang_col, 1, 3)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), language(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = rows.where(F.col("lang").isNotNull() & (fold(F.col("id"), folds) != held))
     names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     # A ranked limit below the shuffle, as long as the sample is within Spark's bound for it.
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
@@ -157,8 +164,8 @@ def table_by(rows: DataFrame, key: str, n: int) -> DataFrame:
 def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     """Add lang, probability and text_lang to the rows of ``evidence``.
 
-    Joins are with one row for each key; a key that most rows share is aggregated before
-    it is shuffled, and adaptive execution splits its rows in the join.
+    Joins are with one row for each key: broadcast if those have been counted as few, else
+    salted, so neither a key that most rows share nor the rows without one meet in one task.
     """
     n = len(names)
     # Equal priors first: what the texts alone expect.
@@ -167,7 +174,7 @@ def fuse(rows: DataFrame, names: list[str]) -> DataFrame:
     overall, kinds = list(total[:n]), (total[n], total[n + 1])
     share = F.array(*(F.lit((x + 1) / (sum(overall) + n)) for x in overall))
     for key in ("domain", "host", "declared", "suffix"):
-        rows = rows.join(table_by(rows, key, n), key, "left")
+        rows = join_counted(rows, table_by(rows, key, n), [key], "id", "left", BROADCAST_NUMBERS // n)
 
     def without(counts: str) -> Column:
         """Counts of a key without the row's own share."""
@@ -202,8 +209,10 @@ def identify_languages(docs: DataFrame, pages: DataFrame, folds: int = 5, held:
     Documents give (doc_id, text, source), the source standing for a host; their lang column
     is learned from outside the held-out fold and never read for a row's own answer. Pages
     give (page_id, url, html). Empty or null texts are decided by the other evidence, a
-    row without any by the overall shares. Repeated rows give repeated rows. If no document
-    has a language, lang is null and the probability 0.
+    row without any by the overall shares. Repeated rows give repeated rows; very long texts
+    are read whole. Labels count by their language, without region or script. If no document
+    has a language, lang is null and the probability 0. Empty tables give no rows; further
+    columns are not read.
     """
     small_batches(docs.sparkSession)
     names, table = learn(docs, "lang", folds, held, sample, "text", "doc_id")

@@ -49,6 +49,10 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}
 NAMES = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside related recommended recommendations widget share sharing social comment comments commentlist disqus respond replies reply reviews discussion footer header masthead toolbar pagination pager tags skip search login form".split()
 )
+#: Of these the words for what readers write; it is as dense as prose, so the name alone decides. A discussion is theirs as a class, but may be an article's section as an id.
+READERS, READERS_CLASS = frozenset("comment comments commentlist disqus respond replies reply".split()), frozenset({"discussion"})
+#: The mark of a name with one of these words.
+BY_READERS = "by readers"
 #: Words that may stand beside those in one name without changing what it says.
 PLAIN = frozenset(
     "area article articles aux bar block blog body bottom box btn button buttons col column container content entry full global icon icons inner item items left link links list main mobile module outer page pages panel post posts primary right row secondary section site slot small sticky sub tag tags text title top user wrap wrapper".split()
@@ -87,6 +91,8 @@ def named(tag: str, attrs: list[tuple[str, str | None]]) -> set[str]:
                 words = {w.lower() for w in PARTS.findall(name)}
                 if all(w in NAMES or w in PLAIN or w.isdigit() for w in words):
                     found |= words & NAMES
+                    if words & READERS or key == "class" and words & READERS_CLASS:
+                        found.add(BY_READERS)
     return found
 
 
@@ -109,6 +115,8 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
+        #: The text that the last end of a comment was looked for in, and where that is.
+        self.ends_in, self.last_end = "", -1
         #: Of each element: tag, parent, last element inside, clutter around (1 headers only, 2 other), innermost flagged element.
         self.tag, self.parent, self.last, self.clutter, self.owner = ["page"], [0], [0], [0], [-1]
         #: Innermost container, whether an article or a main, whether inside an article, inside either, and names of clutter.
@@ -224,6 +232,12 @@ class Page(HTMLParser):
             if self.links:
                 spot[1] += len(data)
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """A comment without an end takes the rest of the page; the end is looked for once, not again at each."""
+        if self.ends_in is not self.rawdata:
+            self.ends_in, self.last_end = self.rawdata, max(self.rawdata.rfind("-->"), self.rawdata.rfind("--!>"))
+        return super().parse_comment(i, report) if i < self.last_end else len(self.rawdata)
+
     def close_all(self) -> None:
         self.close()
         self.cut()
@@ -277,7 +291,8 @@ def is_out(page: Page, line: Line) -> bool:
 def named_clutter(page: Page, ratios: np.ndarray, dense: np.ndarray, marks: np.ndarray) -> set[int]:
     """The elements with a name of clutter that are clutter by density too.
 
-    None that holds most content or the page's article; of sections inside an article or a
+    What readers wrote is, wherever it stands and however long, if any content is without it.
+    Of the rest none that holds most content or the page's article; of sections inside an article or a
     main only those of links, of other elements inside an article only those without most of
     their text dense or with a ratio below that of the page's other content. Elsewhere the name decides between short and long, as of comments; so
     it does for forms everywhere, and for articles that what has no flag outweighs.
@@ -292,14 +307,17 @@ def named_clutter(page: Page, ratios: np.ndarray, dense: np.ndarray, marks: np.n
     thick = [p if d else 0 for p, d in zip(plain, dense, strict=True)]
     by_ratio = [n * r for n, r in zip(size, ratios.tolist(), strict=True)]
     holds, sizes, links, dense_in, ratio_in = page.sums(weight, size, linked, thick, by_ratio)
-    around = [False] * len(page.tag)
+    around, by_readers = [False] * len(page.tag), [False] * len(page.tag)
     for node in range(1, len(around)):
         around[node] = around[page.parent[node]] or bool(page.flag[node])
+        by_readers[node] = by_readers[page.parent[node]] or BY_READERS in (page.flag[node] or ())
+    if not any(w and not by_readers[x.node] for x, w in zip(page.lines, weight, strict=True)):
+        by_readers = [False] * len(page.tag)
     free = sum(w for x, w in zip(page.lines, weight, strict=True) if not around[x.node])
     # The mean ratio of content that has no flag, by its characters.
     usual = sum(w * r for x, w, r in zip(page.lines, weight, ratios.tolist(), strict=True) if not around[x.node]) / max(1, free)
     # An article that is named as a comment or a teaser itself stands for the page only if it outweighs what has no flag.
-    articles = [n for n, a in enumerate(page.is_article) if a and sizes[n] and (not page.flag[n] or holds[n] >= free)]
+    articles = [n for n, a in enumerate(page.is_article) if a and sizes[n] and not by_readers[n] and (not page.flag[n] or holds[n] >= free)]
     kept = set()
     if articles:
         node = max(articles, key=lambda n: (holds[n], sizes[n], -n))
@@ -308,6 +326,9 @@ def named_clutter(page: Page, ratios: np.ndarray, dense: np.ndarray, marks: np.n
             node = page.parent[node]
     out = set()
     for f in flagged:
+        if f not in kept and by_readers[f]:
+            out.add(f)
+            continue
         if f in kept or 2 * holds[f] > holds[0]:
             continue
         if page.tag[f] == "form":
