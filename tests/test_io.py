@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import resolve as R
@@ -108,6 +109,22 @@ def test_times_without_an_offset_are_utc(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
+@pytest.mark.parametrize("levels", [1, 3, 8])
+def test_leaves_by_rounds(spark, levels):
+    rows = [(1, '{"a/b": {"c~d": [1, [2, []], {}], "__v": 3}, "e": null, "f": ""}'), (2, "7"), (3, "[]"), (4, '{"x": {"y": {"z": {"w": [{"v": false}]}}}}'), (5, "{")]
+    got = {(r.id, r.path, r.type, r.text) for r in D.json_leaves(spark.createDataFrame(rows, "id int, raw string"), levels=levels).collect()}
+    assert got == {(1, "/a~1b/c~0d/0", "number", "1"), (1, "/a~1b/c~0d/1/0", "number", "2"), (1, "/e", "null", None), (1, "/f", "string", ""), (2, "", "number", "7"), (4, "/x/y/z/w/0/v", "boolean", "false")}
+
+
+def test_one_deep_text_beside_many_flat_ones(spark):
+    flat = spark.range(50_000).selectExpr("cast(id as int) as id", "concat('{\"a\": ', id, ', \"b\": {\"c\": true}}') as raw")
+    depth = 60
+    deep = spark.createDataFrame([(-1, '{"d": [' * depth + "5" + "]}" * depth)], "id int, raw string")
+    got = D.json_leaves(flat.unionByName(deep))
+    assert got.count() == 100_001
+    assert got.where("id = -1").first().path == "/d/0" * depth
+
+
 def test_leaves_of_any_depth(spark):
     deep = {"x": 1.5}
     for k in range(30):
