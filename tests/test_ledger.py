@@ -115,3 +115,16 @@ def test_unknown_money_keeps_all_details(spark):
     df = spark.createDataFrame(rows, "kind string, account string, category string, buy_value double, sell_value double").selectExpr("*", "0 as buy_missing_money", "0 as sell_missing_money")
     got = sorted((r.account, r.category, r.status) for r in L.detail_prefix(df).collect())
     assert got == [("a", "i0", "complete"), ("b", "i0", "partial"), ("b", "i1", "partial")]
+
+
+def test_equipment_by_instance(spark):
+    at = lambda h: datetime(2024, 1, 1, h)
+    # (id, hour, instance, buyer, seller, verified, money, quantity)
+    trades = [(1, 1, "i", "a", "z", True, 10.0, 1.0), (2, 2, "i", "b", "a", True, 16.0, 1.0), (3, 3, "i", "c", "b", False, 20.0, 1.0), (4, 4, "i", "d", "c", True, 30.0, 1.0), (5, 5, "i", "e", "x", True, 5.0, 1.0), (6, 6, "i", "f", "d", True, 9.0, 1.0), (7, 6, "j", "g", "y", True, 4.0, None), (8, 7, "j", "h", "g", True, 9.0, 1.0), (9, 8, "k", "g", "y", True, 4.0, 2.0), (10, 8, "k", "h", "g", True, 9.0, 1.0)]
+    cols = "id long, hour int, instance_id string, buyer string, seller string, lineage_verified boolean, money double, quantity double"
+    t = spark.createDataFrame(trades, cols).selectExpr("id", "make_timestamp(2024, 1, 1, hour, 0, 0) as created_at", "'itemMarket' as transaction_type", "'gear' as item_code", "instance_id", "lineage_verified", "money", "quantity", "buyer as buy_user_id", "seller as sell_user_id", *(f"cast(null as string) as {s}_{k}_id" for s in ("buy", "sell") for k in ("mu", "country", "party")), "true as settlement_verified", "'settled' as settlement_role", "0.0D as settlement_fee")
+    rows = L.attributed(t)
+    got = L.equipment_matches(rows, L.sides(rows)).collect()
+    # Only a's sale follows its own verified purchase: later lines are broken by an unverified trade, a stranger's, an unknown size and an equal time.
+    assert [(r.account, r.sale_id, r.lot_id, r.matched, r.profit, r.net_profit, r.sold_at) for r in got] == [("a", 2, 1, 1.0, 6.0, 6.0, at(2))]
+    assert set(L.fifo(L.sides(rows)).columns) == set(L.equipment_matches(rows, L.sides(rows)).columns)

@@ -98,7 +98,7 @@ def forecast_summary(rows: DataFrame, current: DataFrame, least: int = 30, inter
     directional = F.col("prediction").isin(ways) & F.col("outcome").isin(ways)
     match = F.col("current_signal").isin(ways) & (F.col("prediction") == F.col("current_signal"))
     interval = lambda c: F.when(F.count(F.when(match, F.col(c))) >= interval_least, F.percentile(F.when(match, F.col(c)), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))))
-    out = rows.join(F.broadcast(current), "item_code").groupBy("item_code", "current_signal").agg(
+    out = rows.join(current, "item_code").groupBy("item_code", "current_signal").agg(
         F.count("*").alias("candidate_samples"), F.count_if(directional).alias("evaluable_samples"), F.count("flip_return_pct").alias("execution_samples"),
         F.count_if(F.col("prediction") == "Up").alias("up_predictions"), F.count_if(F.col("prediction") == "Down").alias("down_predictions"),
         F.count_if(directional & (F.col("prediction") == F.col("outcome"))).alias("correct"),

@@ -312,8 +312,8 @@ def fifo(parts: DataFrame, scale: int | None = None) -> DataFrame:
 def realized(parts: DataFrame, matches: DataFrame, accounts: DataFrame) -> DataFrame:
     """Each account of the window with what its sales realized and how far that is evidence.
 
-    ``parts`` and ``accounts`` are those of the window, ``matches`` those of ``fifo`` whose
-    sale lies in it. Profits are null where no sale has a known cost.
+    ``parts`` and ``accounts`` are those of the window, ``matches`` those of ``fifo`` and of
+    ``equipment_matches`` whose sale lies in it. Profits are null where no sale has a known cost.
     """
     sales = parts.where("side = 'sell'")
     sold = sales.groupBy("kind", "account").agg(F.sum(F.when(F.col("quantity") > 0, F.col("quantity"))).alias("sold"))
@@ -349,6 +349,31 @@ def equipment_lineage(parts: DataFrame) -> DataFrame:
     return rows.where("side = 'sell'").withColumns({"costed": F.coalesce(match, F.lit(False))}).withColumn("profit", F.when(F.col("costed"), F.col("money") - F.col("held.money")))
 
 
+def equipment_matches(trades: DataFrame, parts: DataFrame) -> DataFrame:
+    """Sales of single instances matched with the verified purchase just before, in the columns of ``fifo``.
+
+    ``trades`` are attributed, with instance_id and lineage_verified. Any trade of an instance
+    but a self trade ends what was held of it, whoever traded; a sale is matched only if it
+    is verified itself, later in time, and by the account that bought.
+    """
+    events = trades.where("transaction_type = 'itemMarket' and not self_trade and instance_id is not null and trim(instance_id) <> ''").select("id", "instance_id", "created_at", "lineage_verified")
+    order = Window.partitionBy("instance_id").orderBy("created_at", "id")
+    linked = events.withColumn("held", F.lag(F.struct("id", "lineage_verified")).over(order)).where("lineage_verified and held.lineage_verified")
+    linked = linked.select(F.col("id").alias("sale_id"), F.col("held.id").alias("lot_id"))
+    own = parts.where("transaction_type = 'itemMarket'").join(events.select("id", "instance_id"), "id")
+    own = own.withColumn("equal_time", F.count("*").over(Window.partitionBy("instance_id", "kind", "account", "created_at")) > 1).where("quantity > 0")
+    facts = F.struct("created_at", "item_code", "quantity", "money", "gross", "net", "fee_known", "equal_time")
+    sales = own.where("side = 'sell'").select("kind", "account", F.col("id").alias("sale_id"), facts.alias("sale"))
+    lots = own.where("side = 'buy'").select("kind", "account", F.col("id").alias("lot_id"), facts.alias("lot"))
+    met = sales.join(linked, "sale_id").join(lots, ["lot_id", "kind", "account"]).where("lot.created_at < sale.created_at").withColumn("matched", F.least("sale.quantity", "lot.quantity"))
+    part = lambda v: F.col("matched") / F.col("sale.quantity") * F.col(f"sale.{v}") - F.col("matched") / F.col("lot.quantity") * F.col(f"lot.{v}")
+    return met.select(
+        "kind", "account", "sale.item_code", "sale_id", F.col("sale.created_at").alias("sold_at"), "lot_id", "matched", part("money").alias("profit"), part("gross").alias("gross_profit"), part("net").alias("net_profit"),
+        F.col("sale.quantity").alias("sale_quantity"), F.col("sale.money").alias("sale_money"), F.col("sale.gross").alias("sale_gross"), (F.col("lot.gross").isNotNull() | F.col("lot.net").isNotNull()).alias("costed"),
+        (F.col("sale.fee_known") & F.col("lot.fee_known")).alias("fees_known"), F.col("lot.equal_time").alias("lot_equal_time"),
+    )
+
+
 def equal_time(parts: DataFrame) -> DataFrame:
     """Accounts whose order within an item rests on ids, as times are equal."""
     same = parts.groupBy("kind", "account", "transaction_type", "item_code", "created_at").agg(F.count("*").alias("n"))

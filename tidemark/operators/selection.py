@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def match_items(rows: DataFrame, wanted: DataFrame, code: str = "item_code") -> DataFrame:
     """Rows of the wanted codes whatever their case; of equal ones the first asked for counts.
 
-    ``wanted`` has (code, position); the list is a request, so it is small and broadcast.
+    ``wanted`` has (code, position); Spark broadcasts it if it is as small as a request should be.
     """
     first = wanted.groupBy(F.lower("code").alias("key")).agg(F.min_by("code", "position").alias("asked_as"), F.min("position").alias("position"))
-    return rows.withColumn("key", F.lower(code)).join(F.broadcast(first), "key").drop("key")
+    return rows.withColumn("key", F.lower(code)).join(first, "key").drop("key")
 
 
 def live_annotations(notes: DataFrame, start: Column, end: Column, index_key: str | None = None) -> DataFrame:

@@ -274,6 +274,34 @@ def equipment_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(L.equipment_lineage(parts).select("id", "kind", "account", "costed", "profit"))
 
 
+#: The matches of commodities and of instances whose line of verified trades is unbroken.
+GEAR = REALIZED.replace("FROM met WHERE matched > 1e-9", "FROM met_all WHERE matched > 1e-9").replace(", f AS (SELECT kind, account, sum(matched * dn)", """, ev AS (SELECT id, 'i' || (id % 50) AS instance, id % 3 <> 0 AS verified, lag(id) OVER (PARTITION BY 'i' || (id % 50) ORDER BY created_at, id) AS before FROM att WHERE transaction_type = 'itemMarket' AND NOT self_trade),
+gear_all AS (SELECT *, count(*) OVER (PARTITION BY 'i' || (id % 50), kind, account, created_at) > 1 AS tied FROM parts_all WHERE transaction_type = 'itemMarket'),
+met_all AS (SELECT kind, account, sale_id, sold_at, matched, d, dn, dg, costed, fees_known, lot_tied, sq, sm FROM met
+  UNION ALL SELECT s.kind, s.account, s.id, s.created_at, least(s.quantity, l.quantity), s.money / s.quantity - l.money / l.quantity, s.net / s.quantity - l.net / l.quantity, s.gross / s.quantity - l.gross / l.quantity, l.gross IS NOT NULL OR l.net IS NOT NULL, s.fee_known AND l.fee_known, l.tied, s.quantity, s.money
+  FROM ev JOIN gear_all s ON s.id = ev.id AND s.side = 'sell' JOIN gear_all l ON l.id = ev.before AND l.side = 'buy' AND l.kind = s.kind AND l.account = s.account
+  WHERE ev.verified AND ev.before % 3 <> 0 AND s.quantity > 0 AND l.quantity > 0 AND l.created_at < s.created_at), f AS (SELECT kind, account, sum(matched * dn)""")
+
+
+def _with_gear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = T.ledger_trades(spark, sf_dir).withColumns({"instance_id": F.col("equipment.instance_id"), "lineage_verified": F.col("id") % 3 != 0})
+    rows, window = L.attributed(t), C.resolve(None, (t, "created_at"))
+    every = L.sides(rows)
+    parts = L.sides(rows.where(window.window("created_at", L.WINDOW_DAYS)))
+    matches = L.fifo(every).unionByName(L.equipment_matches(rows, every)).where(window.window("sold_at", L.WINDOW_DAYS))
+    return L.realized(parts, matches, L.on_basis(L.account_ledger(parts)))
+
+
+@query("realized_with_equipment", f"""WITH {GEAR} SELECT kind, account, {rounded(*REAL_COLS)}, equal_time, CASE WHEN net_profit IS NULL THEN 'unavailable' WHEN uncosted_quantity > 1e-9 OR unknown_fee_quantity > 1e-9 OR invalid_quantity + missing_money > 0 OR equal_time THEN 'partial' ELSE 'matched_sales' END AS costing_status FROM real""")
+def realized_with_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(_with_gear(spark, sf_dir).select("kind", "account", *REAL_COLS, "equal_time", "costing_status"))
+
+
+@query("boards_with_equipment", f"WITH {BOARDS.replace(REALIZED, GEAR)} SELECT board, kind, CAST(rank AS BIGINT) AS rank, account, {rounded('net_profit', 'turnover')} FROM bd WHERE rank <= 10 AND kind IN ('user', 'mu', 'country')")
+def boards_with_equipment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r6(L.boards(_with_gear(spark, sf_dir)))
+
+
 @query("entity_summaries", f"""WITH {ACCS}, {T.ENTITIES_SQL}, asked AS (SELECT name AS text FROM entities UNION SELECT 'u149' UNION SELECT 'nobody'), hits AS (SELECT text, kind, id, 0 AS way FROM asked JOIN entities ON text = id UNION SELECT text, kind, id, 1 FROM asked JOIN entities ON lower(text) = lower(name)),
 one AS (SELECT text, count(id) AS candidates, CASE WHEN count(id) = 1 THEN min(kind) ELSE 'user' END AS kind, CASE WHEN count(id) = 1 THEN min(id) WHEN count(id) = 0 THEN text END AS account FROM asked LEFT JOIN (SELECT * FROM hits QUALIFY way = min(way) OVER (PARTITION BY text)) USING (text) GROUP BY text)
 SELECT text, candidates, kind, account, buys, sells, round(turnover, 6) + 0.0 AS turnover FROM one LEFT JOIN accs USING (kind, account)""")
