@@ -2,55 +2,109 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exprs as X
 from tidemark.operators.books import summaries, sweep
 from tidemark.operators.stats import commodities
+from tidemark.session import stored
 
 WINDOW_US, HOUR_US = 7 * 86_400_000_000, 3_600_000_000
 
 
-def _measures(trades: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
-    """Measures of the trades in [us - 7 days, us] for every snapshot of one chunk."""
-    trades = trades.sort_values(["us", "id"])
-    us, price, quantity = (trades[c].to_numpy() for c in ("us", "price", "quantity"))
-    ok = quantity > 0
-    value, traded, volume = (np.concatenate([[0.0], np.cumsum(x)]) for x in (np.where(ok, price * quantity, 0.0), np.where(ok, quantity, 0.0), np.nan_to_num(quantity)))
-    low, high = np.searchsorted(us, seen["us"].to_numpy() - WINDOW_US, "left"), np.searchsorted(us, seen["us"].to_numpy(), "right")
-    rows = []
-    for a, b in zip(low, high, strict=True):
-        if a == b:
-            rows.append((0, *[None] * 9))
-            continue
-        p = np.percentile(price[a:b], [10, 25, 50, 90])
-        q = traded[b] - traded[a]
-        rows.append((b - a, volume[b] - volume[a], price[a], price[b - 1], (value[b] - value[a]) / q if q > 0 else None, *p, price[max(a, b - 5) : b].mean()))
-    out = pd.DataFrame(rows, columns=["trades", "volume", "open", "close", "vwap", "p10", "p25", "median", "p90", "last5"])
-    return pd.concat([seen[["item_code", "us"]].reset_index(drop=True), out], axis=1)
-
-
-def features(trades: DataFrame, books: DataFrame, chunk_days: int = 2) -> DataFrame:
-    """Measures of the trades in [t - 7 days, t] for every snapshot of ``summaries``.
+#: Exact percentiles that a snapshot's week is described by.
+PERCENTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p90": 0.9}
+
 
-    Both are dealt by item and chunk of days; a trade goes to each chunk that can see it, so
-    a hot item is spread over its chunks and a task holds little more than a week of it.
-    Sliding frames would walk the whole week again for every row.
+def _numbered(trades: DataFrame) -> DataFrame:
+    """Priced trades of commodities, numbered from 1 for each item by time and id.
+
+    Places are counted within days and moved up by the trades of the item's earlier days.
     """
-    chunk = chunk_days * 24 * HOUR_US
     us = F.unix_micros("created_at")
-    spread = commodities(trades).where("unit_price is not null").select(
-        "item_code", us.alias("us"), "id", F.col("unit_price").alias("price"), F.col("quantity").cast("double").alias("quantity"),
-        F.explode(F.sequence(F.floor(us / chunk), F.floor((us + WINDOW_US) / chunk))).alias("chunk"),
+    quantity = F.col("quantity").cast("double")
+    rows = commodities(trades).where("unit_price is not null").select("item_code", us.alias("us"), F.floor(us / (24 * HOUR_US)).alias("day"), "id", F.col("unit_price").alias("price"), quantity.alias("quantity"))
+    before = F.sum("count").over(Window.partitionBy("item_code").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    days = rows.groupBy("item_code", "day").count().select("item_code", "day", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("item_code", "day").orderBy("us", "id"))
+    return rows.withColumn("place", place).join(days, ["item_code", "day"]).select("item_code", "us", "price", "quantity", (F.col("before") + F.col("place")).alias("no"))
+
+
+def _counts(celled: DataFrame, marks: DataFrame) -> DataFrame:
+    """For every mark and price cell: trades up to the mark, and counts and sums of its week.
+
+    A cell's running sums at the mark less those at the week's start. Times are doubled, so
+    that a start comes before the trades of its microsecond and an end after them.
+    """
+    sums = ("n", "volume", "traded", "value")
+    sold = F.when(F.col("quantity") > 0, F.col("quantity")).otherwise(0.0)
+    events = celled.select(
+        "item_code", "chunk", "cell", (F.col("us") * 2).alias("at"), F.lit(None).cast("long").alias("mark"), F.lit(0).alias("sign"),
+        F.lit(1).alias("n"), F.coalesce("quantity", F.lit(0.0)).alias("volume"), sold.alias("traded"), (sold * F.col("price")).alias("value"),
     )
+    ends = F.array(F.struct((F.col("us") * 2 + 1).alias("at"), F.lit(1).alias("sign")), F.struct(((F.col("us") - WINDOW_US) * 2 - 1).alias("at"), F.lit(-1).alias("sign"))).cast("array<struct<at: long, sign: int>>")
+    asked = marks.select("item_code", "chunk", "us", F.explode("cells").alias("cell"), ends.alias("ends")).select("item_code", "chunk", "cell", F.col("us").alias("mark"), F.explode("ends").alias("end"))
+    asked = asked.select("item_code", "chunk", "cell", "end.at", "mark", "end.sign", F.lit(0).alias("n"), *(F.lit(0.0).alias(c) for c in sums[1:]))
+    run = Window.partitionBy("item_code", "chunk", "cell").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.unionByName(asked).withColumns({c: F.sum(c).over(run) for c in sums}).where("sign != 0")
+    return summed.groupBy("item_code", F.col("mark").alias("us"), "chunk", "cell").agg(F.sum(F.when(F.col("sign") > 0, F.col("n"))).alias("upto"), *(F.sum(F.col("sign") * F.col(c)).alias(c) for c in sums))
+
+
+def _ranked(counts: DataFrame, celled: DataFrame) -> DataFrame:
+    """(item_code, us, prices): the prices at the ranks, from 0, that the percentiles lie between.
+
+    Prefix sums over cells tell the cell of each rank; only the week's trades of such cells
+    are put in order.
+    """
+    week = Window.partitionBy("item_code", "us")
+    last = F.sum("n").over(week) - 1
+    below = F.sum("n").over(week.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    ranks = F.array_distinct(F.array(*(f(last * p).cast("long") for p in PERCENTILES.values() for f in (F.floor, F.ceil))))
+    hits = counts.withColumns({"ranks": ranks, "below": below}).withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("below")) & (r < F.col("below") + F.col("n"))))
+    hits = hits.where(F.size("ranks") > 0).select("item_code", "chunk", "cell", F.col("us").alias("mark"), "ranks", "below")
+    pairs = hits.join(celled.select("item_code", "chunk", "cell", "us", "price"), ["item_code", "chunk", "cell"]).where((F.col("us") <= F.col("mark")) & (F.col("us") >= F.col("mark") - WINDOW_US))
+    rank = F.col("below") + F.row_number().over(Window.partitionBy("item_code", "mark", "cell").orderBy("price")) - 1
+    found = pairs.withColumn("rank", rank).where(F.array_contains("ranks", F.col("rank")))
+    return found.groupBy("item_code", F.col("mark").alias("us")).agg(F.map_from_entries(F.collect_list(F.struct("rank", "price"))).alias("prices"))
+
+
+def features(trades: DataFrame, books: DataFrame, chunk_days: int = 7, cells: int = 64) -> DataFrame:
+    """Measures of the trades in [t - 7 days, t] for every snapshot of ``summaries``.
+
+    Trades are dealt by item, chunk of days and cell of prices; a trade goes to each chunk
+    that can see it. Cells are cut at approximate quantiles of the chunk, which decide the
+    work only: results are exact. A snapshot costs two marks for each cell that has trades
+    and the week's trades of the few cells its percentiles lie in, not its whole week; a hot
+    item is spread over chunks and cells. Snapshots without a trade have a count of 0.
+    """
+    chunk = chunk_days * 24 * HOUR_US
+    numbered = stored(_numbered(trades), "numbered")
+    spread = numbered.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("us") / chunk), F.floor((F.col("us") + WINDOW_US) / chunk))))
+    cuts = stored(spread.groupBy("item_code", "chunk").agg(F.array_distinct(F.percentile_approx("price", [i / cells for i in range(1, cells)])).alias("cuts"), (F.min("no") - 1).alias("base")), "cuts")
+    # The number of cuts below the price, by halving.
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(cells.bit_length()))))
+    cell = F.aggregate(steps, F.lit(0), lambda i, step: i + F.when(F.get("cuts", i + step - 1) < F.col("price"), step).otherwise(0))
+    celled = spread.join(cuts, ["item_code", "chunk"]).withColumn("cell", cell).drop("cuts", "base")
+    celled = stored(celled, "cells")
     seen = books.select("item_code", F.unix_micros("observed_at").alias("us"), "observed_at", "best_bid", "best_ask", "spread_pct", "imbalance_pct")
-    marks = seen.select("item_code", "us", F.floor(F.col("us") / chunk).alias("chunk"))
-    schema = "item_code string, us long, trades long, volume double, open double, close double, vwap double, p10 double, p25 double, median double, p90 double, last5 double"
-    made = spread.groupBy("item_code", "chunk").cogroup(marks.groupBy("item_code", "chunk")).applyInPandas(_measures, schema)
-    out = seen.join(made, ["item_code", "us"])
+    seen = stored(seen, "snapshots")
+    marks = seen.select("item_code", "us", F.floor(F.col("us") / chunk).alias("chunk")).join(cuts, ["item_code", "chunk"])
+    counts = stored(_counts(celled, marks.withColumn("cells", F.sequence(F.lit(0), F.size("cuts")))), "counts")
+    whole = counts.groupBy("item_code", "us", "chunk").agg(F.sum("n").alias("trades"), F.sum("upto").alias("upto"), F.sum("volume").alias("volume"), F.when(F.sum("traded") > 0, F.sum("value") / F.sum("traded")).alias("vwap")).where("trades > 0")
+    # The first and the last five of the week by number.
+    wanted = whole.join(cuts.drop("cuts"), ["item_code", "chunk"]).withColumns({"last": F.col("base") + F.col("upto"), "first": F.col("base") + F.col("upto") - F.col("trades") + 1})
+    wanted = wanted.select("item_code", F.col("us").alias("mark"), "first", "last", F.explode(F.array_distinct(F.concat(F.array("first"), F.sequence(F.greatest("first", F.col("last") - 4), F.col("last"))))).alias("no"))
+    at = lambda n: F.max(F.when(F.col("no") == F.col(n), F.col("price")))
+    ends = wanted.join(numbered.select("item_code", "no", "price"), ["item_code", "no"]).groupBy("item_code", F.col("mark").alias("us")).agg(at("first").alias("open"), at("last").alias("close"), F.avg(F.when(F.col("no") > F.col("last") - 5, F.col("price"))).alias("last5"))
+
+    def percentile(p: float) -> Column:
+        place = (F.col("trades") - 1) * p
+        low, high = (F.element_at("prices", f(place).cast("long")) for f in (F.floor, F.ceil))
+        return low + (high - low) * (place - F.floor(place))
+
+    made = whole.drop("chunk", "upto").join(ends, ["item_code", "us"]).join(_ranked(counts, celled), ["item_code", "us"]).withColumns({n: percentile(p) for n, p in PERCENTILES.items()}).drop("prices")
+    out = seen.join(made, ["item_code", "us"], "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
     out = out.withColumns({"momentum_pct": F.when(F.col("trades") >= 2, X.change_pct("close", "open")), "fair": X.stable_fair("vwap", "median", "last5")})
     return out.withColumn("fair_gap_pct", X.change_pct("best_bid", "fair"))
 
