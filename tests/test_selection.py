@@ -1,10 +1,12 @@
 """Matches, annotations, nesting, names, stream coverage and stale quotes."""
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import books as B
 from tidemark.operators import candles as K
+from tidemark.operators import indexes as I
 from tidemark.operators import ledger as L
 from tidemark.operators import selection as N
 from tidemark.streaming import live as W
@@ -70,3 +72,21 @@ def test_stale_quotes(spark, tmp_path):
         q.awaitTermination()
     got = {(r.item_code, r.stale) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert ("x", True) in got and ("y", False) in got
+
+
+def test_snapshots_without_levels_stay(spark):
+    t = datetime(2024, 1, 2)
+    snapshots = spark.createDataFrame([("a", t, 5.0), ("b", t, 6.0), ("c", t, None)], "item_code string, observed_at timestamp, best_bid double")
+    levels = [("a", t, "bid", 2, 1.0, 1.0), ("a", t, "bid", 1, 2.0, 1.0), ("a", t, "ask", 1, 3.0, 0.0), ("c", t, "ask", 1, None, 2.0)]
+    got = B.with_levels(snapshots, spark.createDataFrame(levels, "item_code string, observed_at timestamp, side string, position int, price double, quantity double"))
+    assert {r.item_code: ([x.price for x in r.bids], len(r.asks), r.levels_available) for r in got.collect()} == {"a": ([2.0, 1.0], 0, True), "b": ([], 0, False), "c": ([], 0, False)}
+
+
+def test_members_missing_at_either_end(spark):
+    weights = spark.createDataFrame([("i", "a", 0.75), ("i", "b", 0.25), ("j", "b", 1.0)], "index_key string, item_code string, weight double")
+    base = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "item_code string, base_price double")
+    day = lambda n: date(2024, 1, n)
+    prices = spark.createDataFrame([("a", day(1), 2.0), ("a", day(2), 3.0), ("b", day(2), 1.0), ("a", day(3), 3.0), ("b", day(3), 1.0)], "item_code string, as_of date, price double")
+    got = {(r.index_key, r.as_of.day): (r.matched_pct, r.matched, r.missing) for r in I.matched_members(weights, base, prices, 1).collect()}
+    assert got == {("i", 2): (75.0, ["a"], ["b"]), ("i", 3): (100.0, ["a", "b"], []), ("j", 2): (0.0, [], ["b"]), ("j", 3): (100.0, ["b"], [])}
+    assert I.matched_members(weights, base, prices, 9).count() == 0 and I.matched_members(weights, base, prices.where("false"), 1).count() == 0

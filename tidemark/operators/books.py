@@ -64,6 +64,22 @@ def nested(levels: DataFrame) -> DataFrame:
     return levels.groupBy(*KEYS).agg(side("bid", True).alias("bids"), side("ask", False).alias("asks"))
 
 
+def with_levels(snapshots: DataFrame, levels: DataFrame) -> DataFrame:
+    """Every snapshot with its bids and asks by position, and whether it has any level at all.
+
+    ``levels`` has (item_code, observed_at, side, position, price, quantity); levels without a
+    positive price and quantity do not count. A snapshot that reported totals alone keeps its
+    row, with empty sides. Levels are nested before the join, so each side of it has one row
+    a snapshot.
+    """
+    good = levels.where("price > 0 and quantity > 0")
+    side = lambda s: F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("position", "price", "quantity"))))
+    sides = good.groupBy(*KEYS).agg(side("bid").alias("bids"), side("ask").alias("asks"), F.lit(True).alias("levels_available"))
+    kind = "array<struct<position: {0}, price: {1}, quantity: {2}>>".format(*(levels.schema[c].dataType.simpleString() for c in ("position", "price", "quantity")))
+    empty = F.array().cast(kind)
+    return snapshots.join(sides, KEYS, "left").withColumns({"bids": F.coalesce("bids", empty), "asks": F.coalesce("asks", empty), "levels_available": F.coalesce("levels_available", F.lit(False))})
+
+
 def latest_nested(levels: DataFrame) -> DataFrame:
     """The newest snapshot of each item with its levels; only that snapshot's levels are nested."""
     newest = levels.groupBy("item_code").agg(F.max("observed_at").alias("observed_at"))

@@ -51,6 +51,26 @@ def matched_changes(weights: DataFrame, base: DataFrame, prices: DataFrame, days
     return out.select("index_key", "as_of", "matched_pct", "change_pct", X.inflation_class("change_pct").alias("class"), X.purchasing_power_pct("change_pct").alias("purchasing_power_pct"), X.annualized_pct("change_pct", days).alias("annualized_pct"))
 
 
+def matched_members(weights: DataFrame, base: DataFrame, prices: DataFrame, days: int) -> DataFrame:
+    """Which members of each index are priced at both ends of every change, and which are missing.
+
+    Each index has a row for every day whose earlier end lies in the span of the prices, also
+    where no member is matched. Members without a base price are missing as well. Lists are
+    sorted and no longer than the index has members.
+    """
+    span = prices.agg(F.date_add(F.min("as_of"), days).alias("first"), F.max("as_of").alias("last")).first()
+    members = weights.groupBy("index_key").agg(F.sort_array(F.collect_set("item_code")).alias("members"))
+    if span.first is None or span.first > span.last:
+        return members.where("false").select("index_key", F.lit(None).cast("date").alias("as_of"), F.lit(0.0).alias("matched_pct"), F.col("members").alias("matched"), F.col("members").alias("missing"))
+    ends = members.withColumn("as_of", F.explode(F.sequence(F.lit(span.first), F.lit(span.last))))
+    earlier = prices.select("item_code", F.date_add("as_of", days).alias("as_of"), F.col("price").alias("price_before"))
+    both = prices.join(earlier, ["item_code", "as_of"]).where("price > 0 and price_before > 0").join(base.where("base_price > 0").select("item_code"), "item_code")
+    found = weights.join(both, "item_code").groupBy("index_key", "as_of").agg(F.sort_array(F.collect_set("item_code")).alias("matched"), (F.sum("weight") * 100).alias("matched_pct"))
+    none = F.array().cast("array<string>")
+    out = ends.join(found, ["index_key", "as_of"], "left").withColumns({"matched": F.coalesce("matched", none), "matched_pct": F.coalesce("matched_pct", F.lit(0.0))})
+    return out.select("index_key", "as_of", "matched_pct", "matched", F.array_except("members", "matched").alias("missing"))
+
+
 def contributions(weights: DataFrame, base: DataFrame, prices: DataFrame, days: int) -> DataFrame:
     """Each matched component's part of its index's change."""
     earlier = prices.select("item_code", F.date_add("as_of", days).alias("as_of"), F.col("price").alias("price_before"))

@@ -100,6 +100,16 @@ def index_changes_30d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(I.matched_changes(w, b, p, 30).withColumn("annualized_pct", F.round("annualized_pct", 2)))
 
 
+@query("index_members", f"""WITH {CHANGE}, ends AS (SELECT CAST(last - CAST(k AS INTEGER) AS DATE) AS as_of FROM lim, range(0, 61) r(k)), seen AS (SELECT b2.item_code, b2.as_of FROM b2 JOIN bp USING (item_code))
+SELECT w.index_key, {day('e.as_of')} AS as_of, round(coalesce(sum(weight) FILTER (s.item_code IS NOT NULL), 0) * 100, 6) + 0.0 AS matched_pct, count(s.item_code) AS matched,
+  coalesce(string_agg(CASE WHEN s.item_code IS NULL THEN w.item_code END, ',' ORDER BY w.item_code), '') AS missing
+  FROM weights w CROSS JOIN ends e LEFT JOIN seen s ON s.item_code = w.item_code AND s.as_of = e.as_of GROUP BY w.index_key, e.as_of""")
+def index_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many members each 30-day change rests on, and those that it lacks."""
+    w, b, p = _index(spark, sf_dir)
+    return r6(I.matched_members(w, b, p, 30).select("index_key", "as_of", "matched_pct", F.size("matched").cast("long").alias("matched"), F.array_join("missing", ",").alias("missing")))
+
+
 @query("index_contributions", f"""WITH {CHANGE} SELECT index_key, {day('b2.as_of')} AS as_of, item_code, round(weight * (price - price_before) / base_price / sum(weight * price_before / base_price) OVER (PARTITION BY index_key, b2.as_of) * 100, 6) + 0.0 AS contribution_pct
   FROM weights JOIN bp USING (item_code) JOIN b2 USING (item_code)""")
 def index_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,6 +273,19 @@ def book_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(B.nested(_levels(spark, sf_dir)).select("item_code", "observed_at", text("bids"), text("asks")))
 
 
+@query("book_history", f"""WITH {DEPTH}, kept AS (SELECT * FROM d WHERE hour(observed_at) % 4 <> 0) SELECT s.item_code, {stamp('s.observed_at')} AS observed_at, round(any_value(best_bid), 6) + 0.0 AS best_bid, round(any_value(bid_depth), 6) + 0.0 AS bid_depth, count(k.price) > 0 AS levels_available,
+  coalesce(string_agg(CASE WHEN side = 'bid' THEN position || ':' || CAST(CAST(round(price * 10) AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) END, ' ' ORDER BY position), '') AS bids,
+  coalesce(string_agg(CASE WHEN side = 'ask' THEN position || ':' || CAST(CAST(round(price * 10) AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(quantity AS BIGINT) AS VARCHAR) END, ' ' ORDER BY position), '') AS asks
+  FROM sums s LEFT JOIN kept k ON k.item_code = s.item_code AND k.observed_at = s.observed_at GROUP BY s.item_code, s.observed_at""")
+def book_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with totals; those of every fourth hour were stored without levels."""
+    levels = _levels(spark, sf_dir)
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%d:%dx%d", x["position"], F.round(x["price"] * 10).cast("long"), x["quantity"].cast("long"))), " ").alias(c)
+    snapshots = B.summaries(levels).select("item_code", "observed_at", "best_bid", "bid_depth")
+    out = B.with_levels(snapshots, B.depth(levels).where(F.hour("observed_at") % 4 != 0))
+    return r6(out.select("item_code", "observed_at", "best_bid", "bid_depth", "levels_available", text("bids"), text("asks")))
+
+
 @query("latest_book", f"""WITH {LEVELS}, n AS (SELECT * FROM levels QUALIFY observed_at = max(observed_at) OVER (PARTITION BY item_code)) SELECT item_code, {stamp('max(observed_at)')} AS observed_at, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (side = 'ask') AS asks,
   round(max(price) FILTER (side = 'bid'), 6) + 0.0 AS best_bid, round(min(price) FILTER (side = 'ask'), 6) + 0.0 AS best_ask FROM n GROUP BY item_code""")
 def latest_book(spark: SparkSession, sf_dir: str) -> DataFrame:
