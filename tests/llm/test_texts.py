@@ -63,6 +63,28 @@ DER = bytes.fromhex("302e020100300506032b657004220420") + bytes(range(32))
 SIGNED = ".".join(base64.urlsafe_b64encode(x).decode().rstrip("=") for x in (b'{"alg":"HS256"}', b'{"sub":1}', b"sig"))
 
 
+def test_secrets_over_lines_after_slashes_and_encoded_again():
+    inner, draw = "my token=abcdefgh12345 ok", random.Random(9)
+    b64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+    lines = lambda run, n, end="\n": end.join(run[i : i + n] for i in range(0, len(run), n))
+    for pad in range(120):
+        # Wherever the secret lies, the run is one span from its first line to its last.
+        plain = "".join(draw.choice("abc ") for _ in range(pad)) + " password=hunter2hunter2 " + "z " * draw.randrange(60)
+        run = draw.choice([b64(plain), plain.encode().hex(), plain.encode().hex().upper()])
+        block = lines(run, draw.choice([60, 64, 76]), draw.choice(["\n", "\r\n", "\n  "]))
+        for before, after in (("", ""), ("see\n", "\n(end)\n"), ("see:\n", "\nmore words here"), ("see: ", "\n"), ("some words\n", "\n")):
+            spans = secrets.scan(before + block + after)[1]
+            # The last word of a line of other text may be the run's beginning, so it may go with it.
+            assert max(e for *_, e in spans) == len(before + block) and spans[0][0] in ({5, 11} if before == "some words\n" else {len(before)}), (before, block, spans)
+            assert secrets.masked(before + block + after, spans, "*") == before[: spans[0][0]] + "*" + after
+    for text in (f"path/to/{b64(inner)}", b64(inner.encode("utf-16-le")), b64(inner.encode("utf-16")), b64(b64(inner)), b64(lines(b64("x" * 90 + inner), 76)), inner.encode().hex().upper() + "A", "F" + inner.encode().hex().upper()):
+        assert secrets.written(secrets.scan(text)[1]) == f"nested:0:{len(text)}", text
+    key = bytes([0x30, 20, 0x02, 18, *range(1, 19)])
+    assert secrets.written(secrets.scan("keys/" + b64(key))[1]) == f"key:0:{5 + len(b64(key))}"
+    for text in ("word\n" * 5000, "/" * 5000, "A" * 76 + "\n" + "B" * 76, "keys/MA", lines(b64("nothing to be seen here at all, " * 9), 76)):
+        assert secrets.scan(text) == ([], [])
+
+
 def test_secret_spans():
     rng = random.Random(4)
     parts = ["token = ", "PASSWORD:", "api_key='", "short", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "é", " ", "\n", "secret", "=", "x" * 30]

@@ -2,7 +2,8 @@
 
 A base64 or hex candidate is reported only if its decoded bytes parse: nested lengths of
 a key encoding (a SEQUENCE whose parts fill it exactly), the JSON header of a signed
-token, or text in which a fixed pattern matches again.
+token, or text in which a fixed pattern matches again, however often it was encoded. Runs
+wrapped over lines are joined first.
 """
 
 from __future__ import annotations
@@ -35,7 +36,10 @@ LEAST_SIGNED = 14 + len(".") + 2 + len(".")
 #: The least run without white space that may hold any of them.
 LEAST_RUN = min(2 * LEAST_BYTES, LEAST_BASE64, LEAST_SIGNED)
 BASE64_RUN = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_BASE64},}}={{0,2}}")
-ANY_HEX = re.compile(rf"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{{2}}){{{LEAST_BYTES},}}(?![0-9A-Fa-f])")
+ANY_HEX = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{{2 * LEAST_BYTES},}}")
+#: Lines that hold one run each; the first may follow other text and the last may be padded.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++(?=={0,2}[ \t]*(?:\r?\n|\Z)))+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]*)-----END \1-----")
 SIGNED = re.compile(r"(?<![\w-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)", re.ASCII)
 Span = tuple[int, int, int]
@@ -106,29 +110,111 @@ def signed_header(part: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str)
 
 
-def meaning(data: bytes | None) -> int | None:
-    """The kind that decoded bytes confirm, or None."""
-    if not data:
-        return None
-    if nested_lengths(data):
+def decoded(run: str) -> Iterator[bytes]:
+    """What a run may stand for: base64 from each of the four places of a group, hex from each of two.
+
+    A run that other letters of its alphabet precede, as ``path/`` does, has its groups at one
+    of these places.
+    """
+    if ANY_HEX.fullmatch(run):
+        yield from (bytes.fromhex(run[i : len(run) - (len(run) - i) % 2]) for i in (0, 1))
+    body = run.rstrip("=")
+    for i in range(4):
+        # A single letter left over is no byte.
+        if data := from_base64(body[i : len(body) - ((len(body) - i) % 4 == 1)]):
+            yield data
+
+
+def key_after_slash(run: str) -> bool:
+    """Whether what follows one of the run's slashes is a key encoding."""
+    body = run.rstrip("=")
+    for m in re.finditer("/(?=M[A-P])", body):
+        # The header tells the length, so only a run that ends where the key does is decoded.
+        head = (from_base64(body[m.end() : m.end() + 8]) or b"").ljust(2, b"\0")
+        size, rest = head[1], (len(body) - m.end()) * 3 // 4
+        n = size & 0x7F if size & 0x80 else 0
+        size = int.from_bytes(head[2 : 2 + n], "big") if n else size
+        if n <= 4 and size + 2 + n == rest and nested_lengths(from_base64(body[m.end() :]) or b""):
+            return True
+    return False
+
+
+def meaning(run: str) -> int | None:
+    """The kind that a run confirms, or None: decoded until a structure or nothing new comes out."""
+    whole = from_base64(run)
+    if whole and nested_lengths(whole) or "/" in run and key_after_slash(run):
         return 3
-    # The patterns are ASCII, so lines, other letters and bytes that are no text around them do not matter.
-    inner = data.decode("utf-8", "replace")
-    return 5 if base_spans(inner) or any(signed_header(m[1]) for m in SIGNED.finditer(inner)) else None
+    left, seen = [run], {run}
+    while left:
+        for data in decoded(left.pop()):
+            if data[0] == 0x30 and nested_lengths(data):
+                return 3
+            # The patterns are ASCII, so lines, other letters and bytes that are no text around them do not matter;
+            # without its zeros text of two bytes a letter reads as any other.
+            for form in {data, data.replace(b"\0", b"")}:
+                inner = form.decode("utf-8", "replace")
+                if base_spans(inner) or any(signed_header(m[1]) for m in SIGNED.finditer(inner)) or "-----BEGIN " in inner and armoured_spans(inner):
+                    return 5
+                # What is inside is shorter, so this ends.
+                more = {r for _, _, r in wrapped_runs(inner)} | {m[0] for m in BASE64_RUN.finditer(inner)}
+                left += more - seen
+                seen |= more
+    return None
+
+
+def wrapped_runs(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, joined run) of runs that go over lines of one width and a shorter last one.
+
+    A first line that follows other text may be shorter, or a word; the last line may be a word
+    too, so both readings come. At least one line is long enough for a run by itself.
+    """
+    for m in WRAPPED.finditer(text):
+        lines = [(x.start(), x.end()) for x in LINE.finditer(text, m.start(), m.end())]
+        size = [e - s for s, e in lines]
+        at = 0
+        while at + 1 < len(lines):
+            width, last = max(size[at : at + 2]), at if size[at] > size[at + 1] else at + 1
+            while last + 1 < len(lines) and size[last + 1] == width:
+                last += 1
+            stops = {last, last + 1} if last + 1 < len(lines) and size[last + 1] < width else {last}
+            firsts = {at}
+            if size[at] < width:
+                alone = at > 0 or not text[text.rfind("\n", 0, lines[0][0]) + 1 : lines[0][0]].strip(" \t")
+                firsts = {at + 1} if alone else {at, at + 1}
+            if width >= LEAST_RUN:
+                for first in firsts:
+                    for stop in stops:
+                        if stop > first:
+                            yield lines[first][0], lines[stop][1], "".join(text[s:e] for s, e in lines[first : stop + 1])
+            at = last + 1
 
 
 def confirmed_spans(text: str) -> list[Span]:
     """(start, kind, end) of candidates whose structure has been decoded."""
-    found = []
+    found, blocks = [], []
     for m in SIGNED.finditer(text):
         if signed_header(m[1]):
             found.append((m.start(), 4, m.end()))
-    for m in ANY_HEX.finditer(text):
-        if (kind := meaning(bytes.fromhex(m[0]))) is not None:
-            found.append((m.start(), kind, m.end()))
-    for m in BASE64_RUN.finditer(text):
-        if (kind := meaning(from_base64(m[0]))) is not None:
-            found.append((m.start(), kind, m.end()))
+    if "\n" in text:
+        for start, end, run in wrapped_runs(text):
+            if (kind := meaning(run)) is not None:
+                blocks.append((start, kind, end))
+    # Of readings that overlap the longest stands; its lines are no candidates of their own.
+    free = 0
+    for start, kind, end in sorted(blocks, key=lambda b: (b[0], -b[2])):
+        if start >= free:
+            found.append((start, kind, end))
+            free = end
+    inside = [(s, e) for s, _, e in found if "\n" in text[s:e]]
+    for pattern in (ANY_HEX, BASE64_RUN):
+        at = 0
+        for m in pattern.finditer(text):
+            while at < len(inside) and inside[at][1] <= m.start():
+                at += 1
+            if at < len(inside) and inside[at][0] <= m.start():
+                continue
+            if (kind := meaning(m[0])) is not None:
+                found.append((m.start(), kind, m.end()))
     return found
 
 
@@ -169,8 +255,9 @@ def masked(text: str, spans: list[Span], mask: str) -> str:
 def scan_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: counts of the base kinds, their digest and all spans.
 
-    Null and empty texts have no spans. Repeated rows give repeated rows; other columns
-    are not read.
+    Null and empty texts have no spans, and an empty table gives no rows. A very long text is
+    scanned whole, in one piece, in time linear in its length but for the runs it nests.
+    Repeated rows give repeated rows; other columns, whatever their names, are not read.
     """
     small_batches(docs.sparkSession)
 
