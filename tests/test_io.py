@@ -161,3 +161,12 @@ def test_strict_ingest_fails_and_loses_nothing(spark, tmp_path):
     # The batch was not committed, so its good trades come again.
     W.ingest(W.landed(spark, str(tmp_path / "in"), SCHEMA), *places).awaitTermination()
     assert spark.read.parquet(places[0]).count() == 3
+
+
+def test_fields_that_are_not_text(spark):
+    page = lambda *items: '{"result": {"data": {"items": [' + ", ".join(items) + "]}}}"
+    pages = [(1, page('{"_id": "a", "itemCode": 5, "buyerId": {"x": 1}}', '{"_id": null, "money": 3, "quantity": "4"}')), (2, page('{"createdAt": [1], "other": 9}')), (3, page()), (4, "no json"), (5, None), (6, '{"result": {"data": {"items": 3}}}')]
+    got = D.mistyped_trades(spark.createDataFrame(pages, "page int, raw string")).collect()
+    found = sorted((r.page, r.field, r.found.split("<")[0]) for r in got)
+    assert found == [(1, "buyerId", "OBJECT"), (1, "itemCode", "BIGINT"), (2, "createdAt", "ARRAY")]
+    assert D.mistyped_trades(spark.createDataFrame([], "page int, raw string")).count() == 0

@@ -81,6 +81,25 @@ def index_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(rows.select("index_key", "item_code", "trades", "quantity", "excluded_because"))
 
 
+#: Codes that the driver's brands stand for, by number.
+CODES = ("steel", "concrete", "steak", "lightAmmo", "cookedFish", "ammo", "heavyAmmo", "paper", "oil", "scraps")
+
+
+@query("published_indexes", f"""WITH {T.LONG_TAPE_SQL}, b AS (SELECT [{', '.join(f"'{c}'" for c in CODES)}][CAST(substr(item_code, 7) AS INTEGER) % 10 + 1] AS item_code, sum(quantity) AS quantity, count(*) AS trades, sum(money) / sum(quantity) AS price FROM long_tape WHERE unit_price > 0 AND quantity > 0 GROUP BY 1),
+pts(item_code, points) AS (VALUES ('steel', 20.0), ('concrete', 20.0), ('steak', 40.0), ('lightAmmo', 2.0), ('cookedFish', 80.0), ('ammo', 8.0), ('heavyAmmo', 32.0), ('paper', 2.0), ('oil', 2.0)),
+m(index_key, item_code) AS (VALUES ('industrial_expansion', 'steel'), ('industrial_expansion', 'concrete'), ('standard_combat', 'steak'), ('standard_combat', 'lightAmmo'), ('premium_combat', 'cookedFish'), ('premium_combat', 'ammo'), ('premium_combat', 'heavyAmmo'), ('governance', 'paper'), ('infrastructure_operation', 'oil'), ('equipment_inputs', 'steel'), ('equipment_inputs', 'scraps')),
+k AS (SELECT index_key, b.*, points FROM (SELECT * FROM m UNION ALL SELECT x, item_code FROM b, (VALUES ('broad_market'), ('base_pp')) t(x)) JOIN b USING (item_code) LEFT JOIN pts USING (item_code)),
+c AS (SELECT *, quantity * CASE WHEN index_key = 'base_pp' THEN points ELSE price END AS value FROM k)
+SELECT index_key, item_code, CASE WHEN value IS NULL THEN 'missing_production_points' END AS excluded_because, round(value / sum(value) OVER (PARTITION BY index_key), 6) + 0.0 AS weight FROM c""")
+def published_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members, reasons of exclusion and weights of the fixed indexes, with the fixed production points."""
+    tape = T.long_tape(spark, sf_dir).where(S.usable())
+    code = F.element_at(F.array(*map(F.lit, CODES)), F.substring("item_code", 7, 9).cast("int") % 10 + 1)
+    base = tape.groupBy(code.alias("item_code")).agg(F.sum("quantity").alias("quantity"), F.count("*").alias("trades"), (F.sum("money") / F.sum("quantity")).alias("base_price"))
+    rows = I.candidates(*I.definition_tables(spark, I.DEFINITIONS), base.withColumn("production_points", X.production_points("item_code")))
+    return r6(rows.join(I.weights_of(rows), ["index_key", "item_code"], "left").select("index_key", "item_code", "excluded_because", "weight"))
+
+
 @query("index_levels", f"""WITH {TRAIL}, l AS (SELECT index_key, as_of, sum(weight) * 100 AS coverage_pct, count(*) AS components, sum(weight * price / base_price) AS x, sum(weight) AS w FROM weights JOIN bp USING (item_code) JOIN prices USING (item_code) GROUP BY ALL)
 SELECT index_key, {day('as_of')} AS as_of, components, {rounded('coverage_pct')}, round(CASE WHEN coverage_pct + 1e-12 >= 80 THEN 100 * x / w END, 6) + 0.0 AS level FROM l""")
 def index_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,6 +67,19 @@ def intake_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(out)
 
 
+@query("intake_mistyped", """WITH w AS (SELECT event_id // 100 AS page, CASE WHEN event_id % 19 = 0 THEN 'itemCode' END AS a, CASE WHEN event_id % 23 = 0 THEN 'buyerId' END AS b FROM events)
+SELECT 'itemCode' AS field, 'BIGINT' AS found, count(a) AS n, count(DISTINCT page) FILTER (a IS NOT NULL) AS pages FROM w UNION ALL SELECT 'buyerId', 'BOOLEAN', count(b), count(DISTINCT page) FILTER (b IS NOT NULL) FROM w""")
+def intake_mistyped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text fields of raw trades that hold something else, by field and type; nulls and absent fields are none."""
+    e, at = _events(spark, sf_dir), F.col("event_id")
+    quoted = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    code = F.when(at % 19 == 0, at.cast("string")).otherwise(quoted(F.col("event_type")))
+    buyer = F.when(at % 23 == 0, "true").when(at % 5 == 0, "null").otherwise(quoted(F.col("user_id")))
+    item = F.concat(F.lit('{"_id":'), quoted(at), F.lit(',"money":1.5,"quantity":"2","itemCode":'), code, F.lit(',"buyerId":'), buyer, F.lit("}"))
+    pages = e.groupBy(F.floor(at / 100).alias("page")).agg(F.concat(F.lit('{"result":{"data":{"items":['), F.array_join(F.collect_list(item), ","), F.lit("]}}}")).alias("raw"))
+    return D.mistyped_trades(pages).groupBy("field", "found").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
+
+
 @query("intake_rejected", f"""WITH {PAGES}, k AS (SELECT DISTINCT page FROM ev) SELECT 'page' AS what, CASE WHEN page % 7 = 6 THEN 'not_json' ELSE 'no_items' END AS reason, count(*) AS n FROM k WHERE page % 7 = 6 OR page % 11 = 10 GROUP BY ALL
 UNION ALL SELECT 'trade', CASE WHEN event_id % 17 = 0 THEN 'invalid_money' ELSE 'invalid_quantity' END, count(*) FROM ok WHERE event_id % 17 = 0 OR event_id % 13 = 0 GROUP BY ALL""")
 def intake_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,25 @@ def malformed_pages(pages: DataFrame, raw: str = "raw") -> DataFrame:
     return pages.withColumn("reason", reason).where("reason is not null")
 
 
+#: Fields of a trade that must be text or null.
+TEXTS = [f.split()[0] for f in TRADE.split("item struct")[0].strip(", ").split(", ") if f.split()[0] not in ("money", "quantity")]
+
+
+def mistyped_trades(pages: DataFrame, raw: str = "raw") -> DataFrame:
+    """Trades of readable pages with a text field that is neither text nor null: (…, item, field, found).
+
+    One row for each such field, by its name and the type found there, beside the whole trade
+    as JSON. A field that is missing is not mistyped; money and quantities may be numbers or
+    text and are checked when they are read.
+    """
+    carry = [c for c in pages.columns if c != raw]
+    items = F.try_variant_get(F.try_parse_json(raw), "$.result.data.items", "array<variant>")
+    trades = pages.select(*carry, F.explode(items).alias("item"))
+    kinds = [F.struct(F.lit(n).alias("field"), F.schema_of_variant(F.try_variant_get("item", f"$.{n}", "variant")).alias("found")) for n in TEXTS]
+    wrong = F.filter(F.array(*kinds), lambda x: x["found"].isNotNull() & ~x["found"].isin("STRING", "VOID"))
+    return trades.select(*carry, F.to_json("item").alias("item"), F.explode(wrong).alias("x")).select(*carry, "item", "x.field", "x.found")
+
+
 def trade_facts(pages: DataFrame, item_code: str | None = None, kind: str | None = None, raw: str = "raw") -> DataFrame:
     """Trades from raw JSON pages, one row each, with a derived id where none is given.
 
