@@ -260,7 +260,7 @@ def unexpected_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- coverage and resolution ----------------------------------------------
-SCANS = """scans AS (SELECT event_type AS item_code, date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end" FROM events WHERE extract(hour FROM ts) <> 5)"""
+SCANS = """scans AS (SELECT DISTINCT event_type AS item_code, date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS "end" FROM events WHERE extract(hour FROM ts) <> 5)"""
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
