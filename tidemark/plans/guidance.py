@@ -54,12 +54,14 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.item_signals(stats, last.withColumn("quote_age_minutes", age), entry.join(leave, "item_code", "full"), forecast, T.points(spark, sf_dir))
 
 
+#: As in the rules, a zero among the week's prices is no measure, and a missing close is the last trade.
+MEASURED = """z AS (SELECT * REPLACE (nullif(high_7d, 0) AS high_7d, nullif(low_7d, 0) AS low_7d, nullif(open_7d, 0) AS open_7d, coalesce(nullif(close_7d, 0), last_trade_price) AS close_7d) FROM sig)"""
 METRICS = ("mid_price", "spread", "spread_pct", "crossing_loss_pct", "range_pct", "momentum_7d_pct", "attractiveness", "fair_reference_7d", "fair_gap_7d_pct")
 
 
-@query("market_metrics", f"""WITH {SIGNALS}, m AS (SELECT *, best_ask - best_bid AS raw, (high_7d + low_7d) / 2 AS ap, concat_ws(', ', CASE WHEN best_bid IS NULL THEN 'bid' END, CASE WHEN best_ask IS NULL THEN 'ask' END, CASE WHEN trades_7d IS NULL THEN 'trades_7d' END, CASE WHEN high_7d IS NULL THEN 'high_7d' END, CASE WHEN low_7d IS NULL THEN 'low_7d' END) AS missing FROM sig),
+@query("market_metrics", f"""WITH {SIGNALS}, {MEASURED}, m AS (SELECT *, best_ask - best_bid AS raw, (high_7d + low_7d) / 2 AS ap, concat_ws(', ', CASE WHEN best_bid IS NULL THEN 'bid' END, CASE WHEN best_ask IS NULL THEN 'ask' END, CASE WHEN trades_7d IS NULL THEN 'trades_7d' END, CASE WHEN high_7d IS NULL THEN 'high_7d' END, CASE WHEN low_7d IS NULL THEN 'low_7d' END) AS missing FROM z),
 n AS (SELECT *, CASE WHEN raw <= 0.001 THEN 0 ELSE raw - 0.001 END AS spread, CASE WHEN best_ask > 0 THEN greatest(raw, 0) / best_ask * 100 END AS crossing_loss_pct, CASE WHEN missing = '' AND ap > 0 THEN (high_7d - low_7d) / ap * 100 END AS range_pct,
-  CASE WHEN missing = '' AND open_7d > 0 THEN (close_7d - open_7d) / open_7d * 100 END AS momentum_7d_pct, stable_fair_price_7d AS fair_reference_7d, (last_trade_price - stable_fair_price_7d) / stable_fair_price_7d * 100 AS fair_gap_7d_pct FROM m),
+  CASE WHEN missing = '' AND open_7d > 0 THEN (close_7d - open_7d) / open_7d * 100 END AS momentum_7d_pct, coalesce(CASE WHEN stable_fair_price_7d > 0 THEN stable_fair_price_7d END, CASE WHEN vwap_7d > 0 THEN vwap_7d END, CASE WHEN median_7d > 0 THEN median_7d END, nullif(average_7d, 0), CASE WHEN missing = '' THEN ap END) AS fair_reference_7d, CASE WHEN fair_reference_7d > 0 THEN (last_trade_price - fair_reference_7d) / fair_reference_7d * 100 END AS fair_gap_7d_pct FROM m),
 o AS (SELECT * EXCLUDE (spread_pct), spread / mid_price * 100 AS spread_pct FROM n), p AS (SELECT *, CASE WHEN missing = '' AND spread_pct > 0 AND range_pct > 0 AND trades_7d > 0 THEN spread_pct * trades_7d / range_pct END AS attractiveness FROM o)
 SELECT item_code, {rounded(*METRICS)}, CASE WHEN missing <> '' THEN 'Missing: ' || missing WHEN attractiveness IS NOT NULL THEN 'OK' ELSE 'Insufficient score data' END AS status FROM p""")
 def market_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +131,7 @@ def item_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_signals(spark, sf_dir).select("item_code", "item_name", "trades_7d", *SIGNAL_COLS, "tendency_7d", "current_signal", "evidence", "points"))
 
 
-@query("market_scores", f"""WITH {SIGNALS}, m AS (SELECT item_code, best_bid, best_ask, mid_price, trades_7d, high_7d, low_7d, best_ask - best_bid AS raw FROM sig), n AS (SELECT item_code, CASE WHEN raw <= 0.001 THEN 0 ELSE raw - 0.001 END / mid_price * 100 AS sp, (high_7d - low_7d) / ((high_7d + low_7d) / 2) * 100 AS rp, trades_7d FROM m),
+@query("market_scores", f"""WITH {SIGNALS}, {MEASURED}, m AS (SELECT item_code, best_bid, best_ask, mid_price, trades_7d, high_7d, low_7d, best_ask - best_bid AS raw FROM z), n AS (SELECT item_code, CASE WHEN raw <= 0.001 THEN 0 ELSE raw - 0.001 END / mid_price * 100 AS sp, (high_7d - low_7d) / ((high_7d + low_7d) / 2) * 100 AS rp, trades_7d FROM m),
 o AS (SELECT item_code, CASE WHEN sp > 0 AND rp > 0 AND trades_7d > 0 THEN sp * trades_7d / rp END AS a FROM n) SELECT CAST(row_number() OVER (ORDER BY a DESC NULLS LAST, item_code) AS BIGINT) AS position, item_code, round(a, 6) + 0.0 AS attractiveness FROM o""")
 def market_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(G.by_attractiveness(G.market_metrics(_signals(spark, sf_dir))).select("position", "item_code", "attractiveness"))
