@@ -8,9 +8,15 @@ is therefore the same however rows were dealt to files and micro-batches.
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -23,42 +29,71 @@ def keep_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+#: Groups that ids are dealt to by a hash and slots that their records are kept in; fixed, as what is kept is found by them.
+BUCKETS, SLOTS = 1 << 12, 1 << 18
+#: Rows of a frame that a task gives.
+FRAME = 10_000
+
+
 class FieldResolver(StatefulProcessor):
-    """One record's fields, each with its value and the revision it came with."""
+    """Records of a bucket of ids: each one's item and fields, each field with its value and revision, as JSON.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.item = handle.getValueState("item", "item_code string")
-        self.fields = handle.getMapState("fields", "field string", "value string, revised_at long")
+    A call to the state costs far more than an arrival, so a slot of records is read once and
+    written once for all arrivals of a micro-batch, and a bucket that is new is not read at all.
+    """
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        for row in sorted(rows, key=lambda r: r.arrival):
-            outcome, changes = self.merged(row)
-            yield Row(id=key[0], arrival=row.arrival, outcome=outcome, changes=list(changes.items()))
-
-    def merged(self, row: Row) -> tuple[str, dict]:
-        new, given = not self.item.exists(), dict(row.fields or ())
-        if not new:
-            kind = given.get("transaction_type")
-            known = self.fields.getValue(("transaction_type",)) if kind is not None and self.fields.containsKey(("transaction_type",)) else None
-            if self.item.get()[0] != row.item_code or known is not None and known[0] is not None and known[0] != kind:
-                return "rejected", {}
-        else:
-            self.item.update((row.item_code,))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.slots = handle.getMapState("slots", "slot long", "records string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        arrivals, held, done = defaultdict(lambda: defaultdict(list)), self.slots.exists(), []
+        for frame in rows:
+            for slot, *arrival in zip(*(frame[c].tolist() for c in ("slot", "id", "arrival", "given")), strict=True):
+                arrivals[slot][arrival[0]].append(arrival[1:])
+        while arrivals:
+            slot, ids = arrivals.popitem()
+            kept = self.slots.getValue((slot,)) if held else None
+            records, changed = {} if kept is None else json.loads(kept[0]), False
+            for ident, of_id in ids.items():
+                changed |= self.resolved(records, ident, of_id, done)
+            if changed:
+                self.slots.updateValue((slot,), (json.dumps(records),))
+            if len(done) >= FRAME or not arrivals:
+                yield pd.DataFrame(done, columns=["id", "arrival", "outcome", "changes"])
+                done = []
+
+    def resolved(self, records: dict, ident, of_id: list[tuple[int, str]], done: list[tuple]) -> bool:
+        """List what each arrival of an id did; whether its record is another one now."""
+        record = records.get(str(ident))
+        item, fields = (None, {}) if record is None else record
+        new = changed = record is None
+        for arrival, text in sorted(of_id, key=itemgetter(0)):
+            given = json.loads(text)
+            code, revised, values = given["item_code"], given["revised_at"], given["fields"] or {}
+            item = code if new else item
+            changes = None if not new and self.conflicts(item, fields, code, values) else self.merged(fields, values, revised)
+            done.append((ident, arrival, "rejected" if changes is None else "inserted" if new else "enriched" if changes else "unchanged", json.dumps(changes or {})))
+            new, changed = False, changed or bool(changes)
+        records[str(ident)] = (item, fields)
+        return changed
+
+    @staticmethod
+    def conflicts(item: str | None, fields: dict, code: str | None, values: dict) -> bool:
+        """Whether an arrival is of another item than its record, or of another transaction type than is known."""
+        kind, known = values.get("transaction_type"), fields.get("transaction_type", (None, None))[0]
+        return item != code or kind is not None and known is not None and known != kind
+
+    @staticmethod
+    def merged(fields: dict, values: dict, revision: int | None) -> dict:
+        """The fields that an arrival changes: by their first value, a newer revision's, or one where only an unrevised null was."""
         changes = {}
-        for field, value in given.items():
-            if self.takes(field, value, row.revised_at):
-                self.fields.updateValue((field,), (value, row.revised_at))
-                changes[field] = {"value": value, "revised_at": row.revised_at}
-        return "inserted" if new else "enriched" if changes else "unchanged", changes
-
-    def takes(self, field: str, value: str | None, revision: int | None) -> bool:
-        """Whether a field's new value counts: its first, a newer revision's, or one where only an unrevised null was."""
-        if not self.fields.containsKey((field,)):
-            return True
-        known, prior = self.fields.getValue((field,))
-        if revision is not None and (prior is None or revision > prior):
-            return True
-        return known is None and prior is None and value is not None
+        for field, value in values.items():
+            known, prior = fields.get(field, (None, None))
+            newer = revision is not None and (prior is None or revision > prior)
+            if field not in fields or newer or known is None and prior is None and value is not None:
+                fields[field] = (value, revision)
+                changes[field] = {"value": value, "revised_at": revision}
+        return changes
 
     def close(self) -> None:
         pass
@@ -71,15 +106,22 @@ def resolved_records(stream: DataFrame) -> DataFrame:
     anything. ``changes`` has the fields that the arrival changed, each with its value and
     revision. An arrival of another item than its record, or of another transaction type than
     is known of it, is rejected. Arrivals of an id come in order of ``arrival`` from file to
-    file; within a micro-batch they may come in any.
+    file; within a micro-batch they may come in any. A task holds the arrivals of one bucket,
+    one in 4,096 of a micro-batch's.
     """
     keep_state(stream.sparkSession)
-    rows = stream.where("id is not null").select("id", "arrival", "item_code", F.col("revised_at").cast("long").alias("revised_at"), "fields")
-    return rows.groupBy("id").transformWithState(FieldResolver(), f"id {rows.schema['id'].dataType.simpleString()}, arrival {rows.schema['arrival'].dataType.simpleString()}, outcome string, changes map<string, struct<value: string, revised_at: long>>", "Append", "None")
+    given = F.to_json(F.struct("item_code", F.col("revised_at").cast("long").alias("revised_at"), "fields"), {"ignoreNullFields": "false"})
+    rows = stream.where("id is not null").select(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(SLOTS)).alias("slot"), "id", "arrival", given.alias("given")).withColumn("bucket", F.pmod("slot", F.lit(BUCKETS)))
+    kind = dict(rows.dtypes)
+    found = rows.groupBy("bucket").transformWithStateInPandas(FieldResolver(), f"id {kind['id']}, arrival {kind['arrival']}, outcome string, changes string", "Append", "None")
+    return found.withColumn("changes", F.from_json("changes", "map<string, struct<value: string, revised_at: bigint>>"))
 
 
 class PageGuard(StatefulProcessor):
-    """Where the scan of a stream stands: its last page, that page's oldest time and the newest of all."""
+    """Where the scan of a stream stands: its last page, that page's oldest time and the newest of all.
+
+    A micro-batch's trades are held in columns of numbers, not as rows, and are given in frames.
+    """
 
     def __init__(self, late_us: int | None):
         self.late_us = late_us
@@ -87,27 +129,45 @@ class PageGuard(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.stand = handle.getValueState("stand", "page long, oldest long, newest long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         last, oldest, newest = self.stand.get() if self.stand.exists() else (None, None, None)
-        for page, trades in groupby(sorted(rows, key=lambda r: (r.page, r.position)), key=lambda r: r.page):
-            trades = list(trades)
-            late_page = last is not None and page <= last
-            missing = 0 if last is None or late_page else page - last - 1
-            floor = None if self.late_us is None or newest is None else newest - self.late_us
-            for trade in trades:
-                reason = "late_page" if late_page else "late" if floor is not None and trade.us < floor else "not_descending" if oldest is not None and trade.us > oldest else None
-                yield Row(stream=key[0], page=page, position=trade.position, id=trade.id, us=trade.us, reason=reason, missing_pages=missing)
-                missing = 0
-                if reason is None:
-                    oldest = trade.us
-            newest = max(t.us for t in trades) if newest is None else max(newest, *(t.us for t in trades))
-            last = page if last is None else max(last, page)
-        self.stand.update((last, oldest, newest))
+        frames = [(*(f[c].to_numpy("int64") for c in ("page", "position", "us")), pa.array(f["id"], from_pandas=True)) for f in rows]
+        page, position, us = (np.concatenate([f[n] for f in frames]) for n in range(3))
+        ids = pa.chunked_array([f[3] for f in frames])
+        del frames
+        order = np.lexsort((position, page))
+        page, position, us = page[order], position[order], us[order]
+
+        starts = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+        before = np.r_[FIRST if last is None else last, page[starts][:-1]]
+        before = np.maximum.accumulate(before)
+        passed = page[starts] <= before
+        missing = np.zeros(len(page), "int64")
+        missing[starts] = np.where(passed | (before == FIRST), 0, page[starts] - before - 1)
+        late_page = np.repeat(passed, np.diff(np.r_[starts, len(page)]))
+        tops = np.maximum.accumulate(np.r_[FIRST if newest is None else newest, np.maximum.reduceat(us, starts)])
+        late = np.zeros(len(page), bool)
+        if self.late_us is not None:
+            floor = np.where(tops[:-1] == FIRST, FIRST, tops[:-1] - self.late_us)
+            late = us < np.repeat(floor, np.diff(np.r_[starts, len(page)]))
+        # A trade that is not taken for its order is later than the oldest one, so it changes no minimum.
+        lows = np.minimum.accumulate(np.r_[LAST if oldest is None else oldest, np.where(late_page | late, LAST, us)])
+        code = np.where(late_page, 1, np.where(late, 2, np.where(us > lows[:-1], 3, 0)))
+        self.stand.update((int(page[-1]) if last is None else max(last, int(page[-1])), int(lows[-1]) if lows[-1] != LAST else None, int(tops[-1])))
+        del lows, late, late_page
+        for low in range(0, len(page), FRAME):
+            some = slice(low, low + FRAME)
+            yield pd.DataFrame({"stream": key[0], "page": page[some], "position": position[some], "id": ids.take(pa.array(order[some])).to_pandas(), "us": us[some], "reason": REASONS[code[some]], "missing_pages": missing[some]})
 
     def close(self) -> None:
         pass
 
 
+#: Before and after all numbers and times; why a trade is set aside.
+FIRST, LAST = np.iinfo("int64").min, np.iinfo("int64").max
+REASONS = np.array([None, "late_page", "late", "not_descending"], dtype=object)
+
+
 def guarded_pages(stream: DataFrame, late: str | None = None) -> DataFrame:
     """(stream, page, position, id, us, reason, missing_pages) of trades (stream, page, position, id, created_at).
 
@@ -123,7 +183,7 @@ def guarded_pages(stream: DataFrame, late: str | None = None) -> DataFrame:
     late_us = None if late is None else int(spark.sql(f"select unix_micros(timestamp '2000-01-01' + interval {late}) - unix_micros(timestamp '2000-01-01')").first()[0])
     rows = stream.select("stream", F.col("page").cast("long").alias("page"), F.col("position").cast("long").alias("position"), "id", F.unix_micros("created_at").alias("us"))
     kind = dict(rows.dtypes)
-    return rows.where("us is not null and stream is not null and page is not null").groupBy("stream").transformWithState(
+    return rows.where("us is not null and stream is not null and page is not null").groupBy("stream").transformWithStateInPandas(
         PageGuard(late_us), f"stream {kind['stream']}, page long, position long, id {kind['id']}, us long, reason string, missing_pages long", "Append", "None")
 
 
