@@ -49,25 +49,36 @@ def outcomes(log: DataFrame) -> DataFrame:
     return per.join(first, "id").select("id", "arrival", outcome.alias("outcome"))
 
 
+def _marked(records: DataFrame, fields: list[str], optional: list[str] | None) -> DataFrame:
+    """Records with ``conflict``: whether their identity differs from what first arrived under their id."""
+    same = F.struct(*fields).eqNullSafe(F.col("first"))
+    rows = records.join(records.groupBy("id").agg(F.min_by(F.struct(*fields), "arrival").alias("first")), "id", "left")
+    wrong = ~same
+    if optional:
+        # First values of all optional fields come from one aggregate, made of what ``rows`` is made of.
+        firsts = rows.where(same).groupBy("id").agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(f"first_{n}") for n, c in enumerate(optional)))
+        rows = rows.join(firsts, "id", "left")
+        for n, c in enumerate(optional):
+            wrong = wrong | F.coalesce(F.col(c) != F.col(f"first_{n}"), F.lit(False))
+    return rows.select(*records.columns, (F.col("id").isNotNull() & wrong).alias("conflict"))
+
+
 def identity_conflicts(records: DataFrame, fields: list[str], optional: list[str] | None = None) -> DataFrame:
     """Records whose identity differs from what first arrived under their id.
 
     ``optional`` fields conflict only where both sides have a value; the first value counts
     that came with the right ``fields``, even if a newer null has blanked it since.
     """
-    same = F.struct(*fields).eqNullSafe(F.col("first"))
-    rows = records.join(records.groupBy("id").agg(F.min_by(F.struct(*fields), "arrival").alias("first")), "id")
-    wrong = ~same
-    for n, c in enumerate(optional or []):
-        rows = rows.join(rows.where(same).groupBy("id").agg(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("arrival"))).alias(f"first_{n}")), "id")
-        wrong = wrong | F.coalesce(F.col(c) != F.col(f"first_{n}"), F.lit(False))
-    return rows.where(wrong).select(*records.columns)
+    return _marked(records, fields, optional).where("conflict").drop("conflict")
 
 
 def by_identity(records: DataFrame, fields: list[str], optional: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(accepted, set aside): records of one identity each, and those in conflict with it."""
-    aside = identity_conflicts(records, fields, optional)
-    return records.join(aside.select("id", "arrival"), ["id", "arrival"], "left_anti"), aside
+    """(accepted, set aside): records of one identity each, and those in conflict with it.
+
+    Both are read from records marked once, so what is set aside is not joined back.
+    """
+    rows = _marked(records, fields, optional)
+    return rows.where("not conflict").drop("conflict"), rows.where("conflict").drop("conflict")
 
 
 def valid_records(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
