@@ -85,8 +85,12 @@ def ledger_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ledger_trades_of(events: DataFrame) -> DataFrame:
-    """The same from events that may be a stream."""
-    t = tape_of(events)
+    """The same from events that may be a stream.
+
+    Events are few bytes a row, so a file of very many is one or two tasks' scan, while what
+    follows costs far more than the scan: they are dealt by id first.
+    """
+    t = tape_of(events.repartition("event_id"))
     buy, sell, at = F.col("buy_user"), F.col("sell_user"), F.col("id")
     mu = lambda u: F.when(u % 7 == 0, F.concat(F.lit("m"), u % 5))
     country = lambda u: F.when(u % 11 == 0, F.concat(F.lit("c"), u % 3))

@@ -9,7 +9,7 @@ is therefore the same however rows were dealt to files and micro-batches.
 from __future__ import annotations
 
 import json
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
@@ -17,7 +17,8 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -205,79 +206,148 @@ def guard_to_tables(stream: DataFrame, taken: str, aside: str, gaps: str, checkp
     return guarded_pages(stream, late).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: A lot or a sale as it waits: amounts per trade, null where they are not known.
-FACTS = "us long, id long, side string, quantity double, money double, gross double, net double, fee_known boolean"
+#: A trade as it waits, in frames; amounts per trade, NaN where they are not known.
+WAITS = pa.schema([("slot", pa.int64()), ("kind", pa.string()), ("account", pa.string()), ("item_code", pa.string()), ("us", pa.int64()), ("id", pa.int64()), ("side", pa.string()), *((c, pa.float64()) for c in ("quantity", "money", "gross", "net"))])
 MATCHES = "kind string, account string, item_code string, sale_id long, sold_at_us long, lot_id long, matched double, profit double, gross_profit double, net_profit double, sale_quantity double, lot_equal_time boolean"
+#: Lots of a queue that are kept as one value.
+BLOCK = 1_000
+
+
+class Lots:
+    """One account's lots of one item, oldest first: [us, id, quantity, money, gross, net, equal_time, left].
+
+    The first and last lots lie with their slot, full blocks between them in a map by number,
+    so a sale reads only the blocks that it takes from, however many lots are held.
+    """
+
+    def __init__(self, blocks, name: tuple[int, str], kept: dict | None):
+        self.blocks, self.name = blocks, name
+        kept = kept or {"barred": False, "first": 0, "last": 0, "head": [], "tail": []}
+        self.barred, self.first, self.last = kept["barred"], kept["first"], kept["last"]
+        self.head, self.tail = deque(kept["head"]), kept["tail"]
+
+    def kept(self) -> dict | None:
+        """What lies with the slot; nothing if no lot is held or barred."""
+        if not (self.barred or self.head or self.tail or self.first < self.last):
+            return None
+        return {"barred": self.barred, "first": self.first, "last": self.last, "head": list(self.head), "tail": self.tail}
+
+    def add(self, lot: list) -> None:
+        self.tail.append(lot)
+        if len(self.tail) >= BLOCK:
+            self.blocks.updateValue((*self.name, self.last), (json.dumps(self.tail),))
+            self.last, self.tail = self.last + 1, []
+
+    def oldest(self) -> list | None:
+        if not self.head and self.first < self.last:
+            place = (*self.name, self.first)
+            self.head, self.first = deque(json.loads(self.blocks.getValue(place)[0])), self.first + 1
+            self.blocks.removeKey(place)
+        elif not self.head:
+            self.head, self.tail = deque(self.tail), []
+        return self.head[0] if self.head else None
+
+    def clear(self) -> None:
+        for number in range(self.first, self.last):
+            self.blocks.removeKey((*self.name, number))
+        self.barred, self.first, self.head, self.tail = False, self.last, deque(), []
 
 
 class Inventory(StatefulProcessor):
-    """One account's lots of one item, oldest first, and the trades that wait for the watermark.
+    """The lots of a bucket of accounts and items, and the trades that wait for the watermark.
 
-    Lots are a queue in a map by number, so a sale reads and writes only the lots it takes
-    from, however many are held.
+    A call to the state costs far more than a trade, so trades wait in frames, and a slot of
+    queues is read once and written once for all trades that are due.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", FACTS)
-        self.lots = handle.getMapState("lots", "number long", f"{FACTS}, equal_time boolean, left double")
-        self.ends = handle.getValueState("ends", "head long, tail long, barred boolean")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        rows = [tuple(r[c] for c in FIELDS) for r in rows]
-        self.waiting.appendList(rows)
-        self.handle.registerTimer(min(r[0] for r in rows) // 1000 + 1)
+        self.waiting = handle.getListState("waiting", "trades binary")
+        self.slots = handle.getMapState("slots", "slot long", "queues string")
+        self.blocks = handle.getMapState("blocks", "slot long, name string, number long", "lots string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        trades = pa.concat_tables([pa.Table.from_pandas(f[WAITS.names], WAITS, preserve_index=False) for f in rows])
+        self.waiting.appendList(self.framed(trades))
+        self.handle.registerTimer(pc.min(trades["us"]).as_py() // 1000 + 1)
         yield from ()
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+    @staticmethod
+    def framed(trades: pa.Table) -> list[tuple[bytes]]:
+        frames = []
+        for low in range(0, len(trades), FRAME):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, WAITS) as out:
+                out.write_table(trades.slice(low, FRAME))
+            frames.append((sink.getvalue().to_pybytes(),))
+        return frames
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=lambda r: (r[0], r[1]))
-        due = [r for r in waiting if r[0] <= upto]
-        if not due:
+        frames = [pa.ipc.open_stream(f[0]).read_all() for f in self.waiting.get()]
+        waiting = pa.concat_tables(frames) if frames else WAITS.empty_table()
+        late = pc.greater(waiting["us"], upto)
+        left, due = waiting.filter(late), waiting.filter(pc.invert(late))
+        if not len(due):
             return
-        left = waiting[len(due) :]
-        if left:
-            self.waiting.put([tuple(r) for r in left])
-            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        if len(left):
+            self.waiting.put(self.framed(left))
+            self.handle.registerTimer(pc.min(left["us"]).as_py() // 1000 + 1)
         else:
             self.waiting.clear()
-        head, tail, barred = self.ends.get() if self.ends.exists() else (0, 0, False)
-        for us, same in groupby(due, key=lambda r: r[0]):
+        due = due.sort_by([(c, "ascending") for c in ("slot", "kind", "account", "item_code", "us", "id")])
+        rows = (r for low in range(0, len(due), FRAME) for r in zip(*(due[c].slice(low, FRAME).to_numpy().tolist() for c in WAITS.names), strict=True))
+        held, done = self.slots.exists(), []
+        for slot, of_slot in groupby(rows, key=itemgetter(0)):
+            kept = self.slots.getValue((slot,)) if held else None
+            queues = {} if kept is None else json.loads(kept[0])
+            for owner, own in groupby(of_slot, key=itemgetter(1, 2, 3)):
+                name = json.dumps(owner)
+                lots = Lots(self.blocks, (slot, name), queues.pop(name, None))
+                for match in self.matched(lots, own):
+                    done.append((*owner, *match))
+                    if len(done) >= FRAME:
+                        yield pd.DataFrame(done, columns=MATCHED)
+                        done = []
+                if (now := lots.kept()) is not None:
+                    queues[name] = now
+            if queues:
+                self.slots.updateValue((slot,), (json.dumps(queues),))
+            elif kept is not None:
+                self.slots.removeKey((slot,))
+        if done:
+            yield pd.DataFrame(done, columns=MATCHED)
+
+    @staticmethod
+    def matched(lots: Lots, rows: Iterator[tuple]) -> Iterator[tuple]:
+        """What each sale takes from the lots, one match after the other; an unknown amount is NaN and so is its profit."""
+        for us, same in groupby(rows, key=itemgetter(4)):
             same = list(same)
             for row in same:
-                _, ident, side, quantity, money, gross, net, fee_known = row
-                known = quantity is not None and quantity > 0
+                ident, side, quantity, *amounts = row[5:]
+                known = quantity > 0
                 if side == "buy":
-                    barred = barred or not known
-                    if not barred:
-                        self.lots.updateValue((tail,), (*row, len(same) > 1, quantity))
-                        tail += 1
+                    lots.barred = lots.barred or not known
+                    if not lots.barred:
+                        lots.add([us, ident, quantity, *amounts, len(same) > 1, quantity])
                 elif not known:
-                    for number in range(head, tail):
-                        self.lots.removeKey((number,))
-                    head, barred = tail, False
+                    lots.clear()
                 else:
                     need = quantity
-                    while need > 0 and head < tail:
-                        lot = tuple(self.lots.getValue((head,)))
-                        if lot[0] >= us:
-                            break
-                        taken = min(need, lot[9])
-                        part = lambda mine, theirs: None if mine is None or theirs is None else taken * (mine / quantity - theirs / lot[3])  # noqa: B023, E731
-                        yield Row(kind=key[0], account=key[1], item_code=key[2], sale_id=ident, sold_at_us=us, lot_id=lot[1], matched=taken, profit=part(money, lot[4]), gross_profit=part(gross, lot[5]), net_profit=part(net, lot[6]), sale_quantity=quantity, lot_equal_time=lot[8])
+                    while need > 0 and (lot := lots.oldest()) is not None and lot[0] < us:
+                        taken = min(need, lot[7])
+                        yield ident, us, lot[1], taken, *(taken * (mine / quantity - theirs / lot[2]) for mine, theirs in zip(amounts, lot[3:6], strict=True)), quantity, lot[6]
                         need -= taken
-                        if taken == lot[9]:
-                            self.lots.removeKey((head,))
-                            head += 1
+                        if taken == lot[7]:
+                            lots.head.popleft()
                         else:
-                            self.lots.updateValue((head,), (*lot[:9], lot[9] - taken))
-        self.ends.update((head, tail, barred))
+                            lot[7] -= taken
 
     def close(self) -> None:
         pass
 
 
-FIELDS = [f.split()[0] for f in FACTS.split(", ")]
+MATCHED = [c.split()[0] for c in MATCHES.split(", ")]
 
 
 def live_matches(parts: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -286,10 +356,11 @@ def live_matches(parts: DataFrame, late: str = "1 hour") -> DataFrame:
     ``parts`` are an account's sides of trades, as for ``ledger.fifo``, with created_at, and
     matches are the same. Trades wait until the watermark, ``late`` behind the newest time, has
     passed them, and are then matched in order of time and id whatever file they came in; what
-    is later still is dropped by Spark and belongs in a side table before.
+    is later still is dropped by Spark and belongs in a side table before. Accounts and items
+    are dealt to 4,096 buckets by a hash; a task holds the waiting trades of one.
     """
     keep_state(parts.sparkSession)
     rows = parts.where("transaction_type = 'trading' and kind is not null and account is not null and created_at is not null").withWatermark("created_at", late)
-    rows = rows.select("kind", "account", "item_code", "created_at", F.unix_micros("created_at").alias("us"), F.col("id").cast("long").alias("id"), "side", *(F.col(c).cast("double").alias(c) for c in ("quantity", "money", "gross", "net")), "fee_known")
-    found = rows.groupBy("kind", "account", "item_code").transformWithState(Inventory(), MATCHES, "Append", "EventTime")
+    rows = rows.select(F.pmod(F.xxhash64("kind", "account", "item_code"), F.lit(SLOTS)).alias("slot"), "kind", "account", "item_code", "created_at", F.unix_micros("created_at").alias("us"), F.col("id").cast("long").alias("id"), "side", *(F.col(c).cast("double").alias(c) for c in ("quantity", "money", "gross", "net")))
+    found = rows.withColumn("bucket", F.pmod("slot", F.lit(BUCKETS))).groupBy("bucket").transformWithStateInPandas(Inventory(), MATCHES, "Append", "EventTime")
     return found.withColumn("sold_at", F.timestamp_micros("sold_at_us")).drop("sold_at_us")
