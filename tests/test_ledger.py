@@ -128,3 +128,13 @@ def test_equipment_by_instance(spark):
     # Only a's sale follows its own verified purchase: later lines are broken by an unverified trade, a stranger's, an unknown size and an equal time.
     assert [(r.account, r.sale_id, r.lot_id, r.matched, r.profit, r.net_profit, r.sold_at) for r in got] == [("a", 2, 1, 1.0, 6.0, 6.0, at(2))]
     assert set(L.fifo(L.sides(rows)).columns) == set(L.equipment_matches(rows, L.sides(rows)).columns)
+
+
+def test_realized_reads_events_once(spark, sf_dir):
+    """Sides are made once for matches, totals and flags, and their cost is dealt by id, however few tasks the scan has."""
+    from tidemark.plans import ledger as P
+    from tidemark.sources import tables as T
+
+    for made in (P._realized, P._with_gear):
+        assert not [f for f in made(spark, sf_dir).inputFiles() if "events.parquet" in f]
+    assert "REPARTITION_BY_COL" in T.ledger_trades(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

@@ -230,7 +230,9 @@ def fifo(parts: DataFrame, scale: int | None = None) -> DataFrame:
     end comes next: so matches are as many as ends, whatever overlaps.
     """
     unit, kind = 10 ** (QUANTITY_DIGITS if scale is None else scale), "decimal(38,0)"
-    amount = F.floor(F.col("quantity").cast("decimal(38,18)") * F.lit(unit)).cast(kind)
+    # Whole quantities whose units fit a long need no decimals; the result is the same.
+    whole = (F.col("quantity") == F.floor("quantity")) & (F.abs("quantity") <= F.lit(9 * 10**18 // unit))
+    amount = F.when(whole, (F.col("quantity").cast("long") * F.lit(unit)).cast(kind)).otherwise(F.floor(F.col("quantity").cast("decimal(38,18)") * F.lit(unit)).cast(kind))
     number = lambda c: F.coalesce(c, F.lit(0)).cast(kind)
     place, bought, sold = F.struct("us", "id"), F.col("bought"), F.col("sold")
     rows = parts.where("transaction_type = 'trading'").withColumns({"key": F.struct("kind", "account", "item_code"), "us": F.unix_micros("created_at"), "quantity": amount})

@@ -10,6 +10,7 @@ from tidemark.operators import ledger as L
 from tidemark.operators import selection as N
 from tidemark.operators import sinks as K
 from tidemark.plans.market import r6, rounded, stamp
+from tidemark.session import stored
 from tidemark.sources import tables as T
 
 QUERIES, SQL = {}, {}
@@ -186,9 +187,10 @@ real AS (SELECT a.*, f.net_profit, f.gross_profit, coalesce(mq, 0) AS matched_qu
 
 def _realized(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.ledger_trades(spark, sf_dir)
-    rows, window = L.attributed(t), C.resolve(None, (t, "created_at"))
-    parts = L.sides(rows.where(window.window("created_at", L.WINDOW_DAYS)))
-    matches = L.fifo(L.sides(rows)).where(window.window("sold_at", L.WINDOW_DAYS))
+    window = C.resolve(None, (T.tape(spark, sf_dir), "created_at"))
+    every = stored(L.sides(L.attributed(t)), "every")
+    parts = every.where(window.window("created_at", L.WINDOW_DAYS))
+    matches = L.fifo(every).where(window.window("sold_at", L.WINDOW_DAYS))
     return L.realized(parts, matches, L.on_basis(L.account_ledger(parts)))
 
 
@@ -285,10 +287,11 @@ met_all AS (SELECT kind, account, sale_id, sold_at, matched, d, dn, dg, costed,
 
 def _with_gear(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = T.ledger_trades(spark, sf_dir).withColumns({"instance_id": F.col("equipment.instance_id"), "lineage_verified": F.col("id") % 3 != 0})
-    rows, window = L.attributed(t), C.resolve(None, (t, "created_at"))
-    every = L.sides(rows)
-    parts = L.sides(rows.where(window.window("created_at", L.WINDOW_DAYS)))
-    matches = L.fifo(every).unionByName(L.equipment_matches(rows, every)).where(window.window("sold_at", L.WINDOW_DAYS))
+    rows, window = L.attributed(t), C.resolve(None, (T.tape(spark, sf_dir), "created_at"))
+    every = stored(L.sides(rows), "every")
+    gear = stored(rows.where("transaction_type = 'itemMarket'").select("id", "created_at", "transaction_type", "self_trade", "instance_id", "lineage_verified"), "gear")
+    parts = every.where(window.window("created_at", L.WINDOW_DAYS))
+    matches = L.fifo(every).unionByName(L.equipment_matches(gear, every)).where(window.window("sold_at", L.WINDOW_DAYS))
     return L.realized(parts, matches, L.on_basis(L.account_ledger(parts)))
 
 
