@@ -12,7 +12,7 @@
 All pairs of a group of near copies are never made. First each prefix shingle's nodes are
 compared with one centre, the node whose prefix is shared most, which is the text that the
 others were copied from. Then only nodes that are not yet connected are compared with
-others of their shingle. Every pair that shares a prefix shingle has thus been verified or
+others of their shingle than the centre. Every pair that shares a prefix shingle has thus been verified or
 is connected already, so no component is lost.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -238,18 +238,24 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
 
     tokens = written(_prefixes(ones, table, width, percent))
     several = tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    shared = kept(tokens.join(several, "token"))
     # The share of a node's prefix that others have too: highest for what others were copied from.
-    score = shared.groupBy("id").agg((F.count("*") / F.max(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).alias("score"))
-    shared = shared.join(score, "id")
-    centres = shared.groupBy("token").agg(F.max_by(F.struct("id", "n", "at"), F.struct("score", -F.col("id"))).alias("c")).select("token", "c.*")
-    first = shared.alias("a").join(centres.alias("b"), "token").where((F.col("a.id") != F.col("b.id")) & _may_link("a", "b", percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    # A node's rows are no more than its text's prefix, so they may meet in one task.
+    own = Window.partitionBy("id")
+    score = F.count("*").over(own) / F.max(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).over(own)
+    shared = written(tokens.join(several, "token").select("token", "id", "n", "at", "size", score.alias("score")))
+    centres = shared.groupBy("token", "size").agg(F.max(F.struct("score", (-F.col("id")).alias("back"), "n", "at")).alias("c"))
+    centres = written(centres.select("token", "size", (-F.col("c.back")).alias("id"), "c.n", "c.at"))
+    first = shared.alias("a").join(centres.alias("b"), "token").where((F.col("a.id") != F.col("b.id")) & _may_link("a", "b", percent))
+    first = written(first.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
     links = _verify(first, nodes, ones, width, percent)
 
+    # Pairs with a centre are decided: verified, or ruled out by length and position. So a shingle of
+    # two texts is done with, and of others the centre's row. A pair that is left shares no such shingle,
+    # so the shingles it is met on are all that it shares.
     known = components(links)
-    placed = shared.join(known, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("component"))
-    middle = centres.select("token", F.col("id").alias("centre")).join(known.withColumnRenamed("id", "centre"), "centre", "left").select("token", F.coalesce("component", "centre").alias("middle"))
-    placed = kept(placed.join(middle, "token"))
+    placed = shared.where("size > 2").join(known, "id", "left").select("token", "id", "n", "at", F.coalesce("component", "id").alias("component"))
+    middle = centres.where("size > 2").select("token", F.col("id").alias("centre"), F.struct("id", "n", "at").alias("c")).join(known.withColumnRenamed("id", "centre"), "centre", "left").select("token", "c", F.coalesce("component", "centre").alias("middle"))
+    placed = written(placed.join(middle, "token").where(F.struct("id", "n", "at") != F.col("c")).drop("c"))
     lists = placed.where("component <> middle").select("token").distinct()
     every = written(placed.join(lists, "token", "left_semi").join(nodes.select("id", "parities"), "id"))
     apart = every.where("component <> middle")
@@ -265,9 +271,8 @@ def jaccard_components(docs: DataFrame, width: int = WORDS, percent: int = PERCE
     shares = second.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
     second = shares.where((100 + percent) * (F.col("shared") + F.greatest(rest("n_a"), rest("n_b"))) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    # What was verified against a centre need not be again.
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = second.join(tried, ["a", "b"], "left_anti")
+    # What was verified against a centre of one shingle need not be again for another.
+    second = second.join(first, ["a", "b"], "left_anti")
     links = links.union(_verify(second, nodes, ones, width, percent)).union(copies.select(F.col("id").alias("a"), F.col("node").alias("b")))
     found = components(links)
     return rows.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
