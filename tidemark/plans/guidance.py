@@ -11,6 +11,7 @@ from tidemark.operators import forecast as P
 from tidemark.operators import guidance as G
 from tidemark.operators import stats as S
 from tidemark.plans.market import STATS_TAIL, SUMMARY, r6, rounded
+from tidemark.session import stored
 from tidemark.sources import tables as T
 
 QUERIES, SQL = {}, {}
@@ -38,17 +39,28 @@ sig AS (SELECT *, f[1] AS flip_p10, f[2] AS flip_median, f[3] AS flip_p90, CASE
   FROM wk LEFT JOIN (SELECT s.* FROM sums s JOIN lb USING (item_code, observed_at)) USING (item_code) LEFT JOIN en USING (item_code) LEFT JOIN ex USING (item_code) LEFT JOIN fsum USING (item_code))"""
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The tape and the merged levels, made once for all the parts of a report.
+
+    A file of very many events is a few tasks' scan, so they are dealt by id before their
+    properties are read.
+    """
+    events = T.read(spark, sf_dir, "events").repartition("event_id")
+    return stored(T.tape_of(events).drop("buy_user", "sell_user"), "tape"), stored(B.merged_levels(T.book_levels(spark, sf_dir)), "levels")
+
+
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, levels = T.tape(spark, sf_dir), B.merged_levels(T.book_levels(spark, sf_dir))
+    t, levels = _sources(spark, sf_dir)
     context = C.resolve(None, (t, "created_at"))
-    sums = B.summaries(levels)
+    sums = stored(B.summaries(levels), "summaries")
     last = sums.groupBy("item_code").agg(F.max_by(F.struct("observed_at", "best_bid", "best_ask", "bid_depth", "ask_depth"), "observed_at").alias("x")).select("item_code", "x.*")
     age = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(context.analysis).cast("timestamp")) - F.unix_micros("observed_at")) / 60_000_000)
     latest_levels = levels.join(last.select(*B.KEYS), B.KEYS, "left_semi")
     fills = B.sweep(latest_levels, ASSUMED.quantity)
     pick = lambda side, names: fills.where(F.col("side") == side).select("item_code", *(F.col(a).alias(b) for a, b in names.items()))
     entry, leave = pick("ask", {"vwap": "entry_vwap", "gross": "entry_gross", "fully_filled": "entry_full"}), pick("bid", {"vwap": "exit_vwap", "fully_filled": "exit_full"})
-    seen = P.features(t, sums)
+    # Two parts read the features, each with filters of its own.
+    seen = stored(P.features(t, sums), "features")
     forecast = P.forecast_summary(P.evaluations(t, levels, ASSUMED.quantity, seen=seen), P.current_signals(seen))
     stats = S.window_stats(t, context, quotes=T.quotes(spark, sf_dir), books=sums)
     return G.item_signals(stats, last.withColumn("quote_age_minutes", age), entry.join(leave, "item_code", "full"), forecast, T.points(spark, sf_dir))
@@ -140,6 +152,6 @@ def market_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("forecast_order", f"""WITH {SUMMARY}, r AS (SELECT item_code, CASE WHEN evaluable_samples < 30 THEN 0 WHEN accuracy_pct <= baseline_pct THEN 1 WHEN accuracy_pct - baseline_pct < 5 THEN 2 ELSE 3 END AS e, coalesce(accuracy_pct - baseline_pct, '-infinity'::DOUBLE) AS edge, evaluable_samples AS n FROM fsum)
 SELECT CAST(row_number() OVER (ORDER BY e DESC, edge DESC, n DESC, item_code) AS BIGINT) AS position, item_code FROM r""")
 def forecast_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, levels = T.tape(spark, sf_dir), B.merged_levels(T.book_levels(spark, sf_dir))
-    seen = P.features(t, B.summaries(levels))
+    t, levels = _sources(spark, sf_dir)
+    seen = stored(P.features(t, B.summaries(levels)), "features")
     return r6(G.by_evidence(P.forecast_summary(P.evaluations(t, levels, seen=seen), P.current_signals(seen))).select("position", "item_code"))

@@ -11,6 +11,7 @@ from tidemark.operators import books as B
 from tidemark.operators import candles as K
 from tidemark.operators import forecast as P
 from tidemark.operators import stats as S
+from tidemark.session import stored
 from tidemark.sources import tables as T
 
 QUERIES, SQL = {}, {}
@@ -366,5 +367,5 @@ fsum AS (SELECT *, correct / evaluable_samples * 100 AS accuracy_pct, greatest(u
   round(r[1], 6) AS return_p10_pct, round(r[2], 6) AS return_median_pct, round(r[3], 6) AS return_p90_pct, round(f[1], 6) AS flip_return_p10_pct, round(f[2], 6) AS flip_return_median_pct, round(f[3], 6) AS flip_return_p90_pct FROM fsum""")
 def forecast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, levels = T.tape(spark, sf_dir), _levels(spark, sf_dir)
-    seen = P.features(t, B.summaries(levels))
+    seen = stored(P.features(t, B.summaries(levels)), "features")
     return r6(P.forecast_summary(P.evaluations(t, levels, seen=seen), P.current_signals(seen)))
