@@ -140,6 +140,28 @@ def test_near_vectors_of_repeated_and_empty_tables(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
+def test_near_vectors_are_shuffled_once_and_stored_once(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6_000, 64))
+    x[1_000:1_600] = x[:1] + rng.normal(size=(600, 64)) * np.linspace(0.05, 0.5, 600)[:, None]
+    x[2_000:2_400:2] = x[4_000:4_200] + rng.normal(size=(200, 64)) * 0.32
+    x[2_401:2_500] = x[7]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").persist()
+    df.count()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = union(zip(*(k.tolist() for k in np.nonzero(near)), strict=True), range(len(x)))
+    before = shuffled(spark)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup_vectors.near_duplicates(df, chunk=1_500).collect()}
+    assert got == {i: (int(near[i].sum()), want[i]) for i in want}
+    # The rows are dealt to five groups or so; their comparison shuffles no vectors. Before: more than 10 times their bytes.
+    assert shuffled(spark) - before < 2.5 * x.nbytes
+    df.unpersist()
+
+
 @pytest.mark.parametrize("cell", [2_048, 16])
 def test_top_k(spark, cell):
     rng = np.random.default_rng(cell)
