@@ -3,8 +3,8 @@
 Unit vectors link when their cosine reaches ``least``. Rows are put by their nearest of a
 few pivots in groups of bounded size, written once. Groups are sent to all tasks one after
 the other, and the rows of this group and of later ones are read past it in a stream: no
-vector is shuffled for a comparison, so the disk holds the vectors twice at most however
-many groups there are. Cells of rows whose pivots are too far apart for any link are not read.
+vector is shuffled for a comparison, so the disk holds the vectors twice, however many groups
+there are, and a third time only if very many vectors have several rows. Cells of rows whose pivots are too far apart for any link are not read.
 
 Within a task the group lies in tiles around pivots of its own. By the triangle inequality of
 angles a row meets a tile only if its angle to the tile's pivot is within the rows' angles,
@@ -30,9 +30,9 @@ from tidemark.llm.lineage import kept, shared_folder, small_batches
 
 LEAST = 0.95
 #: Rows and bytes of a group, which the driver and each Python worker hold once.
-CHUNK, CHUNK_BYTES = 262_144, 64 << 20
+CHUNK, CHUNK_BYTES = 196_608, 48 << 20
 #: Pivots by which rows are put in groups; pivots of a group at most, and rows of the group for each.
-CELLS, PIVOTS, PER_PIVOT = 256, 2_048, 128
+CELLS, PIVOTS, PER_PIVOT = 256, 2_048, 96
 #: Rows and bytes that are read past a group at once; rows of a tile, and its pairs that are looked at together.
 ROWS, ROWS_BYTES, TILE, PAIRS = 16_384, 16 << 20, 64, 1 << 18
 #: Products that are held at once; values of vectors whose pairs are decided one by one.
@@ -121,6 +121,7 @@ def tiled(ids: np.ndarray, weight: np.ndarray, key: np.ndarray, x: np.ndarray, l
         product = units[a : a + step] @ pivots.T
         cell[a : a + step] = product.argmax(1)
         near[a : a + step] = product.max(1)
+    del units, product
     order = np.lexsort((near, cell))
     cell, near = cell[order], near[order]
     first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -160,13 +161,13 @@ def meet(own: dict, least: float, ids: np.ndarray, weight: np.ndarray, key: np.n
             base = pivot[t]
             products = own["pivots"][base : base + step] @ units.T
         at = products[pivot[t] - base]
-        visit = np.flatnonzero((at >= low[t]) & (at <= high[t]))
+        visit = np.flatnonzero(at >= low[t] if high[t] > 1 + room else (at >= low[t]) & (at <= high[t]))
         for s in range(0, len(visit), PAIRS // TILE):
             j = visit[s : s + PAIRS // TILE]
-            near = own["short"][a:b] @ short[j].T
+            near = short.take(j, 0) @ own["short"][a:b].T
             if near.max() < bound:
                 continue
-            p, q = np.divmod(np.flatnonzero(near >= bound), len(j))
+            q, p = np.divmod(np.flatnonzero(near >= bound), b - a)
             if len(p) <= few:
                 p, q = p + a, j[q]
                 stays = own["key"][p] < key[q]
@@ -315,8 +316,10 @@ def _compare(mine: DataFrame, past: DataFrame, group: int, dim: int, kind: str,
     context = mine.sparkSession.sparkContext
     table = mine.select("id", "weight", "key", "v").toArrow().combine_chunks()
     ids, weight, key = (table[c].to_numpy() for c in ("id", "weight", "key"))
-    held = context.broadcast(tiled(ids, weight, key, matrix(table["v"].combine_chunks(), dim, kind), least))
-    del table
+    tiles = tiled(ids, weight, key, matrix(table["v"].combine_chunks(), dim, kind), least)
+    del table, ids, weight, key
+    held = context.broadcast(tiles)
+    del tiles
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         some: list[pa.RecordBatch] = []
